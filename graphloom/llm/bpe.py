@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-#: Entries of a worker's table of words.
-CACHE_WORDS = 250_000
+#: Entries of each of a worker's two tables (words, and words as they stand in the text).
+CACHE_WORDS = 400_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
@@ -61,6 +61,7 @@ class Automaton:
             letters = label.removesuffix(suffix)
             self.reach[letters[:4]] = max(len(letters), self.reach.get(letters[:4], 0))
         self._asked: dict[int, bool] = {}
+        self._cut: dict[int, int] = {}
 
     def _gadget(self, step: int, u: int, v: int, label: str) -> None:
         if label in self.ids:
@@ -96,39 +97,62 @@ class Automaton:
             known = self._asked[key] = self.leaves(self.state[before] if before >= 0 else 0, token)
         return known
 
+    def _shorter(self, token: int) -> int:
+        """The longest token that is a proper beginning of one without suffix, or -1."""
+        known = self._cut.get(token)
+        if known is None:
+            label, known = self.labels[token], -1
+            for end in range(len(label) - 1, 0, -1):
+                if (known := self.ids.get(label[:end], -1)) >= 0:
+                    break
+            self._cut[token] = known
+        return known
+
     def encode(self, letters: str) -> list[int]:
         """The tokens of a word whose last letter carries the suffix.
 
         The longest transition is tried first. Each prefix has one tokenization
         at most, so a position that led nowhere is never entered again.
         """
-        n, ids, follows, reach = len(letters), self.ids.get, self.follows, self.reach.get
+        n, ids, asked, reach, labels = len(letters), self.ids.get, self._asked, self.reach.get, self.labels
         word = letters + self.suffix
         whole = ids(word)
-        if whole is not None and follows(-1, whole):
+        if whole is not None and self.follows(-1, whole):
             return [whole]
-        out, at, dead = [], [0], set()
-        i, end = 0, min(n, reach(letters[:4], 3))
+        out: list[int] = []
+        at, dead, i, token = [0], set(), 0, -2  # token -2: look for the longest one; else go on with it
         while i < n:
             before = out[-1] if out else -1
-            while end > i:
+            end = 0
+            if token == -2:
+                token = ids(word[i:])
+                if token is not None and self.follows(before, token):
+                    out.append(token)
+                    return out
+                token, end = -1, min(n - 1, i + reach(letters[i : i + 4], 3))
+                while end > i:
+                    if (token := ids(letters[i:end], -1)) >= 0:
+                        break
+                    end -= 1
+            while token >= 0:
+                end = i + len(labels[token])
                 if end not in dead:
-                    token = ids(word[i:end] if end < n else word[i:])
-                    if token is not None and follows(before, token):
+                    key = before * 1_000_003 + token if before >= 0 else -1 - token
+                    ok = asked.get(key)
+                    if ok or ok is None and self.follows(before, token):
                         break
-                end -= 1
-            if end > i:
+                token = self._shorter(token)
+            if token >= 0:
                 out.append(token)
                 at.append(end)
-                i = end
-                end = min(n, i + reach(letters[i : i + 4], 3))
+                i, token = end, -2
             else:
                 if not out:
                     raise ValueError(f"no tokens for {word!r}")
                 dead.add(i)
-                out.pop()
                 at.pop()
-                i, end = at[-1], i - 1
+                token = self._shorter(out.pop())
+                i = at[-1]
         return out
 
     def decode(self, tokens: list[int]) -> list[str]:
@@ -166,6 +190,7 @@ class Tokenizer:
         self._letters = byte_letters()
         self._odd = regex.compile("[\x1c-\x1f]")
         self._cache: dict[str, tuple[str, str]] = {}
+        self._known: dict[str, tuple[str, str]] = {}
 
     def words(self, text: str) -> list[str]:
         """Normalised and pre-split words of a text without special tokens."""
@@ -173,15 +198,30 @@ class Tokenizer:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self._words.findall(self._space.sub(" ", text).lower())
 
-    def _piece(self, text: str) -> tuple[str, str]:
-        """(ids, labels) as text, of a stretch of text; kept for the next time. Both end in a space unless empty."""
-        ids, labels = [], []
-        for word in self.words(text):
+    def _word(self, word: str) -> tuple[str, str]:
+        """(ids, labels) of a pre-split word, as text that ends in a space; kept for the next time."""
+        got = self._known.get(word)
+        if got is None:
             arcs = self.automaton.encode("".join([self._letters[b] for b in word.encode()]))
-            ids += [str(self.number[t]) for t in arcs]
-            labels += self.automaton.decode(arcs)
-        got = (" ".join([*ids, ""]), " ".join([*labels, ""]))
-        if len(text) < 100:
+            got = (" ".join([*[str(self.number[t]) for t in arcs], ""]), " ".join([*self.automaton.decode(arcs), ""]))
+            if len(word) < 60:
+                if len(self._known) >= CACHE_WORDS:
+                    self._known.clear()
+                self._known[word] = got
+        return got
+
+    def _piece(self, text: str) -> tuple[str, str]:
+        """(ids, labels) as text of a stretch of text without white space; kept for the next time."""
+        core, tail = (text[:-1], text[-1]) if text and text[-1] in ",.;:!?" else (text, "")
+        low = core.lower()
+        if low.isalpha() and (text.isascii() or unicodedata.is_normalized("NFC", text) and "Σ" not in text):
+            got = self._word(low)
+            if tail:
+                got = (got[0] + self._word(tail)[0], got[1] + self._word(tail)[1])
+        else:
+            words = [self._word(w) for w in self.words(text)]
+            got = ("".join([w[0] for w in words]), "".join([w[1] for w in words]))
+        if len(text) < 60:
             if len(self._cache) >= CACHE_WORDS:
                 self._cache.clear()
             self._cache[text] = got

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chats, decontaminate, licenses, media, urls
+from . import bpe, chats, decontaminate, langid, licenses, media, neardup, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_media": media.op2,
+    "op3_toxicity": toxicity.op3,
     "op4_licenses": licenses.op4,
     "op5_bpe": bpe.op5,
+    "op7_near_duplicates": neardup.op7,
     "op8_url_filter": urls.op8,
+    "op9_language": langid.op9,
     "op10_chat_format": chats.op10,
 }
 
