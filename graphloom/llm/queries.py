@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chats, decontaminate, langid, licenses, media, neardup, toxicity, urls
+from . import bpe, chats, decontaminate, langid, licenses, linededup, media, neardup, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3,
     "op4_licenses": licenses.op4,
     "op5_bpe": bpe.op5,
+    "op6_line_dedup": linededup.op6,
     "op7_near_duplicates": neardup.op7,
     "op8_url_filter": urls.op8,
     "op9_language": langid.op9,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op6_line_dedup": linededup.OP6_SQL,
     "op10_chat_format": chats.OP10_SQL,
 }
