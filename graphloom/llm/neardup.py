@@ -172,16 +172,40 @@ def _similar(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def _across(percent: int):
-    """Links between classes of one node: exact on full sets, pairs with like sketches first, none between classes already joined."""
+def _pairs(part: pd.DataFrame, percent: int) -> np.ndarray:
+    """(agreement of sketches, x, y) for rows x < y of different classes, and sides if there are any, that may be similar."""
     share = percent / 100
     least = share - 4.5 * np.sqrt(share * (1 - share) / SKETCH)
+    sketch = np.stack([np.frombuffer(x, np.uint8) for x in part["sketch"]])
+    classes, side = part["cls"].to_numpy(), part["side"].to_numpy()
+    found = [np.zeros((0, 3))]
+    for x in range(len(part) - 1):
+        ok = classes[x + 1 :] != classes[x]
+        if side[x] >= 0:
+            ok &= side[x + 1 :] != side[x]
+        y = np.flatnonzero(ok)
+        agree = (sketch[y + x + 1] == sketch[x]).mean(axis=1)
+        y, agree = y[agree >= least], agree[agree >= least]
+        found.append(np.stack([agree, np.full(len(y), x, float), (y + x + 1).astype(float)], axis=1))
+    return np.concatenate(found)
+
+
+def _likely(percent: int):
+    """The members of a node with a likely partner in another class."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        pairs = _pairs(part, percent)[:, 1:].astype(int)
+        return part.iloc[np.unique(pairs)][["rid", "cls", "group", "side"]]
+
+    return run
+
+
+def _across(percent: int):
+    """Links between classes of one node: exact on full sets, pairs with like sketches first, none between classes already joined."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        # a block of a large node says which side a row is on; sides None: all with all
         part = part.sort_values("rid", kind="stable")
-        rids, side = part["rid"].to_numpy(), part["side"].to_numpy()
-        sketch = np.stack([np.frombuffer(x, np.uint8) for x in part["sketch"]])
+        rids, classes = part["rid"].to_numpy(), part["cls"].to_numpy()
         sets = [np.asarray(x, np.int64) for x in part["items"]]
         parent: dict[int, int] = {}
 
@@ -190,16 +214,8 @@ def _across(percent: int):
                 c = parent[c]
             return c
 
-        classes, pairs = part["cls"].to_numpy(), []
-        for x in range(len(rids) - 1):
-            agree = (sketch[x + 1 :] == sketch[x]).mean(axis=1)
-            ok = (agree >= least) & (classes[x + 1 :] != classes[x])
-            if side[x] >= 0:
-                ok &= side[x + 1 :] != side[x]
-            y = np.flatnonzero(ok)
-            pairs.append(np.stack([agree[y], np.full(len(y), x, float), (y + x + 1).astype(float)], axis=1))
         out = []
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 3))
+        found = _pairs(part, percent)
         for _, x, y in found[np.argsort(-found[:, 0], kind="stable")]:
             x, y = int(x), int(y)
             p, q = root(classes[x]), root(classes[y])
@@ -250,7 +266,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
 
     leaves = nodes.where("last").select("rid", "node", "n").join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "node", "n", F.coalesce("root", "rid").alias("cls"))
     leaves = tk.shared_checkpoint(spark, leaves)
-    mixed = leaves.groupBy("node").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("node")
+    # nodes with one and the same members count once
+    by_node = leaves.groupBy("node").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(rid))").alias("s"), F.expr("bit_xor(xxhash64(rid, 1))").alias("t")).where("x <> y")
+    mixed = by_node.groupBy("m", "s", "t").agg(F.min("node").alias("node")).select("node")
     leaves = leaves.join(mixed, "node", "left_semi")
     few = leaves.where(F.col("n") <= LIMIT).select("rid", "cls", F.col("node").alias("group"), F.lit(-1).alias("side"))
     many = leaves.where(F.col("n") > LIMIT)
@@ -265,8 +283,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     with_main = with_main.select("rid", "cls", F.xxhash64("node", F.lit("main"), F.when(F.col("minor"), F.col("own")).otherwise(F.col("other")), F.when(F.col("minor"), F.col("other")).otherwise(F.col("own"))).alias("group"), F.col("minor").cast("int").alias("side"))
     inner = many.where("minor").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
     inner = inner.select("rid", "cls", F.xxhash64("node", F.lit("rest"), F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.lit(-1).alias("side"))
-    todo = few.unionByName(with_main).unionByName(inner).join(reps.select("rid", "sketch"), "rid").join(sets, "rid")
-    more = todo.groupBy("group").applyInPandas(_across(percent), "a bigint, b bigint")
+    todo = few.unionByName(with_main).unionByName(inner)
+    # by their sketches first: only members with a likely partner in another class take their full sets along
+    near = todo.join(reps.select("rid", "sketch"), "rid").groupBy("group").applyInPandas(_likely(percent), "rid bigint, cls bigint, `group` bigint, side int")
+    near = tk.shared_checkpoint(spark, near).join(reps.select("rid", "sketch"), "rid").join(sets, "rid")
+    more = near.groupBy("group").applyInPandas(_across(percent), "a bigint, b bigint")
     all_links = tk.shared_checkpoint(spark, linked.unionByName(more).distinct())
     roots = components(spark, all_links)
     placed = reps.select("rid", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
