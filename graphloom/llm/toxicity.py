@@ -31,11 +31,13 @@ from . import textkit as tk
 PRIOR_MASS = 500.0
 PRIOR_FLOOR = 0.5
 #: Least significance (in standard deviations) and number of toxic documents of a lexicon word.
-MIN_Z, MIN_DOCS = 3.5, 3
+MIN_Z, MIN_DOCS = 3.0, 3
+#: Least log-odds of one: longer documents hold more of every word, which alone makes small odds significant.
+MIN_ODDS = 2.0
 SHINGLE = 5
 FILTER_BITS = 1 << 23
 #: Labelled rows (16 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 150_000
 #: Words of the lexicon, at most: those of the highest significance.
 LEXICON = 20_000
 BIN = 0.25
@@ -118,24 +120,23 @@ def _count(bits, only_toxic: bool):
 
 def segments(at: np.ndarray, scores: np.ndarray, penalty: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (from, to, score) of a text whose words score -penalty but for those at `at` (ascending)."""
-    out: list[tuple[int, int, float, float]] = []  # from, to, sum before, sum up to its end
+    out: list[tuple[int, int, float, float, int]] = []  # from, to, sum before, sum up to its end, nearest earlier one with a lesser sum before
     total, before = 0.0, -1
     for p, s in zip(at.tolist(), scores.tolist(), strict=True):
         total -= penalty * (p - before - 1)
         start, left = p, total
         total += s
         before = p
-        right = total
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= left:
-                j -= 1
-            if j < 0 or out[j][3] >= right:
-                out.append((start, p + 1, left, right))
+                j = out[j][4]
+            if j < 0 or out[j][3] >= total:
+                out.append((start, p + 1, left, total, j))
                 break
             start, left = out[j][0], out[j][2]
             del out[j:]
-    return [(a, b, r - x) for a, b, x, r in out]
+    return [(a, b, r - x) for a, b, x, r, _ in out]
 
 
 class Model:
@@ -210,7 +211,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, use: Column)
     alpha = F.lit(PRIOR_FLOOR) + F.lit(PRIOR_MASS) * F.col("n_all") / F.lit(float(total) * 100)
     odds = lambda n, size: F.log((F.col(n) + alpha) / (F.lit(float(size)) + 2 * alpha - F.col(n)))
     scored = every.withColumn("odds", odds("n_toxic", n_toxic) - odds("n_clean", n_clean)).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("n_toxic") + alpha) + 1 / (F.col("n_clean") + alpha)))
-    top = scored.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "odds", "n_toxic", "n_clean").collect()
+    top = scored.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "odds", "n_toxic", "n_clean").collect()
     words = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
     scores = np.array([r.odds for r in top])[order]
