@@ -9,6 +9,7 @@ each stage's result being written to the shared folder before the next reads it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontaminate, langid, linededup, neardup
 from graphloom.llm import textkit as tk
@@ -20,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of fifty words or more go out of the texts; a text of which nothing is left goes."""
-    return linededup.drop_copies(spark, docs)
+    """Later copies of line runs of fifty words or more go out of the texts; a text of which nothing is left goes; n_chars follows."""
+    left = linededup.drop_copies(spark, docs)
+    return left.withColumn("n_chars", F.length("text").cast(left.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

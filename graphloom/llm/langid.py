@@ -5,9 +5,10 @@ three characters, hashed to BUCKETS), trained with follow-the-regularised-leader
 (proximal, L1 and L2 penalties), its confidence calibrated by a temperature.
 
 Document frequencies cover all documents. The classifier is fitted on a bounded
-sample of labelled rows: for each language the SAMPLE_PER_LANG training rows
-whose id has the least hash; a fifth of them sets the temperature. Training is
-one task over that sample's sparse features.
+sample of labelled rows: of each language, those whose id's hash lies in the
+share that gives SAMPLE_PER_LANG rows on average (all, if it has no more); a
+fifth of them sets the temperature. Training is one task over that sample's
+sparse features.
 
 Nulls: a null text, or one without a letter, is "und" with score 0; rows without
 doc_id or lang are not learned from. Without training rows every text is "und".
@@ -21,14 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 
 BUCKETS = 1 << 15
 GRAMS = 3
-#: Rows of each language that the classifier is fitted on, at most.
+#: Rows of each language that the classifier is fitted on: all, or as many as this on average.
 SAMPLE_PER_LANG = 600
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
@@ -127,11 +128,10 @@ def identify(spark: SparkSession, docs: DataFrame, learn: Column | None = None,
     df, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1
     shared_idf = spark.sparkContext.broadcast(idf)
-    rank = F.xxhash64(F.col("doc_id").cast("long"))
+    rank = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 1)
     usable = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))
-    ranked = docs.where(usable).select(F.col("lang").cast("string").alias("lang"), rank.alias("rank"))
-    kept = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("n") <= sample_per_lang)
-    last = {r.lang: r.last for r in kept.groupBy("lang").agg(F.max("rank").alias("last")).collect()}  # a row for each language
+    sizes = docs.where(usable).groupBy(F.col("lang").cast("string").alias("lang")).count().collect()  # a row for each language
+    last = {r.lang: int(2**63 * min(1.0, sample_per_lang / r["count"])) - 1 for r in sizes}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared_idf.value
