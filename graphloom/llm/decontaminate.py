@@ -152,8 +152,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay."""
-    bad = decontaminate(spark, docs, items).where("n_hit > 0").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (tk.text_key() == F.col("__bad_key")), "left_anti")
+    return tk.without(docs, decontaminate(spark, docs, items).where("n_hit > 0"))
 
 
 OP1_SQL = rf"""

@@ -202,5 +202,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_unknown(spark: SparkSession, docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows of no language, and those whose language scores under min_score; all columns stay."""
     found = identify(spark, docs)
-    bad = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad_id")) & (tk.text_key() == F.col("__bad_key")), "left_anti")
+    return tk.without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)))

@@ -130,29 +130,32 @@ def later_copies(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORD
     return copies.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("number").alias("from"), F.col("end").alias("to")))).alias("spans"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text less its later copies; column __removed_lines says how many lines went. All other columns stay."""
-    spans = later_copies(spark, docs, min_words).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
-    spans = tk.small(tk.shared_checkpoint(spark, spans), BROADCAST_ROWS)
-    joined = docs.withColumn("__text_key", tk.text_key()).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, n: ~F.exists("__spans", lambda s: (s["from"] <= n) & (n <= s["to"])))
-    joined = joined.withColumn("__kept", F.when(F.col("__spans").isNotNull(), kept))
-    removed = F.when(F.col("__spans").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__kept"))
-    new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return joined.select(*[(new.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns], removed.cast("long").alias("__removed_lines"))
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "removed_lines") -> DataFrame:
+    """docs with text less its later copies, and a column (removed) with the number of lines that went. All other columns stay."""
+    if removed in docs.columns:
+        raise ValueError(f"column {removed} is taken")
+    by_id, by_key, spans, kept = tk.fresh(docs, "of_id", "of_key", "later_spans", "kept_lines")
+    gone = later_copies(spark, docs, min_words).select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key), F.col("spans").alias(spans))
+    gone = tk.small(tk.shared_checkpoint(spark, gone), BROADCAST_ROWS)
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(by_id)) & (tk.text_key() == F.col(by_key)), "left")
+    lines, has = F.split("text", "\n", -1), F.col(spans).isNotNull()
+    joined = joined.withColumn(kept, F.when(has, F.filter(lines, lambda _, n: ~F.exists(spans, lambda s: (s["from"] <= n) & (n <= s["to"])))))
+    new = F.when(has, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    n = F.when(has, F.size(lines) - F.size(kept)).otherwise(0).cast("long")
+    return joined.select(*[(new.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns], n.alias(removed))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(spark, tk.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("__removed_lines").alias("n_removed"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    return done.select("doc_id", F.col("removed_lines").alias("n_removed"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their texts deduplicated; a document of which nothing is left goes. All columns stay."""
-    done = dedup_lines(spark, docs, min_words)
-    empty = (F.col("__removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return done.where(~F.coalesce(empty, F.lit(False))).drop("__removed_lines")
+    (removed,) = tk.fresh(docs, "removed_lines")
+    done = dedup_lines(spark, docs, min_words, removed)
+    empty = (F.col(removed) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return done.where(~F.coalesce(empty, F.lit(False))).drop(removed)
 
 
 OP6_SQL = rf"""

@@ -230,7 +230,7 @@ def _across(percent: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id of every row; linked: shared shingles are percent of all, at least."""
+    """doc_id, text_key, n_shingles, component_id, component (a number of its own for each) of every row; linked: shared shingles are percent of all, at least."""
     similarity = percent / 100
     base = tk.shared_checkpoint(spark, tk.keyed_texts(docs).mapInArrow(_scan(k, similarity), _SCAN))
     reps = base.where("n_shingles > 0").groupBy(F.col("a").alias("rid"), "b").agg(
@@ -292,9 +292,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     roots = components(spark, all_links)
     placed = reps.select("rid", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    placed = placed.join(least, "root").select("rid", "component_id")
+    placed = placed.join(least, "root").select("rid", "component_id", F.col("root").alias("component"))
     rows = base.select("doc_id", "text_key", "n_shingles", "a").join(placed.withColumnRenamed("rid", "a"), "a", "left")
-    return rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,10 +305,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates (that of its least doc_id), and all rows without words; all columns stay."""
     found = near_duplicates(spark, docs, k, percent).where("n_shingles > 0")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True)), "doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
-    gone = found.alias("g").join(first.alias("f"), F.col("g.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("g.text_key") == F.col("f.text_key")), "left_anti").select(F.col("g.doc_id").alias("__id"), F.col("g.text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__text_key", tk.text_key()).withColumn("__has_words", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    left = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_anti")
-    # the same row twice: the rows without words stay as they are
-    worded = left.where("__has_words").dropDuplicates(["doc_id", "__text_key"])
-    return worded.unionByName(left.where("NOT __has_words")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    gone = found.alias("g").join(first.alias("f"), F.col("g.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("g.text_key") == F.col("f.text_key")), "left_anti").select("g.doc_id", "g.text_key")
+    # the same row twice: one stays, but rows without words stay as they are
+    key, words = tk.fresh(docs, "of_text", "has_words")
+    left = tk.without(docs, gone).withColumn(key, tk.text_key()).withColumn(words, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return left.where(words).dropDuplicates(["doc_id", key]).unionByName(left.where(f"NOT {words}")).select(*[F.col(f"`{c}`") for c in docs.columns])

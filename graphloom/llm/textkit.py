@@ -145,6 +145,23 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", text_key())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where df has columns of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows that gone (doc_id, text_key) names; all columns stay."""
+    by_id, by_key = fresh(docs, "gone_id", "gone_key")
+    gone = gone.select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(by_id)) & (text_key() == F.col(by_key)), "left_anti")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, counted; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
