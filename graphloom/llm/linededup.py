@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 MIN_WORDS = 50
-#: Rank or span rows (under 100 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows (under 100 bytes each) that are broadcast, of ranks and runs and of documents' spans; more are joined by shuffle.
+RANK_ROWS, SPAN_ROWS = 5_000, 200_000
 
 
 def _lines(min_words: int):
@@ -91,7 +91,7 @@ def suffix_ranks(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, int]
     position = ["doc_id", "text_key"]
     first = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     ranks = _ranked(spark, first, ["h"]).withColumnRenamed("rank", "r0")
-    table = tk.shared_checkpoint(spark, lines.join(tk.small(ranks, BROADCAST_ROWS), "h").drop("h"))
+    table = tk.shared_checkpoint(spark, lines.join(tk.small(ranks, RANK_ROWS), "h").drop("h"))
     k = 0
     while True:
         # runs that need 2n lines or more, and whose first n lines have a copy
@@ -102,7 +102,7 @@ def suffix_ranks(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, int]
         paired = table.withColumn("on", F.first(f"r{k}").over(ahead))
         groups = paired.where(f"r{k} IS NOT NULL AND on IS NOT NULL").groupBy(f"r{k}", "on").agg(F.count("*").alias("n")).where("n > 1")
         ranks = _ranked(spark, groups, [f"r{k}", "on"]).withColumnRenamed("rank", f"r{k + 1}")
-        table = tk.shared_checkpoint(spark, paired.join(tk.small(ranks, BROADCAST_ROWS), [f"r{k}", "on"], "left").drop("on"))
+        table = tk.shared_checkpoint(spark, paired.join(tk.small(ranks, RANK_ROWS), [f"r{k}", "on"], "left").drop("on"))
         k += 1
 
 
@@ -124,7 +124,7 @@ def later_copies(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORD
     runs = runs.select("doc_id", "text_key", "i", "number", "need", head.alias("head"), tail.alias("tail"), end.alias("end"))
     runs = tk.shared_checkpoint(spark, runs.where("head IS NOT NULL AND tail IS NOT NULL AND end IS NOT NULL"))
     intervals = runs.groupBy("need", "head", "tail").agg(F.min(F.struct("doc_id", "text_key", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-    both = runs.join(tk.small(intervals, BROADCAST_ROWS), ["need", "head", "tail"])
+    both = runs.join(tk.small(intervals, RANK_ROWS), ["need", "head", "tail"])
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_key") == F.col("f.text_key"))
     copies = both.where(~same | (F.col("i") >= F.col("f.i") + F.col("need")))
     return copies.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("number").alias("from"), F.col("end").alias("to")))).alias("spans"))
@@ -136,7 +136,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
         raise ValueError(f"column {removed} is taken")
     by_id, by_key, spans, kept = tk.fresh(docs, "of_id", "of_key", "later_spans", "kept_lines")
     gone = later_copies(spark, docs, min_words).select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key), F.col("spans").alias(spans))
-    gone = tk.small(tk.shared_checkpoint(spark, gone), BROADCAST_ROWS)
+    gone = tk.small(tk.shared_checkpoint(spark, gone), SPAN_ROWS)
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(by_id)) & (tk.text_key() == F.col(by_key)), "left")
     lines, has = F.split("text", "\n", -1), F.col(spans).isNotNull()
     joined = joined.withColumn(kept, F.when(has, F.filter(lines, lambda _, n: ~F.exists(spans, lambda s: (s["from"] <= n) & (n <= s["to"])))))
