@@ -3,17 +3,18 @@
 Sets of word shingles are sketched by SKETCH minwise tokens. In each of TREES
 independent trees a document branches, at every node, along the few tokens that
 a hash of the node's path selects (1 / similarity of them on average) into the
-children of their values. Two levels are made in the scan; in Spark, nodes of
-more than LIMIT documents branch on, to DEPTH at most. Documents that are alike
-meet in some small node with a probability that TREES drives to one.
+children of their values. Two levels are made in the scan. Documents that are
+alike meet in some node with a probability that TREES drives to one.
 
 Nodes are compared in two steps, so that groups of alike texts of any size take
-few comparisons. First every document is linked to its nodes' least one, if
-their full sets are as similar as asked; linked ones form classes. Then nodes
-that still hold several classes are compared exhaustively across classes, on
-full sets, and give no more links than they have members. A node that stays
-large is dealt out in blocks: its largest class against the rest, and the rest
-among themselves.
+few comparisons. First every document is compared to the least and the greatest
+member of its nodes, on full sets; linked ones form classes. Then the nodes that
+still hold several classes are compared exhaustively across classes, on sketches
+and then on full sets, and give no more links than they have members. Nodes with
+the same largest class count as one for that; more than LIMIT members are dealt
+out in blocks, the largest class against the rest and the rest among themselves.
+Nodes with more than BRANCH members outside their largest class branch on in
+Spark, to DEPTH at most.
 
 Texts with one and the same set are one member from the start. Nulls: a null or
 empty text has no shingles, links to nothing and has its own id as component; a
@@ -24,11 +25,12 @@ in the operator; the pipeline's stage keeps one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -36,7 +38,10 @@ from .graph import components
 
 SKETCH = 128
 TREES = 16
+#: Members that are compared at once; larger sets of them are dealt out in blocks.
 LIMIT = 400
+#: A node branches on if more members than this are outside its main class; to DEPTH levels at most.
+BRANCH = 10_000
 DEPTH = 6
 FILTER_BITS = 1 << 25
 #: Rows of ids or node keys (16 bytes each) that are broadcast; more are joined by shuffle.
@@ -229,6 +234,33 @@ def _across(percent: int):
     return run
 
 
+def _nodes(spark: SparkSession, level: DataFrame) -> DataFrame:
+    """rid, node, n, low, high of the nodes (rid, node) with two members or more: their number, least and greatest member."""
+    nodes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("n > 1")
+    return tk.shared_checkpoint(spark, level.join(nodes, "node"))
+
+
+def _children(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """rid, node one level below, along the tokens that a hash of each node selects."""
+    picks = F.array(*[F.lit(int(x)) for x in _PICK.view(np.int64)])
+    bound = int(2**63 / (similarity * SKETCH))
+    taken = F.filter(F.transform(picks, lambda p, i: F.struct((F.shiftrightunsigned(F.xxhash64("node", p), 1) < bound).alias("on"), i.alias("i"))), lambda x: x["on"])
+    nodes = members.select("node").distinct().select("node", taken.alias("taken"))
+    below = members.join(nodes, "node").join(reps.select("rid", "sketch"), "rid").select("rid", "node", "sketch", F.explode("taken").alias("t"))
+    return below.select("rid", F.xxhash64("node", "t.i", F.substring("sketch", F.col("t.i") + 1, F.lit(1))).alias("node"))
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """rid, cls, group, side: blocks of the main class against blocks of the rest, and blocks of the rest against each other."""
+    minor = F.col("cls") != F.col("main")
+    dealt = large.withColumn("nb", F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("rest")) / (5 * LIMIT))).cast("int")).withColumn("ns", F.greatest(F.lit(1), F.ceil(F.col("rest") / LIMIT)).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rid"), F.when(minor, F.col("ns")).otherwise(F.col("nb"))).cast("int"))
+    crossed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("nb")).otherwise(F.col("ns")) - 1)))
+    crossed = crossed.select("rid", "cls", F.xxhash64("main", F.lit("main"), F.when(minor, F.col("own")).otherwise(F.col("other")), F.when(minor, F.col("other")).otherwise(F.col("own"))).alias("group"), minor.cast("int").alias("side"))
+    among = dealt.where(minor).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
+    return crossed.unionAll(among.select("rid", "cls", F.xxhash64("main", F.lit("rest"), F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.lit(-1).alias("side")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, component (a number of its own for each) of every row; linked: shared shingles are percent of all, at least."""
     similarity = percent / 100
@@ -238,52 +270,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     )
     reps = tk.shared_checkpoint(spark, reps.select("rid", "low", F.col("rep.doc_id").alias("doc"), F.col("rep.text_key").alias("key"), "sketch", "paths"))
 
-    # nodes of two or more; those of more than LIMIT branch on
-    level, members = reps.select("rid", F.explode("paths").alias("node")), []
-    picks = F.array(*[F.lit(int(x)) for x in _PICK.view(np.int64)])
-    bound = int(2**63 / (similarity * SKETCH))
-    for depth in range(2, DEPTH + 1):
-        nodes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).where("n > 1")
-        here = tk.shared_checkpoint(spark, level.join(nodes, "node"))
-        members.append(here.withColumn("last", (F.col("n") <= LIMIT) | F.lit(depth == DEPTH)))
-        large = here.where(F.col("n") > LIMIT).select("rid", "node")
-        if depth == DEPTH or large.isEmpty():
-            break
-        taken = F.filter(F.transform(picks, lambda p, i: F.struct((F.shiftrightunsigned(F.xxhash64("node", p), 1) < bound).alias("on"), i.alias("i"))), lambda x: x["on"])
-        below = large.join(reps.select("rid", "sketch"), "rid").select("rid", "node", "sketch", F.explode(taken).alias("t"))
-        level = below.select("rid", F.xxhash64("node", "t.i", F.substring("sketch", F.col("t.i") + 1, F.lit(1))).alias("node"))
-    nodes = members[0]
-    for more in members[1:]:
-        nodes = nodes.unionByName(more)
-
-    met = reps.join(nodes.select("rid").distinct(), "rid", "left_semi")
+    # every document against the least and the greatest one of its nodes
+    here = _nodes(spark, reps.select("rid", F.explode("paths").alias("node")))
+    met = reps.join(here.select("rid").distinct(), "rid", "left_semi")
     sets = tk.shared_checkpoint(spark, full_sets(spark, docs, met.select("rid", "doc", "key"), k))
-    stars = nodes.where("rid <> pivot").groupBy("rid", "pivot").count().where("count > 1").select("rid", "pivot")
-    both = stars.join(sets, "rid").join(sets.select(F.col("rid").alias("pivot"), F.col("items").alias("others")), "pivot")
-    linked = both.where(_similar(F.size(F.array_intersect("items", "others")), F.size("items"), F.size("others"), percent)).select(F.col("rid").alias("a"), F.col("pivot").alias("b"))
-    linked = tk.shared_checkpoint(spark, linked)
-    classes = components(spark, linked)
-
-    leaves = nodes.where("last").select("rid", "node", "n").join(classes.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "node", "n", F.coalesce("root", "rid").alias("cls"))
-    leaves = tk.shared_checkpoint(spark, leaves)
-    # nodes with one and the same members count once
-    by_node = leaves.groupBy("node").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(rid))").alias("s"), F.expr("bit_xor(xxhash64(rid, 1))").alias("t")).where("x <> y")
-    mixed = by_node.groupBy("m", "s", "t").agg(F.min("node").alias("node")).select("node")
-    leaves = leaves.join(mixed, "node", "left_semi")
-    few = leaves.where(F.col("n") <= LIMIT).select("rid", "cls", F.col("node").alias("group"), F.lit(-1).alias("side"))
-    many = leaves.where(F.col("n") > LIMIT)
-    main = many.groupBy("node", "cls").count().groupBy("node").agg(F.max(F.struct("count", "cls")).alias("m")).select("node", F.col("m.cls").alias("main"), F.col("m.count").alias("of_main"))
-    half = LIMIT // 2
-    many = many.join(main, "node").withColumn("minor", F.col("cls") != F.col("main"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
-    many = many.withColumn("nb", blocks(F.col("of_main"))).withColumn("ns", blocks(F.col("n") - F.col("of_main")))
-    own = F.when(F.col("minor"), F.pmod(F.xxhash64("rid"), F.col("ns"))).otherwise(F.pmod(F.xxhash64("rid"), F.col("nb"))).cast("int")
-    many = many.withColumn("own", own)
-    with_main = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("nb")).otherwise(F.col("ns")) - 1)))
-    with_main = with_main.select("rid", "cls", F.xxhash64("node", F.lit("main"), F.when(F.col("minor"), F.col("own")).otherwise(F.col("other")), F.when(F.col("minor"), F.col("other")).otherwise(F.col("own"))).alias("group"), F.col("minor").cast("int").alias("side"))
-    inner = many.where("minor").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
-    inner = inner.select("rid", "cls", F.xxhash64("node", F.lit("rest"), F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.lit(-1).alias("side"))
-    todo = few.unionByName(with_main).unionByName(inner)
+    stars = here.select("rid", F.explode(F.array("low", "high")).alias("pivot")).where("rid <> pivot").groupBy("rid", "pivot").count().where("count > 1").select("rid", "pivot")
+    stars = tk.small(tk.shared_checkpoint(spark, stars), BROADCAST_ROWS)
+    pivots = tk.small(stars.select("pivot").distinct(), BROADCAST_ROWS)
+    others = sets.join(pivots.withColumnRenamed("pivot", "rid"), "rid", "left_semi").select(F.col("rid").alias("pivot"), F.col("items").alias("others"))
+    linked = sets.join(stars, "rid").join(others, "pivot").where(_similar(F.size(F.array_intersect("items", "others")), F.size("items"), F.size("others"), percent))
+    linked = tk.shared_checkpoint(spark, linked.select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
+    classes = tk.shared_checkpoint(spark, components(spark, linked).withColumnRenamed("node", "rid"))
+
+    # of nodes that still hold several classes, those with the same main class are one to compare; where too much is outside it, they branch on
+    todo, depth = [], 2
+    while True:
+        leaves = here.select("rid", "node").join(classes, "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls"))
+        counts = leaves.groupBy("node", "cls").count()
+        main = counts.groupBy("node").agg(F.max(F.struct("count", "cls")).alias("m"), F.sum("count").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+        main = main.select("node", F.col("m.cls").alias("main"), (F.col("n") - F.col("m.count") > (BRANCH if depth < DEPTH else 2**62)).alias("branch"))
+        leaves = tk.shared_checkpoint(spark, leaves.join(main, "node"))
+        todo.append(leaves.where("NOT branch").select("rid", "cls", "main").distinct())
+        branch = leaves.where("branch").select("rid", "node")
+        if depth == DEPTH or branch.isEmpty():
+            break
+        here, depth = _nodes(spark, _children(branch, reps, similarity)), depth + 1
+    todo = fold(DataFrame.unionAll, todo).distinct()
+    sizes = todo.groupBy("main").agg(F.count("*").alias("n"), F.count(F.when(F.col("cls") != F.col("main"), 1)).alias("rest"))
+    todo = tk.shared_checkpoint(spark, todo.join(sizes, "main"))
+    few = todo.where(F.col("n") <= LIMIT).select("rid", "cls", F.col("main").alias("group"), F.lit(-1).alias("side"))
+    todo = few.unionAll(_blocks(todo.where(F.col("n") > LIMIT)))
     # by their sketches first: only members with a likely partner in another class take their full sets along
     near = todo.join(reps.select("rid", "sketch"), "rid").groupBy("group").applyInPandas(_likely(percent), "rid bigint, cls bigint, `group` bigint, side int")
     near = tk.shared_checkpoint(spark, near).join(reps.select("rid", "sketch"), "rid").join(sets, "rid")

@@ -128,6 +128,7 @@ def edited(rng, words, n):
 def test_near_duplicates_match_brute_force(spark, monkeypatch, limit):
     """With a tiny LIMIT, nodes branch on and large ones are dealt out in blocks."""
     monkeypatch.setattr(neardup, "LIMIT", limit)
+    monkeypatch.setattr(neardup, "BRANCH", 10_000 if limit > 10 else 4)
     rng = random.Random(9)
     docs = []
     for _ in range(12):
