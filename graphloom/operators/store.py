@@ -8,11 +8,12 @@ columns and partitions reach the files below.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import numbered
@@ -20,11 +21,61 @@ from .ranking import numbered
 TRIPLE = ["s", "p", "o"]
 
 
+@dataclass(frozen=True)
+class TermMap:
+    """Terms made of a column: before + value + after. Inverted for constants, so that they become filters on the column itself."""
+
+    column: str
+    before: str
+    after: str
+    kind: str = "string"  # of the column: bigint, int or string
+
+    def term(self) -> Column:
+        return F.concat(F.lit(self.before), F.col(self.column).cast("string"), F.lit(self.after))
+
+    def value(self, term: str) -> str | int | None:
+        """The column's value for a term, None if no value gives it."""
+        end = len(term) - len(self.after)
+        if end < len(self.before) or not (term.startswith(self.before) and term.endswith(self.after)):
+            return None
+        inner = term[len(self.before) : end]
+        if self.kind == "string":
+            return inner
+        limit = 2**63 if self.kind == "bigint" else 2**31
+        return int(inner) if re.fullmatch(r"0|-?[1-9][0-9]*", inner) and -limit <= int(inner) < limit else None
+
+
+@dataclass(frozen=True)
+class Mapped:
+    """One predicate's pairs from one table, subject and object each a TermMap or a constant term. The pairs are distinct as they are."""
+
+    df: DataFrame
+    s: TermMap | str
+    o: TermMap | str
+
+    def pairs(self, s: str | None = None, o: str | None = None) -> DataFrame | None:
+        """(s, o), where s and o are the terms given; None if the table can't hold them: it needs no scan."""
+        df = self.df
+        for wanted, made in ((s, self.s), (o, self.o)):
+            if wanted is None:
+                continue
+            if isinstance(made, str):
+                if made != wanted:
+                    return None
+                continue
+            value = made.value(wanted)
+            if value is None:
+                return None
+            df = df.where(F.col(made.column) == F.lit(value))
+        term = lambda made: F.lit(made) if isinstance(made, str) else made.term()
+        return df.select(term(self.s).alias("s"), term(self.o).alias("o"))
+
+
 @dataclass
 class GraphStore:
     spark: SparkSession
     table: DataFrame | None = None
-    layers: dict[str, DataFrame] = field(default_factory=dict)
+    layers: dict[str, DataFrame | list[Mapped]] = field(default_factory=dict)
     #: predicate -> (triples, distinct subjects, distinct objects), once analyzed
     stats: dict[str, tuple[int, int, int]] | None = None
 
@@ -34,8 +85,8 @@ class GraphStore:
         return cls(df.sparkSession, df.select(*TRIPLE).dropDuplicates())
 
     @classmethod
-    def from_layers(cls, spark: SparkSession, layers: dict[str, DataFrame]) -> GraphStore:
-        """From {predicate: distinct (s, o)}."""
+    def from_layers(cls, spark: SparkSession, layers: dict[str, DataFrame | list[Mapped]]) -> GraphStore:
+        """From {predicate: distinct (s, o)}; a layer of several mapped tables is their union, and they have no pair in common."""
         return cls(spark, None, dict(layers))
 
     def triples(self) -> DataFrame:
@@ -43,13 +94,22 @@ class GraphStore:
             return self.table
         if not self.layers:
             return self.spark.createDataFrame([], "s string, p string, o string")
-        return reduce(DataFrame.unionAll, [df.select("s", F.lit(p).alias("p"), "o") for p, df in self.layers.items()])
+        return reduce(DataFrame.unionAll, [self.layer(p).select("s", F.lit(p).alias("p"), "o") for p in self.layers])
 
-    def layer(self, predicate: str) -> DataFrame:
-        """(s, o) of one predicate; empty if it is unknown."""
-        if self.table is None:
-            return self.layers[predicate].select("s", "o") if predicate in self.layers else self.triples().where("false").select("s", "o")
-        return self.table.where(F.col("p") == predicate).select("s", "o")
+    def layer(self, predicate: str, s: str | None = None, o: str | None = None) -> DataFrame:
+        """(s, o) of one predicate, with the subject and object given if any; empty if it is unknown."""
+        none = lambda: self.spark.createDataFrame([], "s string, o string")
+        if self.table is not None:
+            df = self.table.where(F.col("p") == predicate).select("s", "o")
+        elif predicate not in self.layers:
+            return none()
+        elif isinstance(layer := self.layers[predicate], DataFrame):
+            df = layer.select("s", "o")
+        else:
+            parts = [x for m in layer if (x := m.pairs(s, o)) is not None]
+            return reduce(DataFrame.unionAll, parts) if parts else none()
+        df = df if s is None else df.where(F.col("s") == s)
+        return df if o is None else df.where(F.col("o") == o)
 
     def knows(self, predicate: str) -> bool:
         """False only if the store can tell without a scan that it has no such predicate."""

@@ -50,13 +50,13 @@ class Engine:
             df = source.select("s", "p", "o")
             df = df.where(F.col("p") == p.p.term) if isinstance(p.p, Const) else df
         elif isinstance(p.p, Const):
-            df = self.store.layer(p.p.term)
+            df = self.store.layer(p.p.term, *[x.term if isinstance(x, Const) else None for x in (p.s, p.o)])
         else:
             df = self.store.triples()
         names: dict[str, str] = {}
         for at, x in zip(("s", "p", "o"), p.nodes(), strict=True):
             if isinstance(x, Const):
-                if at != "p":
+                if at != "p" and (source is not None or not isinstance(p.p, Const)):
                     df = df.where(F.col(at) == x.term)
             elif x.name in names:
                 df = df.where(F.col(at) == F.col(names[x.name]))

@@ -1,31 +1,31 @@
 """The driver's relational tables as a graph.
 
-Each predicate is a lazy layer over one table, so a pattern reads two columns of
-one file. Keys make pairs distinct; only order-part and order-supplier pairs,
+Each predicate is a lazy layer over its tables, so a pattern reads two columns of
+their files, and its constants become filters on key columns that reach the scan
+(or show that a table needs no scan). Keys make pairs distinct; only order-part and order-supplier pairs,
 which lineitem repeats, are deduplicated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from ..functions.terms import TYPE, XSD
-from ..operators.store import GraphStore
+from ..operators.store import GraphStore, Mapped, TermMap
 
 NS = "urn:p:"
 
 
-def entity(kind: str, key: Column) -> Column:
-    return F.concat(F.lit(f"<urn:{kind}:"), key.cast("string"), F.lit(">"))
+def entity(kind: str, column: str, integer: str = "bigint") -> TermMap:
+    return TermMap(column, f"<urn:{kind}:", ">", integer)
 
 
-def plain(value: Column) -> Column:
-    return F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
+def plain(column: str) -> TermMap:
+    return TermMap(column, '"', '"')
 
 
-def integer(value: Column) -> Column:
-    return F.concat(F.lit('"'), value.cast("string"), F.lit(f'"^^<{XSD}integer>'))
+def integer(column: str) -> TermMap:
+    return TermMap(column, '"', f'"^^<{XSD}integer>', "int")
 
 
 def p(name: str) -> str:
@@ -34,31 +34,25 @@ def p(name: str) -> str:
 
 def rdf_view(spark: SparkSession, sf_dir: str) -> GraphStore:
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
-
-    def pairs(table: str, s: Column, o: Column) -> DataFrame:
-        return t[table].select(s.alias("s"), o.alias("o"))
-
-    c = F.col
-    region, nation = entity("region", c("r_regionkey")), entity("nation", c("n_nationkey"))
-    customer, supplier, part, order = entity("customer", c("c_custkey")), entity("supplier", c("s_suppkey")), entity("part", c("p_partkey")), entity("order", c("o_orderkey"))
-    kinds = [("region", region, "Region"), ("nation", nation, "Nation"), ("customer", customer, "Customer"), ("supplier", supplier, "Supplier"), ("part", part, "Part"), ("orders", order, "Order")]
-    union = lambda *dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionAll(union(*dfs[1:]))
+    keys = {"region": entity("region", "r_regionkey", "int"), "nation": entity("nation", "n_nationkey", "int"), "customer": entity("customer", "c_custkey"), "supplier": entity("supplier", "s_suppkey"), "part": entity("part", "p_partkey"), "orders": entity("order", "o_orderkey")}
+    of = lambda table, o: Mapped(t[table], keys[table], o)
+    # lineitem repeats its pairs: distinct on the numbers, before they become strings
+    item = lambda column, o: Mapped(t["lineitem"].select("l_orderkey", column).distinct(), entity("order", "l_orderkey"), o)
     layers = {
-        TYPE: union(*[pairs(table, key, F.lit(f"<urn:c:{kind}>")) for table, key, kind in kinds]),
-        p("name"): union(pairs("region", region, plain(c("r_name"))), pairs("nation", nation, plain(c("n_name"))), pairs("customer", customer, plain(c("c_name"))), pairs("supplier", supplier, plain(c("s_name")))),
-        p("inRegion"): pairs("nation", nation, entity("region", c("n_regionkey"))),
-        p("nationCode"): pairs("nation", nation, integer(c("n_nationkey"))),
-        p("regionCode"): pairs("nation", nation, integer(c("n_regionkey"))),
-        p("fromNation"): union(pairs("customer", customer, entity("nation", c("c_nationkey"))), pairs("supplier", supplier, entity("nation", c("s_nationkey")))),
-        p("segment"): pairs("customer", customer, plain(c("c_mktsegment"))),
-        p("brand"): pairs("part", part, plain(c("p_brand"))),
-        p("size"): pairs("part", part, integer(c("p_size"))),
-        p("placedBy"): pairs("orders", order, entity("customer", c("o_custkey"))),
-        p("status"): pairs("orders", order, plain(c("o_orderstatus"))),
-        p("priority"): pairs("orders", order, plain(c("o_orderpriority"))),
-        # distinct on the numbers, before they become strings
-        p("hasPart"): t["lineitem"].select("l_orderkey", "l_partkey").distinct().select(entity("order", c("l_orderkey")).alias("s"), entity("part", c("l_partkey")).alias("o")),
-        p("hasSupplier"): t["lineitem"].select("l_orderkey", "l_suppkey").distinct().select(entity("order", c("l_orderkey")).alias("s"), entity("supplier", c("l_suppkey")).alias("o")),
+        TYPE: [of(table, f"<urn:c:{kind}>") for table, kind in (("region", "Region"), ("nation", "Nation"), ("customer", "Customer"), ("supplier", "Supplier"), ("part", "Part"), ("orders", "Order"))],
+        p("name"): [of("region", plain("r_name")), of("nation", plain("n_name")), of("customer", plain("c_name")), of("supplier", plain("s_name"))],
+        p("inRegion"): [of("nation", entity("region", "n_regionkey", "int"))],
+        p("nationCode"): [of("nation", integer("n_nationkey"))],
+        p("regionCode"): [of("nation", integer("n_regionkey"))],
+        p("fromNation"): [of("customer", entity("nation", "c_nationkey", "int")), of("supplier", entity("nation", "s_nationkey", "int"))],
+        p("segment"): [of("customer", plain("c_mktsegment"))],
+        p("brand"): [of("part", plain("p_brand"))],
+        p("size"): [of("part", integer("p_size"))],
+        p("placedBy"): [of("orders", entity("customer", "o_custkey"))],
+        p("status"): [of("orders", plain("o_orderstatus"))],
+        p("priority"): [of("orders", plain("o_orderpriority"))],
+        p("hasPart"): [item("l_partkey", entity("part", "l_partkey"))],
+        p("hasSupplier"): [item("l_suppkey", entity("supplier", "l_suppkey"))],
     }
     return GraphStore.from_layers(spark, layers)
 

@@ -165,3 +165,17 @@ def test_gini_and_running_total(spark):
     ranked = spark.range(25).withColumn("f", F.col("id") % 4)
     got = {r.id: r.before for r in M.running_total(ranked, "id", "f", "before", block=7).collect()}
     assert got == {i: sum(j % 4 for j in range(i)) for i in range(25)}
+
+
+def test_constants_reach_the_scan(spark):
+    from graphloom.operators.store import TermMap
+    from graphloom.sources.rdfview import entity, p, rdf_view
+
+    store = rdf_view(spark, "/root/testdata/sf0.001")
+    plan = store.layer(p("placedBy"), s="<urn:order:1>")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,1)" in plan
+    assert "customer" not in store.layer(p("fromNation"), s="<urn:supplier:3>")._jdf.queryExecution().executedPlan().toString()
+    assert rows(store.layer(p("fromNation"), s="<urn:order:3>")) == []
+    e = entity("order", "o_orderkey")
+    assert [e.value(x) for x in ("<urn:order:12>", "<urn:order:012>", "<urn:order:>", "<urn:order:-3>", "<urn:order:99999999999999999999>", "<urn:part:1>", "<urn:order:1")] == [12, None, None, -3, None, None, None]
+    assert TermMap("x", '"', '"').value('"') is None and TermMap("x", '"', '"').value('""') == ""
