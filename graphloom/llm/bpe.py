@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 #: Entries of each of a worker's two tables (words, and words as they stand in the text).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
