@@ -17,7 +17,7 @@ that ends there and whose arc leaves the state of the token before it is the
 transition taken. Decoding emits the labels of the arcs.
 
 Nulls: a null text is empty (no tokens). Repeated rows are kept. Whole texts;
-words are cached in a table with a bounded number of entries.
+words are cached in tables with a bounded number of entries, for one task.
 """
 
 from __future__ import annotations
@@ -239,6 +239,12 @@ class Tokenizer:
             return [piece(text)]
         return [known(x) or piece(x) for x in text.split()]
 
+    def forget(self) -> None:
+        """Lets go of the words and answers kept so far; the automaton stays."""
+        self._known.clear()
+        self._cache.clear()
+        self.automaton._asked.clear()
+
     def texts(self, text: str) -> tuple[str, str]:
         """(ids joined by a space, decoded text)"""
         parts = self.parts(text)
@@ -269,6 +275,12 @@ def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
+        try:
+            yield from encoded(tok, batches)
+        finally:
+            tok.forget()
+
+    def encoded(tok: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 128):
                 part = batch.slice(lo, 128)
@@ -288,7 +300,7 @@ def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> Data
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>" * ids)
+    return texts.mapInArrow(tk.released(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>" * ids)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
         bits[r.slot] = np.uint64(r.bits & (2**64 - 1))
     held = spark.sparkContext.broadcast(bits)
 
-    scanned = tk.keyed_texts(docs).mapInArrow(_scan("doc_id", lengths, held, False, window, gram), f"doc_id bigint, text_key bigint, n_words bigint, prints {_PRINT}")
+    scanned = tk.keyed_texts(docs).mapInArrow(tk.released(_scan("doc_id", lengths, held, False, window, gram)), f"doc_id bigint, text_key bigint, n_words bigint, prints {_PRINT}")
     d = scanned.select("doc_id", "text_key", "n_words", F.explode_outer("prints").alias("d")).alias("d")
     i = tk.small(of_items.select("item_id", F.struct("k", "fp", "left", "mid", "right").alias("i")), BROADCAST_ROWS).alias("i")
     joined = d.join(i, (F.col("d.k") == F.col("i.k")) & (F.col("d.fp") == F.col("i.fp")), "left")

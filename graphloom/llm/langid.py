@@ -116,7 +116,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, BUCKETS)), pa.array(np.append(seen[at], rows))], names=["bucket", "n"])
 
-    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tk.released(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS + 1, np.int64)
     for r in got:
         out[r.bucket] = r.n
@@ -161,7 +161,7 @@ def identify(spark: SparkSession, docs: DataFrame, learn: Column | None = None,
     if last:
         bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
         sample = docs.where(usable & (rank <= bound[F.col("lang").cast("string")])).select(F.col("lang").cast("string").alias("lang"), rank.alias("rank"), F.col("text").cast("string").alias("text"))
-        taught = sample.mapInArrow(features, "lang string, rank bigint, at array<int>, x array<double>").repartition(1).mapInArrow(train, "lang string, at array<int>, w array<double>, bias double, t double")
+        taught = sample.mapInArrow(tk.released(features), "lang string, rank bigint, at array<int>, x array<double>").repartition(1).mapInArrow(tk.released(train), "lang string, at array<int>, w array<double>, bias double, t double")
         model = sorted(taught.collect(), key=lambda r: r.lang)  # a row for each language
     else:
         model = []
@@ -190,7 +190,7 @@ def identify(spark: SparkSession, docs: DataFrame, learn: Column | None = None,
                 scores.append(float(p[best]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "text_key", "lang_pred", "score"])
 
-    return tk.keyed_texts(docs).mapInArrow(predict, "doc_id bigint, text_key bigint, lang_pred string, score double")
+    return tk.keyed_texts(docs).mapInArrow(tk.released(predict), "doc_id bigint, text_key bigint, lang_pred string, score double")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

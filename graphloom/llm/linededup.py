@@ -108,7 +108,7 @@ def suffix_ranks(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, int]
 
 def later_copies(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key, spans: [from, to] line numbers (ends included) of the document's later copies."""
-    scanned = tk.keyed_texts(docs).mapInArrow(_lines(min_words), "doc_id bigint, text_key bigint, i int, number int, h bigint, need int").dropDuplicates(["doc_id", "text_key", "i"])
+    scanned = tk.keyed_texts(docs).mapInArrow(tk.released(_lines(min_words)), "doc_id bigint, text_key bigint, i int, number int, h bigint, need int").dropDuplicates(["doc_id", "text_key", "i"])
     table, top = suffix_ranks(spark, tk.shared_checkpoint(spark, scanned))
     of = Window.partitionBy("doc_id", "text_key").orderBy("i")
     runs = table.withColumn("k", F.when(F.col("need").isNotNull(), F.floor(F.log2("need"))).cast("int"))

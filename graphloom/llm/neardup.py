@@ -158,17 +158,17 @@ def full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, k: int) -
     table = spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(table.value, bitorder="little").astype(bool)
+        bits = table.value
         for batch in batches:
-            keys = batch.column("text_key").to_numpy()
-            batch = batch.filter(pa.array(bits[_slots(keys)]))
+            at = _slots(batch.column("text_key").to_numpy())
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for lo, hi, raw, bounds in tk.text_chunks(batch.column("text")):
                 hashes, first = shingle_hashes(raw, bounds, k)
                 sets = [np.unique(hashes[first[r] : first[r + 1]]).view(np.int64) for r in range(hi - lo)]
                 items = tk.list_array(pa.array(np.concatenate(sets)), np.array([len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), items], names=["doc_id", "text_key", "items"])
 
-    sets = tk.keyed_texts(docs).mapInArrow(run, "doc_id bigint, text_key bigint, items array<bigint>").alias("s")
+    sets = tk.keyed_texts(docs).mapInArrow(tk.released(run), "doc_id bigint, text_key bigint, items array<bigint>").alias("s")
     w = tk.small(wanted, BROADCAST_ROWS).alias("w")
     return sets.join(w, F.col("s.doc_id").eqNullSafe(F.col("w.doc")) & (F.col("s.text_key") == F.col("w.key"))).select("rid", "items").dropDuplicates(["rid"])
 
@@ -264,7 +264,7 @@ def _blocks(large: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, component (a number of its own for each) of every row; linked: shared shingles are percent of all, at least."""
     similarity = percent / 100
-    base = tk.shared_checkpoint(spark, tk.keyed_texts(docs).mapInArrow(_scan(k, similarity), _SCAN))
+    base = tk.shared_checkpoint(spark, tk.keyed_texts(docs).mapInArrow(tk.released(_scan(k, similarity)), _SCAN))
     reps = base.where("n_shingles > 0").groupBy(F.col("a").alias("rid"), "b").agg(
         F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )

@@ -7,8 +7,11 @@ megabytes at a time, so that memory in a Python worker is bounded by the chunk
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; a longer single text forms a chunk alone.
 CHUNK_BYTES = 1 << 21
-_SEGMENT = 1 << 21
+#: Bytes whose spans are hashed at once, unless one span is longer; tables of powers are as long.
+_SEGMENT = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -55,6 +59,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives back the memory that is free in the worker when its task ends: workers live on for later tasks and stages."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _tables.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) for runs of rows; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
