@@ -198,8 +198,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read from there; one of our own where none is set (tests)."""
+    """df written to the folder in spark.checkpoint.dir and read from there; one of our own where none is set (tests).
+
+    First the driver collects its garbage: Spark deletes shuffle and checkpoint files of finished steps only once nothing refers to them.
+    """
     sc = spark.sparkContext
+    gc.collect()
+    sc._jvm.System.gc()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
