@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 #: Entries of each of a worker's two tables (words, and words as they stand in the text).
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
@@ -291,7 +291,7 @@ def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> Data
                     shas.append(hashlib.sha256(numbers.encode()).hexdigest())
                     decoded.append(hashlib.sha256(text.encode()).hexdigest())
                     if ids:
-                        lists.append(np.array(numbers.split(), dtype=np.int32))
+                        lists.append(np.fromstring(numbers, dtype=np.int32, sep=" "))
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
