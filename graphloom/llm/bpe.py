@@ -17,7 +17,7 @@ that ends there and whose arc leaves the state of the token before it is the
 transition taken. Decoding emits the labels of the arcs.
 
 Nulls: a null text is empty (no tokens). Repeated rows are kept. Whole texts;
-words are cached in tables with a bounded number of entries, for one task.
+words are cached in tables with a bounded number of entries.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from . import textkit as tk
 
 #: Entries of each of a worker's two tables (words, and words as they stand in the text).
 CACHE_WORDS = 120_000
+#: The same for op5, whose workers do nothing else: the tables stay from task to task.
+KEPT_WORDS = 400_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
@@ -191,6 +193,7 @@ class Tokenizer:
         self._odd = regex.compile("[\x1c-\x1f]")
         self._cache: dict[str, tuple[str, str]] = {}
         self._known: dict[str, tuple[str, str]] = {}
+        self.cache_words = CACHE_WORDS
 
     def words(self, text: str) -> list[str]:
         """Normalised and pre-split words of a text without special tokens."""
@@ -205,7 +208,7 @@ class Tokenizer:
             arcs = self.automaton.encode("".join([self._letters[b] for b in word.encode()]))
             got = (" ".join([*[str(self.number[t]) for t in arcs], ""]), " ".join([*self.automaton.decode(arcs), ""]))
             if len(word) < 60:
-                if len(self._known) >= CACHE_WORDS:
+                if len(self._known) >= self.cache_words:
                     self._known.clear()
                 self._known[word] = got
         return got
@@ -222,7 +225,7 @@ class Tokenizer:
             words = [self._word(w) for w in self.words(text)]
             got = ("".join([w[0] for w in words]), "".join([w[1] for w in words]))
         if len(text) < 60:
-            if len(self._cache) >= CACHE_WORDS:
+            if len(self._cache) >= self.cache_words:
                 self._cache.clear()
             self._cache[text] = got
         return got
@@ -269,16 +272,21 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, input_ids. The file lies at the same path on every executor."""
+def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True, kept_words: int = 0) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, input_ids. The file lies at the same path on every executor.
+
+    kept_words: entries of tables that workers keep when a task ends; by default they let go of theirs (CACHE_WORDS), for other stages' sake.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
+        tok.cache_words = kept_words or CACHE_WORDS
         try:
             yield from encoded(tok, batches)
         finally:
-            tok.forget()
+            if not kept_words:
+                tok.forget()
 
     def encoded(tok: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,4 +312,4 @@ def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> Data
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(tk.table(spark, sf_dir, "documents"), ids=False)
+    return tokenize(tk.table(spark, sf_dir, "documents"), ids=False, kept_words=KEPT_WORDS)
