@@ -7,13 +7,20 @@ by their first 1, 2, 4, ... lines: the rank by 2n lines follows from the pair of
 ranks by n lines of a suffix and of the one n lines on. A suffix whose rank is
 its own alone has no repeated beginning of that length and is discarded. Runs
 that matter have MIN_WORDS words, so the doubling ends once it has passed the
-longest shortest run.
+longest window (below).
 
 Suffixes that share their first L lines are one interval of the suffix array
 with common prefix L (a pair of ranks by the greatest power of two in L, at the
 run's head and at its end, names it). In each interval the earliest suffix keeps
-its lines; a later copy that doesn't overlap it loses them. Overlapping windows
-of a run add up to the maximal repeated run.
+its lines; a later copy that doesn't overlap it loses them. That holds for runs
+of any length, but two kinds of window are enough to look at: those that can't
+lose their last line, and those that can't lose their first one, without falling
+under MIN_WORDS. A window of the first kind starts at each line of a repeated
+run up to the last that has MIN_WORDS words from it on; one of the second kind
+starts there and ends where the run ends. Together they cover the maximal run;
+two lines make a window where the first has words enough, so that blank lines
+between them are covered too. A text has at most three windows a line, none of
+more than MIN_WORDS lines.
 
 Ranks are sums over a range-partitioned sort: no single task sees all of them,
 and hot lines count through partial aggregation. Nulls: a null text has no lines
@@ -38,7 +45,7 @@ RANK_ROWS, SPAN_ROWS = 5_000, 200_000
 
 
 def _lines(min_words: int):
-    """Per line with words: its place among them (i), its number in the text, its hash, and the number of lines (need) that hold min_words from it on, or null."""
+    """Per line with words: its place among them (i), its number in the text, its hash, and the numbers of lines (need to most) of the windows that start at it, or nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,13 +66,19 @@ def _lines(min_words: int):
                 lines = np.searchsorted(of, np.arange(len(first)))
                 words = np.append(at, len(starts))  # words before each line
                 stop = np.searchsorted(words, words[:-1] + min_words)
-                fits = stop <= lines[of + 1]
+                last = lines[of + 1]
+                fits = stop <= last
+                # longer windows, until the line after this one has min_words of its own
+                line = np.arange(len(at))
+                most = np.maximum(stop, np.minimum(np.append(stop[1:], 0) - 1, last))
+                most = np.where(line + 1 < last, np.maximum(most, line + 2), stop)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array(lo + of)), batch.column("text_key").take(pa.array(lo + of)), pa.array((np.arange(len(at)) - lines[of]).astype(np.int32)),
-                        pa.array(number[at].astype(np.int32)), pa.array(tk.signed(hashes)), pa.array((stop - np.arange(len(at))).astype(np.int32), mask=~fits),
+                        batch.column("doc_id").take(pa.array(lo + of)), batch.column("text_key").take(pa.array(lo + of)), pa.array((line - lines[of]).astype(np.int32)),
+                        pa.array(number[at].astype(np.int32)), pa.array(tk.signed(hashes)), pa.array((stop - line).astype(np.int32), mask=~fits),
+                        pa.array((most - line).astype(np.int32), mask=~fits),
                     ],
-                    names=["doc_id", "text_key", "i", "number", "h", "need"],
+                    names=["doc_id", "text_key", "i", "number", "h", "need", "most"],
                 )
 
     return run
@@ -87,15 +100,15 @@ def _ranked(spark: SparkSession, groups: DataFrame, keys: list[str]) -> DataFram
 
 
 def suffix_ranks(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text_key, i, number, need, r0, r1, ..., K): ranks by the first 2**k lines, null where such a beginning has no copy."""
+    """(doc_id, text_key, i, number, need, most, r0, r1, ..., K): ranks by the first 2**k lines, null where such a beginning has no copy."""
     position = ["doc_id", "text_key"]
     first = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     ranks = _ranked(spark, first, ["h"]).withColumnRenamed("rank", "r0")
     table = tk.shared_checkpoint(spark, lines.join(tk.small(ranks, RANK_ROWS), "h").drop("h"))
     k = 0
     while True:
-        # runs that need 2n lines or more, and whose first n lines have a copy
-        open_ = table.where((F.col("need") >= 2 ** (k + 1)) & F.col(f"r{k}").isNotNull())
+        # windows of 2n lines or more whose first n lines have a copy
+        open_ = table.where((F.col("most") >= 2 ** (k + 1)) & F.col(f"r{k}").isNotNull())
         if open_.isEmpty():
             return table, k
         ahead = Window.partitionBy(*position).orderBy("i").rangeBetween(2**k, 2**k)
@@ -108,26 +121,27 @@ def suffix_ranks(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, int]
 
 def later_copies(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_key, spans: [from, to] line numbers (ends included) of the document's later copies."""
-    scanned = tk.keyed_texts(docs).mapInArrow(tk.released(_lines(min_words)), "doc_id bigint, text_key bigint, i int, number int, h bigint, need int").dropDuplicates(["doc_id", "text_key", "i"])
+    scanned = tk.keyed_texts(docs).mapInArrow(tk.released(_lines(min_words)), "doc_id bigint, text_key bigint, i int, number int, h bigint, need int, most int").dropDuplicates(["doc_id", "text_key", "i"])
     table, top = suffix_ranks(spark, tk.shared_checkpoint(spark, scanned))
     of = Window.partitionBy("doc_id", "text_key").orderBy("i")
-    runs = table.withColumn("k", F.when(F.col("need").isNotNull(), F.floor(F.log2("need"))).cast("int"))
-    head, tail, end = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("int")
+    windows = F.array().cast("array<struct<n:int,head:bigint,tail:bigint,end:int>>")
     for k in range(top + 1):
-        # runs need at most 2**(k+1) - 1 lines here: their last 2**k lines start need - 2**k lines on
+        # windows have at most 2**(k+1) - 1 lines here: their last 2**k lines start n - 2**k lines on
         later = F.collect_list(F.struct("i", f"r{k}", "number")).over(of.rangeBetween(0, 2 ** (k + 1) - 2))
-        at = F.filter(later, lambda x: x["i"] == F.col("i") + F.col("need") - 2**k)
-        head = F.when(F.col("k") == k, F.col(f"r{k}")).otherwise(head)
-        tail = F.when(F.col("k") == k, F.element_at(at, 1)[f"r{k}"]).otherwise(tail) if k else F.when(F.col("k") == 0, F.col("r0")).otherwise(tail)
-        last = F.filter(later, lambda x: x["i"] == F.col("i") + F.col("need") - 1)
-        end = F.when(F.col("k") == k, F.element_at(last, 1)["number"]).otherwise(end) if k else F.when(F.col("k") == 0, F.col("number")).otherwise(end)
-    runs = runs.select("doc_id", "text_key", "i", "number", "need", head.alias("head"), tail.alias("tail"), end.alias("end"))
-    runs = tk.shared_checkpoint(spark, runs.where("head IS NOT NULL AND tail IS NOT NULL AND end IS NOT NULL"))
+        line = lambda n, back: F.get(F.filter(later, lambda x: x["i"] == F.col("i") + n - back), F.lit(0))  # noqa: B023, E731
+        lengths = F.sequence(F.greatest("need", F.lit(2**k)), F.least("most", F.lit(2 ** (k + 1) - 1)))
+        here = F.transform(lengths, lambda n: F.struct(n.alias("n"), F.col(f"r{k}").alias("head"), line(n, 2**k)[f"r{k}"].alias("tail"), line(n, 1)["number"].alias("end")))  # noqa: B023
+        within = F.col(f"r{k}").isNotNull() & (F.col("most") >= 2**k) & (F.col("need") < 2 ** (k + 1))
+        windows = F.concat(windows, F.when(within, here).otherwise(F.array()))
+    runs = table.select("doc_id", "text_key", "i", "number", windows.alias("windows")).select("doc_id", "text_key", "i", "number", F.inline("windows")).withColumnRenamed("n", "need")
+    runs = tk.shared_checkpoint(spark, runs.where("tail IS NOT NULL AND end IS NOT NULL"))
     intervals = runs.groupBy("need", "head", "tail").agg(F.min(F.struct("doc_id", "text_key", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
     both = runs.join(tk.small(intervals, RANK_ROWS), ["need", "head", "tail"])
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("text_key") == F.col("f.text_key"))
     copies = both.where(~same | (F.col("i") >= F.col("f.i") + F.col("need")))
-    return copies.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("number").alias("from"), F.col("end").alias("to")))).alias("spans"))
+    spans = copies.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("number").alias("from"), F.col("end").alias("to")))).alias("spans"))
+    # of spans with the same start, the longest
+    return spans.withColumn("spans", F.filter("spans", lambda x, n: ~F.get("spans", n + 1)["from"].eqNullSafe(x["from"])))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "removed_lines") -> DataFrame:
