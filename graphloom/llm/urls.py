@@ -26,8 +26,6 @@ from . import textkit as tk
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.7
-#: Tokens in a mined rule.
-MAX_TOKENS = 3
 DEFAULT = "allow"
 #: Rules that are broadcast (each under 1 kB); more are joined by shuffle.
 BROADCAST_ROWS = 10_000
@@ -77,7 +75,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), F.col("ruled")))).alias("basket"))
     )
     rules = model.associationRules.where(
-        (F.size("consequent") == 1) & F.element_at("consequent", 1).startswith("verdict:") & (F.size("antecedent") <= MAX_TOKENS)
+        (F.size("consequent") == 1) & F.element_at("consequent", 1).startswith("verdict:")
         & ~F.exists("antecedent", lambda x: x.startswith("verdict:")) & (F.col("lift") > 1)
     ).select(F.array_sort("antecedent").alias("rule_tokens"), F.substring(F.element_at("consequent", 1), 9, 100).alias("verdict"), "confidence", "support")
     rules = rules.withColumn("rule_no", F.xxhash64("rule_tokens", "verdict"))
