@@ -10,7 +10,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce as fold
 from functools import wraps
 from pathlib import Path
 
@@ -18,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once; a longer single text forms a chunk alone.
 CHUNK_BYTES = 1 << 21
-#: Bytes whose spans are hashed at once, unless one span is longer; tables of powers are as long.
-_SEGMENT = 1 << 18
+#: 8-byte pieces that are hashed at once, unless one span has more.
+_PIECES = 1 << 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -32,22 +36,7 @@ ALNUM = (_BYTE >= 0x80) | ((_BYTE >= 0x30) & (_BYTE <= 0x39)) | ((_BYTE >= 0x61)
 #: Bytes of [^\x20\x09-\x0D].
 SOLID = ~((_BYTE == 0x20) | ((_BYTE >= 0x09) & (_BYTE <= 0x0D)))
 
-_LUT = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROOT = str(Path(__file__).resolve().parents[2])
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept for the next call."""
-    have = _tables.get(name)
-    if have is None or len(have) <= n:
-        size = max(n + 1, _SEGMENT + 1)
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = _tables[name] = np.cumprod(steps, dtype=np.uint64)
-    return have
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +56,6 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         try:
             yield from run(batches)
         finally:
-            _tables.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
@@ -111,20 +99,32 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple
     return starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, bounds)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans whose starts ascend; equal spans, equal hashes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans; equal spans, equal hashes. Hashes by other seeds are independent.
+
+    A span is cut into pieces of eight bytes; each is mixed with a key of its
+    place, and the sum is mixed with the length. Mixing is no ring operation, so
+    no pair of byte strings collides by its structure, whatever the seed.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    pieces = np.maximum((sizes + 7) >> 3, 1)
+    upto = np.concatenate([[0], np.cumsum(pieces)])
+    secret = mix(np.array([seed + 1], np.uint64) * np.uint64(0xD1342543DE82EF95))
     lo = 0
     while lo < len(starts):
-        base = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(starts, base + _SEGMENT // 2)))
-        stop = int(ends[lo:hi].max())
-        n = stop - base
-        acc = np.empty(n + 1, dtype=np.uint64)
-        acc[0] = 0
-        np.cumsum(_LUT[data[base:stop]] * _powers("up", _BASE, n)[:n], out=acc[1:])
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = mix((acc[e] - acc[s]) * _powers("down", _INVERSE, n)[s] + (e - s).astype(np.uint64))
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _PIECES, side="right")) - 1)
+        count = pieces[lo:hi]
+        first = upto[lo:hi] - upto[lo]
+        place = np.arange(int(upto[hi] - upto[lo]), dtype=np.int64) - np.repeat(first, count)
+        left = np.repeat(sizes[lo:hi], count) - (place << 3)
+        value = eight[np.repeat(starts[lo:hi], count) + (place << 3)]
+        short = left < 8
+        value[short] &= (np.uint64(1) << (left[short] << 3).astype(np.uint64)) - np.uint64(1)
+        keyed = mix(value + mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + secret))
+        out[lo:hi] = mix(np.add.reduceat(keyed, first) + sizes[lo:hi].astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + secret)
         lo = hi
     return out
 
@@ -177,16 +177,83 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows that gone (doc_id, text_key) names; all columns stay."""
+#: Rows of the table that parts() joins to: 64 bits each, 512 kB in all, whatever the number of keys.
+_WORDS = 1 << 16
+#: Bytes (as row_bytes counts them) that are broadcast; more is joined by shuffle.
+BROADCAST_BYTES = 1_000_000
+#: A key is hot if it holds more than one in so many rows: there are fewer hot keys than this.
+HOT_SHARE = 1_000
+
+
+def parts(spark: SparkSession, docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs that keys (doc_id, and text_key if it is there) may name, docs that it surely doesn't): so that a join moves the texts of the former only.
+
+    A table of bits, of a fixed size, is broadcast; a few rows that no key names fall in the first part too.
+    """
+    whole = "text_key" in keys.columns
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(_WORDS * 64))
+    at, word, bits, bit = fresh(docs, "slot_at", "slot_word", "slot_bits", "slot_bit")
+    marks = keys.select(slot(F.col("doc_id").cast("long"), *([F.col("text_key")] if whole else [])).alias(at)).select(F.shiftright(at, 6).alias(word), F.expr(f"shiftleft(1L, cast({at} & 63 AS int))").alias(bits))
+    table = F.broadcast(marks.groupBy(word).agg(F.expr(f"bit_or({bits})").alias(bits)))
+    marked = docs.withColumn(at, slot(F.col("doc_id").cast("long"), *([text_key()] if whole else []))).withColumn(word, F.shiftright(at, 6)).join(table, word, "left")
+    marked = marked.withColumn(bit, F.coalesce(F.expr(f"shiftright({bits}, cast({at} & 63 AS int)) & 1"), F.lit(0)))
+    same = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(f"{bit} = 1").select(*same), marked.where(f"{bit} = 0").select(*same)
+
+
+def named(docs: DataFrame, by_id: str, by_key: str) -> Column:
+    """Whether columns by_id and by_key name the row of docs."""
+    return F.col("doc_id").cast("long").eqNullSafe(F.col(by_id)) & (text_key() == F.col(by_key))
+
+
+def without(spark: SparkSession, docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows that gone (doc_id, text_key; a stored table) names; all columns stay. Texts of rows that gone doesn't name aren't shuffled."""
     by_id, by_key = fresh(docs, "gone_id", "gone_key")
+    some, rest = parts(spark, docs, gone)
     gone = gone.select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key)).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(by_id)) & (text_key() == F.col(by_key)), "left_anti")
+    return some.join(gone, named(docs, by_id, by_key), "left_anti").unionAll(rest)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes in memory."""
 
+    def size(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+                return F.aggregate(F.coalesce(F.transform(c, lambda x: size(x, kind.elementType)), F.array()), F.lit(24).cast("long"), lambda a, x: a + x)
+            return F.greatest(F.size(c), F.lit(0)).cast("long") * 8 + 24
+        if isinstance(kind, T.StructType):
+            return fold(Column.__add__, [size(c.getField(f.name), f.dataType) for f in kind.fields], F.lit(16).cast("long"))
+        return F.lit(8).cast("long")
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, counted; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return fold(Column.__add__, [size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(16).cast("long"))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (best a stored table: it is read for this) with a broadcast hint if its rows have limit bytes at most, counted; else as it is, for a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit else df
+
+
+def skew_join(many: DataFrame, one: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many joined (inner or left) on keys with one, which has a row for each key; counts (keys, n; a stored table) says how many rows of many have each.
+
+    A small `one` is broadcast. Else hot keys, those of more than one in
+    HOT_SHARE rows, are dealt out by a salt, and their rows of `one` repeated for
+    each: twice HOT_SHARE rows at most.
+    """
+    if (one.agg(F.sum(row_bytes(one))).first()[0] or 0) <= BROADCAST_BYTES:
+        return many.join(F.broadcast(one), keys, how)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, total // HOT_SHARE)
+    deal, salt = fresh(many.join(one.limit(0), keys), "hot_deal", "hot_salt")
+    hot = F.broadcast(counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias(deal)))  # fewer than HOT_SHARE rows
+    others = F.xxhash64(*[c for c in many.columns if c not in keys])
+    unkeyed = fold(Column.__or__, [F.col(k).isNull() for k in keys])  # these match nothing, and are dealt out too
+    dealt = many.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(others, deal), F.when(unkeyed, F.pmod(others, F.lit(HOT_SHARE))), F.lit(0)).cast("int"))
+    copies = one.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(deal), F.lit(1)) - 1)))
+    return dealt.drop(deal).join(copies.drop(deal), [*keys, salt], how).drop(salt)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,22 +264,89 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read from there; one of our own where none is set (tests).
-
-    First the driver collects its garbage: Spark deletes shuffle and checkpoint files of finished steps only once nothing refers to them.
-    """
+def _folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: spark.checkpoint.dir, which all machines share. Unset, a folder of our own does where driver and workers are one process's."""
     sc = spark.sparkContext
-    gc.collect()
-    sc._jvm.System.gc()
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
+        found = sc._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="graphloom-")
+        found = _own[sc.applicationId]
+    folder = f"{found.rstrip('/')}/graphloom-{sc.applicationId}"
+    if folder not in _at_exit:
+        _at_exit.add(folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return folder
+
+
+_own: dict[str, str] = {}
+_at_exit: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Steps:
+    """Tables that an operator writes on its way. Leaving the block deletes all but those that were kept.
+
+        with Steps(spark) as steps:
+            a = steps.store(df)
+            return steps.keep(result)
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """df written and read again: lineage ends here."""
+        out, path = _stored(self.spark, df)
+        self.paths.append(path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing will read again, before the block ends."""
+        names = {file.rsplit("/", 2)[-2] for t in tables for file in t.inputFiles()[:1]}
+        for path in [x for x in self.paths if x.rsplit("/", 1)[-1] in names]:
+            self.paths.remove(path)
+            _delete(self.spark, path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return _stored(self.spark, df)[0]
+
+
+def _stored(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path. Its shuffle files go as soon as it is written."""
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def shared_checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir and read from there."""
+    return _stored(spark, df)[0]
 
 
 #: SQL of the words of column text, for DuckDB.
