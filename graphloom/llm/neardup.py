@@ -3,23 +3,29 @@
 Sets of word shingles are sketched by SKETCH minwise tokens. In each of TREES
 independent trees a document branches, at every node, along the few tokens that
 a hash of the node's path selects (1 / similarity of them on average) into the
-children of their values. Two levels are made in the scan. Documents that are
-alike meet in some node with a probability that TREES drives to one.
+children of their values. Two levels are made in the scan; a node that leaves
+too many pairs to compare branches on in Spark, to DEPTH at most. Two documents
+at the very threshold share a node of level 2 in some tree but for a chance of
+5e-10, and one of level DEPTH but for 1e-4 (TREES is chosen for that), so how
+deep a node branches, which depends on its size, hardly bears on what is found.
 
 Nodes are compared in two steps, so that groups of alike texts of any size take
 few comparisons. First every document is compared to the least and the greatest
 member of its nodes, on full sets; linked ones form classes. Then the nodes that
 still hold several classes are compared exhaustively across classes, on sketches
-and then on full sets, and give no more links than they have members. Nodes with
-the same largest class count as one for that; more than LIMIT members are dealt
-out in blocks, the largest class against the rest and the rest among themselves.
-Nodes with more than BRANCH members outside their largest class branch on in
-Spark, to DEPTH at most.
+and then on full sets: the members outside a node's largest class with each
+other, and, once for all nodes with the same largest class, with its members. A
+group gives no more links than it has members. What has more than LIMIT members,
+or full sets of more than ITEMS shingles, is dealt out in blocks, so a task
+holds two blocks at most; hot nodes, pivots and hubs are dealt out by salts. A
+node with more than BRANCH members outside its largest class branches on.
 
 Texts with one and the same set are one member from the start. Nulls: a null or
 empty text has no shingles, links to nothing and has its own id as component; a
 null doc_id takes no part in the choice of the least id. Repeated rows are kept
-in the operator; the pipeline's stage keeps one.
+in the operator; the pipeline's stage keeps one. Ties: the least doc_id stands
+for its component. An empty table gives an empty one; columns other than doc_id
+and text, whatever their names, are not looked at and pass through the stage.
 """
 
 from __future__ import annotations
@@ -37,15 +43,16 @@ from . import textkit as tk
 from .graph import components
 
 SKETCH = 128
-TREES = 16
+TREES = 34
 #: Members that are compared at once; larger sets of them are dealt out in blocks.
 LIMIT = 400
-#: A node branches on if more members than this are outside its main class; to DEPTH levels at most.
-BRANCH = 10_000
+#: Shingles (8 bytes each) of the full sets in a block, but for a set that has more by itself.
+ITEMS = 1_000_000
+#: A node branches on if more members than this are outside its largest class; to DEPTH levels at most.
+BRANCH = 2_000
 DEPTH = 6
-FILTER_BITS = 1 << 25
-#: Rows of ids or node keys (16 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Members of a task that compares.
+TASK_MEMBERS = 4_000
 
 _rng = np.random.default_rng(77)
 _MULTIPLY = _rng.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,6 +114,12 @@ def paths(values: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), np.concatenate(nodes)
 
 
+def _identity(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two independent hashes of a set of hashes."""
+    n = np.uint64(len(own))
+    return tk.mix(tk.mix(own).sum(dtype=np.uint64, keepdims=True) + n)[0], tk.mix(own ^ np.uint64(0x1234567)).sum(dtype=np.uint64)
+
+
 _SCAN = "doc_id bigint, text_key bigint, n_shingles bigint, a bigint, b bigint, sketch binary, paths array<bigint>"
 
 
@@ -119,7 +132,7 @@ def _scan(k: int, similarity: float):
                 for r in range(hi - lo):
                     own = np.unique(hashes[first[r] : first[r + 1]])
                     n[r] = len(own)
-                    a[r], b[r] = tk.mix(own).sum(dtype=np.uint64), tk.mix(own ^ np.uint64(0x1234567)).sum(dtype=np.uint64)
+                    a[r], b[r] = _identity(own)
                 values = minima(hashes, first)
                 rows, nodes = paths(values, similarity)
                 full = n[rows] > 0
@@ -132,7 +145,7 @@ def _scan(k: int, similarity: float):
                 low = (values & np.uint32(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(n), pa.array(tk.signed(tk.mix(a + n.astype(np.uint64)))), pa.array(tk.signed(b)),
+                        batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(n), pa.array(tk.signed(a)), pa.array(tk.signed(b)),
                         pa.array([x.tobytes() for x in low], pa.binary()), tk.list_array(pa.array(tk.signed(nodes)), np.bincount(rows, minlength=hi - lo)),
                     ],
                     names=["doc_id", "text_key", "n_shingles", "a", "b", "sketch", "paths"],
@@ -141,36 +154,24 @@ def _scan(k: int, similarity: float):
     return run
 
 
-def _slots(key: np.ndarray) -> np.ndarray:
-    return (tk.mix(key.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
 def full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rid, items (sorted shingle hashes) of wanted (rid, doc, key): a document that has the set, named by doc_id and text_key.
+    """rid, items (sorted shingle hashes) of wanted (rid, doc_id, text_key; a stored table): a document that has the set.
 
-    A bit table of fixed size (4 MB) of the wanted keys keeps the other documents' sets in the scan.
+    Only the texts of documents that a broadcast bit table marks leave the scan.
     """
-    mark = lambda batches: (pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array(1 << (at & 7))], names=["slot", "bit"]) for b in batches for at in [_slots(b.column(0).to_numpy())])
-    packed = np.zeros(FILTER_BITS // 8, np.uint8)
-    slots = wanted.select("key").mapInArrow(mark, "slot bigint, bit bigint").groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits"))
-    for part in slots.select(F.shiftright("slot", 3).alias("word"), F.expr("shiftleft(bits, cast((slot & 7) * 8 AS int))").alias("bits")).groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toLocalIterator():
-        packed.view(np.int64)[part.word] = part.bits  # 8 bytes of the table each
-    table = spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for batch in batches:
-            at = _slots(batch.column("text_key").to_numpy())
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for lo, hi, raw, bounds in tk.text_chunks(batch.column("text")):
                 hashes, first = shingle_hashes(raw, bounds, k)
-                sets = [np.unique(hashes[first[r] : first[r + 1]]).view(np.int64) for r in range(hi - lo)]
-                items = tk.list_array(pa.array(np.concatenate(sets)), np.array([len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), items], names=["doc_id", "text_key", "items"])
+                sets = [np.unique(hashes[first[r] : first[r + 1]]) for r in range(hi - lo)]
+                rids = np.array([_identity(x)[0] for x in sets], np.uint64)
+                items = tk.list_array(pa.array(np.concatenate(sets).view(np.int64)), np.array([len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(rids)), items], names=["rid", "items"])
 
-    sets = tk.keyed_texts(docs).mapInArrow(tk.released(run), "doc_id bigint, text_key bigint, items array<bigint>").alias("s")
-    w = tk.small(wanted, BROADCAST_ROWS).alias("w")
-    return sets.join(w, F.col("s.doc_id").eqNullSafe(F.col("w.doc")) & (F.col("s.text_key") == F.col("w.key"))).select("rid", "items").dropDuplicates(["rid"])
+    some, _ = tk.parts(spark, docs.select("doc_id", "text"), wanted)
+    sets = tk.keyed_texts(some).mapInArrow(tk.released(run), "rid bigint, items array<bigint>")
+    return sets.join(wanted.select("rid"), "rid", "left_semi").dropDuplicates(["rid"])
 
 
 def _similar(common, a, b, percent: int):
@@ -178,20 +179,22 @@ def _similar(common, a, b, percent: int):
 
 
 def _pairs(part: pd.DataFrame, percent: int) -> np.ndarray:
-    """(agreement of sketches, x, y) for rows x < y of different classes, and sides if there are any, that may be similar."""
+    """(agreement of sketches, x, y) for rows x, y of different classes, and sides if there are any, that may be similar."""
     share = percent / 100
     least = share - 4.5 * np.sqrt(share * (1 - share) / SKETCH)
     sketch = np.stack([np.frombuffer(x, np.uint8) for x in part["sketch"]])
     classes, side = part["cls"].to_numpy(), part["side"].to_numpy()
+    one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    if len(one) > len(two):
+        one, two = two, one
+    dealt = bool(len(one) and len(two))
     found = [np.zeros((0, 3))]
-    for x in range(len(part) - 1):
-        ok = classes[x + 1 :] != classes[x]
-        if side[x] >= 0:
-            ok &= side[x + 1 :] != side[x]
-        y = np.flatnonzero(ok)
-        agree = (sketch[y + x + 1] == sketch[x]).mean(axis=1)
+    for x in one if dealt else range(len(part) - 1):
+        others = two if dealt else np.arange(x + 1, len(part))
+        y = others[classes[others] != classes[x]]
+        agree = (sketch[y] == sketch[x]).mean(axis=1)
         y, agree = y[agree >= least], agree[agree >= least]
-        found.append(np.stack([agree, np.full(len(y), x, float), (y + x + 1).astype(float)], axis=1))
+        found.append(np.stack([agree, np.full(len(y), x, float), y.astype(float)], axis=1))
     return np.concatenate(found)
 
 
@@ -234,10 +237,10 @@ def _across(percent: int):
     return run
 
 
-def _nodes(spark: SparkSession, level: DataFrame) -> DataFrame:
+def _nodes(steps: tk.Steps, level: DataFrame) -> DataFrame:
     """rid, node, n, low, high of the nodes (rid, node) with two members or more: their number, least and greatest member."""
-    nodes = level.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("n > 1")
-    return tk.shared_checkpoint(spark, level.join(nodes, "node"))
+    nodes = steps.store(level.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("n > 1"))
+    return steps.store(tk.skew_join(level, nodes, nodes.select("node", "n"), ["node"]))
 
 
 def _children(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -245,72 +248,96 @@ def _children(members: DataFrame, reps: DataFrame, similarity: float) -> DataFra
     picks = F.array(*[F.lit(int(x)) for x in _PICK.view(np.int64)])
     bound = int(2**63 / (similarity * SKETCH))
     taken = F.filter(F.transform(picks, lambda p, i: F.struct((F.shiftrightunsigned(F.xxhash64("node", p), 1) < bound).alias("on"), i.alias("i"))), lambda x: x["on"])
-    nodes = members.select("node").distinct().select("node", taken.alias("taken"))
-    below = members.join(nodes, "node").join(reps.select("rid", "sketch"), "rid").select("rid", "node", "sketch", F.explode("taken").alias("t"))
+    below = members.join(reps.select("rid", "sketch"), "rid").select("rid", "node", "sketch", F.explode(taken).alias("t"))
     return below.select("rid", F.xxhash64("node", "t.i", F.substring("sketch", F.col("t.i") + 1, F.lit(1))).alias("node"))
 
 
-def _blocks(large: DataFrame) -> DataFrame:
-    """rid, cls, group, side: blocks of the main class against blocks of the rest, and blocks of the rest against each other."""
+def _crossed(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rid, cls, group, side of members (rid, cls, main; distinct): blocks of a main class against blocks of the members that met it."""
     minor = F.col("cls") != F.col("main")
-    dealt = large.withColumn("nb", F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("rest")) / (5 * LIMIT))).cast("int")).withColumn("ns", F.greatest(F.lit(1), F.ceil(F.col("rest") / LIMIT)).cast("int"))
+    dealt = tk.skew_join(members, sizes, sizes, ["main"])
+    dealt = dealt.withColumn("nb", F.ceil((F.col("n") - F.col("rest")) / LIMIT).cast("int")).withColumn("ns", F.ceil(F.col("rest") / LIMIT).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rid"), F.when(minor, F.col("ns")).otherwise(F.col("nb"))).cast("int"))
     crossed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("nb")).otherwise(F.col("ns")) - 1)))
-    crossed = crossed.select("rid", "cls", F.xxhash64("main", F.lit("main"), F.when(minor, F.col("own")).otherwise(F.col("other")), F.when(minor, F.col("other")).otherwise(F.col("own"))).alias("group"), minor.cast("int").alias("side"))
-    among = dealt.where(minor).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
-    return crossed.unionAll(among.select("rid", "cls", F.xxhash64("main", F.lit("rest"), F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.lit(-1).alias("side")))
+    group = F.xxhash64("main", F.when(minor, F.col("own")).otherwise(F.col("other")), F.when(minor, F.col("other")).otherwise(F.col("own")))
+    return crossed.select("rid", "cls", group.alias("group"), minor.cast("int").alias("side"))
+
+
+def _dealt(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """members (group, rid, cls, side) with groups of more than limit (sizes: group, size, n rows) dealt out in blocks; any two members meet in one of the new groups."""
+    parted = tk.skew_join(members, sizes, sizes.select("group", "n"), ["group"]).withColumn("nb", F.ceil(F.col("size") / limit).cast("int"))
+    parted = parted.withColumn("own", F.pmod(F.xxhash64("rid", F.lit("own")), F.col("nb")).cast("int"))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    group = F.when(F.col("nb") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
+    return parted.select("rid", "cls", group.alias("group"), "side")
+
+
+def _spread(members: DataFrame, n: int) -> DataFrame:
+    """members partitioned by group, in as many tasks as n of them are worth: comparing costs time, not bytes."""
+    return members.repartition(max(1, -(-n // TASK_MEMBERS)), "group")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id, component (a number of its own for each) of every row; linked: shared shingles are percent of all, at least."""
+    """doc_id, text_key, n_shingles, component_id, component (a number of its own for each) of every row; linked: shared shingles are percent of all, at least. A stored table."""
     similarity = percent / 100
-    base = tk.shared_checkpoint(spark, tk.keyed_texts(docs).mapInArrow(tk.released(_scan(k, similarity)), _SCAN))
-    reps = base.where("n_shingles > 0").groupBy(F.col("a").alias("rid"), "b").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
-    )
-    reps = tk.shared_checkpoint(spark, reps.select("rid", "low", F.col("rep.doc_id").alias("doc"), F.col("rep.text_key").alias("key"), "sketch", "paths"))
-
-    # every document against the least and the greatest one of its nodes
-    here = _nodes(spark, reps.select("rid", F.explode("paths").alias("node")))
-    met = reps.join(here.select("rid").distinct(), "rid", "left_semi")
-    sets = tk.shared_checkpoint(spark, full_sets(spark, docs, met.select("rid", "doc", "key"), k))
-    stars = here.select("rid", F.explode(F.array("low", "high")).alias("pivot")).where("rid <> pivot").groupBy("rid", "pivot").count().where("count > 1").select("rid", "pivot")
-    stars = tk.small(tk.shared_checkpoint(spark, stars), BROADCAST_ROWS)
-    pivots = tk.small(stars.select("pivot").distinct(), BROADCAST_ROWS)
-    others = sets.join(pivots.withColumnRenamed("pivot", "rid"), "rid", "left_semi").select(F.col("rid").alias("pivot"), F.col("items").alias("others"))
-    linked = sets.join(stars, "rid").join(others, "pivot").where(_similar(F.size(F.array_intersect("items", "others")), F.size("items"), F.size("others"), percent))
-    linked = tk.shared_checkpoint(spark, linked.select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
-    classes = tk.shared_checkpoint(spark, components(spark, linked).withColumnRenamed("node", "rid"))
-
-    # of nodes that still hold several classes, those with the same main class are one to compare; where too much is outside it, they branch on
-    todo, depth = [], 2
-    while True:
-        leaves = here.select("rid", "node").join(classes, "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls"))
-        counts = leaves.groupBy("node", "cls").count()
-        main = counts.groupBy("node").agg(F.max(F.struct("count", "cls")).alias("m"), F.sum("count").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-        main = main.select("node", F.col("m.cls").alias("main"), (F.col("n") - F.col("m.count") > (BRANCH if depth < DEPTH else 2**62)).alias("branch"))
-        leaves = tk.shared_checkpoint(spark, leaves.join(main, "node"))
-        todo.append(leaves.where("NOT branch").select("rid", "cls", "main").distinct())
-        branch = leaves.where("branch").select("rid", "node")
-        if depth == DEPTH or branch.isEmpty():
-            break
-        here, depth = _nodes(spark, _children(branch, reps, similarity)), depth + 1
-    todo = fold(DataFrame.unionAll, todo).distinct()
-    sizes = todo.groupBy("main").agg(F.count("*").alias("n"), F.count(F.when(F.col("cls") != F.col("main"), 1)).alias("rest"))
-    todo = tk.shared_checkpoint(spark, todo.join(sizes, "main"))
-    few = todo.where(F.col("n") <= LIMIT).select("rid", "cls", F.col("main").alias("group"), F.lit(-1).alias("side"))
-    todo = few.unionAll(_blocks(todo.where(F.col("n") > LIMIT)))
-    # by their sketches first: only members with a likely partner in another class take their full sets along
-    near = todo.join(reps.select("rid", "sketch"), "rid").groupBy("group").applyInPandas(_likely(percent), "rid bigint, cls bigint, `group` bigint, side int")
-    near = tk.shared_checkpoint(spark, near).join(reps.select("rid", "sketch"), "rid").join(sets, "rid")
-    more = near.groupBy("group").applyInPandas(_across(percent), "a bigint, b bigint")
-    all_links = tk.shared_checkpoint(spark, linked.unionByName(more).distinct())
-    roots = components(spark, all_links)
-    placed = reps.select("rid", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    placed = placed.join(least, "root").select("rid", "component_id", F.col("root").alias("component"))
-    rows = base.select("doc_id", "text_key", "n_shingles", "a").join(placed.withColumnRenamed("rid", "a"), "a", "left")
-    return rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+    with tk.Steps(spark) as steps:
+        base = steps.store(tk.keyed_texts(docs).mapInArrow(tk.released(_scan(k, similarity)), _SCAN))
+        reps = base.where("n_shingles > 0").groupBy(F.col("a").alias("rid"), "b").agg(
+            F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+        )
+        reps = steps.store(reps.select("rid", "low", "size", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "sketch", "paths"))
+
+        # every document against the least and the greatest one of its nodes
+        here = _nodes(steps, reps.select("rid", F.explode("paths").alias("node")))
+        met = steps.store(reps.select("rid", "doc_id", "text_key").join(here.select("rid").distinct(), "rid", "left_semi"))
+        sets = steps.store(full_sets(spark, docs, met, k))
+        stars = here.select("rid", F.explode(F.array("low", "high")).alias("pivot")).where("rid <> pivot").groupBy("rid", "pivot").count().where("count > 1").select("rid", "pivot")
+        stars = steps.store(stars)
+        pivots = steps.store(stars.groupBy("pivot").agg(F.count("*").alias("n")))
+        others = sets.join(pivots.select(F.col("pivot").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("pivot"), F.col("items").alias("others"))
+        linked = tk.skew_join(sets.join(stars, "rid"), others, pivots, ["pivot"]).where(_similar(F.size(F.array_intersect("items", "others")), F.size("items"), F.size("others"), percent))
+        linked = steps.store(linked.select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
+        classes = components(spark, linked).withColumnRenamed("node", "rid")
+
+        # of the nodes that still hold several classes, those where too much is outside the largest one branch on
+        mains, rests, depth = [], [], 2
+        while True:
+            leaves = steps.store(here.select("rid", "node").join(classes, "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls")))
+            counts = leaves.groupBy("node", "cls").count()
+            main = counts.groupBy("node").agg(F.max(F.struct("count", "cls")).alias("m"), F.sum("count").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+            main = steps.store(main.select("node", F.col("m.cls").alias("main"), "n", (F.col("n") - F.col("m.count")).alias("rest")))
+            held = steps.store(tk.skew_join(leaves, main, main, ["node"]))
+            ends = held if depth == DEPTH else held.where(F.col("rest") <= BRANCH)
+            mains.append(ends.select("rid", "cls", "main").distinct())
+            rests.append(ends.where("cls <> main AND rest > 1").select("rid", "cls", "node"))
+            branch = held.where(F.col("rest") > BRANCH).select("rid", "node")
+            steps.drop(here, leaves)
+            if depth == DEPTH or branch.isEmpty():
+                break
+            here, depth = _nodes(steps, _children(branch, reps, similarity)), depth + 1
+        crossing = steps.store(fold(DataFrame.unionAll, mains).distinct())
+        sizes = steps.store(crossing.groupBy("main").agg(F.count("*").alias("n"), F.count(F.when(F.col("cls") != F.col("main"), 1)).alias("rest")))
+        # nodes with the same members outside their largest class count once
+        among = steps.store(fold(DataFrame.unionAll, rests))
+        nodes = among.groupBy("node").agg(F.expr("bit_xor(xxhash64(rid))").alias("x"), F.sum(F.expr("xxhash64(rid, 7) >> 20")).alias("y"), F.count("*").alias("n"), F.countDistinct("cls").alias("classes")).where("classes > 1")
+        nodes = steps.store(nodes.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node", "n", F.col("n").alias("size")))
+        within = tk.skew_join(among, nodes.select("node"), nodes.select("node", "n"), ["node"]).select("rid", "cls", F.col("node").alias("group"), F.lit(-1).alias("side"))
+        todo = _crossed(crossing, sizes).unionAll(_dealt(within, nodes.select(F.col("node").alias("group"), "size", "n"), LIMIT))
+        todo = steps.store(todo.join(reps.select("rid", "sketch"), "rid"))
+        # by their sketches first: only members with a likely partner in another class take their full sets along
+        near = steps.store(_spread(todo, todo.count()).groupBy("group").applyInPandas(_likely(percent), "rid bigint, cls bigint, `group` bigint, side int"))
+        weighed = near.join(reps.select("rid", "size"), "rid").groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        parted = steps.store(_dealt(near, steps.store(weighed), ITEMS).join(reps.select("rid", "sketch"), "rid"))
+        more = _spread(parted.join(sets, "rid"), parted.count()).groupBy("group").applyInPandas(_across(percent), "a bigint, b bigint")
+        roots = components(spark, steps.store(linked.unionByName(more).distinct()))
+        placed = reps.select("rid", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        placed = steps.store(placed)
+        least = steps.store(placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
+        placed = steps.store(tk.skew_join(placed, least.select("root", "component_id"), least, ["root"]).select(F.col("rid").alias("a"), "component_id", F.col("root").alias("component")))
+        rows = base.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("a")).alias("a"))
+        rows = tk.skew_join(rows, placed, reps.select(F.col("rid").alias("a"), "n"), ["a"], "left")
+        own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        return steps.keep(rows.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "component"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,11 +346,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near duplicates (that of its least doc_id), and all rows without words; all columns stay."""
+    """docs with one row of each group of near duplicates (that of its least doc_id), and all rows without words; all columns stay.
+
+    Only texts of rows that may go are shuffled.
+    """
     found = near_duplicates(spark, docs, k, percent).where("n_shingles > 0")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
-    gone = found.alias("g").join(first.alias("f"), F.col("g.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("g.text_key") == F.col("f.text_key")), "left_anti").select("g.doc_id", "g.text_key")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = tk.shared_checkpoint(spark, first.select("component", "n", F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("first_key")))
+    grouped = tk.skew_join(found, first.drop("n"), first.select("component", "n"), ["component"])
+    kept = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    # a row that stays is listed too: it may be there more than once
+    listed = tk.shared_checkpoint(spark, grouped.select("doc_id", "text_key", kept.alias("kept")))
+    by_id, by_key, key, words = tk.fresh(docs, "of_id", "of_key", "of_text", "has_words")
+    some, rest = tk.parts(spark, docs, listed)
+    gone = listed.where("NOT kept").select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key)).distinct()
+    left = some.join(gone, tk.named(docs, by_id, by_key), "left_anti")
     # the same row twice: one stays, but rows without words stay as they are
-    key, words = tk.fresh(docs, "of_text", "has_words")
-    left = tk.without(docs, gone).withColumn(key, tk.text_key()).withColumn(words, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return left.where(words).dropDuplicates(["doc_id", key]).unionByName(left.where(f"NOT {words}")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = left.withColumn(key, tk.text_key()).withColumn(words, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    left = left.where(words).dropDuplicates(["doc_id", key]).unionByName(left.where(f"NOT {words}"))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(rest)
