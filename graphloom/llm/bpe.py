@@ -1,31 +1,38 @@
 """BPE encoding and decoding by a tokenization automaton (operator 5).
 
-compile_merges() builds, from the merge list alone, the deterministic automaton
-over tokens that accepts exactly the token strings which the merges produce.
-It starts from one state in which every base symbol loops. For each merge
-(u, v), in order, a gadget is put in: the u arcs are led to a copy of their
-target that lacks the v arc, and wherever a u arc leaves, an arc uv is added,
-which ends where v from there ended. All arcs of a token thus share one
-target, so a state is "the last token read", and the arcs that a state lacks
-are those that its chain of copies has lost.
-
-The automaton is kept as tables: for each token its state; for each state the
-one it was copied from, the arc it lost and when. An arc that a merge added
-stands where the merge's left arc stood at that time, which is looked up the
-same way. Encoding walks a word's prefixes once: at each position the one token
-that ends there and whose arc leaves the state of the token before it is the
-transition taken. Decoding emits the labels of the arcs.
-
-Nulls: a null text is empty (no tokens). Repeated rows are kept. Whole texts;
-words are cached in tables with a bounded number of entries.
+Automaton() builds, from the merge list alone, the deterministic automaton over
+tokens that accepts exactly the token strings which the merges produce. It
+starts from one state in which every base symbol loops. For each merge (u, v),
+in order, a gadget is put in: the u arcs are led to a copy of their target that
+lacks the v arc, and wherever a u arc leaves, an arc uv is added, which ends
+where v from there ended. All arcs of a token thus share one target, so a state
+is "the last token read", and what a state lacks is what its copies have lost.
+
+It is compiled to tables: a table of gadgets (u, v) -> step, the parts of each
+token and when it was made, and a trie of the labels. Whether an arc of token y
+leaves the state of token x is read off the gadgets: y is lost if, at some time
+before either of them was made whole, the piece at the end of x and the piece
+at the start of y had a gadget; the pieces change a few times only.
+
+Encoding goes through a word once, from left to right, without a search: each
+prefix has one tokenization, so the state after it is one token, and the
+tokens that continue it are those of the trie whose arcs leave that state. Whole
+batches of words take each step together, in arrays. Decoding emits the labels
+of the arcs.
+
+Nulls: a null text is empty (no tokens); a null doc_id stays. Repeated rows are
+kept. Ties cannot occur: the automaton is deterministic. An empty table gives an
+empty one. Columns other than doc_id and text, whatever their names, are not
+looked at. Whole texts; tables of known words have a bounded number of entries.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -36,15 +43,57 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-#: Entries of each of a worker's two tables (words, and words as they stand in the text).
-CACHE_WORDS = 120_000
-#: The same for op5, whose workers do nothing else: the tables stay from task to task.
-KEPT_WORDS = 400_000
-_SPACE = "\t-\r \x85\xa0  -     　"
+#: Entries of each of a worker's tables (words, and words as they stand in the text), of which the older half goes when they are full.
+CACHE_WORDS = 240_000
+#: Longer stretches of text without white space are not kept.
+KEPT_LETTERS = 60
+#: Longer words are encoded alone, letter by letter.
+LONG_WORD = 1_000
+#: Bytes of text, or one text, that are encoded at once.
+BATCH_BYTES = 1 << 20
+#: Pairs of tokens whose arc a worker remembers: 9 bytes each.
+_REMEMBERED = 1 << 19
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class _Table:
+    """An immutable hash table from non-negative 64-bit keys to 32-bit values, read by arrays of keys."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        size = 1 << max(4, int(len(keys) * 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        left = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(left):  # each free slot takes one of the keys that want it; the others go on to the next slot
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            mine = self.keys[at] == keys[left]
+            self.values[at[mine]] = values[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys, -1 where there is none."""
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], np.int32(-1))
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            held = self.keys[at]
+            mine = held == keys[left]
+            out[left[mine]] = self.values[at[mine]]
+            on = ~mine & (held >= 0)
+            left, at = left[on], at[on]
+        return out
 
 
 class Automaton:
-    """Tables of the tokenization automaton of a merge list."""
+    """The tokenization automaton of a merge list, and its tables."""
 
     def __init__(self, base: list[str], merges: list[tuple[str, str]], suffix: str = "") -> None:
         self.suffix = suffix
@@ -56,14 +105,8 @@ class Automaton:
         self.right: list[int] = [-1] * len(base)
         self.made: list[int] = [-1] * len(base)  # and the number of the merge
         for step, (a, b) in enumerate(merges):
-            u, v = self.ids[a], self.ids[b]
-            self._gadget(step, u, v, a + b)
-        self.reach: dict[str, int] = {}  # letters of the longest token by its first four
-        for label in self.labels:
-            letters = label.removesuffix(suffix)
-            self.reach[letters[:4]] = max(len(letters), self.reach.get(letters[:4], 0))
-        self._asked: dict[int, bool] = {}
-        self._cut: dict[int, int] = {}
+            self._gadget(step, self.ids[a], self.ids[b], a + b)
+        self._compile()
 
     def _gadget(self, step: int, u: int, v: int, label: str) -> None:
         if label in self.ids:
@@ -80,7 +123,7 @@ class Automaton:
         self.state[u] = len(self.copied_from) - 1
 
     def leaves(self, state: int, token: int) -> bool:
-        """Whether the state has an arc of that token."""
+        """Whether the state has an arc of that token, by the states' own records: what the tables are tested against."""
         made = self.made[token]
         while self.since[state] > made:  # copies that later merges made: they lack the arc they lost
             if self.lost[state] == token:
@@ -89,75 +132,153 @@ class Automaton:
         # the state as the token's merge found or made it: the arc was added where the left part's stood
         return made < 0 or self.leaves(state, self.left[token])
 
+    # tables
+    def _compile(self) -> None:
+        n = len(self.labels)
+        left, right, made = (np.array(x, np.int64) for x in (self.left, self.right, self.made))
+        self._parts = left, right, made
+        whole = np.flatnonzero(made >= 0)
+        self._gadgets = _Table(left[whole] * n + right[whole], made[whole].astype(np.int32))
+        self.code = {c: i for i, c in enumerate(sorted({c for label in self.labels for c in label.removesuffix(self.suffix)}))}
+        letters, wide = [label.removesuffix(self.suffix) if self.suffix else label for label in self.labels], len(self.code)
+        self._next: dict[int, int] = {}
+        plain, ended = [-1], [-1]
+        for token, (label, text) in enumerate(zip(self.labels, letters, strict=True)):
+            node = 0
+            for c in text:
+                key = node * wide + self.code[c]
+                node = self._next.get(key, -1)
+                if node < 0:
+                    node = self._next[key] = len(plain)
+                    plain.append(-1)
+                    ended.append(-1)
+            if not self.suffix or label.endswith(self.suffix) and label != text:
+                ended[node] = token
+            if not self.suffix or label == text:
+                plain[node] = token
+        self._wide, self._plain, self._ended = wide, np.array(plain, np.int32), np.array(ended, np.int32)
+        self._trie = _Table(np.fromiter(self._next.keys(), np.int64), np.fromiter(self._next.values(), np.int32))
+        self._pairs, self._arcs = np.full(_REMEMBERED, -1, np.int64), np.zeros(_REMEMBERED, bool)
+
+    def arcs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether an arc of token y leaves the state of token x (-1: the first state), for arrays of both."""
+        n = len(self.labels)
+        key = np.where(x < 0, np.int64(n) * n, x.astype(np.int64) * n) + y
+        at = ((key.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _REMEMBERED.bit_length() + 1)).astype(np.int64)
+        known = self._pairs[at] == key
+        out = self._arcs[at]
+        if not known.all():
+            missing = np.flatnonzero(~known)
+            unique, first, inverse = np.unique(key[missing], return_index=True, return_inverse=True)
+            found = self._lookup(x[missing[first]].astype(np.int64), y[missing[first]].astype(np.int64))
+            out[missing] = found[inverse]
+            slots = at[missing[first]]
+            self._pairs[slots], self._arcs[slots] = unique, found
+            again = self._pairs[slots] != unique  # two pairs for one slot: the last one is remembered, with its own arc
+            if again.any():
+                self._pairs[slots[again]] = -1
+        return out
+
+    def _lookup(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        left, right, made = self._parts
+        n = len(self.labels)
+        out = np.ones(len(x), bool)
+        on = np.flatnonzero(x >= 0)  # every arc leaves the first state
+        x, y, before = x[on], y[on], np.full(len(on), np.iinfo(np.int64).max)
+        while len(on):
+            step = self._gadgets.get(x * n + y)
+            lost = (step >= 0) & (step < before)
+            out[on[lost]] = False
+            later = made[x] > made[y]
+            go = ~lost & ((made[x] >= 0) | (made[y] >= 0))
+            on, x, y, before, later = on[go], x[go], y[go], before[go], later[go]
+            # back in time to before the younger one of the two was made; a merge puts its arc where its left part's stands, so y's own step counts
+            before = np.minimum(before, np.where(later, made[x], made[y] + 1))
+            x, y = np.where(later, right[x], x), np.where(later, y, left[y])
+        return out
+
     def follows(self, before: int, token: int) -> bool:
         """Whether token may come right after the token before, or (-1) first."""
-        key = before * 1_000_003 + token if before >= 0 else -1 - token
-        known = self._asked.get(key)
-        if known is None:
-            if len(self._asked) > 2_000_000:
-                self._asked.clear()
-            known = self._asked[key] = self.leaves(self.state[before] if before >= 0 else 0, token)
-        return known
-
-    def _shorter(self, token: int) -> int:
-        """The longest token that is a proper beginning of one without suffix, or -1."""
-        known = self._cut.get(token)
-        if known is None:
-            label, known = self.labels[token], -1
-            for end in range(len(label) - 1, 0, -1):
-                if (known := self.ids.get(label[:end], -1)) >= 0:
-                    break
-            self._cut[token] = known
-        return known
+        return bool(self.arcs(np.array([before]), np.array([token]))[0])
+
+    # encoding
+    def encode_words(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all words, how many each word has) of words codes[bounds[i]:bounds[i + 1]], none of them empty."""
+        sizes = np.diff(bounds)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        start, stop = bounds[:-1][word], bounds[1:][word]
+        # every label that occurs, from each letter on
+        at, node, far = np.arange(len(codes), dtype=np.int64), np.zeros(len(codes), np.int64), 0
+        begins, ends, tokens = [], [], []
+        while len(at):
+            node = self._trie.get(node * self._wide + codes[at + far]).astype(np.int64)
+            on = node >= 0
+            at, node = at[on], node[on]
+            far += 1
+            last = at + far == stop[at]
+            token = np.where(last, self._ended[node], self._plain[node])
+            is_one = token >= 0
+            begins.append(at[is_one])
+            ends.append(at[is_one] + far)
+            tokens.append(token[is_one])
+            at, node = at[~last], node[~last]
+        begin, end, token = np.concatenate(begins), np.concatenate(ends), np.concatenate(tokens)
+        reach = end - start[begin]
+        order = np.argsort(reach, kind="stable")
+        begin, end, token = begin[order], end[order], token[order]
+        cuts = np.searchsorted(reach[order], np.arange(1, (int(sizes.max()) if len(sizes) else 0) + 2))
+        # the state after each prefix, for all words a letter further at a time
+        state, back = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            first = begin[a:b] == start[begin[a:b]]
+            before = np.where(first, -1, state[begin[a:b]])
+            ok = (first | (before >= 0)) & self.arcs(before, token[a:b])
+            state[end[a:b][ok]], back[end[a:b][ok]] = token[a:b][ok], begin[a:b][ok]
+        counts = np.zeros(len(sizes), np.int64)
+        steps, at, which = [], bounds[1:].copy(), np.arange(len(sizes))
+        while len(which):
+            if (state[at] < 0).any():
+                raise ValueError("a word has no tokens: a letter is not in the base")
+            steps.append((which, state[at]))
+            counts[which] += 1
+            at = back[at]
+            on = at > bounds[which]
+            at, which = at[on], which[on]
+        out, upto = np.empty(int(counts.sum()), np.int64), np.cumsum(counts)
+        for i, (which, found) in enumerate(steps):
+            out[upto[which] - 1 - i] = found
+        return out, counts
 
     def encode(self, letters: str) -> list[int]:
-        """The tokens of a word whose last letter carries the suffix.
-
-        The longest transition is tried first. Each prefix has one tokenization
-        at most, so a position that led nowhere is never entered again.
-        """
-        n, ids, asked, reach, labels = len(letters), self.ids.get, self._asked, self.reach.get, self.labels
-        word = letters + self.suffix
-        whole = ids(word)
-        if whole is not None and self.follows(-1, whole):
-            return [whole]
-        out: list[int] = []
-        at, dead, i, token = [0], set(), 0, -2  # token -2: look for the longest one; else go on with it
-        while i < n:
-            before = out[-1] if out else -1
-            end = 0
-            if token == -2:
-                token = ids(word[i:])
-                if token is not None and self.follows(before, token):
-                    out.append(token)
-                    return out
-                token, end = -1, min(n - 1, i + reach(letters[i : i + 4], 3))
-                while end > i:
-                    if (token := ids(letters[i:end], -1)) >= 0:
-                        break
-                    end -= 1
-            while token >= 0:
-                end = i + len(labels[token])
-                if end not in dead:
-                    key = before * 1_000_003 + token if before >= 0 else -1 - token
-                    ok = asked.get(key)
-                    if ok or ok is None and self.follows(before, token):
-                        break
-                token = self._shorter(token)
-            if token >= 0:
-                out.append(token)
-                at.append(end)
-                i, token = end, -2
-            else:
-                if not out:
-                    raise ValueError(f"no tokens for {word!r}")
-                dead.add(i)
-                at.pop()
-                token = self._shorter(out.pop())
-                i = at[-1]
-        return out
-
-    def decode(self, tokens: list[int]) -> list[str]:
+        """The tokens of one word, whose last letter carries the suffix."""
+        n = len(letters)
+        state, back = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(n):
+            if i and state[i] < 0:
+                continue
+            node, tokens, ends = 0, [], []
+            for j in range(i, n):
+                node = self._next.get(node * self._wide + self.code.get(letters[j], self._wide), -1) if letters[j] in self.code else -1
+                if node < 0:
+                    break
+                token = int(self._ended[node] if j + 1 == n else self._plain[node])
+                if token >= 0:
+                    tokens.append(token)
+                    ends.append(j + 1)
+            if tokens:
+                y = np.array(tokens)
+                for token, end, ok in zip(tokens, ends, self.arcs(np.full(len(y), state[i] if i else -1), y).tolist(), strict=True):
+                    if ok:
+                        state[end], back[end] = token, i
+        out = []
+        while n:
+            if state[n] < 0:
+                raise ValueError(f"no tokens for {letters!r}")
+            out.append(state[n])
+            n = back[n]
+        return out[::-1]
+
+    def decode(self, tokens: Iterable[int]) -> list[str]:
         return [self.labels[t] for t in tokens]
 
 
@@ -191,9 +312,26 @@ class Tokenizer:
         self._words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", _SPACE))
         self._letters = byte_letters()
         self._odd = regex.compile("[\x1c-\x1f]")
-        self._cache: dict[str, tuple[str, str]] = {}
-        self._known: dict[str, tuple[str, str]] = {}
+        self._code = np.array([self.automaton.code[x] for x in self._letters], np.int64)  # of each byte
+        self._id_text = [f"{x} " for x in self.number]
+        self._label_text = [f"{x} " for x in self.automaton.labels]
         self.cache_words = CACHE_WORDS
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of the words kept so far; the automaton stays."""
+        self._known: dict[str, tuple[str, str]] = {}
+        # of each stretch without white space: ids and labels, as text that ends in a space
+        self._ids: dict[str, str] = {}
+        self._decoded: dict[str, str] = {}
+        self._age()
+
+    def _age(self) -> None:
+        """What was used since the last time is the older half now."""
+        self._old = self._known, self._ids, self._decoded
+        self._known = {}
+        self._ids = {t: f"{i} " for t, i in self.special.items()}
+        self._decoded = {t: f"{t} " for t in self.special}
 
     def words(self, text: str) -> list[str]:
         """Normalised and pre-split words of a text without special tokens."""
@@ -201,57 +339,74 @@ class Tokenizer:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self._words.findall(self._space.sub(" ", text).lower())
 
-    def _word(self, word: str) -> tuple[str, str]:
-        """(ids, labels) of a pre-split word, as text that ends in a space; kept for the next time."""
-        got = self._known.get(word)
-        if got is None:
-            arcs = self.automaton.encode("".join([self._letters[b] for b in word.encode()]))
-            got = (" ".join([*[str(self.number[t]) for t in arcs], ""]), " ".join([*self.automaton.decode(arcs), ""]))
-            if len(word) < 60:
-                if len(self._known) >= self.cache_words:
-                    self._known.clear()
-                self._known[word] = got
-        return got
-
-    def _piece(self, text: str) -> tuple[str, str]:
-        """(ids, labels) as text of a stretch of text without white space; kept for the next time."""
-        core, tail = (text[:-1], text[-1]) if text and text[-1] in ",.;:!?" else (text, "")
+    def _cut(self, piece: str) -> list[str]:
+        """Words of a stretch of text."""
+        core, tail = (piece[:-1], piece[-1]) if piece and piece[-1] in ",.;:!?" else (piece, "")
         low = core.lower()
-        if low.isalpha() and (text.isascii() or unicodedata.is_normalized("NFC", text) and "Σ" not in text):
-            got = self._word(low)
-            if tail:
-                got = (got[0] + self._word(tail)[0], got[1] + self._word(tail)[1])
-        else:
-            words = [self._word(w) for w in self.words(text)]
-            got = ("".join([w[0] for w in words]), "".join([w[1] for w in words]))
-        if len(text) < 60:
-            if len(self._cache) >= self.cache_words:
-                self._cache.clear()
-            self._cache[text] = got
-        return got
-
-    def parts(self, text: str) -> list[tuple[str, str]]:
-        """No word crosses white space and no normalisation does, so stretches without it are handled, and kept, alone."""
-        known, piece = self._cache.get, self._piece
+        if low.isalpha() and (piece.isascii() or unicodedata.is_normalized("NFC", piece) and "Σ" not in piece):
+            return [low, tail] if tail else [low]
+        return self.words(piece)
+
+    def _encode(self, words: list[str]) -> None:
+        """Adds words that aren't known yet."""
+        arcs: dict[str, list[int]] = {w: self.automaton.encode("".join([self._letters[b] for b in w.encode()])) for w in words if len(w) > LONG_WORD}
+        words = [w for w in words if len(w) <= LONG_WORD]
+        raw = [w.encode() for w in words]
+        if raw:
+            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+            tokens, counts = self.automaton.encode_words(self._code[np.frombuffer(b"".join(raw), np.uint8)], bounds)
+            flat, at = tokens.tolist(), 0
+            for w, n in zip(words, counts.tolist(), strict=True):
+                arcs[w] = flat[at : at + n]
+                at += n
+        ids, labels = self._id_text, self._label_text
+        for w, found in arcs.items():
+            self._known[w] = ("".join([ids[t] for t in found]), "".join([labels[t] for t in found]))
+
+    def _pieces(self, text: str) -> list[str]:
+        """No word crosses white space and no normalisation does, so stretches without it are handled, and kept, alone. Special tokens are stretches too."""
         if self._special is not None and self._special.search(text):
-            out = []
-            for i, x in enumerate(self._special.split(text)):
-                out += [(f"{self.special[x]} ", f"{x} ")] if i % 2 else self.parts(x)
-            return out
+            return [y for i, x in enumerate(self._special.split(text)) for y in ([x] if i % 2 else self._pieces(x))]
         if self._odd.search(text):  # white space for str.split, but not for the tokenizer
-            return [piece(text)]
-        return [known(x) or piece(x) for x in text.split()]
-
-    def forget(self) -> None:
-        """Lets go of the words and answers kept so far; the automaton stays."""
-        self._known.clear()
-        self._cache.clear()
-        self.automaton._asked.clear()
+            return [text]
+        return text.split()
+
+    def batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """(ids joined by a space, decoded text) of each text."""
+        cut = [self._pieces(t) for t in texts]
+        every = set().union(*cut)
+        new = every.difference(self._ids)
+        if len(self._ids) + len(new) > self.cache_words // 2:
+            self._age()
+            new = every.difference(self._ids)
+        old_known, old_ids, old_decoded = self._old
+        for x in new.intersection(old_ids):
+            self._ids[x], self._decoded[x] = old_ids[x], old_decoded[x]
+        words = {x: self._cut(x) for x in new.difference(old_ids)}
+        needed = {w for ws in words.values() for w in ws}.difference(self._known)
+        if len(self._known) + len(needed) > self.cache_words // 2:
+            old_known, self._known = self._known, {}
+            self._old = old_known, old_ids, old_decoded
+            needed = {w for ws in words.values() for w in ws}
+        known = self._known
+        for w in needed.intersection(old_known):
+            known[w] = old_known[w]
+        self._encode(list(needed.difference(old_known)))
+        for x, ws in words.items():
+            self._ids[x] = "".join([known[w][0] for w in ws])
+            self._decoded[x] = "".join([known[w][1] for w in ws])
+        ids, decoded = self._ids.__getitem__, self._decoded.__getitem__
+        for row in cut:
+            yield "".join(map(ids, row))[:-1], "".join(map(decoded, row))[:-1]
+        for x, ws in words.items():
+            if len(x) > KEPT_LETTERS:
+                del self._ids[x], self._decoded[x]
+                for w in ws:
+                    if len(w) > KEPT_LETTERS:
+                        known.pop(w, None)
 
     def texts(self, text: str) -> tuple[str, str]:
-        """(ids joined by a space, decoded text)"""
-        parts = self.parts(text)
-        return "".join([p[0] for p in parts])[:-1], "".join([p[1] for p in parts])[:-1]
+        return list(self.batch([text]))[0]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.texts(text)[0].split()]
@@ -272,44 +427,43 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True, kept_words: int = 0) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, input_ids. The file lies at the same path on every executor.
-
-    kept_words: entries of tables that workers keep when a task ends; by default they let go of theirs (CACHE_WORDS), for other stages' sake.
-    """
+def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, input_ids. The file lies at the same path on every executor."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        tok.cache_words = kept_words or CACHE_WORDS
+        gc.disable()  # no cycles are made here, and looking for them among so many words takes a tenth of the time
         try:
-            yield from encoded(tok, batches)
+            for batch in batches:
+                sizes = np.cumsum(np.array([x.as_buffer().size if x.is_valid else 0 for x in batch.column("text")], np.int64))
+                lo = 0
+                while lo < len(batch):
+                    hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BATCH_BYTES, side="right")))
+                    yield encoded(tok, batch.slice(lo, hi - lo))
+                    lo = hi
         finally:
-            if not kept_words:
-                tok.forget()
-
-    def encoded(tok: Tokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 128):
-                part = batch.slice(lo, 128)
-                n, shas, decoded, lists = [], [], [], []
-                for x in part.column("text"):
-                    numbers, text = tok.texts(x.as_py() or "")
-                    n.append(numbers.count(" ") + 1 if numbers else 0)
-                    shas.append(hashlib.sha256(numbers.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                    if ids:
-                        lists.append(np.fromstring(numbers, dtype=np.int32, sep=" "))
-                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("input_ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            tok.forget()
+            gc.enable()
+
+    def encoded(tok: Tokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
+        n, shas, decoded, lists = [], [], [], []
+        for numbers, text in tok.batch([x.as_py() or "" for x in part.column("text")]):
+            n.append(numbers.count(" ") + 1 if numbers else 0)
+            shas.append(hashlib.sha256(numbers.encode()).hexdigest())
+            decoded.append(hashlib.sha256(text.encode()).hexdigest())
+            if ids:
+                lists.append(np.fromstring(numbers, dtype=np.int32, sep=" "))
+        columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if ids:
+            columns.append(pa.array(lists, pa.list_(pa.int32())))
+            names.append("input_ids")
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(tk.released(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", input_ids array<int>" * ids)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(tk.table(spark, sf_dir, "documents"), ids=False, kept_words=KEPT_WORDS)
+    return tokenize(tk.table(spark, sf_dir, "documents"), ids=False)
