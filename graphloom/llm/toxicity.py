@@ -11,10 +11,18 @@ exp(lambda * s)) - log(n); a logistic curve over it, fitted on the training
 rows, gives the score from 0 to 1.
 
 Counts are of the documents that hold a word, copies and near copies of a
-labelled text (same least hash of five words) counting once. Nulls: a null text
-is empty and gets the score of a text of one harmless word; labelled rows
-without an id or label are not used. Repeated rows are kept.
-Without both labels in training, every score is the share of toxic ones.
+labelled text counting once: those with the same label whose least hashes of
+five words under COPY_HASHES orders are all the same (texts that share half of
+them pass in one of 256 cases, and in less where they share one passage only).
+The lexicon is a table, joined to the words of texts that a bit table of fixed
+size lets through, and has as many words as pass the tests below.
+
+Nulls: a null text is empty and gets the score of a text of one harmless word;
+labelled rows without an id or label are not used. Of several labels of an id
+the greatest counts. Repeated rows are kept. Ties: equal segments stay apart, as
+the scan's definition has it. Without both labels in training, every score is
+the share of toxic ones. An empty table gives an empty one. Columns other than
+doc_id, text and toxic, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -34,36 +42,40 @@ PRIOR_FLOOR = 0.5
 MIN_Z, MIN_DOCS = 3.0, 3
 #: Least log-odds of one: longer documents hold more of every word, which alone makes small odds significant.
 MIN_ODDS = 2.0
+#: Bytes of a word's stem: longer words count and score under it too, so that one form of a word speaks for another.
+STEM = 5
 SHINGLE = 5
+COPY_HASHES = 8
 FILTER_BITS = 1 << 23
-#: Labelled rows (16 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 150_000
-#: Words of the lexicon, at most: those of the highest significance.
-LEXICON = 20_000
 BIN = 0.25
 
+_ORDERS = np.random.default_rng(5).integers(1, 2**63, COPY_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _words(batch: pa.RecordBatch):
+def _words(batch: pa.RecordBatch, stems: bool = False):
+    """Row from, row to, word hashes, first word of each row, and hashes of the words' stems (0: none)."""
     for lo, hi, raw, bounds in tk.text_chunks(batch.column("text")):
         data = tk.LOWER[raw]
         starts, ends, first = tk.word_spans(data, bounds, tk.ALNUM)
-        yield lo, hi, tk.span_hashes(data, starts, ends), first
+        cut = np.where(ends - starts > STEM, tk.span_hashes(data, starts, np.minimum(ends, starts + STEM), 2), np.uint64(0)) if stems else None
+        yield lo, hi, tk.span_hashes(data, starts, ends), first, cut
 
 
-def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, toxic, and a key that near copies mostly share."""
+def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, and a key that copies share, and near copies mostly."""
     for batch in batches:
-        for lo, hi, words, first in _words(batch):
+        for lo, hi, words, first, _ in _words(batch):
             grams = tk.gram_hashes(words, SHINGLE)
             keys = []
             for a, b in zip(first[:-1], first[1:], strict=True):
                 own = grams[a : b - SHINGLE + 1] if b - a >= SHINGLE else tk.mix(words[a:b].cumsum(dtype=np.uint64)[-1:])
-                keys.append(int(own.min().view(np.int64)) if len(own) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("toxic").slice(lo, hi - lo), pa.array(keys, pa.int64())], names=["doc_id", "toxic", "near"])
+                least = np.array([(own * order).min() for order in _ORDERS]) if len(own) else _ORDERS
+                keys.append(int(tk.mix(least * _ORDERS).sum(dtype=np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(keys, pa.int64())], names=["doc_id", "near"])
 
 
 class _Tally:
@@ -93,17 +105,19 @@ class _Tally:
         return pa.RecordBatch.from_arrays([pa.array(tk.signed(u)), *[pa.array(n[:, c]) for c in range(3)]], names=["word", "n_toxic", "n_clean", "n_all"])
 
 
-def _count(bits, only_toxic: bool):
+def _count(bits):
     """Documents that hold each word: toxic, clean and all; bits: the words to count (all, if None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tally = (bits.value if bits is not None else None), _Tally()
         for batch in batches:
             toxic = np.array([-1 if x is None else x for x in batch.column("toxic").to_pylist()], np.int64)
-            for lo, _, words, first in _words(batch):
+            for lo, _, words, first, stems in _words(batch, True):
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                long = stems != 0
+                words, row = np.concatenate([words, stems[long]]), np.concatenate([row, row[long]])
                 if table is not None:
-                    held = table[_slots(words)]
+                    held = _held(table, words)
                     words, row = words[held], row[held]
                 order = np.lexsort((words, row))
                 words, row = words[order], row[order]
@@ -140,35 +154,78 @@ def segments(at: np.ndarray, scores: np.ndarray, penalty: float) -> list[tuple[i
 
 
 class Model:
-    """A sorted lexicon with scores, the penalty of other words, lambda, and the logistic curve."""
+    """A lexicon (a stored table of word and score), the penalty of other words, lambda, and the logistic curve."""
 
-    def __init__(self, words: np.ndarray, scores: np.ndarray, penalty: float, lam: float) -> None:
-        self.words, self.scores, self.penalty, self.lam = words, scores, penalty, lam
+    def __init__(self, lexicon: DataFrame | None, penalty: float, lam: float) -> None:
+        self.lexicon, self.penalty, self.lam = lexicon, penalty, lam
         self.slope, self.offset = 0.0, 0.0
-        self.bits = np.zeros(FILTER_BITS, bool)
-        self.bits[_slots(words)] = True
-
-    def measure(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """The measure of each row and its passages with an expected number under one."""
-        at = np.flatnonzero(self.bits[_slots(words)])
-        place = np.minimum(np.searchsorted(self.words, words[at]), max(len(self.words) - 1, 0))
-        known = self.words[place] == words[at] if len(self.words) else np.zeros(0, bool)
-        at, place = at[known], place[known]
-        cut = np.searchsorted(at, first)
-        n = np.diff(first)
-        x = -np.log(np.maximum(n, 1))
-        found: list[list[tuple[int, int, float]]] = [[] for _ in n]
-        for r in np.flatnonzero(np.diff(cut)):
-            own = slice(cut[r], cut[r + 1])
-            segs = segments(at[own] - first[r], self.scores[place[own]], self.penalty)
-            x[r] += np.logaddexp.reduce([self.lam * s for _, _, s in segs])
-            found[r] = [g for g in segs if self.lam * g[2] > np.log(n[r])]
-        return x, found
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -50, 50)))
 
 
+def _bit_table(spark: SparkSession, words: DataFrame) -> object:
+    """A broadcast table of FILTER_BITS bits (1 MB packed) of words (word)."""
+    slots = words.selectExpr(f"word & {FILTER_BITS - 1} AS b").selectExpr("shiftright(b, 6) AS slot", "shiftleft(1L, cast(b & 63 AS int)) AS bit").groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits"))
+    packed = np.zeros(FILTER_BITS // 64, np.uint64)
+    for r in slots.toLocalIterator():  # as many rows as the table has slots at most
+        packed[r.slot] = np.uint64(r.bits & (2**64 - 1))
+    return spark.sparkContext.broadcast(packed)
+
+
+def _held(packed: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = _slots(words)
+    return (packed[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+_PASSAGES = "array<struct<from:bigint,to:bigint,score:double>>"
+
+
+def _measured(spark: SparkSession, texts: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """For each row of texts: its columns in keep, x (the measure), and passages with an expected number under one."""
+    bits = _bit_table(spark, model.lexicon)
+    numbered = texts.select("text", *keep).withColumn("row", F.monotonically_increasing_id())
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keep).schema.fields]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, words, first, stems in _words(batch, True):
+                whole, cut = np.flatnonzero(_held(bits.value, words)), np.flatnonzero((stems != 0) & _held(bits.value, stems))
+                at, tokens = np.concatenate([whole, cut]), np.concatenate([words[whole], stems[cut]])
+                order = np.argsort(at, kind="stable")
+                at, tokens = at[order], tokens[order]
+                row = np.searchsorted(first, at, side="right") - 1
+                hits = pa.StructArray.from_arrays([pa.array(at - first[row]), pa.array(tk.signed(tokens))], names=["at", "word"])
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("row", *keep)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)), tk.list_array(hits, np.bincount(row, minlength=hi - lo))], names=["row", *keep, "n_words", "hits"])
+
+    scanned = numbered.mapInArrow(tk.released(scan), f"row bigint, {', '.join(kept)}, n_words bigint, hits array<struct<at:bigint,word:bigint>>")
+    hits = scanned.select("row", *keep, "n_words", F.explode_outer("hits").alias("h")).select("row", *keep, "n_words", "h.at", "h.word")
+    known = hits.join(tk.small(model.lexicon.select("word", "score")), "word", "left")
+    found = F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("at", "score"))))
+    grouped = known.groupBy("row").agg(*[F.first(c).alias(c) for c in (*keep, "n_words")], found.alias("found"))
+    penalty, lam = model.penalty, model.lam
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())]))
+        for batch in batches:
+            n = batch.column("n_words").to_numpy()
+            x, listed = -np.log(np.maximum(n, 1)), []
+            found = batch.column("found")
+            for r, size in enumerate(found.value_lengths().to_numpy()):
+                segs = []
+                if size:
+                    own = found[r].values
+                    at, score = own.field("at").to_numpy(), own.field("score").to_numpy()
+                    last = np.append(at[1:] != at[:-1], True)  # a word that scores by its stem too: the greater score
+                    segs = segments(at[last], score[last], penalty)
+                    x[r] += np.logaddexp.reduce([lam * s for _, _, s in segs])
+                listed.append([{"from": a, "to": b, "score": s} for a, b, s in segs if lam * s > np.log(n[r])])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(x), pa.array(listed, kind)], names=[*keep, "x", "passages"])
+
+    return grouped.mapInArrow(measure, f"{', '.join(kept)}, x double, passages {_PASSAGES}")
+
+
 def _logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
     """(slope >= 0, offset) of the curve through counts at x, by Newton steps with a little ridge."""
     w = np.array([0.1, np.log((toxic.sum() + 0.5) / (clean.sum() + 0.5))])
@@ -188,36 +245,49 @@ def _logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[floa
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     """The model from the rows of labels (doc_id, toxic) where use holds."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    near = texts.join(tk.small(marked, BROADCAST_ROWS), "doc_id").mapInArrow(_least_shingles, "doc_id bigint, toxic int, near bigint")
-    once = near.groupBy("near", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
-    once = tk.shared_checkpoint(spark, once)
-    n_toxic, n_clean = (once.where(f"toxic = {v}").count() for v in (1, 0))
-    if not n_toxic or not n_clean:
-        model = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0)
-        model.offset = 50.0 if n_toxic else -50.0
+    with tk.Steps(spark) as steps:
+        marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        marked = steps.store(marked)
+        near = tk.parts(spark, texts, marked)[0].mapInArrow(tk.released(_copy_keys), "doc_id bigint, near bigint").join(marked, "doc_id")
+        once = steps.store(near.groupBy("near", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
+        n_toxic, n_clean = (once.where(f"toxic = {v}").count() for v in (1, 0))
+        if not n_toxic or not n_clean:
+            model = Model(None, 1.0, 1.0)
+            model.offset = 50.0 if n_toxic else -50.0
+            return model
+        # the texts of labelled rows are stored once; others are read where they are
+        some, rest = tk.parts(spark, texts, once)
+        labelled = steps.store(some.join(once, "doc_id", "left"))
+        counts = "word bigint, n_toxic bigint, n_clean bigint, n_all bigint"
+        sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_clean", "n_all")]
+        in_toxic = labelled.where("toxic = 1").mapInArrow(tk.released(_count(None)), counts).groupBy("word").agg(*sums).where(F.col("n_toxic") >= MIN_DOCS)
+        bits = _bit_table(spark, steps.store(in_toxic.select("word")))
+        every = labelled.unionByName(rest.withColumn("toxic", F.lit(None).cast("int"))).mapInArrow(tk.released(_count(bits)), counts).groupBy("word").agg(*sums).where(F.col("n_toxic") >= MIN_DOCS)
+        # log-odds of a document holding the word, with the prior from all documents
+        total = texts.count()
+        lexicon = tk.shared_checkpoint(spark, scored_words(every, total, n_toxic, n_clean).where((F.col("z") >= MIN_Z) & (F.col("score") >= MIN_ODDS)).select("word", "score", "n_toxic", "n_clean"))
+        # sums by scores to two places: a few thousand rows at most
+        chances = lexicon.groupBy(F.round("score", 2).alias("score")).agg(F.sum((F.col("n_clean") + 0.5) / (n_clean * 100.0)).alias("chance"), F.sum("n_toxic").alias("n_toxic")).collect()
+        scores, chance = (np.array([r[c] for r in chances], float) for c in ("score", "chance"))
+        rate = sum(r.n_toxic for r in chances) / n_toxic / 100  # lexicon words to the hundred words of a toxic text
+        penalty = float(np.clip(rate, 0.02, 0.5)) if chances else 1.0
+        model = Model(lexicon, penalty, extreme_value_rate(scores, chance, penalty))
+        bins = _measured(spark, labelled.where("toxic IS NOT NULL"), model, ["toxic"]).groupBy(F.round(F.col("x") / BIN).alias("bin")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()  # a row for each quarter of a natural logarithm
+        x, t, n = (np.array(v, float) for v in zip(*[(r.bin * BIN, r.t, r.n) for r in bins], strict=True))
+        model.slope, model.offset = _logistic(x, t, n - t)
         return model
-    counts = "word bigint, n_toxic bigint, n_clean bigint, n_all bigint"
-    sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_clean", "n_all")]
-    in_toxic = texts.join(tk.small(once.where("toxic = 1"), BROADCAST_ROWS), "doc_id").mapInArrow(_count(None, True), counts).groupBy("word").agg(*sums).where(F.col("n_toxic") >= MIN_DOCS)
-    slots = in_toxic.selectExpr(f"word & {FILTER_BITS - 1} AS b").selectExpr("shiftright(b, 6) AS slot", "shiftleft(1L, cast(b & 63 AS int)) AS bit").groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits"))
-    packed = np.zeros(FILTER_BITS // 64, np.uint64)
-    for r in slots.collect():  # as many rows as the table has slots at most
-        packed[r.slot] = np.uint64(r.bits & (2**64 - 1))
-    bits = spark.sparkContext.broadcast(np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool))
-    every = texts.join(tk.small(once, BROADCAST_ROWS), "doc_id", "left").mapInArrow(_count(bits, False), counts).groupBy("word").agg(*sums).where(F.col("n_toxic") >= MIN_DOCS)
-    # log-odds of a document holding the word, with the prior from all documents
-    total = texts.count()
+
+
+def scored_words(counted: DataFrame, total: int, n_toxic: int, n_clean: int) -> DataFrame:
+    """counted (word, n_toxic, n_clean, n_all: documents that hold the word) with score (log-odds) and z (its significance)."""
     alpha = F.lit(PRIOR_FLOOR) + F.lit(PRIOR_MASS) * F.col("n_all") / F.lit(float(total) * 100)
     odds = lambda n, size: F.log((F.col(n) + alpha) / (F.lit(float(size)) + 2 * alpha - F.col(n)))
-    scored = every.withColumn("odds", odds("n_toxic", n_toxic) - odds("n_clean", n_clean)).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("n_toxic") + alpha) + 1 / (F.col("n_clean") + alpha)))
-    top = scored.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "odds", "n_toxic", "n_clean").collect()
-    words = np.array([r.word for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    scores = np.array([r.odds for r in top])[order]
-    rate = sum(r.n_toxic for r in top) / n_toxic / 100  # lexicon words to the hundred words of a toxic text
-    penalty = float(np.clip(rate, 0.02, 0.5)) if top else 1.0
-    chance = np.array([(r.n_clean + 0.5) / (n_clean * 100.0) for r in top])[order]
+    scored = counted.withColumn("score", odds("n_toxic", n_toxic) - odds("n_clean", n_clean))
+    return scored.withColumn("z", F.col("score") / F.sqrt(1 / (F.col("n_toxic") + alpha) + 1 / (F.col("n_clean") + alpha)))
+
+
+def extreme_value_rate(scores: np.ndarray, chance: np.ndarray, penalty: float) -> float:
+    """Lambda: where the mean of exp(lambda * score) over the words of a clean text is one."""
 
     def excess(lam: float) -> float:
         return float((chance * np.exp(lam * scores)).sum() + (1 - chance.sum()) * np.exp(-lam * penalty) - 1)
@@ -226,35 +296,16 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, use: Column)
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
-    model = Model(words[order], scores, penalty, (lo + hi) / 2)
-    shared = spark.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, words, first in _words(batch):
-                x, _ = shared.value.measure(words, first)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), pa.array(np.round(x / BIN).clip(-100, 1000).astype(np.int64))], names=["toxic", "bin"])
-
-    bins = texts.join(tk.small(once, BROADCAST_ROWS), "doc_id").mapInArrow(measure, "toxic int, bin bigint").groupBy("bin").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()  # 1,101 rows at most
-    x, t, n = (np.array(v, float) for v in zip(*[(r.bin * BIN, r.t, r.n) for r in bins], strict=True))
-    model.slope, model.offset = _logistic(x, t, n - t)
-    return model
+    return (lo + hi) / 2
 
 
 def passages(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text_key, score, passages: [from, to) words and score of every significant toxic one."""
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("score", pa.float64())]))
-        for batch in batches:
-            for lo, hi, words, first in _words(batch):
-                x, found = m.measure(words, first)
-                listed = [[{"from": a, "to": b, "score": s} for a, b, s in f] for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(m.score(x)), pa.array(listed, kind)], names=["doc_id", "text_key", "score", "passages"])
-
-    return tk.keyed_texts(docs).mapInArrow(run, "doc_id bigint, text_key bigint, score double, passages array<struct<from:bigint,to:bigint,score:double>>")
+    texts = tk.keyed_texts(docs)
+    if model.lexicon is None:
+        return texts.select("doc_id", "text_key", F.lit(float(model.score(np.zeros(1))[0])).alias("score"), F.array().cast(_PASSAGES).alias("passages"))
+    logit = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("x") * model.slope + model.offset))
+    return _measured(spark, texts, model, ["doc_id", "text_key"]).select("doc_id", "text_key", (1 / (1 + F.exp(-logit))).alias("score"), "passages")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
