@@ -7,30 +7,40 @@ none. From this come the true type of a declared column, and the media carved
 out of a larger byte string.
 
 store() puts any bytes into an 8-bit mono PCM RIFF file, the samples being the
-payload; load() sniffs, validates and reads the samples back.
+payload; load() sniffs, validates and reads format and samples back. The query
+stores every text, and takes type, format, samples and carved objects from the
+stored bytes by correct_types() and read_back().
 
 Nulls: null bytes sniff as null; a null text is stored as an empty one (64 zero
-bytes). Repeated rows are kept. Objects that overlap: the outermost, first one
-is carved. Texts of any length are handled whole, one at a time.
+bytes); a null doc_id stays. Repeated rows are kept. Ties: of objects that
+overlap the outermost, first one is carved. An empty table gives an empty one.
+Other columns pass through correct_types() and read_back(); those that they add
+must be free. Texts of any length are handled whole, a few megabytes or one text
+at a time, in time that grows with their length.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 
 BLOCK = 64
 RATE = 8000
+#: Bytes that are inflated at once.
+_STEP = 1 << 16
+_last: dict[bytes, tuple[bytes, list[int], dict[int, list[int]]]] = {}
 
 
 class Found(NamedTuple):
@@ -132,32 +142,53 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _gzip(b: bytes, at: int) -> int:
+    """Inflated in steps of bounded size: what comes out is thrown away, however much it is."""
     if at + 18 > len(b) or b[at + 2] != 8 or b[at + 3] & 0xE0:
         return 0
     d = zlib.decompressobj(31)
     try:
-        for i in range(at, len(b), 1 << 16):
-            d.decompress(b[i : i + (1 << 16)])
+        for i in range(at, len(b), _STEP):
+            rest = b[i : i + _STEP]
+            while rest and not d.eof:
+                d.decompress(rest, _STEP)
+                rest = d.unconsumed_tail
             if d.eof:
-                return min(i + (1 << 16), len(b)) - len(d.unused_data)
+                return min(i + _STEP, len(b)) - len(d.unused_data)
     except zlib.error:
         pass
     return 0
 
 
+def _places(b: bytes, mark: bytes) -> list[int]:
+    """Where mark stands in b; the last answer for each mark is kept, for the many objects of one text."""
+    held = _last.get(mark)
+    if held is None or held[0] is not b:
+        found, i = [], b.find(mark)
+        while i >= 0:
+            found.append(i)
+            i = b.find(mark, i + 1)
+        held = _last[mark] = (b, found, {})
+    return held[1]
+
+
 def _zip(b: bytes, at: int) -> int:
-    """Up to the end-of-directory record whose directory begins where its lengths say."""
-    i = at
-    while (i := b.find(b"PK\x05\x06", i + 4)) >= 0 and i + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, i + 12)
-        if at + offset + size == i and i + 22 + note <= len(b):
-            return i + 22 + note
-    return 0
+    """Up to the first end-of-directory record whose directory begins where its lengths say."""
+    ends = _places(b, b"PK\x05\x06")
+    begins = _last[b"PK\x05\x06"][2]
+    if not begins and ends:  # where the archive of each record begins, and the records of each beginning
+        for i in ends:
+            if i + 22 <= len(b):
+                size, offset, note = struct.unpack_from("<IIH", b, i + 12)
+                if i + 22 + note <= len(b):
+                    begins.setdefault(i - size - offset, []).append(i + 22 + note)
+        begins.setdefault(-1, [])
+    return next((end for end in begins.get(at, []) if end > at), 0)
 
 
 def _pdf(b: bytes, at: int) -> int:
-    i = b.find(b"%%EOF", at)
-    return i + 5 if i >= 0 and b.find(b"startxref", at, i) >= 0 else 0
+    ends, starts = _places(b, b"%%EOF"), _places(b, b"startxref")
+    i = bisect_left(ends, at)
+    return ends[i] + 5 if i < len(ends) and bisect_left(starts, at) < bisect_left(starts, ends[i]) else 0
 
 
 def _flac(b: bytes, at: int) -> int:
@@ -219,6 +250,7 @@ def signatures(data: bytes) -> list[Found]:
     for last, (n, checks) in _automaton().iter(data.decode("latin-1")):
         at = last - n + 1
         out += [Found(kind, at, end) for kind, check in checks if (end := check(data, at))]
+    _last.clear()
     return sorted(out, key=lambda f: (f.start, -f.end))
 
 
@@ -248,88 +280,130 @@ def store(payload: bytes) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload
 
 
-def load(stored: bytes) -> tuple[bytes, list[Found]]:
-    """(samples, objects carved out of the samples) of a stored file; ValueError if its structure does not hold."""
+class Stored(NamedTuple):
+    channels: int
+    rate: int
+    bits: int
+    samples: bytes
+    inside: list[Found]
+
+
+def load(stored: bytes) -> Stored:
+    """Format and samples of a stored file, and the objects carved out of the samples; ValueError if its structure does not hold."""
     found = signatures(stored)
     if not found or found[0] != Found("audio/wav", 0, len(stored)):
         raise ValueError("not a stored file")
-    i = 12
-    while stored[i : i + 4] != b"data":
-        i += 8 + int.from_bytes(stored[i + 4 : i + 8], "little")
+    i, form = 12, None
+    while i + 8 <= len(stored) and stored[i : i + 4] != b"data":
+        n = int.from_bytes(stored[i + 4 : i + 8], "little")
+        if stored[i : i + 4] == b"fmt " and n >= 16:
+            form = struct.unpack_from("<HHIIHH", stored, i + 8)
+        i += 8 + n + (n & 1)
+    if form is None or form[0] != 1 or i + 8 > len(stored):
+        raise ValueError("no PCM format before the samples")
     n = int.from_bytes(stored[i + 4 : i + 8], "little")
     inside, end = [], 0
     for f in found[1:]:
         if f.start >= i + 8 + end and f.end <= i + 8 + n:
             inside.append(Found(f.kind, f.start - i - 8, f.end - i - 8))
             end = inside[-1].end
-    return stored[i + 8 : i + 8 + n], inside
+    return Stored(form[1], form[2], form[5], stored[i + 8 : i + 8 + n], inside)
 
 
 _MEDIA = "media binary, declared string, n_bytes bigint"
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A few megabytes of the column's bytes, or one row, at a time."""
+    sizes = np.cumsum(np.array([x.as_buffer().size if x.is_valid else 0 for x in batch.column(column)], np.int64))
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + tk.CHUNK_BYTES, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, media, declared (what the column claims to hold), n_bytes."""
+    """doc_id, media, declared (what a table of texts claims its column to hold), n_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            for part in _slices(batch, "text"):
                 raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([store(pad(x)) for x in raw], pa.binary()), pa.array(["application/octet-stream"] * len(raw)), pa.array([len(x) for x in raw], pa.int64())],
+                    [part.column("doc_id"), pa.array([store(pad(x)) for x in raw], pa.binary()), pa.array(["text/plain"] * len(raw)), pa.array([len(x) for x in raw], pa.int64())],
                     names=["doc_id", "media", "declared", "n_bytes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id bigint, {_MEDIA}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.released(run), f"doc_id bigint, {_MEDIA}")
 
 
-def correct_types(df: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
-    """df with media_type (sniffed), corrected (it differs from the declared one) and carved: the objects in the bytes after the first."""
-    if {"media_type", "corrected", "carved"} & set(df.columns):
-        raise ValueError("columns media_type, corrected and carved are taken")
-    kinds = "array<struct<kind:string,start:bigint,end:bigint>>"
+_KINDS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _added(df: DataFrame, columns: str, run: Callable[[list[bytes | None], pa.RecordBatch], list[pa.Array]], media: str) -> DataFrame:
+    """df with more columns, made from the bytes of column media."""
+    more = T._parse_datatype_string(columns)
+    taken = {c.lower() for c in df.columns} & {f.name.lower() for f in more.fields}
+    if taken:
+        raise ValueError(f"columns {', '.join(sorted(taken))} are taken")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                types, carved = [], []
-                for x in part.column(media):
-                    data = x.as_py()
-                    found = signatures(data) if data is not None else []
-                    whole = next((f for f in found if f.start == 0), None)
-                    types.append(None if data is None else whole.kind if whole else "application/octet-stream")
-                    inner = load(data)[1] if whole and whole.kind == "audio/wav" and whole.end == len(data) else [f for f in carve(data or b"") if f.start]
-                    carved.append([f._asdict() for f in inner])
-                said = part.column(declared).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(types, pa.string()), pa.array([t is not None and t != d for t, d in zip(types, said, strict=True)]),
-                     pa.array(carved, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))],
-                    names=[*part.schema.names, "media_type", "corrected", "carved"],
-                )
+            for part in _slices(batch, media):
+                yield pa.RecordBatch.from_arrays([*part.columns, *run(part.column(media).to_pylist(), part)], names=[*part.schema.names, *more.names])
 
-    from pyspark.sql import types as T
+    return df.mapInArrow(tk.released(over), T.StructType([*df.schema.fields, *more.fields]))
 
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"media_type string, corrected boolean, carved {kinds}").fields])
-    return df.mapInArrow(run, schema)
 
+def correct_types(df: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
+    """df with media_type (sniffed), corrected (it differs from the declared one) and carved: the objects in the bytes after the first; in a stored file's samples if it is one."""
+
+    def run(held: list[bytes | None], part: pa.RecordBatch) -> list[pa.Array]:
+        types, carved = [], []
+        for data in held:
+            found = signatures(data) if data is not None else []
+            whole = next((f for f in found if f.start == 0), None)
+            types.append(None if data is None else whole.kind if whole else "application/octet-stream")
+            inner = [f for f in carve(data or b"") if f.start]
+            if whole and whole.kind == "audio/wav" and whole.end == len(data):
+                try:
+                    inner = load(data).inside
+                except ValueError:  # a sound file of another make
+                    pass
+            carved.append([f._asdict() for f in inner])
+        said = part.column(declared).to_pylist()
+        return [pa.array(types, pa.string()), pa.array([t is not None and t != d for t, d in zip(types, said, strict=True)], pa.bool_()), pa.array(carved, _KINDS)]
+
+    return _added(df, "media_type string, corrected boolean, carved array<struct<kind:string,start:bigint,end:bigint>>", run, media)
+
+
+def read_back(df: DataFrame, media: str = "media") -> DataFrame:
+    """df with channels, rate, bits and payload (the samples) of the stored files in column media, peak (the sample farthest from silence) and crossings (of silence); null where it is none."""
+
+    def run(held: list[bytes | None], _: pa.RecordBatch) -> list[pa.Array]:
+        rows = []
+        for data in held:
+            try:
+                f = load(data or b"")
+            except ValueError:
+                rows.append((None,) * 6)
+                continue
+            wave = np.frombuffer(f.samples, np.uint8).astype(np.int16) - 128
+            above = wave >= 0
+            rows.append((f.channels, f.rate, f.bits, f.samples, int(np.abs(wave).max()) if len(wave) else 0, int((above[1:] != above[:-1]).sum())))
+        return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64()], strict=True)]
+
+    return _added(df, "channels int, rate int, bits int, payload binary, peak int, crossings bigint", run, media)
 
-def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of each text stored as media and read back; feature: declared type > sniffed type, and the objects inside."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = x.as_buffer().to_pybytes() if x.is_valid else b""
-                stored = store(pad(raw))
-                payload, inside = load(stored)
-                feature = ";".join([f"application/octet-stream>audio/wav;samples={len(payload)};rate={RATE}", *(f"{f.kind}@{f.start}+{f.end - f.start}" for f in inside)])
-                rows.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
-
-    docs = tk.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each text stored as media and read back; feature: sniffed type, format, shape of the sound, and the objects inside."""
+    found = read_back(correct_types(store_texts(tk.table(spark, sf_dir, "documents"))))
+    objects = F.array_join(F.transform("carved", lambda f: F.concat(F.lit(";"), f["kind"], F.lit("@"), f["start"].cast("string"), F.lit("+"), (f["end"] - f["start"]).cast("string"))), "")
+    pair = lambda name, c: F.concat(F.lit(f";{name}="), c.cast("string"))
+    feature = F.concat("media_type", pair("channels", F.col("channels")), pair("rate", F.col("rate")), pair("bits", F.col("bits")), pair("peak", F.col("peak")), pair("crossings", F.col("crossings")), objects)
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -BLOCK, BLOCK)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
