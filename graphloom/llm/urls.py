@@ -8,10 +8,13 @@ each is filed under its rarest token only, and the rest of its tokens are
 looked for in the urls that hold that one. Urls without a matching rule get the
 default verdict.
 
-DataFrame functions and the JVM's FP-growth only. Nulls: a null url, or one
-without "://", has an empty host and path, and no tokens. Repeated rows (same
-page_id and url) give one row. Ties between mined rules: confidence, support,
-number of tokens, then the tokens themselves decide.
+DataFrame functions and the JVM's FP-growth only. Itemsets are mined once and
+stored; no token implies another one, which would only multiply them. Nulls: a
+null url, or one without "://", has an empty host and path, and no tokens; a null
+page_id stays. Repeated rows (same page_id and url) give one row. Ties between
+mined rules: confidence, support, number of tokens, then the tokens themselves
+decide. An empty table gives an empty one. Columns other than page_id and url,
+whatever their names, are not looked at. Urls of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.7
 DEFAULT = "allow"
-#: Rules that are broadcast (each under 1 kB); more are joined by shuffle.
-BROADCAST_ROWS = 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,17 +41,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels, the last two of them with their place, path segments with numbers made alike, and the depth."""
+    """Distinct tokens: the last host label, the others, path segments with numbers made alike, and the depth."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     parts = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "0"), "/"), lambda x: x != "")
     n = F.size(labels)
+    ends = F.array(F.concat(F.lit("top:"), F.element_at(labels, -1)), F.concat(F.lit("depth:"), F.least(F.size(parts), F.lit(6)).cast("string")))
     return F.array_distinct(F.concat(
-        F.transform(labels, lambda x: F.concat(F.lit("h:"), x)),
-        F.when(n > 0, F.array(F.concat(F.lit("top:"), F.element_at(labels, -1)))).otherwise(F.array().cast("array<string>")),
-        F.when(n > 0, F.array(F.concat(F.lit("first:"), F.element_at(labels, 1)))).otherwise(F.array().cast("array<string>")),
-        F.transform(parts, lambda x: F.concat(F.lit("p:"), x)),
-        F.transform(F.slice(parts, 1, 1), lambda x: F.concat(F.lit("p1:"), x)),
-        F.when(n > 0, F.array(F.concat(F.lit("depth:"), F.least(F.size(parts), F.lit(6)).cast("string")))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.slice(labels, 1, F.greatest(n - 1, F.lit(0))), lambda x: F.concat(F.lit("h:"), x)), F.transform(parts, lambda x: F.concat(F.lit("p:"), x)),
+        F.when(n > 0, ends).otherwise(F.array().cast("array<string>")),
     ))
 
 
@@ -61,7 +59,7 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fit = urls.withColumn("suffix", F.explode(suffixes)).join(
-        tk.small(rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict"), BROADCAST_ROWS), "suffix", "left"
+        tk.small(rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict")), "suffix", "left"
     )
     fits = F.col("rule_path").isNotNull() & F.col("path").startswith(F.col("rule_path"))
     found = F.struct(F.length(F.concat("suffix", "rule_path")).alias("n"), F.concat("suffix", "rule_path").alias("rule"), F.col("verdict").alias("ruled"))
@@ -69,37 +67,43 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("page_id", "url", "host", "path", "b.rule", "b.ruled")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """rule_tokens, key (rarest token), verdict, confidence, support of the rules mined from rows with tokens and ruled."""
-    model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=min_confidence).fit(
-        labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), F.col("ruled")))).alias("basket"))
-    )
-    rules = model.associationRules.where(
-        (F.size("consequent") == 1) & F.element_at("consequent", 1).startswith("verdict:")
-        & ~F.exists("antecedent", lambda x: x.startswith("verdict:")) & (F.col("lift") > 1)
-    ).select(F.array_sort("antecedent").alias("rule_tokens"), F.substring(F.element_at("consequent", 1), 9, 100).alias("verdict"), "confidence", "support")
-    rules = rules.withColumn("rule_no", F.xxhash64("rule_tokens", "verdict"))
-    # a rule goes if dropping one of its tokens leaves a rule for the same verdict that is as sure
-    shorter = rules.where(F.size("rule_tokens") > 1).select("rule_no", "verdict", "confidence", F.explode("rule_tokens").alias("t"), "rule_tokens")
-    shorter = shorter.select("rule_no", "verdict", "confidence", F.array_remove("rule_tokens", F.col("t")).alias("rule_tokens"))
-    kept = rules.select("rule_tokens", "verdict", F.col("confidence").alias("sure"))
-    needless = shorter.join(kept, ["rule_tokens", "verdict"]).where("sure >= confidence").select("rule_no").distinct()
-    rules = rules.join(needless, "rule_no", "left_anti")
-    common = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), "freq")
-    keyed = rules.select("rule_no", F.explode("rule_tokens").alias("t")).join(common, "t").groupBy("rule_no").agg(F.min(F.struct("freq", "t"))["t"].alias("key"))
-    return rules.join(keyed, "rule_no").select("rule_tokens", "key", "verdict", "confidence", "support")
+def mine(spark: SparkSession, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """rule_tokens, key (rarest token), verdict, confidence, support of the rules mined from rows with tokens and ruled. A stored table."""
+    with tk.Steps(spark) as steps:
+        baskets = steps.store(labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), F.col("ruled")))).alias("basket")))
+        total = baskets.count()
+        model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+        itemsets = steps.store(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+        ruling = lambda x: x.startswith("verdict:")
+        with_verdict = itemsets.where(F.exists("items", ruling) & (F.size("items") > 1))
+        split = with_verdict.select(F.filter("items", lambda x: ~ruling(x)).alias("rule_tokens"), F.substring(F.filter("items", ruling)[0], 9, 2**31 - 1).alias("verdict"), F.col("freq").alias("both"))
+        base = itemsets.where((F.size("items") == 1) & ruling(F.col("items")[0])).select(F.substring(F.col("items")[0], 9, 2**31 - 1).alias("verdict"), F.col("freq").alias("of_verdict"))
+        rules = split.join(itemsets.select(F.col("items").alias("rule_tokens"), "freq"), "rule_tokens").join(base, "verdict")
+        rules = rules.select("rule_tokens", "verdict", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / F.lit(float(total or 1))).alias("support"), "of_verdict")
+        rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") * float(total or 1) > F.col("of_verdict"))).drop("of_verdict")
+        rules = steps.store(rules.withColumn("rule_no", F.xxhash64("rule_tokens", "verdict")))
+        # a rule goes if dropping one of its tokens leaves a rule for the same verdict that is as sure
+        shorter = rules.where(F.size("rule_tokens") > 1).select("rule_no", "verdict", "confidence", F.explode("rule_tokens").alias("t"), "rule_tokens")
+        shorter = shorter.select("rule_no", "verdict", "confidence", F.array_remove("rule_tokens", F.col("t")).alias("rule_tokens"))
+        kept = rules.select("rule_tokens", "verdict", F.col("confidence").alias("sure"))
+        needless = shorter.join(kept, ["rule_tokens", "verdict"]).where("sure >= confidence").select("rule_no").distinct()
+        rules = rules.join(needless, "rule_no", "left_anti")
+        common = itemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
+        keyed = rules.select("rule_no", F.explode("rule_tokens").alias("t")).join(common, "t").groupBy("rule_no").agg(F.min(F.struct("freq", "t"))["t"].alias("key"))
+        return steps.keep(rules.join(keyed, "rule_no").select("rule_tokens", "key", "verdict", "confidence", "support"))
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, url, host, path, rule, verdict, by ("rule", "mined" or "default"), mined (the tokens that decided), confidence."""
-    given = spark.createDataFrame(rules, "host string, path string, verdict string")
+    row = lambda r: F.struct(F.lit(r[0]).alias("host"), F.lit(r[1]).alias("path"), F.lit(r[2]).alias("verdict"))
+    given = spark.range(1).select(F.inline(F.array(*[row(r) for r in rules])))
     urls = tk.shared_checkpoint(spark, with_rules(pages, given).withColumn("tokens", url_tokens(F.col("host"), F.col("path"))))
     labelled = urls.where("ruled IS NOT NULL")
     best = "CAST(NULL AS struct<confidence:double,support:double,n:int,rule_tokens:array<string>,verdict:string>)"
     if labelled.isEmpty():
         matched = urls.withColumn("m", F.expr(best))
     else:
-        index = tk.small(tk.shared_checkpoint(spark, mine(labelled, min_support, min_confidence)), BROADCAST_ROWS)
+        index = tk.small(mine(spark, labelled, min_support, min_confidence))
         open_ = urls.where("ruled IS NULL").withColumn("key", F.explode_outer("tokens")).join(index, "key", "left")
         fits = F.col("rule_tokens").isNotNull() & (F.size(F.array_except("rule_tokens", "tokens")) == 0)
         found = F.struct("confidence", "support", F.size("rule_tokens").alias("n"), "rule_tokens", "verdict")
