@@ -5,6 +5,10 @@ WINDOW - GRAM + 1 of them, so any WINDOW words that a document shares with an
 item hold a fingerprint that both sides keep. The kept fingerprints are joined
 and each match is extended to both sides; runs of WINDOW words or more are hits.
 
+Grams that hold more than one in HOT_GRAMS of the items' places count as greater
+than all others on both sides, so a window is named by such a gram only if it
+has no other; the guarantee holds for any order.
+
 A fixed-size bit table of the items' fingerprints (1 MB, whatever the number of
 items) is applied before the join, so only a document's likely matches leave
 the scan. An item of fewer than WINDOW words is one window itself; documents
@@ -12,7 +16,10 @@ are then searched at every position for its length (winnowing with window 1).
 
 Nulls: a null text has no words; items with a null id mark words but are not
 listed. Repeated rows (same doc_id and text) give one row. Same doc_id with
-other text: a row each. An empty benchmark leaves every document clean.
+other text: a row each. Ties: of equal grams in a window the last one is kept,
+on both sides. An empty benchmark leaves every document clean; an empty table
+gives an empty one. Other columns, whatever their names, are not looked at; the
+filtering stage passes them through.
 """
 
 from __future__ import annotations
@@ -30,20 +37,23 @@ WINDOW = 10
 GRAM = 5
 #: Bits of the table that thins out fingerprints before the join: 1 MB.
 FILTER_BITS = 1 << 23
-#: Item fingerprints (about 200 bytes each) that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 40_000
+#: A gram of more than one in so many places of the items is common: there are fewer than this.
+HOT_GRAMS = 1_000
 
 _PRINT = "array<struct<k:int,fp:bigint,at:int,left:array<bigint>,mid:array<bigint>,right:array<bigint>>>"
 _PRINT_TYPE = pa.struct([("k", pa.int32()), ("fp", pa.int64()), ("at", pa.int32()), ("left", pa.list_(pa.int64())), ("mid", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 
 
-def winnow(grams: np.ndarray, first: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Indices of words whose gram is the (rightmost) minimum of a window that lies in one row."""
+def winnow(grams: np.ndarray, first: np.ndarray, gram: int, window: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Indices of words whose gram is the (rightmost) minimum of a window that lies in one row; common (ascending) grams come last in the order."""
     wide = window - gram + 1
     at = tk.gram_starts(first, window)
     if len(at) == 0:
         return at
-    views = np.lib.stride_tricks.sliding_window_view(grams, wide)[at, ::-1]
+    order = grams >> np.uint64(1)
+    if common is not None and len(common):
+        order = order | ((common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams).astype(np.uint64) << np.uint64(63))
+    views = np.lib.stride_tricks.sliding_window_view(order, wide)[at, ::-1]
     picked = at + (wide - 1 - views.argmin(axis=1))
     keep = np.zeros(len(grams), bool)
     keep[picked] = True
@@ -58,12 +68,12 @@ def _around(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> pa.
     return tk.list_array(pa.array(tk.signed(words[index])), counts)
 
 
-def _prints(words: np.ndarray, first: np.ndarray, lengths: list[int], bits: np.ndarray | None, whole: bool, window: int, gram: int) -> tuple[pa.Array, np.ndarray]:
+def _prints(words: np.ndarray, first: np.ndarray, lengths: list[int], bits: np.ndarray | None, whole: bool, window: int, gram: int, common: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Fingerprints of each row and how many. whole: a short row is one window; lengths: short windows to look for."""
     parts: list[tuple[np.ndarray, np.ndarray, int]] = []
     sizes = np.diff(first)
     grams = tk.gram_hashes(words, gram)
-    at = winnow(grams, first, gram, window)
+    at = winnow(grams, first, gram, window, common)
     parts.append((at, grams[at], gram))
     for m in lengths:
         fp = tk.gram_hashes(words, m)
@@ -90,7 +100,7 @@ def _prints(words: np.ndarray, first: np.ndarray, lengths: list[int], bits: np.n
     return values, np.bincount(row, minlength=len(sizes))
 
 
-def _scan(id_name: str, lengths: list[int], bits, whole: bool, window: int, gram: int):
+def _scan(id_name: str, lengths: list[int], bits, whole: bool, window: int, gram: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value if bits is not None else None
         for batch in batches:
@@ -98,7 +108,7 @@ def _scan(id_name: str, lengths: list[int], bits, whole: bool, window: int, gram
                 data = tk.LOWER[raw]
                 starts, ends, first = tk.word_spans(data, bounds, tk.ALNUM)
                 words = tk.span_hashes(data, starts, ends)
-                values, counts = _prints(words, first, lengths, table, whole, window, gram)
+                values, counts = _prints(words, first, lengths, table, whole, window, gram, common)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(id_name).slice(lo, hi - lo), batch.column("text_key").slice(lo, hi - lo), pa.array(np.diff(first)), tk.list_array(values, counts)],
                     names=[id_name, "text_key", "n_words", "prints"],
@@ -107,24 +117,47 @@ def _scan(id_name: str, lengths: list[int], bits, whole: bool, window: int, gram
     return run
 
 
+def _common_grams(spark: SparkSession, texts: DataFrame, gram: int) -> np.ndarray:
+    """Hashes of the grams that hold more than one in HOT_GRAMS of all places of texts: fewer than HOT_GRAMS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, bounds in tk.text_chunks(batch.column("text")):
+                data = tk.LOWER[raw]
+                starts, ends, first = tk.word_spans(data, bounds, tk.ALNUM)
+                grams = tk.gram_hashes(tk.span_hashes(data, starts, ends), gram)
+                u, n = np.unique(grams[tk.gram_starts(first, gram)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tk.signed(u)), pa.array(n.astype(np.int64))], names=["g", "n"])
+
+    with tk.Steps(spark) as steps:
+        counts = steps.store(texts.select("text").mapInArrow(tk.released(run), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        found = counts.where(F.col("n") > max(total / HOT_GRAMS, 20)).select("g").collect()
+    return np.sort(np.array([r.g for r in found], np.int64).view(np.uint64))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, n_hit, spans (array of [from, to) words), item_ids (array of strings)."""
     items = items.select(F.col("item_id").alias("doc_id"), "text")
     marked = items.select(F.col("doc_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", tk.text_key())
-    scan = lambda lengths: marked.mapInArrow(_scan("item_id", lengths, None, True, window, gram), f"item_id bigint, text_key bigint, n_words bigint, prints {_PRINT}")
-    of_items = scan(list(range(1, window))).select("item_id", F.explode("prints").alias("p")).select("item_id", "p.*")
-    of_items = tk.shared_checkpoint(spark, of_items.distinct())
+    common = _common_grams(spark, marked, gram)
+    of_items = marked.mapInArrow(_scan("item_id", list(range(1, window)), None, True, window, gram, common), f"item_id bigint, text_key bigint, n_words bigint, prints {_PRINT}")
+    of_items = tk.shared_checkpoint(spark, of_items.select("item_id", F.explode("prints").alias("p")).select("item_id", "p.k", "p.fp", "p.left", "p.mid", "p.right").distinct())
     lengths = sorted(-r.k for r in of_items.where("k < 0").select("k").distinct().collect())  # window - 1 values at most
     slots = of_items.selectExpr(f"fp & {FILTER_BITS - 1} AS b").selectExpr("shiftright(b, 6) AS slot", "shiftleft(1L, cast(b & 63 AS int)) AS bit")
     bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    for r in slots.groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits")).collect():  # as many rows as the table has slots at most
+    for r in slots.groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits")).toLocalIterator():  # as many rows as the table has slots at most
         bits[r.slot] = np.uint64(r.bits & (2**64 - 1))
     held = spark.sparkContext.broadcast(bits)
 
-    scanned = tk.keyed_texts(docs).mapInArrow(tk.released(_scan("doc_id", lengths, held, False, window, gram)), f"doc_id bigint, text_key bigint, n_words bigint, prints {_PRINT}")
-    d = scanned.select("doc_id", "text_key", "n_words", F.explode_outer("prints").alias("d")).alias("d")
-    i = tk.small(of_items.select("item_id", F.struct("k", "fp", "left", "mid", "right").alias("i")), BROADCAST_ROWS).alias("i")
-    joined = d.join(i, (F.col("d.k") == F.col("i.k")) & (F.col("d.fp") == F.col("i.fp")), "left")
+    scanned = tk.keyed_texts(docs).mapInArrow(tk.released(_scan("doc_id", lengths, held, False, window, gram, common)), f"doc_id bigint, text_key bigint, n_words bigint, prints {_PRINT}")
+    d = scanned.select("doc_id", "text_key", "n_words", F.explode_outer("prints").alias("d")).select("doc_id", "text_key", "n_words", "d", "d.k", "d.fp")
+    i = of_items.select("item_id", "k", "fp", F.struct("fp", "left", "mid", "right").alias("i"))
+    if (i.agg(F.sum(tk.row_bytes(i))).first()[0] or 0) <= tk.BROADCAST_BYTES * 8:  # items of a benchmark of usual size
+        joined = d.join(F.broadcast(i), ["k", "fp"], "left")
+    else:
+        d = tk.shared_checkpoint(spark, d)
+        joined = tk.skew_join(d, i, tk.shared_checkpoint(spark, d.where("fp IS NOT NULL").groupBy("k", "fp").agg(F.count("*").alias("n"))), ["k", "fp"], "left")
     run = lambda side: F.zip_with(f"d.{side}", f"i.{side}", lambda a, b: F.coalesce(a == b, F.lit(False)))
     same = lambda side: F.when(F.array_position(run(side), F.lit(False)) == 0, F.size(run(side))).otherwise(F.array_position(run(side), F.lit(False)) - 1)
     joined = joined.withColumn("lo", F.col("d.at") - same("left")).withColumn("hi", F.col("d.at") + F.abs("d.k") + same("right"))
@@ -152,7 +185,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay."""
-    return tk.without(docs, decontaminate(spark, docs, items).where("n_hit > 0"))
+    gone = tk.shared_checkpoint(spark, decontaminate(spark, docs, items).where("n_hit > 0").select("doc_id", "text_key"))
+    return tk.without(spark, docs, gone)
 
 
 OP1_SQL = rf"""
