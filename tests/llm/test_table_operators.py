@@ -12,6 +12,7 @@ from graphloom.llm import textkit as tk
 
 from ..conftest import rows
 from .conftest import write_tables
+from .test_line_runs import brute_runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,13 @@ def normal(df):
     return columns, sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df[columns].itertuples(index=False))
 
 
+def test_brute_lines_are_the_runs():
+    rng = random.Random(12)
+    for _ in range(60):
+        texts = ["\n".join(rng.choice(["a", "b", "c d", ""]) for _ in range(rng.randint(0, 14))) for _ in range(5)]
+        assert brute_lines(texts, 4) == brute_runs(texts, 4)
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_query_with_sql(spark, name):
     con = duckdb.connect()
@@ -50,23 +58,21 @@ def test_components(spark):
 
 # 6: line dedup
 def brute_lines(texts, least):
-    """Texts in order, less later copies: every run of lines from i on that has least words, cut as short as it can be."""
+    """Texts in order, less later copies of maximal runs: from each line on, the longest run that has an earlier copy which it doesn't overlap, if it has least words."""
     split = [[(n, x.strip(" \t\n\r\v\f"), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for n, x in enumerate((t or "").split("\n"))] for t in texts]
     split = [[x for x in s if x[2]] for s in split]
-    seen, gone = {}, [set() for _ in texts]
+    places, gone = collections.defaultdict(list), [set() for _ in texts]
     for d, s in enumerate(split):
         for i in range(len(s)):
-            n, j = 0, i
-            while j < len(s) and n < least:
-                n += s[j][2]
-                j += 1
-            if n < least:
-                break
-            key = tuple(x[1] for x in s[i:j])
-            if key not in seen:
-                seen[key] = (d, i)
-            elif seen[key][0] != d or i >= seen[key][1] + (j - i):
-                gone[d] |= set(range(s[i][0], s[j - 1][0] + 1))
+            longest = 0
+            for e, f in places[s[i][1]]:
+                n = 0
+                while i + n < len(s) and f + n < len(split[e]) and s[i + n][1] == split[e][f + n][1] and (e != d or f + n < i):
+                    n += 1
+                longest = max(longest, n)
+            if sum(x[2] for x in s[i : i + longest]) >= least:
+                gone[d] |= set(range(s[i][0], s[i + longest - 1][0] + 1))
+            places[s[i][1]].append((d, i))
     return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g) for t, g in zip(texts, gone, strict=True)]
 
 
@@ -157,6 +163,41 @@ def test_a_large_group_of_alike_texts(spark):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id >= 900)
 
 
+def test_pairs_at_the_threshold_meet_at_any_depth(spark):
+    """Sketches that agree in each place with the threshold's probability share a node of the deepest level in some tree."""
+    import numpy as np
+
+    rng, n, s = np.random.default_rng(18), 400, 0.85
+    one = rng.integers(0, 2**32, (n, neardup.SKETCH), dtype=np.uint32)
+    two = np.where(rng.random(one.shape) < s, one, rng.integers(0, 2**32, one.shape, dtype=np.uint32))
+    values = np.concatenate([one, two])
+    rows_, nodes = neardup.paths(values, s)
+    level = spark.createDataFrame(list(zip(rows_.tolist(), nodes.view(np.int64).tolist(), strict=True)), "rid bigint, node bigint")
+    reps = spark.createDataFrame([(i, bytearray((v & 255).astype(np.uint8).tobytes())) for i, v in enumerate(values)], "rid bigint, sketch binary")
+    pair = F.col("rid") % n
+    for depth in range(2, neardup.DEPTH + 1):
+        both = level.groupBy(pair.alias("pair"), "node").agg(F.countDistinct("rid").alias("c")).where("c = 2")
+        met = both.select("pair").distinct().count()
+        assert met >= n - 1, depth
+        together = both.select("pair", "node")
+        level = level.withColumn("pair", pair).join(together, ["pair", "node"]).select("rid", "node")
+        level = tk.shared_checkpoint(spark, neardup._children(level, reps, s))
+
+
+@pytest.mark.parametrize("what", ["salts", "blocks"])
+def test_hot_keys_and_long_texts_are_dealt_out(spark, monkeypatch, what):
+    """Every join by shuffle and salts, or full sets in blocks of a few shingles: the same components."""
+    monkeypatch.setattr(tk, "BROADCAST_BYTES", -1) if what == "salts" else monkeypatch.setattr(neardup, "ITEMS", 300)
+    monkeypatch.setattr(tk, "HOT_SHARE", 20)
+    monkeypatch.setattr(neardup, "LIMIT", 10)
+    rng = random.Random(19)
+    base = [f"w{rng.randrange(5000)}" for _ in range(90)]
+    docs = [" ".join(edited(rng, base, rng.choice([0, 1, 3, 5, 7]))) for _ in range(60)] + [" ".join(base[:40] + [f"z{rng.randrange(99)}" for _ in range(30)]) for _ in range(20)]
+    pairs = list(enumerate(docs))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, spark.createDataFrame(pairs, "doc_id bigint, text string"), 3, 85).collect()}
+    assert got == brute_components(pairs, 3, 85)
+
+
 # 8: url filter
 RULES = [(h + p, h, p, v) for h, p, v in urls.RULES]
 
@@ -203,9 +244,20 @@ def test_snapshots_collapse(spark):
 
 
 @pytest.mark.parametrize("name", ["op8_url_filter", "op10_chat_format"])
-def test_native_queries_run_no_python(spark, name):
-    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_native_queries_run_no_python(spark, name, monkeypatch):
+    """No plan that ran on the way, the steps' own included, has a Python operator, and no rows come out of Python."""
+
+    def none(*_, **__):
+        raise AssertionError("rows made in Python")
+
+    for method in ("parallelize", "runJob"):
+        monkeypatch.setattr(type(spark.sparkContext), method, none)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    plans = [store.executionsList(int(i), 1).apply(0).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    assert len(plans) > 1 and any("Scan parquet" in p for p in plans)
+    assert not any(re.search("Python|Pandas|Arrow", p) for p in plans)
 
 
 # the pipeline

@@ -99,7 +99,7 @@ def test_signatures():
     broken = png.replace(b"IDAT", b"IDAX")
     assert media.signatures(broken) == []
     payload = media.pad(b"q" + png + b"BM")
-    assert media.load(media.store(payload)) == (payload, [media.Found("image/png", 1, 1 + len(png))])
+    assert media.load(media.store(payload)) == (1, 8000, 8, payload, [media.Found("image/png", 1, 1 + len(png))])
     with pytest.raises(ValueError):
         media.load(b"RIFF")
 
@@ -277,3 +277,201 @@ def test_rows_without_language_go(spark, odd_docs):
 def test_counts_cover_whole_texts():
     at, n = langid.gram_counts(LONG)
     assert n.sum() == 3 * len(LONG) - 3 and langid.gram_counts("")[0].size == 0
+
+
+def test_compiled_arcs_are_those_of_the_states(pair):
+    """Whether an arc is there, read off the gadgets, against the states' own records."""
+    a, rng = pair[0].automaton, random.Random(13)
+    n = len(a.labels)
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(3000)] + [(a.left[m], a.right[m]) for m in rng.sample(range(n), 2000) if a.made[m] >= 0] + [(-1, rng.randrange(n)) for _ in range(50)]
+    x, y = (np.array(v) for v in zip(*pairs, strict=True))
+    want = [a.leaves(a.state[p] if p >= 0 else 0, q) for p, q in pairs]
+    assert a.arcs(x, y).tolist() == want and a.arcs(x, y).tolist() == want and 1000 < sum(want) < 4000
+
+
+def test_batches_forget_nothing_that_matters(pair, monkeypatch):
+    """Words that are long, that repeat, and that no longer fit the tables get the same tokens."""
+    mine, theirs = pair
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choice("abcdeénou") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["ab" * 3000, "x" * 200 + " y", "", "Σσ ΑΣ"]
+    monkeypatch.setattr(mine, "cache_words", 40)
+    mine.forget()
+    for lo in range(0, len(texts), 7):
+        for text, (ids, decoded) in zip(texts[lo : lo + 7], mine.batch(texts[lo : lo + 7]), strict=True):
+            want = theirs.encode(text, add_special_tokens=False).ids
+            assert ids == " ".join(map(str, want)) and decoded == theirs.decode(want, skip_special_tokens=False)
+
+
+def test_the_query_matches_the_library(spark, odd_docs, pair, tmp_path):
+    got = bpe.op5(spark, write_tables(spark, tmp_path, documents=odd_docs))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = []
+    for r in odd_docs.collect():
+        ids = pair[1].encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(pair[1].decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert rows(got) == sorted(want, key=repr)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: pair[1].encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+    assert {r.doc_id: r.n_tokens for r in bpe.op5(spark, "/root/testdata/sf0.001").collect()} == {i: len(x) for i, x in texts.items()}
+
+
+def test_words_of_one_structure_have_other_hashes():
+    """Thue-Morse words and their complements, which collide in every polynomial hash modulo a power of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+    for n in (64, 1024, 4096):
+        data = np.frombuffer((word[:n] + " " + word[:n].translate({97: 98, 98: 97})).encode(), np.uint8)
+        for seed in (0, 1):
+            a, b = tk.span_hashes(data, np.array([0, n + 1]), np.array([n, 2 * n + 1]), seed)
+            assert a != b
+    data = np.frombuffer(b"same same", np.uint8)
+    h = [tk.span_hashes(data, np.array([0, 5]), np.array([4, 9]), seed) for seed in (0, 1)]
+    assert h[0][0] == h[0][1] and h[1][0] == h[1][1] and h[0][0] != h[1][0]
+
+
+def brute_toxicity(docs, labels):
+    """Scores of docs (id -> text) learned from labels (id -> 0 or 1): counts, odds, segments and calibration word by word. Its texts have no near copies, only exact ones."""
+    t = toxicity
+
+    def tokens(w):
+        b = w.encode()
+        return [w, ("stem", b[: t.STEM])] if len(b) > t.STEM else [w]
+
+    held = {i: {x for w in words(text) for x in tokens(w)} for i, text in docs.items()}
+    once = {}
+    for i in sorted(labels):
+        if i in docs:
+            once.setdefault((tuple(words(docs[i])), labels[i]), i)
+    toxic, clean = ([i for (_, v), i in once.items() if v == k] for k in (1, 0))
+    count = lambda ids, x: sum(x in held[i] for i in ids)
+    lexicon = {}
+    for x in set().union(*[held[i] for i in toxic]):
+        a, b, n = count(toxic, x), count(clean, x), count(docs, x)
+        alpha = t.PRIOR_FLOOR + t.PRIOR_MASS * n / (len(docs) * 100)
+        odds = np.log((a + alpha) / (len(toxic) + alpha * 2 - a)) - np.log((b + alpha) / (len(clean) + alpha * 2 - b))
+        if a >= t.MIN_DOCS and odds >= t.MIN_ODDS and odds / np.sqrt(1 / (a + alpha) + 1 / (b + alpha)) >= t.MIN_Z:
+            lexicon[x] = (odds, a, b)
+    penalty = min(0.5, max(0.02, sum(a for _, a, _ in lexicon.values()) / len(toxic) / 100))
+    lam = t.extreme_value_rate(np.array([round(o, 2) for o, _, _ in lexicon.values()]), np.array([(b + 0.5) / (len(clean) * 100) for _, _, b in lexicon.values()]), penalty)
+
+    def measure(text):
+        w = words(text)
+        scores = [max([lexicon[x][0] for x in tokens(v) if x in lexicon], default=-penalty) for v in w]
+        total = [sum(scores[a:b]) for a, b in brute_segments(scores)]
+        return -np.log(max(len(w), 1)) + (np.logaddexp.reduce([lam * s for s in total]) if total else 0)
+
+    x = np.array([round(measure(docs[i]) / t.BIN) * t.BIN for i in once.values()])
+    y = np.array([v for _, v in once], float)
+    slope, offset = t._logistic(x, y, 1 - y)
+    return {i: 1 / (1 + np.exp(-(slope * measure(text) + offset))) for i, text in docs.items()}
+
+
+def test_toxicity_matches_brute_force(spark, tmp_path):
+    rng = random.Random(15)
+    plain, bad = [f"wor{'xyz'[i % 3]}d{i}" for i in range(60)], ["vileness", "vilest", "awful", "rot"]
+    docs, labels = {}, {}
+    for i in range(160):
+        text = [rng.choice(plain) for _ in range(rng.randint(0, 40))]
+        if i % 3 == 0:
+            for _ in range(rng.randint(1, 3)):
+                text.insert(rng.randint(0, len(text)), rng.choice(bad))
+        docs[i] = " ".join(text)
+        if i < 130:
+            labels[i] = int(i % 3 == 0) if rng.random() < 0.95 else 1
+    docs[200] = docs[201] = docs[3]
+    labels |= {200: 1, 201: 0}
+    d = write_tables(spark, tmp_path, documents=spark.createDataFrame([(i, t, "x") for i, t in docs.items()], "doc_id bigint, text string, toxic string"), labels=spark.createDataFrame([(i, v, "y") for i, v in labels.items()], "doc_id bigint, toxic int, text string"))
+    used = {i: v for i, v in labels.items() if zlib.crc32(str(i).encode()) % 5}
+    want = brute_toxicity(docs, used)
+    got = {r.doc_id: r.score for r in toxicity.op3(spark, d).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+    assert len({round(x, 3) for x in want.values()}) > 10
+
+
+def test_texts_that_share_one_passage_are_no_copies():
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(62)), "text": [*texts, texts[0], texts[0].upper()]})
+    keys = [k for b in toxicity._copy_keys(iter([batch])) for k in b.column("near").to_pylist()]
+    assert len(set(keys[:60])) == 60 and keys[60] == keys[61] == keys[0]
+
+
+def test_feature_and_form_of_stored_texts(spark, odd_docs, tmp_path):
+    """media_sha256 and feature, recomputed from the format's definition; equal texts have equal values."""
+    import io
+    import wave
+
+    got = media.op2(spark, write_tables(spark, tmp_path, documents=odd_docs)).collect()
+    texts = {}
+    for r in got:
+        texts.setdefault(r.payload_sha256, set()).add((r.media_sha256, r.feature, r.media_bytes))
+    assert all(len(x) == 1 for x in texts.values())
+    for r in odd_docs.collect():
+        raw = (r.text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(payload)
+        signs = [x >= 128 for x in payload]
+        want = f"audio/wav;channels=1;rate=8000;bits=8;peak={max(abs(x - 128) for x in payload)};crossings={sum(a != b for a, b in zip(signs, signs[1:]))}"
+        assert texts[hashlib.sha256(payload).hexdigest()] == {(hashlib.sha256(out.getvalue()).hexdigest(), want, len(out.getvalue()))}
+
+
+def test_declared_types_are_corrected(spark):
+    wav, gz = media.store(b"ab"), zlib.compress(b"x" * 5, wbits=31)
+    rows_ = [(1, wav, "audio/wav"), (2, wav, "image/png"), (3, b"plain", "image/gif"), (4, b"plain", "application/octet-stream"), (5, None, "x"), (6, gz + b"--" + gz, None)]
+    got = {r.key: (r.media_type, r.corrected, len(r.carved)) for r in media.correct_types(spark.createDataFrame(rows_, "key int, media binary, declared string")).collect()}
+    assert got == {1: ("audio/wav", False, 0), 2: ("audio/wav", True, 0), 3: ("application/octet-stream", True, 0), 4: ("application/octet-stream", False, 0), 5: (None, False, 0), 6: ("application/gzip", True, 1)}
+    back = media.read_back(spark.createDataFrame(rows_, "key int, media binary, declared string")).where("payload IS NOT NULL").collect()
+    assert {(r.key, bytes(r.payload), r.rate) for r in back} == {(1, b"ab", 8000), (2, b"ab", 8000)}
+    with pytest.raises(ValueError):
+        media.read_back(spark.createDataFrame([(b"", 1)], "media binary, RATE int"))
+
+
+def test_many_signatures_take_linear_time():
+    import time
+
+    def seconds(data):
+        began = time.perf_counter()
+        media.signatures(data)
+        return time.perf_counter() - began
+
+    end = b"PK\x05\x06" + bytes(18)
+    bomb = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = b"".join([bomb.compress(bytes(1 << 20)) for _ in range(200)]) + bomb.flush()
+    assert media.carve(b"-" + bomb) == [media.Found("application/gzip", 1, 1 + len(bomb))]
+    for text in (b"PK\x03\x04" * 200_000, end * 20_000 + b"PK\x03\x04" * 50_000, b"%PDF-" * 200_000 + b"%%EOF", b"%PDF-%%EOF" * 50_000):
+        assert seconds(text) < 5
+    archive = b"PK\x03\x04" + bytes(10) + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 1, 1, 4, 10, 0)
+    assert media.carve(b"??" + archive + b"??") == [media.Found("application/zip", 2, 2 + len(archive))]
+
+
+def test_whole_licenses_and_words_that_only_hash_alike(spark, tmp_path):
+    mit = licenses._MIT.replace("software", "program", 3).upper()
+    half = " ".join(licenses._MIT.split()[40:100])
+    docs = spark.createDataFrame([(1, "Copyright (c) 2020 X\n" + mit, "l", 1), (2, half, "l", 1), (3, licenses._ISC + " and " + licenses._BSD_2, "l", 1)], "doc_id bigint, text string, label string, votes int")
+    spans = licenses.license_spans(spark, docs).where("NOT exact AND cover >= 0.75").collect()
+    assert {(r.doc_id, r.label) for r in spans if r.to_word - r.from_word > 100} == {(1, "mit"), (3, "isc"), (3, "bsd")}
+    assert not [r for r in spans if r.doc_id == 2]
+    got = {r.doc_id: r.labels for r in licenses.op4(spark, write_tables(spark, tmp_path, documents=docs)).collect()}
+    assert got == {1: "mit", 2: "", 3: "bsd,isc"}
+    with pytest.raises(ValueError):
+        licenses.license_spans(spark, docs, [("mit license", "mit")], [])
+
+
+def test_common_grams_of_a_large_benchmark(spark, monkeypatch):
+    """Many items with one common passage, joined by shuffle: the same hits as by brute force."""
+    monkeypatch.setattr(tk, "BROADCAST_BYTES", 0)
+    rng = random.Random(17)
+    some = " ".join(f"c{i}" for i in range(14))
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    bench = [(i, f"{text(rng.randint(0, 9))} {some} {text(rng.randint(0, 9))}") for i in range(60)] + [(60 + i, text(rng.randint(0, 14))) for i in range(10)]
+    docs = [(i, f"{text(30)} {some if i % 2 else 'c1 c2 c3 c4 c5'} {text(rng.randint(0, 40))}") for i in range(40)]
+    frame = lambda rows_, name: spark.createDataFrame(rows_, f"{name} bigint, text string")
+    assert len(decontaminate._common_grams(spark, frame(bench, "item_id"), 5)) >= 10
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.decontaminate(spark, frame(docs, "doc_id"), frame(bench, "item_id")).collect()}
+    assert got == {i: brute_hits(t, bench) for i, t in docs}

@@ -9,5 +9,18 @@ def test_a_rule_of_four_tokens_is_kept(spark):
     # a verdict that only all four tokens together give; every three of them go with the other one half of the time
     rows = [(["a", "b", "c", "d"], "block")] * 10
     rows += [([t for t, on in zip("abcd", held, strict=True) if on], "allow") for held in product((0, 1), repeat=4) if sum(held) < 4 for _ in range(10)]
-    mined = urls.mine(spark.createDataFrame(rows, "tokens array<string>, ruled string")).where("verdict = 'block'").collect()
+    mined = urls.mine(spark, spark.createDataFrame(rows, "tokens array<string>, ruled string")).where("verdict = 'block'").collect()
     assert [(r.rule_tokens, r.confidence) for r in mined] == [(["a", "b", "c", "d"], 1.0)]
+
+
+def test_ties_long_urls_and_clashing_columns(spark):
+    """Two mined rules as sure and as frequent: the one with more tokens, then the greater tokens, decides; very long urls are read whole."""
+    far = "/x" * 20_000
+    pages = [(i, f"http://a{i}.example.com/en/{i}") for i in range(40)] + [(50 + i, f"http://a{i}.example.com/de/{i}") for i in range(40)] + [(100, f"http://b.org{far}/en/"), (101, "http://c.org" + far), (None, f"http://d.example.com/en{far}"), (102, None)]
+    docs = spark.createDataFrame([(*p, "r", "v", 1) for p in pages], "page_id bigint, url string, rule string, verdict string, key int")
+    got = {r.page_id: r for r in urls.judge(spark, docs).collect()}
+    assert got[100].verdict == "block" and got[100].by == "mined" and got[101].by in ("mined", "default") and got[None].rule == "example.com/en/" and got[102].host == ""
+    assert len(got[100].path) == len(far) + 4
+    tied = [(["a", "z"], "block")] * 10 + [(["b", "z"], "allow")] * 10 + [(["q"], "allow")] * 2
+    mined = urls.mine(spark, spark.createDataFrame(tied, "tokens array<string>, ruled string")).collect()
+    assert {(tuple(r.rule_tokens), r.verdict, r.confidence) for r in mined} >= {(("a",), "block", 1.0), (("b",), "allow", 1.0)}
