@@ -49,6 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tk.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = tk.shared_checkpoint(spark, stage(spark, docs, sf_dir))
+    with tk.Steps(spark) as steps:
+        for name, stage in STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            done, docs = docs, steps.keep(out) if name == STAGES[-2][0] else steps.store(out)
+            steps.drop(done)
     return STAGES[-1][1](spark, docs, sf_dir)
