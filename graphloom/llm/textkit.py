@@ -10,8 +10,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce as fold
 from functools import wraps
@@ -23,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.storage import delete, stored
+
 #: Bytes of text handled at once; a longer single text forms a chunk alone.
 CHUNK_BYTES = 1 << 21
 #: 8-byte pieces that are hashed at once, unless one span has more.
@@ -239,12 +239,10 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def skew_join(many: DataFrame, one: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """many joined (inner or left) on keys with one, which has a row for each key; counts (keys, n; a stored table) says how many rows of many have each.
 
-    A small `one` is broadcast. Else hot keys, those of more than one in
-    HOT_SHARE rows, are dealt out by a salt, and their rows of `one` repeated for
-    each: twice HOT_SHARE rows at most.
+    Hot keys, those of more than one in HOT_SHARE rows, are dealt out by a salt,
+    and their rows of `one` repeated for each: twice HOT_SHARE rows at most. It
+    is the same at every size.
     """
-    if (one.agg(F.sum(row_bytes(one))).first()[0] or 0) <= BROADCAST_BYTES:
-        return many.join(F.broadcast(one), keys, how)
     total = counts.agg(F.sum("n")).first()[0] or 0
     share = max(1, total // HOT_SHARE)
     deal, salt = fresh(many.join(one.limit(0), keys), "hot_deal", "hot_salt")
@@ -264,37 +262,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: spark.checkpoint.dir, which all machines share. Unset, a folder of our own does where driver and workers are one process's."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if sc.applicationId not in _own:
-            _own[sc.applicationId] = tempfile.mkdtemp(prefix="graphloom-")
-        found = _own[sc.applicationId]
-    folder = f"{found.rstrip('/')}/graphloom-{sc.applicationId}"
-    if folder not in _at_exit:
-        _at_exit.add(folder)
-        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(place)
-        files.deleteOnExit(place)
-    return folder
-
-
-_own: dict[str, str] = {}
-_at_exit: set[str] = set()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 class Steps:
     """Tables that an operator writes on its way. Leaving the block deletes all but those that were kept.
 
@@ -312,11 +279,11 @@ class Steps:
 
     def __exit__(self, *_: object) -> None:
         for path in self.paths:
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def store(self, df: DataFrame) -> DataFrame:
         """df written and read again: lineage ends here."""
-        out, path = _stored(self.spark, df)
+        out, path = stored(self.spark, df)
         self.paths.append(path)
         return out
 
@@ -325,28 +292,15 @@ class Steps:
         names = {file.rsplit("/", 2)[-2] for t in tables for file in t.inputFiles()[:1]}
         for path in [x for x in self.paths if x.rsplit("/", 1)[-1] in names]:
             self.paths.remove(path)
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return _stored(self.spark, df)[0]
-
-
-def _stored(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, and its path. Its shuffle files go as soon as it is written."""
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path), path
+        return stored(self.spark, df)[0]
 
 
 def shared_checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir and read from there."""
-    return _stored(spark, df)[0]
+    return stored(spark, df)[0]
 
 
 #: SQL of the words of column text, for DuckDB.
