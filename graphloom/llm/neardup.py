@@ -6,7 +6,7 @@ a hash of the node's path selects (1 / similarity of them on average) into the
 children of their values. Two levels are made in the scan; a node that leaves
 too many pairs to compare branches on in Spark, to DEPTH at most. Two documents
 at the very threshold share a node of level 2 in some tree but for a chance of
-5e-10, and one of level DEPTH but for 1e-4 (TREES is chosen for that), so how
+3e-7, and one of level DEPTH but for 1e-4 (TREES is chosen for that), so how
 deep a node branches, which depends on its size, hardly bears on what is found.
 
 Nodes are compared in two steps, so that groups of alike texts of any size take
@@ -34,7 +34,6 @@ from collections.abc import Iterator
 from functools import reduce as fold
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +42,14 @@ from . import textkit as tk
 from .graph import components
 
 SKETCH = 128
-TREES = 34
+TREES = 24
 #: Members that are compared at once; larger sets of them are dealt out in blocks.
 LIMIT = 400
 #: Shingles (8 bytes each) of the full sets in a block, but for a set that has more by itself.
 ITEMS = 1_000_000
 #: A node branches on if more members than this are outside its largest class; to DEPTH levels at most.
 BRANCH = 2_000
-DEPTH = 6
+DEPTH = 4
 #: Members of a task that compares.
 TASK_MEMBERS = 4_000
 
@@ -178,61 +177,102 @@ def _similar(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def _pairs(part: pd.DataFrame, percent: int) -> np.ndarray:
-    """(agreement of sketches, x, y) for rows x, y of different classes, and sides if there are any, that may be similar."""
+#: Pairs of members whose sketches are compared at once.
+_PAIRS = 1 << 18
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Members by group, never a part of a group, from batches in the order of groups; in a group those of side 1 come first."""
+    left = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        part = part if left is None else pa.concat_tables([left, part])
+        group = part.column("group").to_numpy()
+        if len(group):
+            cut = int(np.flatnonzero(np.append(True, group[1:] != group[:-1]))[-1])
+            left = part.slice(cut)
+            if cut:
+                yield part.slice(0, cut)
+    if left is not None and len(left):
+        yield left
+
+
+def _agreeing(sketch: np.ndarray, x: np.ndarray, y: np.ndarray, words: int) -> np.ndarray:
+    """In how many of the first 8 * words bytes sketches x and y agree."""
+    differ = sketch[x, :words] ^ sketch[y, :words]
+    return 8 * words - np.bitwise_count((((differ & _LOW) + _LOW) | differ) & _HIGH).sum(axis=1, dtype=np.int64)
+
+
+def _pairs(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, places in which their sketches agree) of rows of one group and different classes, and sides if there are any, that may be similar."""
     share = percent / 100
-    least = share - 4.5 * np.sqrt(share * (1 - share) / SKETCH)
-    sketch = np.stack([np.frombuffer(x, np.uint8) for x in part["sketch"]])
-    classes, side = part["cls"].to_numpy(), part["side"].to_numpy()
-    one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-    if len(one) > len(two):
-        one, two = two, one
-    dealt = bool(len(one) and len(two))
-    found = [np.zeros((0, 3))]
-    for x in one if dealt else range(len(part) - 1):
-        others = two if dealt else np.arange(x + 1, len(part))
-        y = others[classes[others] != classes[x]]
-        agree = (sketch[y] == sketch[x]).mean(axis=1)
-        y, agree = y[agree >= least], agree[agree >= least]
-        found.append(np.stack([agree, np.full(len(y), x, float), y.astype(float)], axis=1))
-    return np.concatenate(found)
+    least = lambda n: n * (share - 4.5 * np.sqrt(share * (1 - share) / n))
+    group, classes, side = (part.column(c).to_numpy() for c in ("group", "cls", "side"))
+    sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u8").reshape(len(part), SKETCH // 8)
+    row = np.arange(len(part))
+    new = np.append(True, group[1:] != group[:-1])
+    number = np.cumsum(new) - 1
+    end = np.append(np.flatnonzero(new)[1:], len(part))[number]
+    ones = np.bincount(number, weights=side == 1).astype(np.int64)[number]
+    # a row meets those after it, or, of two sides, a row of side 1 the rows of side 0, which come last
+    begin = np.where(side == 1, np.flatnonzero(new)[number] + ones, np.where(side == 0, end, row + 1))
+    count = end - begin
+    found = [[np.zeros(0, np.int64)] * 3]
+    lo, upto = 0, np.concatenate([[0], np.cumsum(count)])
+    while lo < len(part):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _PAIRS, side="right")) - 1)
+        x = np.repeat(row[lo:hi], count[lo:hi])
+        y = begin[x] + np.arange(len(x)) - np.repeat(upto[lo:hi] - upto[lo], count[lo:hi])
+        keep = classes[x] != classes[y]
+        x, y = x[keep], y[keep]
+        for words in (4, SKETCH // 8):  # most are told apart by a quarter of their sketches
+            agree = _agreeing(sketch, x, y, words)
+            keep = agree >= least(8 * words)
+            x, y, agree = x[keep], y[keep], agree[keep]
+        found.append([x, y, agree])
+        lo = hi
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
 
 
 def _likely(percent: int):
-    """The members of a node with a likely partner in another class."""
+    """The members of a group with a likely partner in another class."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        pairs = _pairs(part, percent)[:, 1:].astype(int)
-        return part.iloc[np.unique(pairs)][["rid", "cls", "group", "side"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches):
+            x, y, _ = _pairs(part, percent)
+            yield from part.take(pa.array(np.unique(np.concatenate([x, y])))).select(["rid", "cls", "group", "side"]).to_batches()
 
     return run
 
 
 def _across(percent: int):
-    """Links between classes of one node: exact on full sets, pairs with like sketches first, none between classes already joined."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rid", kind="stable")
-        rids, classes = part["rid"].to_numpy(), part["cls"].to_numpy()
-        sets = [np.asarray(x, np.int64) for x in part["items"]]
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while parent.get(c, c) != c:
-                c = parent[c]
-            return c
-
-        out = []
-        found = _pairs(part, percent)
-        for _, x, y in found[np.argsort(-found[:, 0], kind="stable")]:
-            x, y = int(x), int(y)
-            p, q = root(classes[x]), root(classes[y])
-            if p != q:
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if _similar(common, len(sets[x]), len(sets[y]), percent):
-                    parent[max(p, q)] = min(p, q)
-                    out.append((int(rids[x]), int(rids[y])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    """Links between classes of one group: exact on full sets, pairs with like sketches first, none between classes already joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches):
+            group, rids, classes = (part.column(c).to_numpy() for c in ("group", "rid", "cls"))
+            items = part.column("items").combine_chunks()
+            bounds, values = items.offsets.to_numpy(), items.values.to_numpy()
+            x, y, agree = _pairs(part, percent)
+            out, parent, now = [], {}, None
+
+            def root(c: int) -> int:
+                while parent.get(c, c) != c:  # noqa: B023
+                    c = parent[c]  # noqa: B023
+                return c
+
+            for i in np.lexsort((rids[y], rids[x], -agree, group[x])):
+                a, b = int(x[i]), int(y[i])
+                if group[a] != now:
+                    parent, now = {}, group[a]
+                p, q = root(int(classes[a])), root(int(classes[b]))
+                if p != q:
+                    one, two = values[bounds[a] : bounds[a + 1]], values[bounds[b] : bounds[b + 1]]
+                    if _similar(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two), percent):
+                        parent[max(p, q)] = min(p, q)
+                        out.append((int(rids[a]), int(rids[b])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 2)], names=["a", "b"])
 
     return run
 
@@ -273,8 +313,8 @@ def _dealt(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
 
 
 def _spread(members: DataFrame, n: int) -> DataFrame:
-    """members partitioned by group, in as many tasks as n of them are worth: comparing costs time, not bytes."""
-    return members.repartition(max(1, -(-n // TASK_MEMBERS)), "group")
+    """members partitioned by group and in its order, in as many tasks as n of them are worth: comparing costs time, not bytes."""
+    return members.repartition(max(1, -(-n // TASK_MEMBERS)), "group").sortWithinPartitions("group", F.desc("side"), "rid")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -325,10 +365,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         todo = _crossed(crossing, sizes).unionAll(_dealt(within, nodes.select(F.col("node").alias("group"), "size", "n"), LIMIT))
         todo = steps.store(todo.join(reps.select("rid", "sketch"), "rid"))
         # by their sketches first: only members with a likely partner in another class take their full sets along
-        near = steps.store(_spread(todo, todo.count()).groupBy("group").applyInPandas(_likely(percent), "rid bigint, cls bigint, `group` bigint, side int"))
+        near = steps.store(_spread(todo, todo.count()).mapInArrow(tk.released(_likely(percent)), "rid bigint, cls bigint, `group` bigint, side int"))
         weighed = near.join(reps.select("rid", "size"), "rid").groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
         parted = steps.store(_dealt(near, steps.store(weighed), ITEMS).join(reps.select("rid", "sketch"), "rid"))
-        more = _spread(parted.join(sets, "rid"), parted.count()).groupBy("group").applyInPandas(_across(percent), "a bigint, b bigint")
+        more = _spread(parted.join(sets, "rid"), parted.count()).mapInArrow(tk.released(_across(percent)), "a bigint, b bigint")
         roots = components(spark, steps.store(linked.unionByName(more).distinct()))
         placed = reps.select("rid", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         placed = steps.store(placed)
