@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def numbered(df: DataFrame, keys: list[str], name: str, start: int = 0) -> DataFrame:
     """df with a column that counts its rows, in order of keys (which are unique), from start.
 
-    The rows are sorted by ranges; only the ranges' row counts reach the driver,
-    so no task sees more than its range.
+    The rows are sorted by ranges, and each is numbered in its range as it is
+    written; only the ranges' row counts reach the driver, so no task sees more
+    than its range. The written table is what later plans read: a lost executor
+    can't lead to other ranges.
     """
-    part = f"__{name}_part"
-    ordered = df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id())
-    ordered = ordered.persist()
-    counts = {r[part]: r["n"] for r in ordered.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    at = f"__{name}_at"
+    ordered, _ = stored(df.sparkSession, df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    part, row = F.shiftright(at, 33), F.col(at).bitwiseAND(2**33 - 1)
+    counts = {r.part: r.n for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     before, total = {}, start
     for p in sorted(counts):
         before[p] = total
         total += counts[p]
-    offset = F.lit(start) if not before else F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col(part)]
-    return ordered.withColumn(name, (offset + F.row_number().over(Window.partitionBy(part).orderBy(*keys)) - 1).cast("long")).drop(part)
+    offset = F.lit(start) if not before else F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[part]
+    return ordered.withColumn(name, (offset + row).cast("long")).drop(at)
