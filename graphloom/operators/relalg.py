@@ -148,5 +148,6 @@ def running_total(df: DataFrame, order: str, amount: str, name: str, block: int
     df = df.withColumn("__block", F.floor(F.col(order) / block))
     inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy("__block").agg(F.sum(amount).alias("__sum"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")  # a row for each block
+    # a row for each block: 10**11 distinct values make a million of them, which one task adds up
+    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     return df.join(before, "__block").withColumn(name, F.col("__before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))).drop("__block", "__before")

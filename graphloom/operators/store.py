@@ -131,6 +131,12 @@ class GraphStore:
         ends = t.select(F.col("s").alias("term"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(t.select("o", F.lit(0), F.lit(1)))
         return ends.groupBy("term").agg(F.sum("x").alias("as_subject"), F.sum("y").alias("as_object"), F.count("*").alias("n"))
 
+    def position_counts(self) -> DataFrame:
+        """position (s, p or o), term, n: occurrences of each term in each position."""
+        t = self.triples()
+        parts = [t.select(F.lit(c).alias("position"), F.col(c).alias("term")) for c in TRIPLE]
+        return reduce(DataFrame.unionAll, parts).groupBy("position", "term").agg(F.count("*").alias("n"))
+
     # edges and dictionaries
     def remove_double_edges(self) -> GraphStore:
         """One predicate, the least, for each (s, o)."""

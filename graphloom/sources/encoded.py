@@ -71,6 +71,28 @@ def write_results(df: DataFrame, path: str, ids: bool = False) -> None:
     df.select(F.concat_ws(" ", *[cell(c) for c in df.columns]).alias("value")).write.text(path)
 
 
+def result_text(df: DataFrame, rows: int = 1000) -> str:
+    """Variable names and the first rows, in projection order: for a console."""
+    lines = [" ".join(f"?{c}" for c in df.columns)]
+    lines += [" ".join("" if v is None else str(v) for v in r) for r in df.limit(rows).collect()]
+    return "\n".join(lines)
+
+
+def write_cells(matrix: DataFrame, path: str) -> None:
+    """A line `(i, j): x` for each cell (u, v, x) that is set."""
+    matrix.select(F.format_string("(%s, %s): %s", F.col("u").cast("string"), F.col("v").cast("string"), F.col("x").cast("string")).alias("value")).write.text(path)
+
+
+def write_vector(df: DataFrame, column: str, path: str) -> None:
+    """A line for each member."""
+    df.select(F.col(column).cast("string").alias("value")).write.text(path)
+
+
+def write_map(df: DataFrame, key: str, value: str, path: str) -> None:
+    """`key value` lines."""
+    df.select(F.concat_ws(" ", F.col(key).cast("string"), F.col(value).cast("string")).alias("value")).write.text(path)
+
+
 def write_statistics(frequencies: DataFrame, path: str) -> None:
     """`n term` by ascending count."""
     frequencies.orderBy("n", "term").select(F.concat_ws(" ", F.col("n").cast("string"), "term").alias("value")).write.text(path)

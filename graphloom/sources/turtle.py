@@ -7,6 +7,7 @@ don't end a load: they come out as rows of their own.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 from ..functions.terms import RDF, TYPE, XSD, literal
 from ..plans.syntax import SparqlError, unescape
 
-_TERM = r'<[^<>"{}|^`\\\s]*>|_:[^\s<>"]+'
-_LITERAL = r'"(?:[^"\\\n\r]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>"\s]*>)?'
-#: One N-Triples statement.
-LINE = rf"^\s*({_TERM})\s+(<[^<>\"\s]*>)\s+({_TERM}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+_CODE = r"\\(?:u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4}|U(?:0000(?![Dd][89A-Fa-f])|000[1-9A-Fa-f]|0010)[0-9A-Fa-f]{4})"
+_IRI = rf'<(?:[^<>"{{}}|^`\\\x00-\x20]++|{_CODE})*+>'
+_BLANK = r'_:[^\s<>".](?:[^\s<>"]*[^\s<>".])?'
+_LITERAL = rf'"(?:[^"\\\n\r]++|\\[tbnrf"\'\\]|{_CODE})*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?'
+#: One N-Triples statement. Loops are possessive: literals of any length match without a deep stack.
+LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
 
 _TOKEN = re.compile(
     r"""
@@ -40,10 +43,11 @@ _TOKEN = re.compile(
 
 
 class TurtleParser:
-    """Triples of one text, as (s, p, o); errors as (line, message)."""
+    """Triples of one text, as (s, p, o); errors as (line, message). Labels of blank nodes begin with blank_prefix, then l for the text's own and g for new ones."""
 
-    def __init__(self, text: str, base: str = "", blank_prefix: str = "b") -> None:
+    def __init__(self, text: str, base: str = "", blank_prefix: str = "") -> None:
         self.text, self.at, self.base, self.blank_prefix = text, 0, base, blank_prefix
+        self.counted, self.line = 0, 1
         self.prefixes: dict[str, str] = {}
         self.fresh = 0
         self.out: list[tuple[str, str, str]] = []
@@ -51,18 +55,24 @@ class TurtleParser:
         self.token: tuple[str, str] = ("", "")
 
     def parse(self) -> list[tuple[str, str, str]]:
+        return [x for part in self.statements() for x in part]
+
+    def statements(self) -> Iterator[list[tuple[str, str, str]]]:
+        """The triples of each statement. A bad one gives none but an error, and its line is skipped."""
         self._next()
         while self.token[0] != "end":
-            kept, start = len(self.out), self.start
+            self.out, start = [], self.start
             try:
                 self._statement()
             except (SparqlError, KeyError, ValueError) as e:
-                del self.out[kept:]
-                self.errors.append((self.text.count("\n", 0, self.start) + 1, str(e)))
+                self.out = []
+                self.line += self.text.count("\n", self.counted, self.start)
+                self.counted = self.start
+                self.errors.append((self.line, str(e)))
                 at = self.text.find("\n", max(self.start, start))
                 self.at = len(self.text) if at < 0 else at
                 self._next()
-        return self.out
+            yield self.out
 
     def _next(self) -> None:
         while True:
@@ -116,9 +126,12 @@ class TurtleParser:
         if self.token == ("op", "("):
             return self._collection()
         if self.token[0] == "blank":
-            return self._take()
+            return self._labelled()
         return self._iri()
 
+    def _labelled(self) -> str:
+        return f"_:{self.blank_prefix}l{self._take()[2:]}"
+
     def _take(self) -> str:
         text = self.token[1]
         self._next()
@@ -140,7 +153,7 @@ class TurtleParser:
 
     def _new(self) -> str:
         self.fresh += 1
-        return f"_:{self.blank_prefix}.{self.fresh}"  # no label of the file's own can hold this dot and number
+        return f"_:{self.blank_prefix}g{self.fresh}"
 
     def _predicates(self, s: str) -> None:
         while True:
@@ -190,7 +203,7 @@ class TurtleParser:
         if (kind, text) == ("op", "("):
             return self._collection()
         if kind == "blank":
-            return self._take()
+            return self._labelled()
         if kind in ("iri", "pname"):
             return self._iri()
         if kind == "num":
@@ -211,52 +224,58 @@ class TurtleParser:
         return literal(raw)
 
 
+def file_tag(path: str) -> str:
+    """What the labels of a file's blank nodes begin with: 128 bits, so that no two files share one."""
+    return hashlib.md5(path.encode()).hexdigest()
+
+
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frame = lambda rows: pd.DataFrame(rows, columns=["s", "p", "o", "error"])
     for batch in batches:
         for path, text in zip(batch["path"], batch["value"], strict=True):
-            tag = f"f{abs(hash_of(path)):x}"
-            parser = TurtleParser(text, blank_prefix=tag)
-            rows = [(s, p, o, None) for s, p, o in parser.parse()]
-            rows += [(None, None, None, f"{path}:{line}: {message}") for line, message in parser.errors]
-            for lo in range(0, len(rows), 50_000):
-                yield pd.DataFrame(rows[lo : lo + 50_000], columns=["s", "p", "o", "error"])
-
-
-def hash_of(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode())
-
-
-def read_turtle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors) of the regular files at path. A file is parsed by one task; blank nodes of different files stay apart."""
+            parser, rows, told = TurtleParser(text, blank_prefix=file_tag(path)), [], 0
+            for triples in parser.statements():
+                rows += [(s, p, o, None) for s, p, o in triples]
+                rows += [(None, None, None, f"{path}:{line}: {message}") for line, message in parser.errors[told:]]
+                told = len(parser.errors)
+                if len(rows) >= 50_000:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
+
+
+def read_turtle(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(triples, errors) of the regular files at path. A file is parsed by one task, for triples and for errors each; blank nodes of different files stay apart."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     rows = files.mapInPandas(_parse_files, "s string, p string, o string, error string")
     return rows.where("error IS NULL").select("s", "p", "o"), rows.where("error IS NOT NULL").select("error")
 
 
 def _unescaped(c):
-    """Built-in undoing of N-Triples escapes; a text without a backslash, the usual case, passes at once."""
-    out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for code, raw in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\'", "'"), ("\\b", "\b"), ("\\f", "\f")):
-        out = F.replace(out, F.lit(code), F.lit(raw))
-    for width, tag in ((4, "u"), (8, "U")):
-        codes = F.array_distinct(F.regexp_extract_all(out, F.lit(rf"\\{tag}([0-9A-Fa-f]{{{width}}})"), 1))
-        char = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32BE")
-        out = F.aggregate(codes, out, lambda acc, h, tag=tag, char=char: F.replace(acc, F.concat(F.lit(f"\\{tag}"), h), char(h)))
-    return F.when(F.instr(c, "\\") > 0, F.replace(out, F.lit("\x00"), F.lit("\\"))).otherwise(c)
-
-
-def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors): errors are the lines that are neither a statement, a comment nor blank. Splits files."""
-    lines = spark.read.text(path)
+    """Undoing of N-Triples escapes, in one pass; a text without a backslash, the usual case, passes at once."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]++"), 0)
+    char = lambda x: F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+    named = lambda x: F.translate(F.substring(x, 2, 1), "tbnrf", "\t\b\n\r\f")
+    one = lambda x: F.when(x.startswith("\\u") | x.startswith("\\U"), char(x)).when(x.startswith("\\"), named(x)).otherwise(x)
+    return F.when(F.instr(c, "\\") > 0, F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
+def read_ntriples(spark: SparkSession, path: str | list[str], keep_labels: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(triples, errors): errors are the lines that are neither a statement, a comment nor blank. Splits files.
+
+    Blank nodes of different files stay apart. keep_labels: the files are parts of
+    one document, as Spark writes them, and labels stay as they are.
+    """
+    lines = spark.read.text(path).select("value", F.md5(F.col("_metadata.file_path").cast("binary")).alias("tag"))
     part = lambda i: F.regexp_extract("value", LINE, i)
+    scoped = lambda t: t if keep_labels else F.when(t.startswith("_:"), F.concat(F.lit("_:"), F.col("tag"), F.lit("l"), F.substring(t, 3, 2**31 - 1))).otherwise(t)
     o = part(3)
     quoted = F.regexp_extract(o, r'(?s)^"(.*)"', 1)
     tail = F.regexp_extract(o, r'(?s)^".*"(@[A-Za-z0-9-]+|\^\^<[^<>"]*>)?$', 1)
-    tail = F.when(tail.startswith("@"), F.lower(tail)).when(tail == f"^^<{XSD}string>", "").otherwise(tail)
-    whole = F.when(o.startswith('"'), F.concat(F.lit('"'), _unescaped(quoted), F.lit('"'), tail)).otherwise(_unescaped(o))
-    triples = lines.where(F.col("value").rlike(LINE)).select(_unescaped(part(1)).alias("s"), _unescaped(part(2)).alias("p"), whole.alias("o"))
+    tail = F.when(tail.startswith("@"), F.lower(tail)).when(tail == f"^^<{XSD}string>", "").otherwise(_unescaped(tail))
+    whole = F.when(o.startswith('"'), F.concat(F.lit('"'), _unescaped(quoted), F.lit('"'), tail)).otherwise(scoped(_unescaped(o)))
+    triples = lines.where(F.col("value").rlike(LINE)).select(scoped(_unescaped(part(1))).alias("s"), _unescaped(part(2)).alias("p"), whole.alias("o"))
     errors = lines.where(~F.col("value").rlike(LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$")).select(F.col("value").alias("error"))
     return triples, errors
 

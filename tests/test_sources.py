@@ -48,16 +48,52 @@ def test_turtle_files_and_ntriples(spark, tmp_path):
     assert triples.count() == 20 and errors.count() == 2
     nt = tmp_path / "c.nt"
     nt.write_text('<s:a> <p:p> "q\\"uote \\u00e9 \\\\n"@EN .\n# c\n\n<s:a> <p:p> <o:o> . # tail\n_:x <p:p> "1"^^<t:t>.\nbroken\n<s:a> <p:p> "plain"^^<http://www.w3.org/2001/XMLSchema#string> .\n')
-    triples, errors = turtle.read_ntriples(spark, str(nt))
+    triples, errors = turtle.read_ntriples(spark, str(nt), keep_labels=True)
     assert rows(triples) == sorted([("<s:a>", "<p:p>", '"q"uote é \\n"@en'), ("<s:a>", "<p:p>", "<o:o>"), ("_:x", "<p:p>", '"1"^^<t:t>'), ("<s:a>", "<p:p>", '"plain"')], key=repr)
     assert rows(errors) == [("broken",)]
     encoded.write_ntriples(triples, str(tmp_path / "out"))
-    again, bad = turtle.read_ntriples(spark, str(tmp_path / "out"))
+    again, bad = turtle.read_ntriples(spark, str(tmp_path / "out"), keep_labels=True)
     assert rows(again) == rows(triples) and bad.count() == 0
     assert rows(turtle.lexical_only(triples)) == sorted([("<s:a>", "<p:p>", "<quote é \\n>"), ("<s:a>", "<p:p>", "<o:o>"), ("_:x", "<p:p>", "<1>"), ("<s:a>", "<p:p>", "<plain>")], key=repr)
     assert rows(turtle.clean_spaces(spark.createDataFrame([("<a b>", "<p\t>", '"x "y"\t"@en')], "s string, p string, o string"))) == [("<ab>", "<p>", '"xy"@en')]
 
 
+def test_blank_nodes_of_different_files_stay_apart(spark, tmp_path):
+    for name in ("a.nt", "b.nt", "c.ttl", "d.ttl"):
+        (tmp_path / name).write_text("_:x <urn:p> _:x .\n_:g1 <urn:p> <urn:o> .\n" + ("[] <urn:p> <urn:o> .\n_:lg1 <urn:p> _:b.1 ." if name[2:] == "ttl" else ""))
+    store = cli.load_rdf(spark, str(tmp_path))
+    assert rows(Engine(store).query("SELECT COUNT ?p { ?x ?p ?x }")) == [("<urn:p>", 4)]
+    subjects = [r.s for r in store.triples().select("s").distinct().collect()]
+    assert len(subjects) == 2 * 4 + 2 * 2 and all(s[2:34].isalnum() for s in subjects)
+
+
+def test_ntriples_of_any_length_and_every_escape(spark, tmp_path):
+    long = "x" * 300_000 + "\\\\" * 100_000 + "\\u00e9" * 50_000
+    lines = [f'<u:a> <u:p> "{long}" .', '<u:\\u0061b> <u:p> "\\t\\b\\n\\r\\f\\"\\\'\\\\U0041"^^<u:\\u0074> .', '<u:a><u:p>"x"@en-GB.', '<u:a> <u:p> "\\x" .', '<u:a> <u:p> "\\U00110000" .', '<u:a> <u:p> "\\uDFFF" .', '<u: a> <u:p> "x" .', '"x" <u:p> "x" .', "_:b. <u:p> _:c ."]
+    (tmp_path / "x.nt").write_text("\n".join(lines))
+    triples, errors = turtle.read_ntriples(spark, str(tmp_path / "x.nt"), keep_labels=True)
+    want = [("<u:a>", "<u:p>", '"' + "x" * 300_000 + "\\" * 100_000 + "é" * 50_000 + '"'), ("<u:ab>", "<u:p>", '"\t\b\n\r\f"\'\\U0041"^^<u:t>'), ("<u:a>", "<u:p>", '"x"@en-gb')]
+    assert rows(triples) == sorted(want, key=repr) and errors.count() == 6
+
+
+def test_turtle_parser_is_linear_and_counts_lines():
+    text = "bad line\n" * 20_000 + "<u:a> <u:p> <u:b> ."
+    p = turtle.TurtleParser(text)
+    began = time.perf_counter()
+    assert len(p.parse()) == 1 and [p.errors[i][0] for i in (0, 1, -1)] == [1, 2, 20_000] and time.perf_counter() - began < 10
+
+
+def test_console_and_line_writers(spark, tmp_path, capsys):
+    df = spark.createDataFrame([("<a>", None), ("<b>", '"x"')], "x string, y string")
+    assert encoded.result_text(df.orderBy("x")) == '?x ?y\n<a> \n<b> "x"'
+    (tmp_path / "g.ttl").write_text("<u:a> <u:p> <u:b> .")
+    (tmp_path / "q").write_text("SELECT ?x { ?x <u:p> ?y }")
+    assert cli.main(["run", str(tmp_path / "g.ttl"), str(tmp_path / "q"), str(tmp_path / "out"), "--analyze", "--show"]) == 0
+    assert "?x\n<u:a>\n" in capsys.readouterr().out
+    # a path that only Spark's file systems know
+    assert cli.main(["run", f"file:{tmp_path}/g.ttl", f"file:{tmp_path}/q", f"file:{tmp_path}/out3"]) == 0
+
+
 def test_encoded_files(spark, tmp_path):
     edges = [(0, 2, 1), (1, 2, 3), (1, 3, 0)]
     df = spark.createDataFrame(edges, "s bigint, p bigint, o bigint")
