@@ -33,6 +33,10 @@ class Value:
             return self.col
         return T.number(self.col) if self.kind == "term" else F.lit(None).cast("double")
 
+    def integer(self) -> Column:
+        """The exact value of an integer term."""
+        return T.integer(self.col) if self.kind == "term" else F.lit(None).cast("decimal(38,0)")
+
     def truth(self) -> Column:
         """The effective boolean value; null is an error."""
         if self.kind == "bool":
@@ -60,11 +64,15 @@ def _compare(op: str, a: Value, b: Value) -> Column:
         return f(a.col, b.col)
     x, y = a.number(), b.number()
     both = x.isNotNull() & y.isNotNull()
+    # numbers by value, integers exactly
+    value = F.when(both, f(x, y))
+    if a.kind == b.kind == "term":
+        m, n = a.integer(), b.integer()
+        value = F.when(m.isNotNull() & n.isNotNull(), f(m, n)).when(both, f(x, y))
     if op in ("=", "!="):
-        # numbers by value where both are, terms by identity else
-        return F.when(both, f(x, y)).otherwise(f(a.term(), b.term()))
+        return value.otherwise(f(a.term(), b.term()))  # other terms by identity
     literals = T.is_literal(a.term()) & T.is_literal(b.term())
-    return F.when(both, f(x, y)).when(literals & x.isNull() & y.isNull(), f(a.text(), b.text()))
+    return value.when(literals & x.isNull() & y.isNull(), f(a.text(), b.text()))
 
 
 def _cast(name: str) -> Callable[[Column], Column]:

@@ -54,9 +54,23 @@ def datatype(t: Column) -> Column:
     return F.when(is_literal(t), F.when(tagged != "", tagged).otherwise(named))
 
 
+#: Datatypes of numbers: the integer ones, and all.
+INTEGERS = ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")
+NUMBERS = (*INTEGERS, "decimal", "double", "float")
+
+
+def _typed(t: Column, pattern: str, names: tuple[str, ...]) -> Column:
+    return F.regexp_extract(t, rf'^"({pattern})"\^\^<{XSD.replace(".", "[.]")}(?:{"|".join(names)})>$', 1)
+
+
 def number(t: Column) -> Column:
-    """The value of a literal that reads as a number and isn't tagged with a language; else null."""
-    return F.regexp_extract(t, r'^"([+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?|[+-]?INF|NaN)"(?:\^\^<[^<>"]*>)?$', 1).try_cast("double")
+    """The value of a literal whose datatype is one of numbers, as a double; else null."""
+    return _typed(t, r"[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?|[+-]?INF|NaN", NUMBERS).try_cast("double")
+
+
+def integer(t: Column) -> Column:
+    """The value of a literal whose datatype is one of integers, exactly, if it has 38 digits at most; else null."""
+    return _typed(t, r"[+-]?[0-9]+", INTEGERS).try_cast("decimal(38,0)")
 
 
 _ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
@@ -74,4 +88,4 @@ def escaped(t: Column) -> Column:
 def order_keys(t: Column) -> list[Column]:
     """SPARQL's order as sort keys: unbound, blank nodes, IRIs, literals; numbers by value, before other literals."""
     kind = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).when(number(t).isNotNull(), 3).otherwise(4)
-    return [kind, number(t), lexical(t), t]
+    return [kind, number(t), integer(t), lexical(t), t]

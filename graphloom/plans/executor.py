@@ -13,7 +13,7 @@ from ..functions.filters import Registry, compile_filter
 from ..functions.terms import order_keys
 from ..operators.store import GraphStore
 from . import planner
-from .syntax import Const, Group, Pattern, Select, Update, parse
+from .syntax import Const, Expr, Group, Pattern, Select, Update, parse
 
 
 @dataclass
@@ -64,10 +64,10 @@ class Engine:
                 names[x.name] = at
         return Bindings(df.select(*[F.col(at).alias(self._name(v)) for v, at in names.items()]) if names else df.select(F.lit(True).alias("__there")).limit(1), list(names))
 
-    def bgp(self, patterns: list[Pattern]) -> Bindings:
-        """All solutions of a basic graph pattern, with their multiplicity."""
+    def bgp(self, patterns: list[Pattern], first: int = 0) -> Bindings:
+        """All solutions of a basic graph pattern, with their multiplicity. first: the number of its first pattern in the group."""
         todo = planner.plan(patterns, self.store, self.reduce)
-        found = {i: self.scan(p, self.sources.get(i)) for i, p in enumerate(patterns)}
+        found = {i: self.scan(p, self.sources.get(first + i)) for i, p in enumerate(patterns)}
         for target, by in todo.semijoins:
             shared = [v for v in found[target].vars if v in found[by].vars]
             keys = found[by].df.select(*[self._col(v) for v in shared]).distinct()
@@ -81,41 +81,96 @@ class Engine:
             out = Bindings(there if out is None else out.df.join(F.broadcast(there), F.lit(True), "left_semi"), [] if out is None else out.vars)
         return out if out is not None else Bindings(self.store.spark.range(1).select(F.lit(True).alias("__there")), [])
 
-    def join(self, a: Bindings, b: Bindings, how: str = "inner") -> Bindings:
-        """Compatible solutions: equal on shared variables, an unbound one fitting everything. Two or more shared ones close a cycle."""
+    def join(self, a: Bindings, b: Bindings, how: str = "inner", filters: list[Expr] | None = None) -> Bindings:
+        """Compatible solutions: equal on shared variables, an unbound one fitting everything. Two or more shared ones close a cycle.
+
+        how: inner, or left, which keeps solutions of a that no solution of b fits;
+        filters say what fits, too. Solutions are parted by which shared variables
+        they bind, so that each part is an equi-join on those that both sides bind.
+        """
         shared = [v for v in a.vars if v in b.vars]
-        names = [self._name(v) for v in shared]
         every = [*a.vars, *[v for v in b.vars if v not in a.vars]]
-        if not shared:
-            bf = b.df.drop("__there")
-            df = a.df.crossJoin(bf) if how == "inner" else a.df.join(bf, F.lit(True), how)
-        elif not (a.maybe | b.maybe) & set(shared):
-            df = a.df.join(b.df, names, how)
-        else:
-            right = b.df.select(*[F.col(f"`{self._name(v)}`").alias(f"r_{self._name(v)}" if v in shared else self._name(v)) for v in b.vars])
-            cond = F.lit(True)
-            for v in shared:
-                x, y = self._col(v), F.col(f"`r_{self._name(v)}`")
-                cond &= (x == y) if v not in a.maybe | b.maybe else (x == y) | x.isNull() | y.isNull()
-            df = a.df.join(right, cond, how).select(*[F.coalesce(self._col(v), F.col(f"`r_{self._name(v)}`")).alias(self._name(v)) if v in shared else self._col(v) for v in every])
         maybe = {v for v in every if (v in a.maybe or v not in a.vars) and (v in b.maybe or v not in b.vars)}
         if how == "left":
-            maybe |= {v for v in b.vars if v not in a.vars}
-        return Bindings(df, every, maybe)
+            maybe |= (a.maybe | set(b.vars) - set(a.vars)) & set(every)
+        pairs = [(x, y) for x in self._masks(a, shared) for y in self._masks(b, shared)]
+        if how == "inner":
+            return Bindings(fold(DataFrame.unionAll, [self._joined(self._part(a, x, shared), self._part(b, y, shared), x & y, every, "inner", filters) for x, y in pairs]), every, maybe)
+        out = []
+        for x in self._masks(a, shared):
+            mine, others = self._part(a, x, shared), self._masks(b, shared)
+            if len(others) == 1:
+                out.append(self._joined(mine, b, x & others[0], every, "left", filters))
+                continue
+            left = mine
+            for y in others:
+                theirs = self._part(b, y, shared)
+                out.append(self._joined(mine, theirs, x & y, every, "inner", filters))
+                left = Bindings(self._joined(left, theirs, x & y, every, "left_anti", filters), left.vars, left.maybe)
+            out.append(self._filled(left, every))
+        return Bindings(fold(DataFrame.unionAll, out), every, maybe)
+
+    @staticmethod
+    def _masks(b: Bindings, shared: list[str]) -> list[frozenset[str]]:
+        """Which of the shared variables solutions of b may bind."""
+        out = [frozenset(shared)]
+        for v in shared:
+            if v in b.maybe:
+                out += [m - {v} for m in out]
+        return out
+
+    def _part(self, b: Bindings, mask: frozenset[str], shared: list[str]) -> Bindings:
+        """Solutions of b that bind, of the shared variables, those in mask and no others."""
+        df = b.df
+        for v in shared:
+            if v in b.maybe:
+                df = df.where(self._col(v).isNotNull() if v in mask else self._col(v).isNull())
+        return Bindings(df, b.vars, b.maybe)
+
+    def _filled(self, b: Bindings, every: list[str]) -> DataFrame:
+        return b.df.select(*[(self._col(v) if v in b.vars else F.lit(None).cast("string")).alias(self._name(v)) for v in every])
+
+    def _joined(self, a: Bindings, b: Bindings, on: frozenset[str], every: list[str], how: str, filters: list[Expr] | None) -> DataFrame:
+        """a and b joined where the variables in on are equal, as columns of every."""
+        right = b.df.select(*[self._col(v).alias(f"r_{self._name(v)}") for v in b.vars]) if b.vars else b.df.select(F.lit(True).alias("r___there"))
+        theirs = lambda v: F.col(f"`r_{self._name(v)}`")
+        value = lambda v: (F.coalesce(self._col(v), theirs(v)) if v in b.vars and v not in on else self._col(v)) if v in a.vars else theirs(v)
+        conditions = [self._col(v) == theirs(v) for v in sorted(on)]
+        conditions += [compile_filter(e, lambda v: value(v) if v in every else None, self.registry) for e in filters or []]
+        left = a.df if a.vars else a.df.select(F.lit(True).alias("__there"))
+        if not conditions and how == "inner":
+            df = left.crossJoin(right)
+        else:
+            df = left.join(right, fold(Column.__and__, conditions, F.lit(True)) if not conditions else fold(Column.__and__, conditions), how)
+        if how == "left_anti":
+            return df
+        return df.select(*[value(v).alias(self._name(v)) for v in every]) if every else df.select(F.lit(True).alias("__there"))
 
     # groups
     def group(self, g: Group) -> Bindings:
-        out = self.bgp(g.patterns) if g.patterns else None
-        for branches in g.unions:
-            united = self.union([self.group(b) for b in branches])
-            out = united if out is None else self.join(out, united)
-        out = out or self.bgp([])
-        for o in g.optionals:
-            out = self.join(out, self.group(o), "left")
+        out = self.parts(g)
         for e in g.filters:
             out = Bindings(out.df.where(compile_filter(e, lambda v, out=out: self._col(v) if v in out.vars else None, self.registry)), out.vars, out.maybe)
         return out
 
+    def parts(self, g: Group) -> Bindings:
+        """A group without its filters: what stands between optionals is joined in any order, an optional to all that stands before it."""
+        out, done = None, (0, 0, 0)
+        sizes = len(g.patterns), len(g.unions), len(g.nested)
+        for upto, optional in [*zip(g.before, g.optionals, strict=True), (sizes, None)]:
+            found = []
+            if patterns := g.patterns[done[0] : upto[0]]:
+                found.append(self.bgp(patterns, done[0]))
+            found += [self.union([self.group(b) for b in branches]) for branches in g.unions[done[1] : upto[1]]]
+            found += [self.group(x) for x in g.nested[done[2] : upto[2]]]
+            for x in found:
+                out = x if out is None else self.join(out, x)
+            done = upto
+            if optional is not None:
+                # its filters see what it is joined to
+                out = self.join(self.bgp([]) if out is None else out, self.parts(optional), "left", optional.filters)
+        return out or self.bgp([])
+
     def union(self, branches: list[Bindings]) -> Bindings:
         every = list(dict.fromkeys(v for b in branches for v in b.vars))
         fill = lambda b: b.df.select(*[(self._col(v) if v in b.vars else F.lit(None).cast("string")).alias(self._name(v)) for v in every])
@@ -166,5 +221,3 @@ class Engine:
         """Spark's formatted plan of a query."""
         df = self.query(text)
         return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-
-

@@ -16,7 +16,7 @@ from .functions.terms import TYPE, XSD
 from .operators import relalg as M
 from .operators.store import GraphStore
 from .plans.executor import Engine
-from .plans.syntax import Const, Pattern, Var
+from .plans.syntax import Pattern, Var
 from .sources.encoded import matrix_market
 from .sources.rdfview import p, rdf_view, view_sql
 
@@ -38,8 +38,12 @@ def _int(v: str) -> str:
     return f"'\"' || {v} || '\"^^<{XSD}integer>'"
 
 
-def _sparql(name: str, text: str, sql: str, reduce: bool = False) -> None:
-    QUERIES[name] = lambda spark, sf, text=text, reduce=reduce: Engine(rdf_view(spark, sf), reduce).query(PREFIXES + text)
+def _sparql(name: str, text: str, sql: str, reduce: bool = False, analyze: bool = False) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        store = rdf_view(spark, sf)
+        return Engine(store.analyze() if analyze else store, reduce).query(PREFIXES + text)
+
+    QUERIES[name] = run
     ORACLE_SQL[name] = sql
 
 
@@ -69,12 +73,12 @@ _sparql(
     'SELECT ?o ?c ?n ?r WHERE { ?o p:placedBy ?c . ?c p:fromNation ?n . ?n p:inRegion ?r . ?r p:name "ASIA" }',
     f"SELECT {O} AS o, {C} AS c, {N} AS n, {R} AS r FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
 )
-_sparql(
-    "bgp_snowflake",
-    'SELECT ?o ?c ?nn ?pt ?b WHERE { ?o p:status "F" ; p:placedBy ?c ; p:hasPart ?pt . ?c p:segment "BUILDING" ; p:fromNation ?n . ?n p:name ?nn . ?pt p:brand ?b }',
-    f"""SELECT {O} AS o, {C} AS c, {_txt('n_name')} AS nn, {P} AS pt, {_txt('p_brand')} AS b FROM orders JOIN customer ON o_custkey = c_custkey
-    JOIN nation ON c_nationkey = n_nationkey JOIN {LP} ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING'""",
-)
+_SNOWFLAKE = 'SELECT ?o ?c ?nn ?pt ?b WHERE { ?o p:status "F" ; p:placedBy ?c ; p:hasPart ?pt . ?c p:segment "BUILDING" ; p:fromNation ?n . ?n p:name ?nn . ?pt p:brand ?b }'
+_SNOWFLAKE_SQL = f"""SELECT {O} AS o, {C} AS c, {_txt('n_name')} AS nn, {P} AS pt, {_txt('p_brand')} AS b FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN {LP} ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING'"""
+_sparql("bgp_snowflake", _SNOWFLAKE, _SNOWFLAKE_SQL)
+_sparql("bgp_snowflake_reduced", _SNOWFLAKE, _SNOWFLAKE_SQL, reduce=True)
+_sparql("bgp_snowflake_analyzed", _SNOWFLAKE, _SNOWFLAKE_SQL, analyze=True)
 _CYCLE = "SELECT ?o ?c ?s ?n WHERE { ?o p:placedBy ?c . ?o p:hasSupplier ?s . ?c p:fromNation ?n . ?s p:fromNation ?n }"
 _CYCLE_SQL = f"""SELECT {O} AS o, {C} AS c, {S} AS s, {_ent('nation', 'c_nationkey')} AS n FROM orders JOIN customer ON o_custkey = c_custkey
     JOIN {LS} ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey = s_nationkey"""
@@ -112,13 +116,24 @@ _sparql(
 _sparql("bgp_cross", "SELECT ?r ?n WHERE { ?r a c:Region . ?n a c:Nation }", f"SELECT {R} AS r, {N} AS n FROM region, nation")
 _sparql("bgp_unknown_const", "SELECT ?c WHERE { ?c p:segment \"NO SUCH\" . ?o p:placedBy ?c }", f"SELECT {C} AS c FROM customer WHERE false")
 _sparql("bgp_unknown_predicate", "SELECT ?c ?x WHERE { ?c p:noSuch ?x . ?o p:placedBy ?c }", f"SELECT {C} AS c, {C} AS x FROM customer WHERE false")
-_sparql("bgp_self_loop", "SELECT ?x WHERE { ?x p:placedBy ?x }", f"SELECT {C} AS x FROM customer WHERE false")
 _sparql("bgp_blank_nodes", "SELECT ?c ?b WHERE { [] p:placedBy ?c ; p:hasPart [ p:brand ?b ; p:size 7 ] }",
         f"SELECT {_ent('customer', 'o_custkey')} AS c, {_txt('p_brand')} AS b FROM orders JOIN {LP} ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size = 7")
 _sparql("select_star", "SELECT * WHERE { ?o p:placedBy ?c . ?c p:segment ?s }", f"SELECT {C} AS c, {O} AS o, {_txt('c_mktsegment')} AS s FROM orders JOIN customer ON o_custkey = c_custkey")
 _sparql("optional_group", "SELECT ?c ?o WHERE { ?c a c:Customer OPTIONAL { ?o p:placedBy ?c . ?o p:status \"P\" } }",
         f"SELECT {C} AS c, {O} AS o FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey")
 
+_sparql("optional_filter_outer", "SELECT ?n ?k ?r WHERE { ?n p:nationCode ?k OPTIONAL { ?n p:regionCode ?r FILTER (?r * 3 > ?k) } }",
+        f"SELECT {N} AS n, {_int('n_nationkey')} AS k, CASE WHEN n_regionkey * 3 > n_nationkey THEN {_int('n_regionkey')} END AS r FROM nation")
+_sparql("optional_then_pattern", "SELECT ?r ?n ?k WHERE { ?r a c:Region OPTIONAL { ?n p:inRegion ?r . ?n p:nationCode 3 } ?n p:regionCode ?k }",
+        f"SELECT {R} AS r, {N} AS n, {_int('n_regionkey')} AS k FROM region, nation WHERE CASE WHEN r_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) THEN n_nationkey = 3 ELSE true END")
+_sparql("join_maybe_unbound", 'SELECT ?c ?n WHERE { ?c p:segment "BUILDING" OPTIONAL { ?c p:fromNation ?n . ?n p:inRegion <urn:region:1> } ?c p:fromNation ?n }',
+        f"SELECT {C} AS c, {_ent('nation', 'c_nationkey')} AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
+_sparql("union_unbound_both", 'SELECT ?n ?k ?r WHERE { { ?n p:nationCode ?k } UNION { ?n p:inRegion ?r } { ?n p:regionCode ?k } UNION { ?n p:inRegion ?r } }',
+        f"""SELECT {N} AS n, {_int('n_nationkey')} AS k, NULL AS r FROM nation WHERE n_nationkey = n_regionkey UNION ALL SELECT {N}, {_int('n_nationkey')}, {_ent('region', 'n_regionkey')} FROM nation
+    UNION ALL SELECT {N}, {_int('n_regionkey')}, {_ent('region', 'n_regionkey')} FROM nation UNION ALL SELECT {N}, NULL, {_ent('region', 'n_regionkey')} FROM nation""")
+_sparql("nested_optional", "SELECT ?n ?k ?r WHERE { ?n p:nationCode ?k { ?n p:inRegion ?r OPTIONAL { ?r p:name \"ASIA\" . ?n p:regionCode ?k } } }",
+        f"SELECT {N} AS n, {_int('n_nationkey')} AS k, {_ent('region', 'n_regionkey')} AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' OR n_nationkey = n_regionkey")
+
 # FILTER
 _sparql("filter_compare", "SELECT ?x ?z WHERE { ?x p:size ?z FILTER (?z >= 10 && ?z < 20) }", f"SELECT {_ent('part', 'p_partkey')} AS x, {_int('p_size')} AS z FROM part WHERE p_size >= 10 AND p_size < 20")
 _sparql("filter_regex", 'SELECT ?c ?m WHERE { ?c a c:Customer ; p:name ?m FILTER REGEX(?m, "CUSTOMER#0*1[0-9]$", "i") }', f"SELECT {C} AS c, {_txt('c_name')} AS m FROM customer WHERE regexp_matches(c_name, '(?i)CUSTOMER#0*1[0-9]$')")
@@ -154,6 +169,64 @@ _labelled_sparql("filter_str_lang_datatype", 'SELECT ?n ?v WHERE { ?n p:label ?v
                  f"SELECT {N} AS n, {_txt('n_name')} || '@en' AS v FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey <> 4")
 _labelled_sparql("filter_langmatches", 'SELECT ?n ?v WHERE { ?n p:label ?v FILTER LANGMATCHES(LANG(?v), "FR") }', f"SELECT {N} AS n, {_txt('n_name')} || '@fr-ca' AS v FROM nation WHERE n_nationkey % 2 = 1")
 
+
+
+def _numbered_nations(spark: SparkSession, sf: str) -> GraphStore:
+    """The view with large integers and plain strings of digits."""
+    store = rdf_view(spark, sf)
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    s = F.concat(F.lit("<urn:nation:"), F.col("n_nationkey").cast("string"), F.lit(">")).alias("s")
+    store.layers[p("big")] = n.select(s, F.concat(F.lit('"'), (F.col("n_nationkey") + F.lit(9007199254740990)).cast("string"), F.lit(f'"^^<{XSD}integer>')).alias("o"))
+    store.layers[p("digits")] = n.select(s, F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('"')).alias("o"))
+    return store
+
+
+def _numbered_sparql(name: str, text: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf, text=text: Engine(_numbered_nations(spark, sf)).query(PREFIXES + text)
+    ORACLE_SQL[name] = sql
+
+
+_numbered_sparql("filter_bigint", "SELECT ?n WHERE { ?n p:big ?v FILTER (?v = 9007199254740993 || ?v > 9007199254741006 && ?v != 9007199254741008) }",
+                 f"SELECT {N} AS n FROM nation WHERE n_nationkey = 3 OR n_nationkey > 16 AND n_nationkey <> 18")
+_numbered_sparql("filter_string_not_number", 'SELECT ?n ?t WHERE { ?n p:digits ?t ; p:nationCode ?k FILTER (?t = "7" || ?k = 5 || ?t = 6 || ?t > 20 || ?t + 1 = 3) }',
+                 f"SELECT {N} AS n, {_txt('n_nationkey')} AS t FROM nation WHERE n_nationkey IN (5, 7)")
+
+
+# a small graph with loops and paths of equal labels
+_SMALL_SQL = f"""WITH t AS (SELECT {N} AS s, '{p("next")}' AS p, '<urn:nation:' || n_nationkey % 7 || '>' AS o FROM nation
+    UNION ALL SELECT {N}, '{p("jump")}', '<urn:nation:' || (n_nationkey + 5) % 25 || '>' FROM nation)"""
+
+
+def _small(spark: SparkSession, sf: str) -> GraphStore:
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    nation = lambda c: F.concat(F.lit("<urn:nation:"), c.cast("string"), F.lit(">"))
+    key = F.col("n_nationkey")
+    return GraphStore.from_layers(spark, {p("next"): n.select(nation(key).alias("s"), nation(key % 7).alias("o")), p("jump"): n.select(nation(key).alias("s"), nation((key + 5) % 25).alias("o"))})
+
+
+QUERIES["bgp_self_loop"] = lambda spark, sf: Engine(_small(spark, sf)).query(PREFIXES + "SELECT ?x WHERE { ?x p:next ?x }")
+ORACLE_SQL["bgp_self_loop"] = f"{_SMALL_SQL} SELECT s AS x FROM t WHERE p = '{p('next')}' AND s = o"
+QUERIES["bgp_loop_in_cycle"] = lambda spark, sf: Engine(_small(spark, sf)).query(PREFIXES + "SELECT ?x ?y WHERE { ?x p:jump ?y . ?y ?q ?z . ?z p:next ?z . ?z ?q ?y }")
+ORACLE_SQL["bgp_loop_in_cycle"] = f"{_SMALL_SQL} SELECT a.s AS x, a.o AS y FROM t a JOIN t b ON b.s = a.o JOIN t c ON c.s = b.o AND c.o = c.s JOIN t d ON d.s = b.o AND d.p = b.p AND d.o = a.o WHERE a.p = '{p('jump')}' AND c.p = '{p('next')}'"
+
+
+def _repeated(spark: SparkSession, sf: str) -> DataFrame:
+    found = Engine(_small(spark, sf)).scan(Pattern(Var("x"), Var("q"), Var("x")))
+    return found.df.select(F.col("`v_x`").alias("x"), F.col("`v_q`").alias("q"))
+
+
+QUERIES["scan_repeated"] = _repeated
+ORACLE_SQL["scan_repeated"] = f"{_SMALL_SQL} SELECT s AS x, p AS q FROM t WHERE s = o"
+
+
+def _equal_paths(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = _small(spark, sf).triples().select(F.col("s").alias("u"), F.col("o").alias("v"), F.col("p").alias("x"))
+    return M.compose_equal(labelled, labelled)
+
+
+QUERIES["mxm_equal"] = _equal_paths
+ORACLE_SQL["mxm_equal"] = f"{_SMALL_SQL} SELECT DISTINCT a.s AS u, b.o AS v FROM t a JOIN t b ON a.o = b.s AND a.p = b.p"
+
 # modifiers and sets
 _sparql("mod_distinct", "SELECT DISTINCT ?g ?n WHERE { ?c p:segment ?g ; p:fromNation ?n }", f"SELECT DISTINCT {_txt('c_mktsegment')} AS g, {_ent('nation', 'c_nationkey')} AS n FROM customer")
 _sparql("mod_reduced", "SELECT REDUCED ?s WHERE { ?o p:status ?s }", f"SELECT DISTINCT {_txt('o_orderstatus')} AS s FROM orders")
@@ -201,12 +274,6 @@ def _(g):
     return M.compose(_m(g, "placedBy"), _m(g, "fromNation"))
 
 
-@_over_graph("mxm_equal", "SELECT DISTINCT a.s AS u, b.o AS v FROM t a JOIN t b ON a.o = b.s AND a.p = b.p")
-def _(g):
-    labelled = g.triples().select(F.col("s").alias("u"), F.col("o").alias("v"), F.col("p").alias("x"))
-    return M.compose_equal(labelled, labelled)
-
-
 @_over_graph("transpose", _sel("fromNation", "o AS u, s AS v"))
 def _(g):
     return M.transpose(_m(g, "fromNation"))
@@ -242,10 +309,9 @@ def _(g):
     return M.col(_m(g, "placedBy"), "<urn:customer:1>")
 
 
-@_over_graph("point_lookup", _sel("inRegion", extra=" AND s = '<urn:nation:1>' LIMIT 1"))
+@_over_graph("point_lookup", _sel("inRegion", extra=" AND s = '<urn:nation:1>' AND o = '<urn:region:1>'"))
 def _(g):
-    m = _m(g, "inRegion")
-    return M.point(m.join(M.row(m, "<urn:nation:1>").select("v"), "v", "left_semi").select("u", "v").where(F.col("u") == "<urn:nation:1>"), "<urn:nation:1>", m.where(F.col("u") == "<urn:nation:1>").first().v)
+    return M.point(_m(g, "inRegion"), "<urn:nation:1>", "<urn:region:1>")
 
 
 @_over_graph("point_set", _sel("inRegion") + " UNION SELECT '<urn:nation:901>', '<urn:region:0>'")
@@ -369,8 +435,9 @@ def _(g):
     return M.gini(g.triples().groupBy("s").agg(F.count("*").alias("n")), "n").select(F.round("gini", 6).alias("gini"))
 
 
-@_over_graph("scan_repeated", f"SELECT s AS x, o AS y FROM t WHERE p = '{p('fromNation')}'")
+@_over_graph("position_counts", "SELECT position, term, count(*) AS n FROM (SELECT 's' AS position, s AS term FROM t UNION ALL SELECT 'p', p FROM t UNION ALL SELECT 'o', o FROM t) GROUP BY ALL")
 def _(g):
-    found = Engine(g).scan(Pattern(Var("x"), Const(p("fromNation")), Var("y")))
-    return found.df.select(F.col("`v_x`").alias("x"), F.col("`v_y`").alias("y"))
+    return g.position_counts()
+
 
+from . import file_queries  # noqa: E402, F401  (registers more, with the helpers above)

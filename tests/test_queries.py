@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from graphloom import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
 @pytest.fixture(scope="module")
