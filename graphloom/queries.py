@@ -147,6 +147,13 @@ _sparql("filter_bound", 'SELECT ?c ?o WHERE { ?c a c:Customer OPTIONAL { ?o p:pl
 _sparql("filter_sameterm", "SELECT ?n WHERE { ?n p:nationCode ?a ; p:regionCode ?b FILTER sameTerm(?a, ?b) }", f"SELECT {N} AS n FROM nation WHERE n_nationkey = n_regionkey")
 _sparql("filter_cast", 'SELECT ?n WHERE { ?n a c:Nation ; p:nationCode ?a FILTER (xsd:integer(STR(?a)) > 20 && DATATYPE(xsd:double(?a)) = xsd:double) }', f"SELECT {N} AS n FROM nation WHERE n_nationkey > 20")
 
+_sparql("syntax_forms", "PREFIX : <urn:p:> # a comment, a default prefix, small keywords, the other variable sign\nselect $c $g where { $c :segment $g, 'BUILDING' ; :fromNation <urn:nation:3> . }",
+        f"SELECT {C} AS c, {_txt('c_mktsegment')} AS g FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
+QUERIES["filter_registered"] = lambda spark, sf: Engine(rdf_view(spark, sf), registry={"<urn:initial>": lambda t: F.substring(t, 2, 1)}).query(
+    PREFIXES + 'SELECT ?n ?m WHERE { ?n p:name ?m ; p:nationCode ?k FILTER (<urn:initial>(STR(?m)) = "I") }'
+)
+ORACLE_SQL["filter_registered"] = f"SELECT {N} AS n, {_txt('n_name')} AS m FROM nation WHERE n_name LIKE 'I%'"
+
 _LABEL = p("label")
 _TAG = "CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'fr-ca' END"
 
