@@ -10,8 +10,9 @@ The rolling hash is a running xor of two 64-bit hashes of (place, role, text),
 so equal hashes with equal length mean equal turns up to chance of 2**-128.
 
 Nulls: rows without conv_id go; a null role is "unknown", a null text empty, a
-null turn comes first. Turns are put in order by (turn, role, text); identical
-rows count once. Texts of any length are kept whole.
+null turn comes first. Ties: turns of one number are put in order by role and
+text; identical rows count once. Texts of any length are kept whole. An empty
+table gives an empty one. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

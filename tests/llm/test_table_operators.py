@@ -243,6 +243,15 @@ def test_snapshots_collapse(spark):
     assert chats.render(spark, spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_chats_of_long_texts_ties_and_clashing_columns(spark):
+    long = "wort é\n" * 100_000
+    data = [(1, 0, "user", long), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (2, 0, "user", long), (3, 0, "user", long + "x"), (4, 0, "", ""), (5, 0, "", "")]
+    table = spark.createDataFrame([(*r, 1, "c", True) for r in data], "conv_id bigint, turn bigint, role string, text string, place int, chat string, last boolean")
+    got = {r.conv_id: (r.n_turns, r.n_collapsed, r.chat) for r in chats.render(spark, table).collect()}
+    one = "<|im_start|>user\n" + long + "<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+    assert got == {1: (3, 0, one), 3: (1, 0, f"<|im_start|>user\n{long}x<|im_end|>\n"), 4: (1, 1, "<|im_start|>\n<|im_end|>\n")}
+
+
 @pytest.mark.parametrize("name", ["op8_url_filter", "op10_chat_format"])
 def test_native_queries_run_no_python(spark, name, monkeypatch):
     """No plan that ran on the way, the steps' own included, has a Python operator, and no rows come out of Python."""
