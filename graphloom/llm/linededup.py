@@ -169,7 +169,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
     gone = later_copies(spark, docs, min_words)
     some, rest = tk.parts(spark, docs, gone)
     gone = gone.select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key), F.col("spans").alias(spans))
-    joined = some.join(gone, tk.named(docs, by_id, by_key), "left")
+    joined = some.join(tk.merged(gone), tk.named(docs, by_id, by_key), "left")
     lines, has = F.split("text", "\n", -1), F.col(spans).isNotNull()
     numbers = F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"])))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers), lambda n: F.get(lines, n))

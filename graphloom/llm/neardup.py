@@ -44,7 +44,7 @@ from .graph import components
 SKETCH = 128
 TREES = 24
 #: Members that are compared at once; larger sets of them are dealt out in blocks.
-LIMIT = 400
+LIMIT = 200
 #: Shingles (8 bytes each) of the full sets in a block, but for a set that has more by itself.
 ITEMS = 1_000_000
 #: A node branches on if more members than this are outside its largest class; to DEPTH levels at most.
@@ -170,7 +170,7 @@ def full_sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, k: int) -
 
     some, _ = tk.parts(spark, docs.select("doc_id", "text"), wanted)
     sets = tk.keyed_texts(some).mapInArrow(tk.released(run), "rid bigint, items array<bigint>")
-    return sets.join(wanted.select("rid"), "rid", "left_semi").dropDuplicates(["rid"])
+    return sets.join(tk.merged(wanted.select("rid")), "rid", "left_semi").dropDuplicates(["rid"])
 
 
 def _similar(common, a, b, percent: int):
@@ -280,7 +280,9 @@ def _across(percent: int):
 def _nodes(steps: tk.Steps, level: DataFrame) -> DataFrame:
     """rid, node, n, low, high of the nodes (rid, node) with two members or more: their number, least and greatest member."""
     nodes = steps.store(level.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("n > 1"))
-    return steps.store(tk.skew_join(level, nodes, nodes.select("node", "n"), ["node"]))
+    out = steps.store(tk.skew_join(level, nodes, nodes.select("node", "n"), ["node"]))
+    steps.drop(nodes)
+    return out
 
 
 def _children(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -288,7 +290,7 @@ def _children(members: DataFrame, reps: DataFrame, similarity: float) -> DataFra
     picks = F.array(*[F.lit(int(x)) for x in _PICK.view(np.int64)])
     bound = int(2**63 / (similarity * SKETCH))
     taken = F.filter(F.transform(picks, lambda p, i: F.struct((F.shiftrightunsigned(F.xxhash64("node", p), 1) < bound).alias("on"), i.alias("i"))), lambda x: x["on"])
-    below = members.join(reps.select("rid", "sketch"), "rid").select("rid", "node", "sketch", F.explode(taken).alias("t"))
+    below = members.join(tk.merged(reps.select("rid", "sketch")), "rid").select("rid", "node", "sketch", F.explode(taken).alias("t"))
     return below.select("rid", F.xxhash64("node", "t.i", F.substring("sketch", F.col("t.i") + 1, F.lit(1))).alias("node"))
 
 
@@ -326,23 +328,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
             F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
         )
         reps = steps.store(reps.select("rid", "low", "size", "n", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "sketch", "paths"))
+        rows = steps.store(base.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("a")).alias("a")))
+        steps.drop(base)
 
         # every document against the least and the greatest one of its nodes
         here = _nodes(steps, reps.select("rid", F.explode("paths").alias("node")))
-        met = steps.store(reps.select("rid", "doc_id", "text_key").join(here.select("rid").distinct(), "rid", "left_semi"))
+        met = steps.store(reps.select("rid", "doc_id", "text_key").join(tk.merged(here.select("rid").distinct()), "rid", "left_semi"))
         sets = steps.store(full_sets(spark, docs, met, k))
         stars = here.select("rid", F.explode(F.array("low", "high")).alias("pivot")).where("rid <> pivot").groupBy("rid", "pivot").count().where("count > 1").select("rid", "pivot")
         stars = steps.store(stars)
         pivots = steps.store(stars.groupBy("pivot").agg(F.count("*").alias("n")))
-        others = sets.join(pivots.select(F.col("pivot").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("pivot"), F.col("items").alias("others"))
-        linked = tk.skew_join(sets.join(stars, "rid"), others, pivots, ["pivot"]).where(_similar(F.size(F.array_intersect("items", "others")), F.size("items"), F.size("others"), percent))
+        others = sets.join(tk.merged(pivots.select(F.col("pivot").alias("rid"))), "rid", "left_semi").select(F.col("rid").alias("pivot"), F.col("items").alias("others"))
+        linked = tk.skew_join(sets.join(tk.merged(stars), "rid"), others, pivots, ["pivot"]).where(_similar(F.size(F.array_intersect("items", "others")), F.size("items"), F.size("others"), percent))
         linked = steps.store(linked.select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
+        steps.drop(met, stars, pivots)
         classes = components(spark, linked).withColumnRenamed("node", "rid")
 
         # of the nodes that still hold several classes, those where too much is outside the largest one branch on
-        mains, rests, depth = [], [], 2
+        mains, rests, done, depth = [], [], [], 2
         while True:
-            leaves = steps.store(here.select("rid", "node").join(classes, "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls")))
+            leaves = steps.store(here.select("rid", "node").join(tk.merged(classes), "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls")))
             counts = leaves.groupBy("node", "cls").count()
             main = counts.groupBy("node").agg(F.max(F.struct("count", "cls")).alias("m"), F.sum("count").alias("n"), F.count("*").alias("classes")).where("classes > 1")
             main = steps.store(main.select("node", F.col("m.cls").alias("main"), "n", (F.col("n") - F.col("m.count")).alias("rest")))
@@ -351,7 +356,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
             mains.append(ends.select("rid", "cls", "main").distinct())
             rests.append(ends.where("cls <> main AND rest > 1").select("rid", "cls", "node"))
             branch = held.where(F.col("rest") > BRANCH).select("rid", "node")
-            steps.drop(here, leaves)
+            steps.drop(here, leaves, main)
+            done.append(held)
             if depth == DEPTH or branch.isEmpty():
                 break
             here, depth = _nodes(steps, _children(branch, reps, similarity)), depth + 1
@@ -360,21 +366,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         # nodes with the same members outside their largest class count once
         among = steps.store(fold(DataFrame.unionAll, rests))
         nodes = among.groupBy("node").agg(F.expr("bit_xor(xxhash64(rid))").alias("x"), F.sum(F.expr("xxhash64(rid, 7) >> 20")).alias("y"), F.count("*").alias("n"), F.countDistinct("cls").alias("classes")).where("classes > 1")
+        steps.drop(*done)
         nodes = steps.store(nodes.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node", "n", F.col("n").alias("size")))
         within = tk.skew_join(among, nodes.select("node"), nodes.select("node", "n"), ["node"]).select("rid", "cls", F.col("node").alias("group"), F.lit(-1).alias("side"))
         todo = _crossed(crossing, sizes).unionAll(_dealt(within, nodes.select(F.col("node").alias("group"), "size", "n"), LIMIT))
-        todo = steps.store(todo.join(reps.select("rid", "sketch"), "rid"))
+        todo = steps.store(todo.join(tk.merged(reps.select("rid", "sketch")), "rid"))
+        steps.drop(crossing, among, nodes, sizes)
         # by their sketches first: only members with a likely partner in another class take their full sets along
         near = steps.store(_spread(todo, todo.count()).mapInArrow(tk.released(_likely(percent)), "rid bigint, cls bigint, `group` bigint, side int"))
-        weighed = near.join(reps.select("rid", "size"), "rid").groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        parted = steps.store(_dealt(near, steps.store(weighed), ITEMS).join(reps.select("rid", "sketch"), "rid"))
-        more = _spread(parted.join(sets, "rid"), parted.count()).mapInArrow(tk.released(_across(percent)), "a bigint, b bigint")
-        roots = components(spark, steps.store(linked.unionByName(more).distinct()))
-        placed = reps.select("rid", "low").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        steps.drop(todo)
+        weighed = near.join(tk.merged(reps.select("rid", "size")), "rid").groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        parted = steps.store(_dealt(near, steps.store(weighed), ITEMS).join(tk.merged(reps.select("rid", "sketch")), "rid"))
+        more = _spread(parted.join(tk.merged(sets), "rid"), parted.count()).mapInArrow(tk.released(_across(percent)), "a bigint, b bigint")
+        links = steps.store(linked.unionByName(more).distinct())
+        steps.drop(sets, near, parted, linked)
+        roots = components(spark, links)
+        placed = reps.select("rid", "low").join(tk.merged(roots.withColumnRenamed("node", "rid")), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         placed = steps.store(placed)
         least = steps.store(placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
         placed = steps.store(tk.skew_join(placed, least.select("root", "component_id"), least, ["root"]).select(F.col("rid").alias("a"), "component_id", F.col("root").alias("component")))
-        rows = base.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("a")).alias("a"))
         rows = tk.skew_join(rows, placed, reps.select(F.col("rid").alias("a"), "n"), ["a"], "left")
         own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         return steps.keep(rows.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), "component"))
@@ -400,7 +410,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80
     by_id, by_key, key, words = tk.fresh(docs, "of_id", "of_key", "of_text", "has_words")
     some, rest = tk.parts(spark, docs, listed)
     gone = listed.where("NOT kept").select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key)).distinct()
-    left = some.join(gone, tk.named(docs, by_id, by_key), "left_anti")
+    left = some.join(tk.merged(gone), tk.named(docs, by_id, by_key), "left_anti")
     # the same row twice: one stays, but rows without words stay as they are
     left = left.withColumn(key, tk.text_key()).withColumn(words, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     left = left.where(words).dropDuplicates(["doc_id", key]).unionByName(left.where(f"NOT {words}"))

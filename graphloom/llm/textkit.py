@@ -211,7 +211,7 @@ def without(spark: SparkSession, docs: DataFrame, gone: DataFrame) -> DataFrame:
     by_id, by_key = fresh(docs, "gone_id", "gone_key")
     some, rest = parts(spark, docs, gone)
     gone = gone.select(F.col("doc_id").alias(by_id), F.col("text_key").alias(by_key)).distinct()
-    return some.join(gone, named(docs, by_id, by_key), "left_anti").unionAll(rest)
+    return some.join(merged(gone), named(docs, by_id, by_key), "left_anti").unionAll(rest)
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -251,7 +251,12 @@ def skew_join(many: DataFrame, one: DataFrame, counts: DataFrame, keys: list[str
     unkeyed = fold(Column.__or__, [F.col(k).isNull() for k in keys])  # these match nothing, and are dealt out too
     dealt = many.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(others, deal), F.when(unkeyed, F.pmod(others, F.lit(HOT_SHARE))), F.lit(0)).cast("int"))
     copies = one.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(deal), F.lit(1)) - 1)))
-    return dealt.drop(deal).join(copies.drop(deal), [*keys, salt], how).drop(salt)
+    return dealt.drop(deal).join(merged(copies.drop(deal)), [*keys, salt], how).drop(salt)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle and merge: of tables that grow with the input, joined the same way at every size."""
+    return df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
