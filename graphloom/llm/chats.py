@@ -25,33 +25,42 @@ from . import textkit as tk
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def ordered_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), role, text: distinct rows in order."""
-    rows = turns.select(
+def _turns(turns: DataFrame) -> DataFrame:
+    return turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).where("conv_id IS NOT NULL").distinct()
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long"))
+    ).where("conv_id IS NOT NULL")
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """conv_id, place (from 1), role, text of distinct rows in order; rows that come partitioned by conv_id aren't shuffled."""
+    return rows.distinct().withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long"))
+
+
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """conv_id, place (from 1), role, text: distinct rows in order. Texts are shuffled once."""
+    return _ordered(_turns(turns).repartition("conv_id"))
 
 
 def maximal(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, and n_collapsed: the identical conversations that it stands for, itself left out."""
+    """conv_id, n_turns, and n_collapsed: the identical conversations that it stands for, itself left out. A stored table."""
     running = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("conv_id").orderBy("place")
     hashed = ordered_turns(turns).select("conv_id", "place", F.xxhash64(F.lit(1), "place", "role", "text").alias("a"), F.xxhash64(F.lit(2), "role", "text", "place").alias("b"))
     rolled = hashed.select(
         "conv_id", "place", F.expr("bit_xor(a)").over(running).alias("a"), F.expr("bit_xor(b)").over(running).alias("b"), F.lead("place").over(after).isNull().alias("last")
     )
-    rolled = tk.shared_checkpoint(spark, rolled)
-    whole = rolled.where("last").groupBy("place", "a", "b").agg(F.min("conv_id").alias("conv_id"), (F.count("*") - 1).alias("n_collapsed"))
-    inner = rolled.where("NOT last").select("place", "a", "b").distinct()
-    return whole.join(inner, ["place", "a", "b"], "left_anti").select("conv_id", F.col("place").alias("n_turns"), "n_collapsed")
+    with tk.Steps(spark) as steps:
+        rolled = steps.store(rolled)
+        whole = rolled.where("last").groupBy("place", "a", "b").agg(F.min("conv_id").alias("conv_id"), (F.count("*") - 1).alias("n_collapsed"))
+        inner = rolled.where("NOT last").select("place", "a", "b").distinct()
+        return steps.keep(whole.join(tk.merged(inner), ["place", "a", "b"], "left_anti").select("conv_id", F.col("place").alias("n_turns"), "n_collapsed"))
 
 
 def render(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_collapsed, chat: the conversations that no other one continues, as chat text."""
-    kept = maximal(spark, turns)
-    lines = ordered_turns(turns).join(kept, "conv_id").select(
+    mine = _turns(turns).join(tk.merged(maximal(spark, turns)), "conv_id")
+    lines = _ordered(mine).select(
         "conv_id", "n_turns", "n_collapsed", "place", F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n")).alias("line")
     )
     grouped = lines.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max("n_collapsed").alias("n_collapsed"), F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
