@@ -10,8 +10,9 @@ at the very threshold share a node of level 2 in some tree but for a chance of
 deep a node branches, which depends on its size, hardly bears on what is found.
 
 Nodes are compared in two steps, so that groups of alike texts of any size take
-few comparisons. First every document is compared to the least and the greatest
-member of its nodes, on full sets; linked ones form classes. Then the nodes that
+few comparisons. First every document is compared to the least member of its
+nodes and to the most central one (whose own nodes have the most members), on
+full sets; linked ones form classes. Then the nodes that
 still hold several classes are compared exhaustively across classes, on sketches
 and then on full sets: the members outside a node's largest class with each
 other, and, once for all nodes with the same largest class, with its members. A
@@ -44,7 +45,7 @@ from .graph import components
 SKETCH = 128
 TREES = 24
 #: Members that are compared at once; larger sets of them are dealt out in blocks.
-LIMIT = 200
+LIMIT = 300
 #: Shingles (8 bytes each) of the full sets in a block, but for a set that has more by itself.
 ITEMS = 1_000_000
 #: A node branches on if more members than this are outside its largest class; to DEPTH levels at most.
@@ -241,7 +242,7 @@ def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_groups(batches):
             x, y, _ = _pairs(part, percent)
-            yield from part.take(pa.array(np.unique(np.concatenate([x, y])))).select(["rid", "cls", "group", "side"]).to_batches()
+            yield from part.take(pa.array(np.unique(np.concatenate([x, y])))).select(["rid", "cls", "group", "side", "sketch", "size"]).to_batches()
 
     return run
 
@@ -278,8 +279,8 @@ def _across(percent: int):
 
 
 def _nodes(steps: tk.Steps, level: DataFrame) -> DataFrame:
-    """rid, node, n, low, high of the nodes (rid, node) with two members or more: their number, least and greatest member."""
-    nodes = steps.store(level.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("n > 1"))
+    """rid, node, n, low of the nodes (rid, node) with two members or more: their number and least member."""
+    nodes = steps.store(level.groupBy("node").agg(F.count("*").alias("n"), F.min("rid").alias("low")).where("n > 1"))
     out = steps.store(tk.skew_join(level, nodes, nodes.select("node", "n"), ["node"]))
     steps.drop(nodes)
     return out
@@ -295,23 +296,23 @@ def _children(members: DataFrame, reps: DataFrame, similarity: float) -> DataFra
 
 
 def _crossed(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rid, cls, group, side of members (rid, cls, main; distinct): blocks of a main class against blocks of the members that met it."""
+    """rid, cls, group, side, sketch, size of members (rid, cls, main, sketch, size; distinct): blocks of a main class against blocks of the members that met it."""
     minor = F.col("cls") != F.col("main")
     dealt = tk.skew_join(members, sizes, sizes, ["main"])
     dealt = dealt.withColumn("nb", F.ceil((F.col("n") - F.col("rest")) / LIMIT).cast("int")).withColumn("ns", F.ceil(F.col("rest") / LIMIT).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rid"), F.when(minor, F.col("ns")).otherwise(F.col("nb"))).cast("int"))
     crossed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(minor, F.col("nb")).otherwise(F.col("ns")) - 1)))
     group = F.xxhash64("main", F.when(minor, F.col("own")).otherwise(F.col("other")), F.when(minor, F.col("other")).otherwise(F.col("own")))
-    return crossed.select("rid", "cls", group.alias("group"), minor.cast("int").alias("side"))
+    return crossed.select("rid", "cls", group.alias("group"), minor.cast("int").alias("side"), "sketch", "size")
 
 
 def _dealt(members: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    """members (group, rid, cls, side) with groups of more than limit (sizes: group, size, n rows) dealt out in blocks; any two members meet in one of the new groups."""
-    parted = tk.skew_join(members, sizes, sizes.select("group", "n"), ["group"]).withColumn("nb", F.ceil(F.col("size") / limit).cast("int"))
+    """members (rid, cls, group, side, sketch, size) with groups of more than limit (sizes: group, total, n rows) dealt out in blocks; any two members meet in one of the new groups."""
+    parted = tk.skew_join(members, sizes.select("group", "total"), sizes.select("group", "n"), ["group"]).withColumn("nb", F.ceil(F.col("total") / limit).cast("int"))
     parted = parted.withColumn("own", F.pmod(F.xxhash64("rid", F.lit("own")), F.col("nb")).cast("int"))
     parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     group = F.when(F.col("nb") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
-    return parted.select("rid", "cls", group.alias("group"), "side")
+    return parted.select("rid", "cls", group.alias("group"), "side", "sketch", "size")
 
 
 def _spread(members: DataFrame, n: int) -> DataFrame:
@@ -331,17 +332,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         rows = steps.store(base.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("a")).alias("a")))
         steps.drop(base)
 
-        # every document against the least and the greatest one of its nodes
+        # every document against the least and the most central one of its nodes
         here = _nodes(steps, reps.select("rid", F.explode("paths").alias("node")))
         met = steps.store(reps.select("rid", "doc_id", "text_key").join(tk.merged(here.select("rid").distinct()), "rid", "left_semi"))
         sets = steps.store(full_sets(spark, docs, met, k))
-        stars = here.select("rid", F.explode(F.array("low", "high")).alias("pivot")).where("rid <> pivot").groupBy("rid", "pivot").count().where("count > 1").select("rid", "pivot")
+        central = here.join(tk.merged(here.groupBy("rid").agg(F.sum("n").alias("near"))), "rid").groupBy("node").agg(F.max(F.struct("near", "rid"))["rid"].alias("central"), F.first("n").alias("n"))
+        central = steps.store(central)
+        stars = tk.skew_join(here, central.select("node", "central"), central.select("node", "n"), ["node"]).select("rid", F.explode(F.array("low", "central")).alias("pivot")).where("rid <> pivot").groupBy("rid", "pivot").count().where("count > 1").select("rid", "pivot")
         stars = steps.store(stars)
         pivots = steps.store(stars.groupBy("pivot").agg(F.count("*").alias("n")))
         others = sets.join(tk.merged(pivots.select(F.col("pivot").alias("rid"))), "rid", "left_semi").select(F.col("rid").alias("pivot"), F.col("items").alias("others"))
         linked = tk.skew_join(sets.join(tk.merged(stars), "rid"), others, pivots, ["pivot"]).where(_similar(F.size(F.array_intersect("items", "others")), F.size("items"), F.size("others"), percent))
         linked = steps.store(linked.select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
-        steps.drop(met, stars, pivots)
+        steps.drop(met, stars, pivots, central)
         classes = components(spark, linked).withColumnRenamed("node", "rid")
 
         # of the nodes that still hold several classes, those where too much is outside the largest one branch on
@@ -367,16 +370,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         among = steps.store(fold(DataFrame.unionAll, rests))
         nodes = among.groupBy("node").agg(F.expr("bit_xor(xxhash64(rid))").alias("x"), F.sum(F.expr("xxhash64(rid, 7) >> 20")).alias("y"), F.count("*").alias("n"), F.countDistinct("cls").alias("classes")).where("classes > 1")
         steps.drop(*done)
-        nodes = steps.store(nodes.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node", "n", F.col("n").alias("size")))
-        within = tk.skew_join(among, nodes.select("node"), nodes.select("node", "n"), ["node"]).select("rid", "cls", F.col("node").alias("group"), F.lit(-1).alias("side"))
-        todo = _crossed(crossing, sizes).unionAll(_dealt(within, nodes.select(F.col("node").alias("group"), "size", "n"), LIMIT))
-        todo = steps.store(todo.join(tk.merged(reps.select("rid", "sketch")), "rid"))
-        steps.drop(crossing, among, nodes, sizes)
+        nodes = steps.store(nodes.groupBy("x", "y", "n").agg(F.min("node").alias("group")).select("group", "n", F.col("n").alias("total")))
+        within = tk.skew_join(among.withColumnRenamed("node", "group"), nodes.select("group"), nodes.select("group", "n"), ["group"])
+        # members take their sketches along before they are dealt out
+        members = crossing.select("rid", "cls", "main", F.lit(None).cast("long").alias("group")).unionAll(within.select("rid", "cls", F.lit(None).cast("long"), "group"))
+        members = steps.store(members.join(tk.merged(reps.select("rid", "sketch", "size")), "rid"))
+        steps.drop(crossing, among)
+        todo = _crossed(members.where("main IS NOT NULL").drop("group"), sizes)
+        todo = todo.unionAll(_dealt(members.where("group IS NOT NULL").select("rid", "cls", "group", F.lit(-1).alias("side"), "sketch", "size"), nodes, LIMIT))
+        todo = steps.store(todo)
+        steps.drop(members, nodes, sizes)
         # by their sketches first: only members with a likely partner in another class take their full sets along
-        near = steps.store(_spread(todo, todo.count()).mapInArrow(tk.released(_likely(percent)), "rid bigint, cls bigint, `group` bigint, side int"))
+        kind = "rid bigint, cls bigint, `group` bigint, side int, sketch binary, size bigint"
+        near = steps.store(_spread(todo, todo.count()).mapInArrow(tk.released(_likely(percent)), kind))
         steps.drop(todo)
-        weighed = near.join(tk.merged(reps.select("rid", "size")), "rid").groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        parted = steps.store(_dealt(near, steps.store(weighed), ITEMS).join(tk.merged(reps.select("rid", "sketch")), "rid"))
+        weighed = steps.store(near.groupBy("group").agg(F.sum("size").alias("total"), F.count("*").alias("n")))
+        parted = steps.store(_dealt(near, weighed, ITEMS))
         more = _spread(parted.join(tk.merged(sets), "rid"), parted.count()).mapInArrow(tk.released(_across(percent)), "a bigint, b bigint")
         links = steps.store(linked.unionByName(more).distinct())
         steps.drop(sets, near, parted, linked)
