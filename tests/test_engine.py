@@ -248,3 +248,26 @@ def test_constants_reach_the_scan(spark):
     e = entity("order", "o_orderkey")
     assert [e.value(x) for x in ("<urn:order:12>", "<urn:order:012>", "<urn:order:>", "<urn:order:-3>", "<urn:order:99999999999999999999>", "<urn:part:1>", "<urn:order:1")] == [12, None, None, -3, None, None, None]
     assert TermMap("x", '"', '"').value('"') is None and TermMap("x", '"', '"').value('""') == ""
+
+
+def test_intermediate_tables_need_a_shared_folder(spark):
+    from types import SimpleNamespace as Stub
+
+    from graphloom.operators import storage
+
+    df, path = storage.stored(spark, spark.range(5))
+    assert df.count() == 5 and [n for n, _ in storage.names(spark, path) if n.endswith(".parquet")]
+    storage.delete(spark, path)
+    assert storage.names(spark, path) == []
+    unset = Stub(get=lambda *_: None)
+    context = Stub(master="spark://somewhere:7077", getConf=lambda: unset, _jsc=Stub(sc=lambda: Stub(getCheckpointDir=lambda: Stub(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError):
+        storage.folder(Stub(sparkContext=context, conf=unset))
+
+
+def test_numbers_are_dense_over_many_ranges(spark):
+    from graphloom.operators.ranking import numbered
+
+    df = spark.range(3000).select(F.concat(F.lit("k"), F.lpad(F.pmod(F.col("id") * 7919, F.lit(3000)).cast("string"), 5, "0")).alias("key"))
+    got = [tuple(r) for r in numbered(df.repartition(7), ["key"], "n", 2).orderBy("key").collect()]
+    assert got == [(f"k{i:05d}", i + 2) for i in range(3000)]
