@@ -296,3 +296,36 @@ def test_pipeline_over_documents(spark):
     tok = bpe.tokenizer(bpe.default_path())
     assert {r.doc_id: r.input_ids for r in got} == {i: tok.encode(t) for i, t in left}
     assert tk.table(spark, SF, "documents").count() == len(texts) and langid.UNKNOWN == "und"
+
+
+def test_steps_leave_only_what_is_kept(spark):
+    from graphloom.operators.storage import folder, names
+
+    before = {n for n, _ in names(spark, folder(spark))}
+    with tk.Steps(spark) as steps:
+        a = steps.store(spark.range(10))
+        b = steps.store(a.where("id > 3"))
+        steps.drop(a)
+        assert len({n for n, _ in names(spark, folder(spark))} - before) == 1
+        kept = steps.keep(b.where("id > 7"))
+    assert len({n for n, _ in names(spark, folder(spark))} - before) == 1 and kept.count() == 2
+
+
+def test_parts_and_without(spark, odd_docs):
+    keys = tk.shared_checkpoint(spark, tk.keyed_texts(odd_docs).where("doc_id IN (1, 7) AND text NOT LIKE 'x%'").select("doc_id", "text_key"))
+    some, rest = tk.parts(spark, odd_docs, keys)
+    assert rows(some.unionAll(rest)) == rows(odd_docs) and some.columns == odd_docs.columns
+    assert rows(tk.without(spark, odd_docs, keys)) == rows(odd_docs.where("doc_id IS NULL OR doc_id NOT IN (1, 7) OR text LIKE 'x%'"))
+
+
+def test_salted_joins_are_joins(spark, monkeypatch):
+    monkeypatch.setattr(tk, "HOT_SHARE", 10)
+    rng = random.Random(20)
+    many = [(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), i) for i in range(400)]
+    one = [(k, f"v{k}") for k in (1, 2, 3, 9)]
+    m, o = spark.createDataFrame(many, "k int, hot_salt int"), spark.createDataFrame(one, "k int, v string")
+    counts = m.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        assert rows(tk.skew_join(m, o, counts, ["k"], how)) == rows(m.join(o, "k", how))
+    text = spark.createDataFrame([("x" * 100, [1, 2, 3], (1, "yy"), ["a"])], "s string, a array<int>, t struct<i:int,u:string>, l array<string>")
+    assert 150 < text.agg(F.sum(tk.row_bytes(text))).first()[0] < 500
