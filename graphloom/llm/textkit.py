@@ -25,6 +25,8 @@ from ..operators.storage import delete, stored
 
 #: Bytes of text handled at once; a longer single text forms a chunk alone.
 CHUNK_BYTES = 1 << 21
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 #: 8-byte pieces that are hashed at once, unless one span has more.
 _PIECES = 1 << 16
 
@@ -49,7 +51,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, which gives back the memory that is free in the worker when its task ends: workers live on for later tasks and stages."""
+    """run, which gives back the memory that is free in the worker when its task ends: workers live on for later tasks and stages.
+
+    Rows reach it BATCH_ROWS at a time: batches of texts lie in memory several times, in the JVM and in the worker.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
