@@ -434,7 +434,7 @@ def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         gc.disable()  # no cycles are made here, and looking for them among so many words takes a tenth of the time
-        try:
+        try:  # the words of the tables stay from task to task
             for batch in batches:
                 sizes = np.cumsum(np.array([x.as_buffer().size if x.is_valid else 0 for x in batch.column("text")], np.int64))
                 lo = 0
@@ -443,7 +443,6 @@ def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> Data
                     yield encoded(tok, batch.slice(lo, hi - lo))
                     lo = hi
         finally:
-            tok.forget()
             gc.enable()
 
     def encoded(tok: Tokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
