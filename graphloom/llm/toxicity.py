@@ -248,7 +248,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, use: Column)
     with tk.Steps(spark) as steps:
         marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & use).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         marked = steps.store(marked)
-        near = tk.parts(spark, texts, marked)[0].mapInArrow(tk.released(_copy_keys), "doc_id bigint, near bigint").join(marked, "doc_id")
+        near = tk.parts(spark, texts, marked)[0].mapInArrow(tk.released(_copy_keys), "doc_id bigint, near bigint").join(tk.merged(marked), "doc_id")
         once = steps.store(near.groupBy("near", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"))
         n_toxic, n_clean = (once.where(f"toxic = {v}").count() for v in (1, 0))
         if not n_toxic or not n_clean:
@@ -257,7 +257,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, use: Column)
             return model
         # the texts of labelled rows are stored once; others are read where they are
         some, rest = tk.parts(spark, texts, once)
-        labelled = steps.store(some.join(once, "doc_id", "left"))
+        labelled = steps.store(some.join(tk.merged(once), "doc_id", "left"))
         counts = "word bigint, n_toxic bigint, n_clean bigint, n_all bigint"
         sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_clean", "n_all")]
         in_toxic = labelled.where("toxic = 1").mapInArrow(tk.released(_count(None)), counts).groupBy("word").agg(*sums).where(F.col("n_toxic") >= MIN_DOCS)
