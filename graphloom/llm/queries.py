@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chats, decontaminate, langid, licenses, linededup, media, neardup, toxicity, urls
+from . import bpe, chats, decontaminate, langid, licenses, linededup, media, merkle, neardup, quantize, repeats, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_url_filter": urls.op8,
     "op9_language": langid.op9,
     "op10_chat_format": chats.op10,
+    "op11_merkle": merkle.op11,
+    "op12_repeats": repeats.op12,
+    "op13_quantize": quantize.op13,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op10_chat_format": chats.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_repeats": repeats.OP12_SQL,
+    "op13_quantize": quantize.OP13_SQL,
 }

@@ -302,11 +302,19 @@ class Steps:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing will read again, before the block ends."""
-        names = {file.rsplit("/", 2)[-2] for t in tables for file in t.inputFiles()[:1]}
-        for path in [x for x in self.paths if x.rsplit("/", 1)[-1] in names]:
+        for path in self._of(tables):
             self.paths.remove(path)
             delete(self.spark, path)
 
+    def hold(self, *tables: DataFrame) -> None:
+        """These outlive the block: a result that isn't computed yet reads them."""
+        for path in self._of(tables):
+            self.paths.remove(path)
+
+    def _of(self, tables: tuple[DataFrame, ...]) -> list[str]:
+        names = {file.rsplit("/", 2)[-2] for t in tables for file in t.inputFiles()[:1]}
+        return [x for x in self.paths if x.rsplit("/", 1)[-1] in names]
+
     def keep(self, df: DataFrame) -> DataFrame:
         return stored(self.spark, df)[0]
 
