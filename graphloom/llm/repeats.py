@@ -207,9 +207,12 @@ def _ranges(rows: np.ndarray, length: int) -> np.ndarray:
 
 
 def _dealt(rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its rows)."""
+    if not len(rows):
+        return
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
-    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, b in zip(head, [*head[1:], len(rows)], strict=True):
         yield int(bucket[a]), rows[a:b]
 
