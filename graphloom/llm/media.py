@@ -15,8 +15,10 @@ Nulls: null bytes sniff as null; a null text is stored as an empty one (64 zero
 bytes); a null doc_id stays. Repeated rows are kept. Ties: of objects that
 overlap the outermost, first one is carved. An empty table gives an empty one.
 Other columns pass through correct_types() and read_back(); those that they add
-must be free. Texts of any length are handled whole, a few megabytes or one text
-at a time, in time that grows with their length.
+give way to columns of the same name. Texts of any length are handled whole, a few megabytes
+or one text at a time. Pages and blocks of Ogg, GIF, JPEG and RIFF that many
+objects of one text share are walked once (_walk), so that time grows with the
+text's length; PNG chunks and gzip members, which texts can't hold, are read for each object.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ BLOCK = 64
 RATE = 8000
 #: Bytes that are inflated at once.
 _STEP = 1 << 16
-_last: dict[bytes, tuple[bytes, list[int], dict[int, list[int]]]] = {}
+#: The bytes at hand and what is known of them.
+_held: list = []
 
 
 class Found(NamedTuple):
@@ -65,56 +68,78 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
+def _walk(memo: dict[int, int], i: int, step: Callable[[int], tuple[int, int]]) -> int:
+    """Where the chain of blocks from i on ends. step(i) is (the next block, 0), or (-1, the end; 0 if there is none).
+
+    Chains that meet go on alike: memo has the end from each block that was
+    walked before, so that all chains of a text together cost one walk.
+    """
+    path = []
+    while i not in memo:
+        path.append(i)
+        i, end = step(i)
+        if i < 0:
+            memo[path[-1]] = end
+            break
+    end = memo[path[-1] if i < 0 else i]
+    for x in path:
+        memo[x] = end
+    return end
+
+
 def _gif(b: bytes, at: int) -> int:
     if at + 13 > len(b):
         return 0
     flags = b[at + 10]
-    i = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+    data, blocks = _memo(b, "gif data"), _memo(b, "gif")
 
-    def blocks(i: int) -> int:
-        while i < len(b) and b[i]:
-            i += b[i] + 1
-        return i + 1 if i < len(b) else 0
+    def piece(i: int) -> tuple[int, int]:
+        """Of the data behind a block: lengths and bytes up to a length of 0."""
+        return (-1, 0) if i >= len(b) else (-1, i + 1) if not b[i] else (i + b[i] + 1, 0)
 
-    while i < len(b):
+    def block(i: int) -> tuple[int, int]:
+        if i >= len(b):
+            return -1, 0
         if b[i] == 0x3B:
-            return i + 1
+            return -1, i + 1
         if b[i] == 0x21:
-            i = blocks(i + 2)
+            after = _walk(data, i + 2, piece)
         elif b[i] == 0x2C and i + 10 < len(b):
             local = b[i + 9]
-            i = blocks(i + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
+            after = _walk(data, i + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0), piece)
         else:
-            return 0
-        if not i:
-            return 0
-    return 0
+            after = 0
+        return (after, 0) if after else (-1, 0)
+
+    return _walk(blocks, at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), block)
 
 
 def _jpeg(b: bytes, at: int) -> int:
-    i, framed = at + 2, False
-    while i + 4 <= len(b) and b[i] == 0xFF:
+    """Blocks are named by place and, in the lowest bit, whether a frame header has been seen."""
+    real = _markers(b)
+
+    def block(x: int) -> tuple[int, int]:
+        i, framed = x >> 1, x & 1
+        if i + 2 > len(b) or b[i] != 0xFF:
+            return -1, 0
         mark = b[i + 1]
         if mark == 0xD9:
-            return i + 2 if framed else 0
+            return -1, i + 2 if framed else 0
         if mark == 0xFF or 0xD0 <= mark <= 0xD7 or mark == 0x01:
-            i += 1 if mark == 0xFF else 2
-            continue
+            return i + (1 if mark == 0xFF else 2) << 1 | framed, 0
         n = int.from_bytes(b[i + 2 : i + 4], "big")
-        if n < 2 or mark < 0xC0:
-            return 0
+        if i + 4 > len(b) or n < 2 or mark < 0xC0:
+            return -1, 0
         framed |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         i += 2 + n
         if mark == 0xDA:  # entropy-coded data up to the next real marker
-            while True:
-                i = b.find(b"\xff", i)
-                if i < 0 or i + 1 >= len(b):
-                    return 0
-                if b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7:
-                    i += 2
-                    continue
-                break
-    return i + 2 if framed and b[i : i + 2] == b"\xff\xd9" else 0
+            k = bisect_left(real, i)
+            if k == len(real):
+                return -1, 0
+            i = real[k]
+        return i << 1 | framed, 0
+
+    return _walk(_memo(b, "jpeg"), at + 2 << 1, block)
 
 
 def _riff(form: bytes, need: tuple[bytes, ...]) -> Callable[[bytes, int], int]:
@@ -124,12 +149,16 @@ def _riff(form: bytes, need: tuple[bytes, ...]) -> Callable[[bytes, int], int]:
         stop = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
         if stop > len(b):
             return 0
-        i, kinds = at + 12, set()
-        while i + 8 <= stop:
-            kinds.add(b[i : i + 4])
+
+        def block(x: int) -> tuple[int, int]:
+            """Blocks are named by place and, in the lowest bit, whether one that is needed has been seen."""
+            i, seen = x >> 1, x & 1
+            if i + 8 > stop:
+                return -1, stop if seen and i in (stop, stop + 1) else 0
             n = int.from_bytes(b[i + 4 : i + 8], "little")
-            i += 8 + n + (n & 1)
-        return stop if i in (stop, stop + 1) and kinds & set(need) else 0
+            return i + 8 + n + (n & 1) << 1 | (seen or b[i : i + 4] in need), 0
+
+        return _walk(_memo(b, (form, stop)), at + 12 << 1, block)
 
     return end
 
@@ -159,22 +188,40 @@ def _gzip(b: bytes, at: int) -> int:
     return 0
 
 
+def _memo(b: bytes, name: object) -> dict:
+    """What the validators know of the bytes at hand, by name; it goes when other bytes come."""
+    if not _held or _held[0] is not b:
+        _held[:] = [b, {}]
+    return _held[1].setdefault(name, {})
+
+
+def _markers(b: bytes) -> list[int]:
+    """Where markers stand that end entropy-coded data: 0xFF, but not before 0 or a restart."""
+    memo = _memo(b, "markers")
+    if "all" not in memo:
+        x = np.frombuffer(b, np.uint8)
+        at = np.flatnonzero(x[:-1] == 0xFF)
+        after = x[at + 1]
+        memo["all"] = at[(after != 0) & ((after < 0xD0) | (after > 0xD7))].tolist()
+    return memo["all"]
+
+
 def _places(b: bytes, mark: bytes) -> list[int]:
-    """Where mark stands in b; the last answer for each mark is kept, for the many objects of one text."""
-    held = _last.get(mark)
-    if held is None or held[0] is not b:
+    """Where mark stands in b."""
+    memo = _memo(b, mark)
+    if "all" not in memo:
         found, i = [], b.find(mark)
         while i >= 0:
             found.append(i)
             i = b.find(mark, i + 1)
-        held = _last[mark] = (b, found, {})
-    return held[1]
+        memo["all"] = found
+    return memo["all"]
 
 
 def _zip(b: bytes, at: int) -> int:
     """Up to the first end-of-directory record whose directory begins where its lengths say."""
     ends = _places(b, b"PK\x05\x06")
-    begins = _last[b"PK\x05\x06"][2]
+    begins = _memo(b, "zip")
     if not begins and ends:  # where the archive of each record begins, and the records of each beginning
         for i in ends:
             if i + 22 <= len(b):
@@ -205,15 +252,16 @@ def _flac(b: bytes, at: int) -> int:
 
 
 def _ogg(b: bytes, at: int) -> int:
-    i = at
-    while b[i : i + 5] == b"OggS\0" and i + 27 <= len(b):
+    def page(i: int) -> tuple[int, int]:
+        if b[i : i + 5] != b"OggS\0" or i + 27 > len(b):
+            return -1, 0
         n = b[i + 26]
-        last, i = b[i + 5] & 4, i + 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i > len(b):
-            return 0
-        if last:
-            return i
-    return 0
+        after = i + 27 + n + sum(b[i + 27 : i + 27 + n])
+        if after > len(b):
+            return -1, 0
+        return (-1, after) if b[i + 5] & 4 else (after, 0)
+
+    return _walk(_memo(b, "ogg"), at, page)
 
 
 #: Magic numbers as the formats define them, and what confirms each.
@@ -250,14 +298,14 @@ def signatures(data: bytes) -> list[Found]:
     for last, (n, checks) in _automaton().iter(data.decode("latin-1")):
         at = last - n + 1
         out += [Found(kind, at, end) for kind, check in checks if (end := check(data, at))]
-    _last.clear()
+    _held.clear()
     return sorted(out, key=lambda f: (f.start, -f.end))
 
 
-def carve(data: bytes) -> list[Found]:
-    """The confirmed objects in data that no earlier one covers."""
+def carve(data: bytes, found: list[Found] | None = None) -> list[Found]:
+    """The confirmed objects in data (found: its signatures, if they are at hand) that no earlier one covers."""
     out, end = [], 0
-    for f in signatures(data):
+    for f in signatures(data) if found is None else found:
         if f.start >= end:
             out.append(f)
             end = f.end
@@ -288,9 +336,9 @@ class Stored(NamedTuple):
     inside: list[Found]
 
 
-def load(stored: bytes) -> Stored:
+def load(stored: bytes, found: list[Found] | None = None) -> Stored:
     """Format and samples of a stored file, and the objects carved out of the samples; ValueError if its structure does not hold."""
-    found = signatures(stored)
+    found = signatures(stored) if found is None else found
     if not found or found[0] != Found("audio/wav", 0, len(stored)):
         raise ValueError("not a stored file")
     i, form = 12, None
@@ -341,65 +389,62 @@ def store_texts(docs: DataFrame) -> DataFrame:
 _KINDS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _added(df: DataFrame, columns: str, run: Callable[[list[bytes | None], pa.RecordBatch], list[pa.Array]], media: str) -> DataFrame:
-    """df with more columns, made from the bytes of column media."""
-    more = T._parse_datatype_string(columns)
-    taken = {c.lower() for c in df.columns} & {f.name.lower() for f in more.fields}
-    if taken:
-        raise ValueError(f"columns {', '.join(sorted(taken))} are taken")
+_TYPES = "media_type string, corrected boolean, carved array<struct<kind:string,start:bigint,end:bigint>>"
+_SOUND = "channels int, rate int, bits int, payload binary, peak int, crossings bigint"
+
+
+def _types(data: bytes | None, declared: str | None, found: list[Found], file: Stored | None) -> tuple:
+    whole = next((f for f in found if f.start == 0), None)
+    kind = None if data is None else whole.kind if whole else "application/octet-stream"
+    inner = file.inside if file else [f for f in carve(data or b"", found) if f.start]
+    return kind, kind is not None and kind != declared, [f._asdict() for f in inner]
+
+
+def _sound(file: Stored | None) -> tuple:
+    if file is None:
+        return (None,) * 6
+    wave = np.frombuffer(file.samples, np.uint8).astype(np.int16) - 128
+    above = wave >= 0
+    return file.channels, file.rate, file.bits, file.samples, int(np.abs(wave).max()) if len(wave) else 0, int((above[1:] != above[:-1]).sum())
+
+
+def inspect(df: DataFrame, media: str = "media", declared: str | None = "declared", types: bool = True, sound: bool = True) -> DataFrame:
+    """df with what correct_types() and read_back() add, from one scan of each file. Names that df has already are kept for its own columns; the added ones get underscores before them."""
+    fields = T._parse_datatype_string(", ".join([_TYPES] * types + [_SOUND] * sound)).fields
+    names = tk.fresh(df, *(f.name for f in fields))
+    kinds = [pa.string(), pa.bool_(), _KINDS] * types + [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64()] * sound
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, media):
-                yield pa.RecordBatch.from_arrays([*part.columns, *run(part.column(media).to_pylist(), part)], names=[*part.schema.names, *more.names])
+                rows = []
+                said = part.column(declared).to_pylist() if types else [None] * len(part)
+                for data, claim in zip(part.column(media).to_pylist(), said, strict=True):
+                    found = signatures(data) if data is not None else []
+                    try:
+                        file = load(data or b"", found)
+                    except ValueError:  # another kind of file
+                        file = None
+                    rows.append((_types(data, claim, found, file) if types else ()) + (_sound(file) if sound else ()))
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
 
-    return df.mapInArrow(tk.released(over), T.StructType([*df.schema.fields, *more.fields]))
+    return df.mapInArrow(tk.released(over), T.StructType([*df.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True))]))
 
 
 def correct_types(df: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
     """df with media_type (sniffed), corrected (it differs from the declared one) and carved: the objects in the bytes after the first; in a stored file's samples if it is one."""
-
-    def run(held: list[bytes | None], part: pa.RecordBatch) -> list[pa.Array]:
-        types, carved = [], []
-        for data in held:
-            found = signatures(data) if data is not None else []
-            whole = next((f for f in found if f.start == 0), None)
-            types.append(None if data is None else whole.kind if whole else "application/octet-stream")
-            inner = [f for f in carve(data or b"") if f.start]
-            if whole and whole.kind == "audio/wav" and whole.end == len(data):
-                try:
-                    inner = load(data).inside
-                except ValueError:  # a sound file of another make
-                    pass
-            carved.append([f._asdict() for f in inner])
-        said = part.column(declared).to_pylist()
-        return [pa.array(types, pa.string()), pa.array([t is not None and t != d for t, d in zip(types, said, strict=True)], pa.bool_()), pa.array(carved, _KINDS)]
-
-    return _added(df, "media_type string, corrected boolean, carved array<struct<kind:string,start:bigint,end:bigint>>", run, media)
+    return inspect(df, media, declared, sound=False)
 
 
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
     """df with channels, rate, bits and payload (the samples) of the stored files in column media, peak (the sample farthest from silence) and crossings (of silence); null where it is none."""
-
-    def run(held: list[bytes | None], _: pa.RecordBatch) -> list[pa.Array]:
-        rows = []
-        for data in held:
-            try:
-                f = load(data or b"")
-            except ValueError:
-                rows.append((None,) * 6)
-                continue
-            wave = np.frombuffer(f.samples, np.uint8).astype(np.int16) - 128
-            above = wave >= 0
-            rows.append((f.channels, f.rate, f.bits, f.samples, int(np.abs(wave).max()) if len(wave) else 0, int((above[1:] != above[:-1]).sum())))
-        return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64()], strict=True)]
-
-    return _added(df, "channels int, rate int, bits int, payload binary, peak int, crossings bigint", run, media)
+    return inspect(df, media, None, types=False)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each text stored as media and read back; feature: sniffed type, format, shape of the sound, and the objects inside."""
-    found = read_back(correct_types(store_texts(tk.table(spark, sf_dir, "documents"))))
+    found = inspect(store_texts(tk.table(spark, sf_dir, "documents")))
     objects = F.array_join(F.transform("carved", lambda f: F.concat(F.lit(";"), f["kind"], F.lit("@"), f["start"].cast("string"), F.lit("+"), (f["end"] - f["start"]).cast("string"))), "")
     pair = lambda name, c: F.concat(F.lit(f";{name}="), c.cast("string"))
     feature = F.concat("media_type", pair("channels", F.col("channels")), pair("rate", F.col("rate")), pair("bits", F.col("bits")), pair("peak", F.col("peak")), pair("crossings", F.col("crossings")), objects)

@@ -428,8 +428,8 @@ def test_declared_types_are_corrected(spark):
     assert got == {1: ("audio/wav", False, 0), 2: ("audio/wav", True, 0), 3: ("application/octet-stream", True, 0), 4: ("application/octet-stream", False, 0), 5: (None, False, 0), 6: ("application/gzip", True, 1)}
     back = media.read_back(spark.createDataFrame(rows_, "key int, media binary, declared string")).where("payload IS NOT NULL").collect()
     assert {(r.key, bytes(r.payload), r.rate) for r in back} == {(1, b"ab", 8000), (2, b"ab", 8000)}
-    with pytest.raises(ValueError):
-        media.read_back(spark.createDataFrame([(b"", 1)], "media binary, RATE int"))
+    clash = media.inspect(spark.createDataFrame([(wav, "audio/wav", 7)], "media binary, declared string, RATE int"))
+    assert clash.columns[:3] == ["media", "declared", "RATE"] and (clash.first().RATE, clash.first()._rate, clash.first().corrected) == (7, 8000, False)
 
 
 def test_many_signatures_take_linear_time():
@@ -446,6 +446,23 @@ def test_many_signatures_take_linear_time():
     assert media.carve(b"-" + bomb) == [media.Found("application/gzip", 1, 1 + len(bomb))]
     for text in (b"PK\x03\x04" * 200_000, end * 20_000 + b"PK\x03\x04" * 50_000, b"%PDF-" * 200_000 + b"%%EOF", b"%PDF-%%EOF" * 50_000):
         assert seconds(text) < 5
+    # chains of pages, blocks and chunks that each of many objects leads into; the last two end well
+    page = b"OggS\0" + bytes(22)
+    gif = b"GIF89a" + bytes(6)
+    chains = {
+        "ogg": lambda n: page * (n // 27),
+        "gif": lambda n: gif + b"\0" + b"\x21\0" + (bytes([13]) + gif + b"\0") * (n // 14),
+        "jpeg": lambda n: b"\xff\xd8\xff\xe0\0\x02" * (n // 6),
+        "jpeg data": lambda n: b"\xff\xd8\xff\xc0\0\x02\xff\xda\0\x02ab" * (n // 12),
+        "riff": lambda n: b"".join(b"RIFF" + struct.pack("<I", n - 20 * i - 8) + b"WAVE" + b"data" + bytes(4) for i in range(n // 20)),
+        "ogg end": lambda n: page * (n // 27) + b"OggS\0\x04" + bytes(21),
+        "gif end": lambda n: gif + b"\0" + b"\x21\0" + (bytes([13]) + gif + b"\0") * (n // 14) + b"\0;",
+    }
+    for name, chain in chains.items():
+        once, four = (min(seconds(chain(n)) for _ in range(2)) for n in (1 << 16, 1 << 18))
+        assert four < 0.1 + 4 * 2 * once, (name, once, four)
+    ended = media.signatures(chains["ogg end"](2700))
+    assert len(ended) == 101 and {f.end for f in ended} == {2727}
     archive = b"PK\x03\x04" + bytes(10) + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 1, 1, 4, 10, 0)
     assert media.carve(b"??" + archive + b"??") == [media.Found("application/zip", 2, 2 + len(archive))]
 
