@@ -73,6 +73,29 @@ def integer(t: Column) -> Column:
     return _typed(t, r"[+-]?[0-9]+", INTEGERS).try_cast("decimal(38,0)")
 
 
+def is_plain(t: Column) -> Column:
+    """Whether it is a string without a tag; is_tagged: with a language."""
+    return t.startswith('"') & t.endswith('"')
+
+
+def is_tagged(t: Column) -> Column:
+    return t.startswith('"') & ~t.endswith('"') & ~t.endswith(">")
+
+
+def boolean(t: Column) -> Column:
+    """The value of a boolean literal; else null."""
+    of = lambda *texts: t.isin([f'"{x}"^^<{XSD}boolean>' for x in texts])
+    return F.when(of("true", "1"), True).when(of("false", "0"), False)
+
+
+def moment(t: Column, name: str) -> Column:
+    """The value of a literal of datatype dateTime or date; else null."""
+    end = f'"^^<{XSD}{name}>'
+    body = F.substring(t, F.lit(2), F.length(t) - (len(end) + 1))
+    pattern = r"^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}" + (r"T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?$" if name == "dateTime" else "$")
+    return F.when(t.endswith(end) & body.rlike(pattern), body.try_cast("timestamp" if name == "dateTime" else "date"))
+
+
 _ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 

@@ -58,6 +58,17 @@ def _over_graph(name: str, sql: str):
     return register
 
 
+def _over_tables(name: str, sql: str):
+    """Registers f(store) with SQL over the relational tables."""
+
+    def register(f: Callable[[GraphStore], DataFrame]):
+        QUERIES[name] = lambda spark, sf: f(rdf_view(spark, sf))
+        ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
 O, C, N, S, P, R = _ent("order", "o_orderkey"), _ent("customer", "c_custkey"), _ent("nation", "n_nationkey"), _ent("supplier", "s_suppkey"), _ent("part", "l_partkey"), _ent("region", "r_regionkey")  # noqa: E741
 LP = "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"
 LS = "(SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)"
@@ -149,10 +160,10 @@ _sparql("filter_cast", 'SELECT ?n WHERE { ?n a c:Nation ; p:nationCode ?a FILTER
 
 _sparql("syntax_forms", "PREFIX : <urn:p:> # a comment, a default prefix, small keywords, the other variable sign\nselect $c $g where { $c :segment $g, 'BUILDING' ; :fromNation <urn:nation:3> . }",
         f"SELECT {C} AS c, {_txt('c_mktsegment')} AS g FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")
-QUERIES["filter_registered"] = lambda spark, sf: Engine(rdf_view(spark, sf), registry={"<urn:initial>": lambda t: F.substring(t, 2, 1)}).query(
-    PREFIXES + 'SELECT ?n ?m WHERE { ?n p:name ?m ; p:nationCode ?k FILTER (<urn:initial>(STR(?m)) = "I") }'
+QUERIES["filter_registered"] = lambda spark, sf: Engine(rdf_view(spark, sf), registry={"<urn:last>": lambda t: F.concat(F.lit('"'), F.substring(t, -2, 2))}).query(
+    PREFIXES + 'SELECT ?n ?m WHERE { ?n p:name ?m ; p:nationCode ?k FILTER (<urn:last>(STR(?m)) = "7") }'
 )
-ORACLE_SQL["filter_registered"] = f"SELECT {N} AS n, {_txt('n_name')} AS m FROM nation WHERE n_name LIKE 'I%'"
+ORACLE_SQL["filter_registered"] = f"SELECT {N} AS n, {_txt('n_name')} AS m FROM nation WHERE n_name LIKE '%7'"
 
 _LABEL = p("label")
 _TAG = "CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'fr-ca' END"
@@ -199,6 +210,39 @@ _numbered_sparql("filter_string_not_number", 'SELECT ?n ?t WHERE { ?n p:digits ?
                  f"SELECT {N} AS n, {_txt('n_nationkey')} AS t FROM nation WHERE n_nationkey IN (5, 7)")
 
 
+
+
+def _measured_nations(spark: SparkSession, sf: str) -> GraphStore:
+    """The view with values of several datatypes: tenths as decimals, halves as doubles, evenness as a boolean written both ways, a date and a tagged string."""
+    store = rdf_view(spark, sf)
+    n, key = spark.read.parquet(f"{sf}/nation.parquet"), F.col("n_nationkey")
+    s = F.concat(F.lit("<urn:nation:"), key.cast("string"), F.lit(">")).alias("s")
+    typed = lambda text, name: n.select(s, F.concat(F.lit('"'), text, F.lit(f'"^^<{XSD}{name}>')).alias("o"))
+    store.layers[p("tenth")] = typed((key / 10).cast("decimal(20,1)").cast("string"), "decimal")
+    store.layers[p("half")] = typed((key / 2).cast("string"), "double")
+    store.layers[p("even")] = typed(F.when(key % 4 == 0, "true").when(key % 4 == 2, "1").when(key % 4 == 1, "false").otherwise("0"), "boolean")
+    store.layers[p("day")] = typed(F.date_add(F.lit("2020-01-01").cast("date"), key).cast("string"), "date")
+    store.layers[p("label")] = n.select(s, F.concat(F.lit('"'), "n_name", F.lit('"@en')).alias("o"))
+    store.layers[p("big")] = _numbered_nations(spark, sf).layers[p("big")]
+    return store
+
+
+def _measured_sparql(name: str, text: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf, text=text: Engine(_measured_nations(spark, sf)).query(PREFIXES + text)
+    ORACLE_SQL[name] = sql
+
+
+_measured_sparql("filter_arith_exact", "SELECT ?n ?v WHERE { ?n p:big ?v ; p:nationCode ?k FILTER (?v + 1 = 9007199254740994 || ?v - ?k = 9007199254740990 && ?k * 3 < 9) }",
+                 f"SELECT {N} AS n, {_int('(n_nationkey + 9007199254740990)')} AS v FROM nation WHERE n_nationkey = 3 OR n_nationkey < 3")
+_measured_sparql("filter_datatype_of_sum", 'SELECT ?n ?k WHERE { ?n p:nationCode ?k ; p:tenth ?t ; p:half ?h FILTER (DATATYPE(?k + 1) = xsd:integer && DATATYPE(?k + ?t) = xsd:decimal && DATATYPE(?t * ?h) = xsd:double && DATATYPE(?k / 2) = xsd:decimal && STR(?k + 1) >= "2") }',
+                 f"SELECT {N} AS n, {_int('n_nationkey')} AS k FROM nation WHERE (n_nationkey + 1)::VARCHAR >= '2'")
+_measured_sparql("filter_boolean_value", "SELECT ?n WHERE { ?n p:even ?b FILTER (?b = true && ?b) }", f"SELECT {N} AS n FROM nation WHERE n_nationkey % 2 = 0")
+_measured_sparql("filter_decimal", "SELECT ?n ?t WHERE { ?n p:tenth ?t FILTER (?t + 0.2 = 0.5 || ?t * 3 > 6.30000000000000000001 || ?t = 0.10000000000000000001 || ?t / 4 = 0.425) }",
+                 f"SELECT {N} AS n, '"' || (n_nationkey / 10)::DECIMAL(20,1) || '"^^<{XSD}decimal>' AS t FROM nation WHERE n_nationkey = 3 OR n_nationkey > 21 OR n_nationkey = 17")
+_measured_sparql("filter_incomparable", 'SELECT ?n WHERE { ?n p:day ?d ; p:even ?b ; p:label ?l FILTER (?d < ?l || ?b < ?l || ?l < "Z" || ?d >= "2020-01-20"^^xsd:date && ?d != ?l || !(?b > ?l) ) }',
+                 f"SELECT {N} AS n FROM nation WHERE n_nationkey >= 19")
+
+
 # a small graph with loops and paths of equal labels
 _SMALL_SQL = f"""WITH t AS (SELECT {N} AS s, '{p("next")}' AS p, '<urn:nation:' || n_nationkey % 7 || '>' AS o FROM nation
     UNION ALL SELECT {N}, '{p("jump")}', '<urn:nation:' || (n_nationkey + 5) % 25 || '>' FROM nation)"""
@@ -332,7 +376,7 @@ def _(g):
     return M.row(_m(g, "inRegion"), "<urn:nation:1>").limit(1).agg((F.count("*") > 0).alias("has_row"))
 
 
-@_over_graph("semijoin_forward", _sel("fromNation", "a.s AS u, a.o AS v", "a", f" AND EXISTS (SELECT 1 FROM t b WHERE b.p = '{p('placedBy')}' AND b.o = a.s)"))
+@_over_tables("semijoin_forward", f"SELECT {C} AS u, {_ent('nation', 'c_nationkey')} AS v FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def _(g):
     return M.prune_forward(_m(g, "fromNation"), _m(g, "placedBy"))
 
@@ -374,17 +418,17 @@ def _(g):
     return M.vandv(_building(g), M.reduce_cols(_m(g, "placedBy")))
 
 
-@_over_graph("binding_matrix", _sel("placedBy", extra=f" AND o IN ({_BUILDING}) AND s IN (SELECT s FROM t WHERE p = '{p('status')}' AND o = '\"F\"')"))
+@_over_tables("binding_matrix", f"SELECT {O} AS u, {C} AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING'")
 def _(g):
     return M.binding_matrix(_m(g, "placedBy"), M.col(_m(g, "status"), '"F"'), _building(g))
 
 
-@_over_graph("r_join", f"SELECT a.o AS c, a.s AS o, b.o AS n FROM t a JOIN t b ON a.o = b.s WHERE a.p = '{p('placedBy')}' AND b.p = '{p('fromNation')}'")
+@_over_tables("r_join", f"SELECT {C} AS c, {O} AS o, {_ent('nation', 'c_nationkey')} AS n FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(g):
     return M.r_join(_m(g, "placedBy").select(F.col("u").alias("o"), F.col("v").alias("c")), _m(g, "fromNation"), "c", "n").select("c", "o", "n")
 
 
-@_over_graph("r_filter", f"SELECT a.o AS n, b.o AS k FROM t a JOIN t b ON a.s = b.s WHERE a.p = '{p('fromNation')}' AND b.p = '{p('segment')}' AND EXISTS (SELECT 1 FROM t x JOIN t y ON x.s = y.s WHERE x.p = a.p AND x.o = a.o AND y.p = b.p AND y.o = b.o AND x.s = '<urn:customer:1>')")
+@_over_tables("r_filter", f"SELECT {_ent('nation', 'a.c_nationkey')} AS n, {_txt('a.c_mktsegment')} AS k FROM customer a JOIN customer b ON b.c_custkey = 1 AND a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment")
 def _(g):
     r = M.r_join(_m(g, "fromNation").select(F.col("u").alias("c"), F.col("v").alias("n")), _m(g, "segment"), "c", "k")
     mine = r.where(F.col("c") == "<urn:customer:1>").select(F.col("n").alias("u"), F.col("k").alias("v"))
