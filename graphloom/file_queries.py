@@ -9,11 +9,13 @@ from . import cli
 from .functions.terms import TYPE, XSD
 from .operators.storage import new_path
 from .operators.store import Dictionary, GraphStore
+from .operators.versions import GraphLog
 from .plans.executor import Engine
 from .plans.to_sql import encode_query, to_sql
 from .queries import _CYCLE, _CYCLE_SQL, ORACLE_SQL, PREFIXES, QUERIES, C, N, _ent, _int, _txt
 from .sources import encoded, turtle
 from .sources.rdfview import p, rdf_view, view_sql
+from .sources.turtle_split import read_split
 from .streaming.match import match_stream, predicate_rates
 
 _GRAPH = f"WITH t AS ({view_sql()})"
@@ -98,6 +100,18 @@ def _(spark, sf):
     return Engine(store).query(f"PREFIX p: <urn:p:> PREFIX r: <{rdf}> SELECT ?n ?r ?x {{ ?n p:has [ p:region ?r ] ; p:list ?l . ?l r:first true ; r:rest [ r:first ?x ; r:rest r:nil ] }}")
 
 
+@_query("scan_turtle_pieces", f"""SELECT {C} AS s, '{p("name")}' AS p, '"' || c_name || ' . ' || repeat(chr(39), 3) || chr(10) || '@prefix q: <no> . "' || c_mktsegment || '""' AS o FROM customer
+    UNION ALL SELECT {C}, '{p("fromNation")}', {_ent('nation', 'c_nationkey')} FROM customer UNION ALL SELECT {C}, '{p("rank")}', '"' || c_custkey || '.5"^^<{XSD}decimal>' FROM customer""")
+def _(spark, sf):
+    """One file, its long strings over line breaks, parsed in pieces of a few statements."""
+    path = new_path(spark)
+    head = F.lit('@prefix p: <urn:p:> .\n@prefix c: <urn:customer:> .\n@base <urn:nation:> .')
+    body = F.concat(F.lit("c:"), _key("c_custkey"), F.lit(' p:name """'), F.col("c_name"), F.lit(" . '''\n@prefix q: <no> . \""), F.col("c_mktsegment"), F.lit('\\""""'), F.lit(" ;\n  p:fromNation <"), _key("c_nationkey"), F.lit("> ; p:rank "), _key("c_custkey"), F.lit(".5 ."))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.lit(1).alias("i"), body.alias("value")).unionAll(spark.range(1).select(F.lit(0), head)).coalesce(1).sortWithinPartitions("i").select("value")
+    rows.write.text(path)
+    return read_split(spark, path, 2_000).where("error IS NULL").select("s", "p", "o")
+
+
 @_query("scan_turtle_errors", "SELECT count(*) AS n FROM nation")
 def _(spark, sf):
     return turtle.read_turtle(spark, _turtle_nations(spark, sf))[1].agg(F.count("*").alias("n"))
@@ -231,16 +245,72 @@ def _(spark, sf):
     return _lines(spark, lambda path: encoded.write_map(rdf_view(spark, sf).predicate_stats(), "p", "n_triples", path))
 
 
+# versions and growing dictionaries
+_REGIONS = "SELECT ?n ?r WHERE { ?n p:inRegion ?r }"
+
+
+def _history(spark: SparkSession, sf: str) -> GraphLog:
+    """Version 1 puts a nation in (and a triple that is there), 2 takes all nations of region 2 out and one that isn't there, 3 puts one of them back."""
+    log = GraphLog.create(spark, new_path(spark), rdf_view(spark, sf))
+    at = p("inRegion")
+    log.insert([("<urn:nation:900>", at, "<urn:region:1>"), ("<urn:nation:1>", at, "<urn:region:1>")])
+    gone = log.at().layer(at, o="<urn:region:2>").select("s", F.lit(at).alias("p"), "o")
+    log.delete(gone.unionAll(spark.createDataFrame([("<urn:nation:901>", at, "<urn:region:2>")], gone.schema)))
+    log.insert(gone.orderBy("s").limit(1))
+    return log
+
+
+_NATIONS = f"""WITH t AS (SELECT {N} AS n, {_ent('region', 'n_regionkey')} AS r FROM nation UNION SELECT '<urn:nation:900>', '<urn:region:1>' UNION SELECT '<urn:nation:1>', '<urn:region:1>')"""
+
+
+@_query("insert_delta", f"{_NATIONS} SELECT * FROM t WHERE r <> '<urn:region:2>' OR n = (SELECT min(n) FROM t WHERE r = '<urn:region:2>')")
+def _(spark, sf):
+    return Engine(_history(spark, sf).at()).query(PREFIXES + _REGIONS)
+
+
+@_query("store_at_version", f"{_NATIONS} SELECT 1 AS version, * FROM t UNION ALL SELECT 2, * FROM t WHERE r <> '<urn:region:2>' UNION ALL SELECT 0, {N}, {_ent('region', 'n_regionkey')} FROM nation")
+def _(spark, sf):
+    log = _history(spark, sf)
+    log.compact()
+    parts = [Engine(log.at(v)).query(PREFIXES + _REGIONS).select(F.lit(v).alias("version"), "n", "r") for v in (0, 1, 2)]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@_query("log_compacted", f"{_NATIONS} SELECT * FROM t WHERE r <> '<urn:region:2>' OR n = (SELECT min(n) FROM t WHERE r = '<urn:region:2>') UNION ALL SELECT '<urn:nation:902>', '<urn:region:3>'")
+def _(spark, sf):
+    log = _history(spark, sf)
+    log.compact()
+    log.insert([("<urn:nation:902>", p("inRegion"), "<urn:region:3>")])
+    return Engine(log.at()).query(PREFIXES + _REGIONS)
+
+
+_FIRST = ("segment", "brand", "inRegion")
+
+
+@_query(
+    "dict_append",
+    f"""{_GRAPH}, a AS (SELECT s AS term FROM t WHERE p IN ('{"', '".join(map(p, _FIRST))}') UNION SELECT o FROM t WHERE p IN ('{"', '".join(map(p, _FIRST))}')),
+    b AS (SELECT s AS term FROM t UNION SELECT o FROM t EXCEPT SELECT term FROM a)
+    SELECT row_number() OVER (ORDER BY term) - 1 AS id, term FROM a UNION ALL SELECT (SELECT count(*) FROM a) + row_number() OVER (ORDER BY term) - 1, term FROM b""",
+)
+def _(spark, sf):
+    """Some layers' terms first, saved; then the whole graph's: old ids stay, new ones follow densely."""
+    store, path = rdf_view(spark, sf), new_path(spark)
+    Dictionary.of(store.triples().where(F.col("p").isin([p(x) for x in _FIRST]))).save(path)
+    return Dictionary.append(spark, path, store.triples()).nodes
+
+
 # streams
 def _streamed(spark: SparkSession, source: DataFrame, build, mode: str) -> DataFrame:
     """What a streaming query over the rows of source gives, once all of them are read."""
     path = new_path(spark)
     source.write.parquet(f"{path}/in")
     stream = build(spark.readStream.schema(source.schema).parquet(f"{path}/in"))
-    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out")
-    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/out/batch=-1")
+    # a batch that is tried again writes over its own rows; of a complete result the last batch holds
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else n}")
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").drop("batch")
 
 
 @_query("stream_match", f"SELECT {_ent('order', 'o_orderkey')} AS o, {C} AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")

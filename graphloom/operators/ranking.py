@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import delete, stored
 
 
 def numbered(df: DataFrame, keys: list[str], name: str, start: int = 0) -> DataFrame:
@@ -17,12 +17,15 @@ def numbered(df: DataFrame, keys: list[str], name: str, start: int = 0) -> DataF
     can't lead to other ranges.
     """
     at = f"__{name}_at"
-    ordered, _ = stored(df.sparkSession, df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    source, path = stored(df.sparkSession, df)  # the sort looks at its rows twice
+    ordered, _ = stored(df.sparkSession, source.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    delete(df.sparkSession, path)
     part, row = F.shiftright(at, 33), F.col(at).bitwiseAND(2**33 - 1)
     counts = {r.part: r.n for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, total = {}, start
+    before, total = [], start
     for p in sorted(counts):
-        before[p] = total
+        before.append((p, total))
         total += counts[p]
-    offset = F.lit(start) if not before else F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[part]
-    return ordered.withColumn(name, (offset + row).cast("long")).drop(at)
+    starts = df.sparkSession.createDataFrame(before, "__part bigint, __before bigint")  # a row for each range
+    placed = ordered.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.withColumn(name, (F.col("__before") + row).cast("long")).drop(at, "__part", "__before")

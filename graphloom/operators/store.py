@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import merged, skew_join, small
 from .ranking import numbered
+from .storage import stored
 
 TRIPLE = ["s", "p", "o"]
+CHANGE = "s string, p string, o string, there boolean"
 
 
 @dataclass(frozen=True)
@@ -78,6 +81,8 @@ class GraphStore:
     layers: dict[str, DataFrame | list[Mapped]] = field(default_factory=dict)
     #: predicate -> (triples, distinct subjects, distinct objects), once analyzed
     stats: dict[str, tuple[int, int, int]] | None = None
+    #: (s, p, o, there) of distinct triples that were put in (there) or taken out since
+    changes: DataFrame | None = None
 
     @classmethod
     def from_triples(cls, df: DataFrame) -> GraphStore:
@@ -91,13 +96,29 @@ class GraphStore:
 
     def triples(self) -> DataFrame:
         if self.table is not None:
-            return self.table
+            return self._changed(self.table, TRIPLE, self.changes)
         if not self.layers:
-            return self.spark.createDataFrame([], "s string, p string, o string")
-        return reduce(DataFrame.unionAll, [self.layer(p).select("s", F.lit(p).alias("p"), "o") for p in self.layers])
+            return self._changed(self.spark.createDataFrame([], "s string, p string, o string"), TRIPLE, self.changes)
+        return self._changed(reduce(DataFrame.unionAll, [self._base_layer(p, None, None).select("s", F.lit(p).alias("p"), "o") for p in self.layers]), TRIPLE, self.changes)
+
+    @staticmethod
+    def _changed(df: DataFrame, keys: list[str], changes: DataFrame | None) -> DataFrame:
+        """df without the triples that changes has, and with those that it puts in: the base is neither shuffled nor made distinct, unless there are many."""
+        if changes is None:
+            return df.select(*keys)
+        return df.join(changes.select(*keys), keys, "left_anti").select(*keys).unionAll(changes.where("there").select(*keys))
 
     def layer(self, predicate: str, s: str | None = None, o: str | None = None) -> DataFrame:
         """(s, o) of one predicate, with the subject and object given if any; empty if it is unknown."""
+        df = self._base_layer(predicate, s, o)
+        if self.changes is not None:
+            mine = self.changes.where(F.col("p") == predicate)
+            for column, value in (("s", s), ("o", o)):
+                mine = mine if value is None else mine.where(F.col(column) == value)
+            df = self._changed(df, ["s", "o"], mine)
+        return df
+
+    def _base_layer(self, predicate: str, s: str | None, o: str | None) -> DataFrame:
         none = lambda: self.spark.createDataFrame([], "s string, o string")
         if self.table is not None:
             df = self.table.where(F.col("p") == predicate).select("s", "o")
@@ -113,17 +134,19 @@ class GraphStore:
 
     def knows(self, predicate: str) -> bool:
         """False only if the store can tell without a scan that it has no such predicate."""
-        return self.table is not None or predicate in self.layers
+        return self.table is not None or self.changes is not None or predicate in self.layers
 
     # profiles
     def predicate_stats(self) -> DataFrame:
         """p, n_triples, n_subjects, n_objects."""
-        return self.triples().groupBy("p").agg(F.count("*").alias("n_triples"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("o").alias("n_objects"))
+        t = self.triples()
+        by_subject = t.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_subjects"))
+        return by_subject.join(t.select("p", "o").distinct().groupBy("p").agg(F.count("*").alias("n_objects")), "p")  # a row for each predicate
 
     def analyze(self) -> GraphStore:
         """The store with approximate statistics for the planner: a row for each predicate reaches the driver."""
         rows = self.triples().groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("s"), F.approx_count_distinct("o").alias("o")).collect()
-        return GraphStore(self.spark, self.table, self.layers, {r.p: (r.n, r.s, r.o) for r in rows})
+        return replace(self, stats={r.p: (r.n, r.s, r.o) for r in rows})
 
     def term_frequency(self) -> DataFrame:
         """term, as_subject, as_object, n: occurrences of each term."""
@@ -143,17 +166,23 @@ class GraphStore:
         return GraphStore(self.spark, self.triples().groupBy("s", "o").agg(F.min("p").alias("p")).select(*TRIPLE))
 
     def dictionary(self) -> Dictionary:
-        t = self.triples()
-        nodes = t.select(F.col("s").alias("term")).unionAll(t.select("o")).distinct()
-        return Dictionary(numbered(nodes, ["term"], "id").select("id", "term"), numbered(t.select(F.col("p").alias("term")).distinct(), ["term"], "id", Dictionary.FIRST_PREDICATE).select("id", "term"))
+        return Dictionary.of(self.triples())
 
     def with_triples(self, more: Iterable[tuple[str, str, str]]) -> GraphStore:
-        added = self.spark.createDataFrame(list(more), "s string, p string, o string")
-        return GraphStore.from_triples(self.triples().unionByName(added))
+        return self._with([(*t, True) for t in more])
 
     def without_triples(self, gone: Iterable[tuple[str, str, str]]) -> GraphStore:
-        removed = self.spark.createDataFrame(list(gone), "s string, p string, o string")
-        return GraphStore(self.spark, self.triples().join(removed, TRIPLE, "left_anti"))
+        return self._with([(*t, False) for t in gone])
+
+    def _with(self, rows: list[tuple[str, str, str, bool]]) -> GraphStore:
+        """The store after changes that a text lists; the base isn't read."""
+        new = self.spark.createDataFrame(list(dict.fromkeys(rows)), CHANGE)
+        return self.changed(new)
+
+    def changed(self, new: DataFrame) -> GraphStore:
+        """The store after the changes new (s, p, o, there; distinct triples), which come after those before."""
+        old = self.changes
+        return replace(self, changes=small(new if old is None else old.join(new, TRIPLE, "left_anti").select(*TRIPLE, "there").unionAll(new.select(*TRIPLE, "there"))))
 
     def save(self, path: str) -> None:
         """Parquet, a directory for each predicate, so that a scan of one reads no other."""
@@ -166,20 +195,77 @@ class GraphStore:
 
 @dataclass
 class Dictionary:
-    """Numbers for terms: (id, term) of nodes from 0, of predicates from 2."""
+    """Numbers for terms: (id, term) of nodes from 0, of predicates from 2. An id, once given, never changes."""
 
     nodes: DataFrame
     predicates: DataFrame
+    #: (id, term, n) of nodes: how often each was seen, as far as known; only used to deal out hot ones
+    seen: DataFrame | None = None
     FIRST_PREDICATE = 2
+    #: Bytes of a dictionary that is broadcast; a larger one is joined by shuffle, with hot terms dealt out.
+    BROADCAST = 8_000_000
+
+    @classmethod
+    def of(cls, triples: DataFrame) -> Dictionary:
+        nodes = numbered(cls._terms(triples), ["term"], "id").select("id", "term", "n")
+        return cls(nodes.select("id", "term"), numbered(triples.select(F.col("p").alias("term")).distinct(), ["term"], "id", cls.FIRST_PREDICATE).select("id", "term"), nodes)
+
+    @staticmethod
+    def _terms(triples: DataFrame) -> DataFrame:
+        return triples.select(F.explode(F.array("s", "o")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+    def extended(self, triples: DataFrame) -> Dictionary:
+        """The dictionary with the terms of more triples: old ids stay, new terms follow the greatest id, densely, in their order."""
+        following = lambda d, first: max(first, (d.agg(F.max("id")).first()[0] or 0) + 1) if not d.isEmpty() else first
+        new = self._terms(triples).join(merged(self.nodes.select("term")), "term", "left_anti")
+        nodes = numbered(new, ["term"], "id", following(self.nodes, 0)).select("id", "term", "n")
+        new = triples.select(F.col("p").alias("term")).distinct().join(self.predicates.select("term"), "term", "left_anti")
+        predicates = numbered(new, ["term"], "id", following(self.predicates, self.FIRST_PREDICATE)).select("id", "term")
+        seen = self.seen if self.seen is not None else self.nodes.withColumn("n", F.lit(1).cast("long"))
+        return Dictionary(self.nodes.unionAll(nodes.select("id", "term")), self.predicates.unionAll(predicates), seen.unionAll(nodes))
+
+    def save(self, path: str) -> None:
+        """Parquet under path; append() adds to it."""
+        seen = self.seen if self.seen is not None else self.nodes.withColumn("n", F.lit(1).cast("long"))
+        seen.write.mode("errorifexists").parquet(f"{path}/nodes")
+        self.predicates.write.mode("errorifexists").parquet(f"{path}/predicates")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Dictionary:
+        seen = spark.read.schema("id bigint, term string, n bigint").parquet(f"{path}/nodes")
+        return cls(seen.select("id", "term"), spark.read.schema("id bigint, term string").parquet(f"{path}/predicates"), seen)
+
+    @classmethod
+    def append(cls, spark: SparkSession, path: str, triples: DataFrame) -> Dictionary:
+        """The saved dictionary with the terms of more triples, of which only the new ones are written."""
+        old = cls.load(spark, path)
+        new = old.extended(triples)
+        more = new.seen.join(merged(old.nodes.select("id")), "id", "left_anti").select("id", "term", "n"), new.predicates.join(old.predicates.select("id"), "id", "left_anti").select("id", "term")
+        for rows, name in zip(more, ("nodes", "predicates"), strict=True):
+            rows, _ = stored(spark, rows)  # written apart first: the folder can't be read and added to at once
+            rows.write.mode("append").parquet(f"{path}/{name}")
+        return cls.load(spark, path)
+
+    def _looked_up(self, df: DataFrame, key: str, value: str, by: str, how: str = "inner") -> DataFrame:
+        """df with column value (of kind the other of id and term) for its column key (of kind `by`)."""
+        other = "term" if by == "id" else "id"
+        table = self.nodes.select(F.col(by).alias(key), F.col(other).alias(value))
+        near = small(table, self.BROADCAST)
+        if near is not table:
+            return df.join(near, key, how)
+        seen = self.seen.select(F.col(by).alias(key), "n") if self.seen is not None else stored(df.sparkSession, df.groupBy(key).agg(F.count("*").alias("n")))[0]
+        return skew_join(df, table, seen, [key], how)
 
     def encode(self, triples: DataFrame) -> DataFrame:
-        """(s, p, o) of terms to ids. The predicates' table is small by nature and left to the optimizer; hot objects to its skewed joins."""
-        s, p, o = (d.select(F.col("id").alias(f"{c}_id"), F.col("term").alias(c)) for d, c in ((self.nodes, "s"), (self.predicates, "p"), (self.nodes, "o")))
-        return triples.join(p, "p").join(s, "s").join(o, "o").select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o"))
+        """(s, p, o) of terms to ids. The predicates' table is small by nature and left to the optimizer."""
+        p = self.predicates.select(F.col("id").alias("p_id"), F.col("term").alias("p"))
+        rows = self._looked_up(self._looked_up(triples.join(p, "p"), "s", "s_id", "term"), "o", "o_id", "term")
+        return rows.select(F.col("s_id").alias("s"), F.col("p_id").alias("p"), F.col("o_id").alias("o"))
 
     def decode(self, encoded: DataFrame) -> DataFrame:
-        s, p, o = (d.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term")) for d, c in ((self.nodes, "s"), (self.predicates, "p"), (self.nodes, "o")))
-        return encoded.join(p, "p").join(s, "s").join(o, "o").select(F.col("s_term").alias("s"), F.col("p_term").alias("p"), F.col("o_term").alias("o"))
+        p = self.predicates.select(F.col("id").alias("p"), F.col("term").alias("p_term"))
+        rows = self._looked_up(self._looked_up(encoded.join(p, "p"), "s", "s_term", "id"), "o", "o_term", "id")
+        return rows.select(F.col("s_term").alias("s"), F.col("p_term").alias("p"), F.col("o_term").alias("o"))
 
     def lookup(self, terms: list[str], predicates: bool = False) -> dict[str, int]:
         """Ids of a query's constants; unknown ones are left out."""
@@ -187,4 +273,4 @@ class Dictionary:
         return {r.term: r.id for r in d.where(F.col("term").isin(terms)).collect()} if terms else {}
 
     def decode_column(self, df: DataFrame, column: str) -> DataFrame:
-        return df.join(self.nodes.select(F.col("id").alias(column), F.col("term").alias("__term")), column, "left").drop(column).withColumnRenamed("__term", column)
+        return self._looked_up(df, column, "__term", "id", "left").drop(column).withColumnRenamed("__term", column)

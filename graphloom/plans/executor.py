@@ -6,7 +6,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import Registry, compile_filter
@@ -85,66 +85,73 @@ class Engine:
         """Compatible solutions: equal on shared variables, an unbound one fitting everything. Two or more shared ones close a cycle.
 
         how: inner, or left, which keeps solutions of a that no solution of b fits;
-        filters say what fits, too. Solutions are parted by which shared variables
-        they bind, so that each part is an equi-join on those that both sides bind.
+        filters say what fits, too.
         """
         shared = [v for v in a.vars if v in b.vars]
         every = [*a.vars, *[v for v in b.vars if v not in a.vars]]
         maybe = {v for v in every if (v in a.maybe or v not in a.vars) and (v in b.maybe or v not in b.vars)}
         if how == "left":
             maybe |= (a.maybe | set(b.vars) - set(a.vars)) & set(every)
-        pairs = [(x, y) for x in self._masks(a, shared) for y in self._masks(b, shared)]
-        if how == "inner":
-            return Bindings(fold(DataFrame.unionAll, [self._joined(self._part(a, x, shared), self._part(b, y, shared), x & y, every, "inner", filters) for x, y in pairs]), every, maybe)
-        out = []
-        for x in self._masks(a, shared):
-            mine, others = self._part(a, x, shared), self._masks(b, shared)
-            if len(others) == 1:
-                out.append(self._joined(mine, b, x & others[0], every, "left", filters))
-                continue
-            left = mine
-            for y in others:
-                theirs = self._part(b, y, shared)
-                out.append(self._joined(mine, theirs, x & y, every, "inner", filters))
-                left = Bindings(self._joined(left, theirs, x & y, every, "left_anti", filters), left.vars, left.maybe)
-            out.append(self._filled(left, every))
-        return Bindings(fold(DataFrame.unionAll, out), every, maybe)
-
-    @staticmethod
-    def _masks(b: Bindings, shared: list[str]) -> list[frozenset[str]]:
-        """Which of the shared variables solutions of b may bind."""
-        out = [frozenset(shared)]
-        for v in shared:
-            if v in b.maybe:
-                out += [m - {v} for m in out]
-        return out
-
-    def _part(self, b: Bindings, mask: frozenset[str], shared: list[str]) -> Bindings:
-        """Solutions of b that bind, of the shared variables, those in mask and no others."""
-        df = b.df
+        if (a.maybe | b.maybe) & set(shared):
+            return Bindings(self._compatible(a, b, shared, every, how, filters), every, maybe)
+        if how == "inner" and not filters and shared:
+            return Bindings(a.df.join(b.df, [self._name(v) for v in shared]).select(*[self._col(v) for v in every]), every, maybe)
+        left, right = self._sides(a, b)
+        conditions = [self._col(v) == self._theirs(v) for v in shared] + self._fits(a, b, shared, every, filters)
+        df = left.join(right, fold(Column.__and__, conditions, F.lit(True)), how) if conditions or how != "inner" else left.crossJoin(right)
+        return Bindings(df.select(*[self._value(a, b, v, shared).alias(self._name(v)) for v in every]) if every else df.select(F.lit(True).alias("__there")), every, maybe)
+
+    def _theirs(self, v: str) -> Column:
+        return F.col(f"`r_{self._name(v)}`")
+
+    def _sides(self, a: Bindings, b: Bindings, *more: Column) -> tuple[DataFrame, DataFrame]:
+        """Both sides, the right one's columns renamed."""
+        right = b.df.select(*[self._col(v).alias(f"r_{self._name(v)}") for v in b.vars], *more) if b.vars else b.df.select(F.lit(True).alias("r___there"), *more)
+        return (a.df if a.vars else a.df.select(F.lit(True).alias("__there"))), right
+
+    def _value(self, a: Bindings, b: Bindings, v: str, equal: list[str]) -> Column:
+        """What a joined row binds v to."""
+        if v not in a.vars:
+            return self._theirs(v)
+        return F.coalesce(self._col(v), self._theirs(v)) if v in b.vars and v not in equal else self._col(v)
+
+    def _fits(self, a: Bindings, b: Bindings, equal: list[str], every: list[str], filters: list[Expr] | None) -> list[Column]:
+        return [compile_filter(e, lambda v: self._value(a, b, v, equal) if v in every else None, self.registry) for e in filters or []]
+
+    def _compatible(self, a: Bindings, b: Bindings, shared: list[str], every: list[str], how: str, filters: list[Expr] | None) -> DataFrame:
+        """The join where shared variables may be unbound, as one equi-join that reads each side once.
+
+        A set of variables is a number, a bit for each. Each row goes under the sets
+        that it may have in common with a row of the other side: what it binds, less
+        any of those that the other side may leave unbound. Rows meet under equal
+        sets and equal values in them, if the set is all that both bind.
+        """
+        bit = {v: 1 << i for i, v in enumerate(shared)}
+        sets = [sum(bit[v] for v in shared if v not in a.maybe | b.maybe)]
         for v in shared:
-            if v in b.maybe:
-                df = df.where(self._col(v).isNotNull() if v in mask else self._col(v).isNull())
-        return Bindings(df, b.vars, b.maybe)
-
-    def _filled(self, b: Bindings, every: list[str]) -> DataFrame:
-        return b.df.select(*[(self._col(v) if v in b.vars else F.lit(None).cast("string")).alias(self._name(v)) for v in every])
-
-    def _joined(self, a: Bindings, b: Bindings, on: frozenset[str], every: list[str], how: str, filters: list[Expr] | None) -> DataFrame:
-        """a and b joined where the variables in on are equal, as columns of every."""
-        right = b.df.select(*[self._col(v).alias(f"r_{self._name(v)}") for v in b.vars]) if b.vars else b.df.select(F.lit(True).alias("r___there"))
-        theirs = lambda v: F.col(f"`r_{self._name(v)}`")
-        value = lambda v: (F.coalesce(self._col(v), theirs(v)) if v in b.vars and v not in on else self._col(v)) if v in a.vars else theirs(v)
-        conditions = [self._col(v) == theirs(v) for v in sorted(on)]
-        conditions += [compile_filter(e, lambda v: value(v) if v in every else None, self.registry) for e in filters or []]
-        left = a.df if a.vars else a.df.select(F.lit(True).alias("__there"))
-        if not conditions and how == "inner":
-            df = left.crossJoin(right)
-        else:
-            df = left.join(right, fold(Column.__and__, conditions, F.lit(True)) if not conditions else fold(Column.__and__, conditions), how)
-        if how == "left_anti":
-            return df
-        return df.select(*[value(v).alias(self._name(v)) for v in every]) if every else df.select(F.lit(True).alias("__there"))
+            if v in a.maybe | b.maybe:
+                sets += [x | bit[v] for x in sets]
+        bound = lambda col, side: fold(Column.__add__, [F.when(col(v).isNotNull(), bit[v]).otherwise(0) if v in side.maybe else F.lit(bit[v]) for v in shared])
+        sure = lambda side: sum(bit[v] for v in shared if v not in side.maybe)
+        within = lambda mine, other: F.filter(F.array(*[F.lit(x) for x in sets]), lambda x: (x.bitwiseAND(mine) == x) & (mine.bitwiseAND(F.lit(sure(other))).bitwiseAND(x) == mine.bitwiseAND(F.lit(sure(other)))))
+        keys = lambda col, under: [F.when(F.col(under).bitwiseAND(F.lit(bit[v])) != 0, col(v)).otherwise(F.lit("")) for v in shared]
+        left, right = self._sides(a, b)
+        many = how == "left" and bool(b.maybe & set(shared))
+        if many:
+            left = left.withColumn("__row", F.monotonically_increasing_id())
+        left = left.withColumn("__mine", bound(self._col, a)).withColumn("__under", F.explode(within(F.col("__mine"), b)))
+        right = right.withColumn("r___mine", bound(self._theirs, b)).withColumn("r___under", F.explode(within(F.col("r___mine"), a)))
+        left = left.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys(self._col, "__under"))])
+        right = right.select("*", *[k.alias(f"r___k{i}") for i, k in enumerate(keys(self._theirs, "r___under"))])
+        conditions = [F.col("__under") == F.col("r___under")] + [F.col(f"__k{i}") == F.col(f"r___k{i}") for i in range(len(shared))]
+        conditions += [F.col("__mine").bitwiseAND(F.col("r___mine")) == F.col("__under"), *self._fits(a, b, [], every, filters)]
+        df = left.join(right, fold(Column.__and__, conditions), how)
+        if many:
+            # a row that went under several sets: what it met, or once, alone, if it met nothing
+            own = Window.partitionBy("__row")
+            met = F.col("r___under").isNotNull()
+            df = df.withColumn("__met", F.max(met).over(own)).withColumn("__nth", F.row_number().over(own.orderBy("__under"))).where(met | (~F.col("__met") & (F.col("__nth") == 1)))
+        return df.select(*[self._value(a, b, v, []).alias(self._name(v)) for v in every])
 
     # groups
     def group(self, g: Group) -> Bindings:

@@ -238,7 +238,7 @@ _measured_sparql("filter_datatype_of_sum", 'SELECT ?n ?k WHERE { ?n p:nationCode
                  f"SELECT {N} AS n, {_int('n_nationkey')} AS k FROM nation WHERE (n_nationkey + 1)::VARCHAR >= '2'")
 _measured_sparql("filter_boolean_value", "SELECT ?n WHERE { ?n p:even ?b FILTER (?b = true && ?b) }", f"SELECT {N} AS n FROM nation WHERE n_nationkey % 2 = 0")
 _measured_sparql("filter_decimal", "SELECT ?n ?t WHERE { ?n p:tenth ?t FILTER (?t + 0.2 = 0.5 || ?t * 3 > 6.30000000000000000001 || ?t = 0.10000000000000000001 || ?t / 4 = 0.425) }",
-                 f"SELECT {N} AS n, '"' || (n_nationkey / 10)::DECIMAL(20,1) || '"^^<{XSD}decimal>' AS t FROM nation WHERE n_nationkey = 3 OR n_nationkey > 21 OR n_nationkey = 17")
+                 f"SELECT {N} AS n, '\"' || (n_nationkey / 10)::DECIMAL(20,1) || '\"^^<{XSD}decimal>' AS t FROM nation WHERE n_nationkey = 3 OR n_nationkey > 21 OR n_nationkey = 17")
 _measured_sparql("filter_incomparable", 'SELECT ?n WHERE { ?n p:day ?d ; p:even ?b ; p:label ?l FILTER (?d < ?l || ?b < ?l || ?l < "Z" || ?d >= "2020-01-20"^^xsd:date && ?d != ?l || !(?b > ?l) ) }',
                  f"SELECT {N} AS n FROM nation WHERE n_nationkey >= 19")
 

@@ -1,8 +1,8 @@
 """Turtle and N-Triples.
 
-N-Triples is read line by line with built-in functions; Turtle, which can't be
-split, file by file through an Arrow-batched parser of our own. Bad statements
-don't end a load: they come out as rows of their own.
+N-Triples is read line by line with built-in functions; Turtle through a parser
+of our own, statement by statement (turtle_split says how its files are split). Bad
+statements don't end a load: they come out as rows of their own.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +42,24 @@ _TOKEN = re.compile(
 
 
 class TurtleParser:
-    """Triples of one text, as (s, p, o); errors as (line, message). Labels of blank nodes begin with blank_prefix, then l for the text's own and g for new ones."""
+    """Triples of one text, as (s, p, o); errors as (line, message). Labels of blank nodes begin with blank_prefix, then l for the text's own and g for new ones.
 
-    def __init__(self, text: str, base: str = "", blank_prefix: str = "") -> None:
+    A text may be part of a file: directives are those in force at its start, as
+    [prefix or base, name, IRI as written], line is its first line's number, and
+    new_label begins new blank nodes' labels. Afterwards, directives has those of
+    the text itself; opened tells of a long string that doesn't end in the text,
+    cut of a statement or a bad line that doesn't. lenient: unknown prefixes are no errors.
+    """
+
+    def __init__(self, text: str, base: str = "", blank_prefix: str = "", directives: list[list[str]] = (), line: int = 1, new_label: str = "g", lenient: bool = False) -> None:
         self.text, self.at, self.base, self.blank_prefix = text, 0, base, blank_prefix
-        self.counted, self.line = 0, 1
+        self.counted, self.line, self.new_label, self.lenient = 0, line, new_label, lenient
+        self.opened = self.cut = False
+        self.solid = len(text.rstrip())
         self.prefixes: dict[str, str] = {}
+        for kind, name, iri in directives:
+            self._declare(kind, name, iri)
+        self.directives: list[list[str]] = []
         self.fresh = 0
         self.out: list[tuple[str, str, str]] = []
         self.errors: list[tuple[int, str]] = []
@@ -66,10 +77,13 @@ class TurtleParser:
                 self._statement()
             except (SparqlError, KeyError, ValueError) as e:
                 self.out = []
-                self.line += self.text.count("\n", self.counted, self.start)
-                self.counted = self.start
+                # what is missing at the end is missed on the last line that isn't blank
+                upto = max(self.counted, min(self.start, self.solid))
+                self.line += self.text.count("\n", self.counted, upto)
+                self.counted = upto
                 self.errors.append((self.line, str(e)))
                 at = self.text.find("\n", max(self.start, start))
+                self.cut |= at < 0 or self.token[0] == "end"
                 self.at = len(self.text) if at < 0 else at
                 self._next()
             yield self.out
@@ -81,6 +95,8 @@ class TurtleParser:
                 self.token = ("end", "")
                 return
             m = _TOKEN.match(self.text, self.at)
+            if self.text.startswith(('"""', "'''"), self.at) and (not m or m.lastgroup != "long"):
+                self.opened = True
             if not m:
                 self.token = ("bad", self.text[self.at])
                 self.at += 1
@@ -99,14 +115,17 @@ class TurtleParser:
         kind, text = self.token
         if kind == "at" and text in ("@prefix", "@base") or kind == "word" and text.upper() in ("PREFIX", "BASE"):
             self._next()
-            if text.lower().endswith("prefix"):
+            name = ""
+            if prefix := text.lower().endswith("prefix"):
                 if self.token[0] != "pname" or not self.token[1].endswith(":"):
                     raise SparqlError("expected a prefix")
                 name = self.token[1][:-1]
                 self._next()
-                self.prefixes[name] = self._iri()[1:-1]
-            else:
-                self.base = self._iri()[1:-1]
+            told = ["prefix" if prefix else "base", name, self.token[1]]
+            self._resolved(*self.token)
+            self._next()
+            self._declare(*told)
+            self.directives.append(told)
             if kind == "at":
                 self._op(".")
             return
@@ -137,23 +156,32 @@ class TurtleParser:
         self._next()
         return text
 
+    def _declare(self, kind: str, name: str, iri: str) -> None:
+        inner = self._resolved("iri" if iri.startswith("<") else "pname", iri)[1:-1]
+        if kind == "prefix":
+            self.prefixes[name] = inner
+        else:
+            self.base = inner
+
     def _iri(self) -> str:
-        kind, text = self.token
+        out = self._resolved(*self.token)
+        self._next()
+        return out
+
+    def _resolved(self, kind: str, text: str) -> str:
         if kind == "iri":
-            self._next()
             inner = unescape(text[1:-1]) if "\\" in text else text[1:-1]
             return f"<{inner}>" if re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", inner) else f"<{self.base}{inner}>"
         if kind != "pname":
             raise SparqlError(f"expected an IRI, found {text!r}")
         prefix, _, name = text.partition(":")
-        if prefix not in self.prefixes:
+        if prefix not in self.prefixes and not self.lenient:
             raise SparqlError(f"unknown prefix {prefix}:")
-        self._next()
-        return f"<{self.prefixes[prefix]}{name}>"
+        return f"<{self.prefixes.get(prefix, '')}{name}>"
 
     def _new(self) -> str:
         self.fresh += 1
-        return f"_:{self.blank_prefix}g{self.fresh}"
+        return f"_:{self.blank_prefix}{self.new_label}{self.fresh}"
 
     def _predicates(self, s: str) -> None:
         while True:
@@ -229,26 +257,11 @@ def file_tag(path: str) -> str:
     return hashlib.md5(path.encode()).hexdigest()
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    frame = lambda rows: pd.DataFrame(rows, columns=["s", "p", "o", "error"])
-    for batch in batches:
-        for path, text in zip(batch["path"], batch["value"], strict=True):
-            parser, rows, told = TurtleParser(text, blank_prefix=file_tag(path)), [], 0
-            for triples in parser.statements():
-                rows += [(s, p, o, None) for s, p, o in triples]
-                rows += [(None, None, None, f"{path}:{line}: {message}") for line, message in parser.errors[told:]]
-                told = len(parser.errors)
-                if len(rows) >= 50_000:
-                    yield frame(rows)
-                    rows = []
-            if rows:
-                yield frame(rows)
-
-
 def read_turtle(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors) of the regular files at path. A file is parsed by one task, for triples and for errors each; blank nodes of different files stay apart."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = files.mapInPandas(_parse_files, "s string, p string, o string, error string")
+    """(triples, errors) of the files at path, large ones parsed by many tasks; blank nodes of different files stay apart."""
+    from .turtle_split import read_split
+
+    rows = read_split(spark, path)
     return rows.where("error IS NULL").select("s", "p", "o"), rows.where("error IS NOT NULL").select("error")
 
 
