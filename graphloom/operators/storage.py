@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 _at_exit: set[str] = set()
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def file_system(spark: SparkSession, path: str):
@@ -41,7 +46,7 @@ def folder(spark: SparkSession) -> str:
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if sc.applicationId not in _own:
             _own[sc.applicationId] = tempfile.mkdtemp(prefix="graphloom-")
@@ -55,8 +60,27 @@ def folder(spark: SparkSession) -> str:
     return out
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Leaving the block deletes what was stored within it, results that were kept too: for sessions that go on after a result has been read.
+
+    Without one, such tables go when the driver ends.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def stored(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import storage
 from graphloom.operators.store import Dictionary, GraphStore
 from graphloom.operators.versions import GraphLog
 from graphloom.plans.executor import Bindings, Engine
@@ -51,6 +52,15 @@ def test_an_insert_neither_shuffles_nor_reads_the_base(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan_of(memory.triples()) and memory.triples().count() == 1001
 
 
+def test_a_scope_deletes_what_was_kept(spark):
+    with storage.scope(spark):
+        kept, path = storage.stored(spark, spark.range(3))
+        with storage.scope(spark):
+            inner = storage.stored(spark, spark.range(2))[1]
+        assert kept.count() == 3 and storage.names(spark, path) and not storage.names(spark, inner)
+    assert not storage.names(spark, path)
+
+
 def test_versions_stay_and_writers_meet(spark, tmp_path):
     log = GraphLog.create(spark, str(tmp_path / "g"), graph(spark, [("<a>", "<p>", "<b>"), ("<a>", "<q>", "<c>")]))
     of = lambda v=None: [r[0] + r[2] for r in rows(log.at(v).triples())]
