@@ -6,8 +6,10 @@ a hash of the node's path selects (1 / similarity of them on average) into the
 children of their values. Two levels are made in the scan; a node that leaves
 too many pairs to compare branches on in Spark, to DEPTH at most. Two documents
 at the very threshold share a node of level 2 in some tree but for a chance of
-3e-7, and one of level DEPTH but for 1e-4 (TREES is chosen for that), so how
-deep a node branches, which depends on its size, hardly bears on what is found.
+3e-7, and one of level DEPTH but for 1e-4 (TREES is chosen for that). How deep
+a node branches depends on its size, so between these two figures lies the
+chance to miss a pair; two looks at the sketches add 1e-7 each (MISSED). More
+similar pairs are missed less, and a link is lost only if no chain of others replaces it.
 
 Nodes are compared in two steps, so that groups of alike texts of any size take
 few comparisons. First every document is compared to the least member of its
@@ -31,7 +33,9 @@ and text, whatever their names, are not looked at and pass through the stage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 from functools import reduce as fold
 
 import numpy as np
@@ -178,6 +182,8 @@ def _similar(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
+#: The chance that either look at the sketches drops a pair at the threshold; it is the same in all trees.
+MISSED = 1e-7
 #: Pairs of members whose sketches are compared at once.
 _PAIRS = 1 << 18
 _LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
@@ -205,10 +211,17 @@ def _agreeing(sketch: np.ndarray, x: np.ndarray, y: np.ndarray, words: int) -> n
     return 8 * words - np.bitwise_count((((differ & _LOW) + _LOW) | differ) & _HIGH).sum(axis=1, dtype=np.int64)
 
 
+@cache
+def _least(percent: int, n: int) -> int:
+    """Agreements that a pair at the threshold has in n places, but for a chance of MISSED."""
+    p, at_most, t = percent / 100, 0.0, 0
+    while (at_most := at_most + math.comb(n, t) * p**t * (1 - p) ** (n - t)) <= MISSED:
+        t += 1
+    return t
+
+
 def _pairs(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, places in which their sketches agree) of rows of one group and different classes, and sides if there are any, that may be similar."""
-    share = percent / 100
-    least = lambda n: n * (share - 4.5 * np.sqrt(share * (1 - share) / n))
     group, classes, side = (part.column(c).to_numpy() for c in ("group", "cls", "side"))
     sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u8").reshape(len(part), SKETCH // 8)
     row = np.arange(len(part))
@@ -229,7 +242,7 @@ def _pairs(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.nda
         x, y = x[keep], y[keep]
         for words in (4, SKETCH // 8):  # most are told apart by a quarter of their sketches
             agree = _agreeing(sketch, x, y, words)
-            keep = agree >= least(8 * words)
+            keep = agree >= _least(percent, 8 * words)
             x, y, agree = x[keep], y[keep], agree[keep]
         found.append([x, y, agree])
         lo = hi

@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from graphloom.llm import bpe, chats, graph, langid, linededup, neardup, queries, urls
 from graphloom.llm import textkit as tk
+from graphloom.operators import joins
 
 from ..conftest import rows
 from .conftest import write_tables
@@ -184,11 +186,31 @@ def test_pairs_at_the_threshold_meet_at_any_depth(spark):
         level = tk.shared_checkpoint(spark, neardup._children(level, reps, s))
 
 
+def test_sketches_at_the_threshold_pass(spark):
+    """Of 10,000 pairs whose sketches agree in each place with the threshold's probability, none is dropped; of as many unlike ones, all are."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 10_000
+    for percent in (80, 85):
+        rng = np.random.default_rng(percent)
+        one = rng.integers(0, 256, (n, neardup.SKETCH), dtype=np.uint8)
+        for share, kept in ((percent / 100, n), (0.2, 0)):
+            two = np.where(rng.random(one.shape) < share, one, rng.integers(0, 256, one.shape, dtype=np.uint8))
+            both = np.stack([one, two], axis=1).reshape(2 * n, -1)
+            pairs = pa.table({"group": np.repeat(np.arange(n), 2), "cls": np.arange(2 * n), "side": np.full(2 * n, -1), "sketch": pa.array([x.tobytes() for x in both], pa.binary())})
+            x, y, _ = neardup._pairs(pairs, percent)
+            assert len(x) == kept and (y == x + 1).all()
+        chance = lambda m, t, p=percent / 100: sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(t))
+        for m in (32, 128):
+            assert chance(m, neardup._least(percent, m)) <= neardup.MISSED < chance(m, neardup._least(percent, m) + 1)
+
+
 @pytest.mark.parametrize("what", ["salts", "blocks"])
 def test_hot_keys_and_long_texts_are_dealt_out(spark, monkeypatch, what):
     """Every join by shuffle and salts, or full sets in blocks of a few shingles: the same components."""
     monkeypatch.setattr(tk, "BROADCAST_BYTES", -1) if what == "salts" else monkeypatch.setattr(neardup, "ITEMS", 300)
-    monkeypatch.setattr(tk, "HOT_SHARE", 20)
+    monkeypatch.setattr(joins, "HOT_SHARE", 20)
     monkeypatch.setattr(neardup, "LIMIT", 10)
     rng = random.Random(19)
     base = [f"w{rng.randrange(5000)}" for _ in range(90)]
@@ -319,7 +341,7 @@ def test_parts_and_without(spark, odd_docs):
 
 
 def test_salted_joins_are_joins(spark, monkeypatch):
-    monkeypatch.setattr(tk, "HOT_SHARE", 10)
+    monkeypatch.setattr(joins, "HOT_SHARE", 10)
     rng = random.Random(20)
     many = [(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), i) for i in range(400)]
     one = [(k, f"v{k}") for k in (1, 2, 3, 9)]
