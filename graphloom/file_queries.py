@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import cli
 from .functions.terms import TYPE, XSD
-from .operators.storage import new_path
+from .operators import bitvec as B
+from .operators.storage import new_path, stored
 from .operators.store import Dictionary, GraphStore
 from .operators.versions import GraphLog
 from .plans.executor import Engine
@@ -16,7 +17,7 @@ from .queries import _CYCLE, _CYCLE_SQL, ORACLE_SQL, PREFIXES, QUERIES, C, N, _e
 from .sources import encoded, turtle
 from .sources.rdfview import p, rdf_view, view_sql
 from .sources.turtle_split import read_split
-from .streaming.match import match_stream, predicate_rates
+from .streaming.match import match_stream, match_streams, predicate_rates
 
 _GRAPH = f"WITH t AS ({view_sql()})"
 _CODED = f"""{_GRAPH}, n AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM (SELECT s AS term FROM t UNION SELECT o FROM t)), q AS (SELECT p AS term, row_number() OVER (ORDER BY p) + 1 AS id FROM (SELECT DISTINCT p FROM t)),
@@ -325,3 +326,50 @@ def _(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("s"), F.col("event_type").alias("p"), F.col("value").cast("string").alias("o"), F.col("ts").cast("timestamp").alias("ts"))
     rates = _streamed(spark, events, lambda s: predicate_rates(s, "1 hour", "3650 days"), "complete")
     return rates.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "p", "n")
+
+
+@_query(
+    "stream_joined",
+    """SELECT '<urn:user:' || a.user_id || '>' AS u, '"' || a.event_id || '"' AS v, '"' || b.event_id || '"' AS b, strftime(greatest(a.ts, b.ts), '%Y-%m-%d %H:%M:%S') AS at FROM events a JOIN events b ON a.user_id = b.user_id
+    WHERE a.event_type = 'click' AND b.event_type = 'purchase' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 6 * 3600000000""",
+)
+def _(spark, sf):
+    """Two streaming patterns: purchases within six hours of a click of the same user."""
+    events = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.concat(F.lit("<urn:user:"), _key("user_id"), F.lit(">")).alias("s"), F.concat(F.lit("<urn:p:"), F.col("event_type"), F.lit(">")).alias("p"), F.concat(F.lit('"'), _key("event_id"), F.lit('"')).alias("o"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    text = PREFIXES + "SELECT ?u ?v ?b { ?u p:click ?v . ?u p:purchase ?b }"
+    found = _streamed(spark, events, lambda s: match_streams({0: s, 1: s}, GraphStore(spark), text, "6 hours", "3650 days"), "append")
+    return found.select("u", "v", "b", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+# binding vectors as bits over ids
+def _bits(spark: SparkSession, sf: str):
+    """The dictionary, and f(layer) -> its encoded cells (u, v), stored."""
+    store = rdf_view(spark, sf)
+    d = store.dictionary()
+    layer = lambda name: stored(spark, d.encode(store.layer(p(name)).select("s", F.lit(p(name)).alias("p"), "o")).select(F.col("s").alias("u"), F.col("o").alias("v")))[0]
+    return d, layer
+
+
+def _building(spark: SparkSession, d: Dictionary, layer) -> DataFrame:
+    return stored(spark, B.of_ids(layer("segment").where(F.col("v") == d.lookup(['"BUILDING"'])['"BUILDING"']), "u"))[0]
+
+
+@_query("bits_mxv", f"SELECT {_ent('order', 'o_orderkey')} AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def _(spark, sf):
+    d, layer = _bits(spark, sf)
+    return d.decode_column(B.ids(B.mxv(layer("placedBy"), _building(spark, d, layer))), "v")
+
+
+@_query("bits_vandv", f"SELECT {C} AS v FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders)")
+def _(spark, sf):
+    d, layer = _bits(spark, sf)
+    return d.decode_column(B.ids(B.vandv(_building(spark, d, layer), B.of_ids(layer("placedBy"), "v"))), "v")
+
+
+@_query("bits_binding_matrix", f"SELECT {_ent('order', 'o_orderkey')} AS u, {C} AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING'")
+def _(spark, sf):
+    d, layer = _bits(spark, sf)
+    rows = stored(spark, B.of_ids(layer("status").where(F.col("v") == d.lookup(['"F"'])['"F"']), "u"))[0]
+    return d.decode_column(d.decode_column(B.binding_matrix(layer("placedBy"), rows, _building(spark, d, layer)), "u"), "v").select("u", "v")

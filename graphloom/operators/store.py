@@ -81,6 +81,8 @@ class GraphStore:
     layers: dict[str, DataFrame | list[Mapped]] = field(default_factory=dict)
     #: predicate -> (triples, distinct subjects, distinct objects), once analyzed
     stats: dict[str, tuple[int, int, int]] | None = None
+    #: characteristic sets, once analyzed: (predicates of a subject -> triples of each, how many subjects have just these), most subjects first
+    sets: list[tuple[dict[str, int], int]] | None = None
     #: (s, p, o, there) of distinct triples that were put in (there) or taken out since
     changes: DataFrame | None = None
 
@@ -143,10 +145,18 @@ class GraphStore:
         by_subject = t.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_subjects"))
         return by_subject.join(t.select("p", "o").distinct().groupBy("p").agg(F.count("*").alias("n_objects")), "p")  # a row for each predicate
 
-    def analyze(self) -> GraphStore:
-        """The store with approximate statistics for the planner: a row for each predicate reaches the driver."""
-        rows = self.triples().groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("s"), F.approx_count_distinct("o").alias("o")).collect()
-        return replace(self, stats={r.p: (r.n, r.s, r.o) for r in rows})
+    def analyze(self, most: int = 10_000) -> GraphStore:
+        """The store with statistics for the planner: approximate counts for each predicate, and the `most` commonest characteristic sets.
+
+        A row for each predicate, and for each predicate of these sets, reaches the driver.
+        """
+        t = self.triples()
+        rows = t.groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("s").alias("s"), F.approx_count_distinct("o").alias("o")).collect()
+        subjects = t.groupBy("s", "p").agg(F.count("*").alias("n")).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("has"))
+        kinds = subjects.select(F.transform("has", lambda x: x["p"]).alias("kind"), F.inline("has")).groupBy("kind", "p").agg(F.sum("n").alias("n"), F.count("*").alias("subjects"))
+        sets = kinds.groupBy("kind").agg(F.collect_list(F.struct("p", "n")).alias("n"), F.max("subjects").alias("subjects")).orderBy(F.desc("subjects"), "kind").limit(most)
+        found = [({x.p: x.n for x in r.n}, r.subjects) for r in sets.collect()]
+        return replace(self, stats={r.p: (r.n, r.s, r.o) for r in rows}, sets=found)
 
     def term_frequency(self) -> DataFrame:
         """term, as_subject, as_object, n: occurrences of each term."""

@@ -44,10 +44,10 @@ class Engine:
         return F.col(f"`{self._name(var)}`")
 
     # patterns
-    def scan(self, p: Pattern, source: DataFrame | None = None) -> Bindings:
-        """One pattern: constants and repeated variables are filters, variables are columns."""
+    def scan(self, p: Pattern, source: DataFrame | None = None, keep: tuple[str, ...] = ()) -> Bindings:
+        """One pattern: constants and repeated variables are filters, variables are columns. keep: columns of the source that stay."""
         if source is not None:
-            df = source.select("s", "p", "o")
+            df = source.select("s", "p", "o", *keep)
             df = df.where(F.col("p") == p.p.term) if isinstance(p.p, Const) else df
         elif isinstance(p.p, Const):
             df = self.store.layer(p.p.term, *[x.term if isinstance(x, Const) else None for x in (p.s, p.o)])
@@ -62,7 +62,7 @@ class Engine:
                 df = df.where(F.col(at) == F.col(names[x.name]))
             else:
                 names[x.name] = at
-        return Bindings(df.select(*[F.col(at).alias(self._name(v)) for v, at in names.items()]) if names else df.select(F.lit(True).alias("__there")).limit(1), list(names))
+        return Bindings(df.select(*[F.col(at).alias(self._name(v)) for v, at in names.items()], *keep) if names or keep else df.select(F.lit(True).alias("__there")).limit(1), list(names))
 
     def bgp(self, patterns: list[Pattern], first: int = 0) -> Bindings:
         """All solutions of a basic graph pattern, with their multiplicity. first: the number of its first pattern in the group."""
