@@ -4,6 +4,14 @@ STAGES are (name, function) in order; each function takes (spark, docs, sf_dir)
 and returns the documents that it keeps, with the columns of docs, but for the
 last one, which returns their tokens. run() applies them to the documents table,
 each stage's result being written to the shared folder before the next reads it.
+
+Every stage: columns of any other name pass through, whatever they are called; an
+empty table gives an empty one; texts of any length are handled whole. Null and
+empty texts go in the first stage; where a later one is given them, they stay but
+for a repeat of the same row in near_dedup, and have no tokens in bpe. A null
+doc_id is an id of its own and comes first (last where the least id of a group stays).
+Repeated rows lose the same lines, and one of them stays in near_dedup. Ties: of
+equal runs of lines the first by (doc_id, a hash of the text) stays, of a group the least doc_id.
 """
 
 from __future__ import annotations

@@ -193,6 +193,7 @@ def _predictor(spark: SparkSession, docs: DataFrame, learn: Column | None, sampl
             scores.append(float(p[best]))
         return said, scores
 
+    predict.langs = langs
     return predict
 
 
@@ -215,13 +216,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown(spark: SparkSession, docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows of no language, and those whose language scores under min_score; all columns stay. Rows are judged as they pass: nothing is joined."""
+    """docs without the rows of no language, and those whose language scores under min_score; all columns stay. Rows are judged as they pass: nothing is joined.
+
+    Where no row tells of a language, none is learned and only texts without a letter go.
+    """
     predict = _predictor(spark, docs, None, SAMPLE_PER_LANG)
     at = docs.columns.index("text")
+    taught = bool(predict.langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said, scores = predict(batch.column(at).cast(pa.string()))
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in zip(said, scores, strict=True)], pa.bool_()))
+            keep = [lang != UNKNOWN and score >= min_score for lang, score in zip(said, scores, strict=True)] if taught else [x.is_valid and bool(_LETTER.search(x.as_py())) for x in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(tk.released(run), docs.schema)

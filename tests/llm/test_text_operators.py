@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontaminate, langid, licenses, media, toxicity
 from graphloom.llm import textkit as tk
@@ -274,6 +275,12 @@ def test_rows_without_language_go(spark, odd_docs):
     assert rows(left.select("doc_id", "text")) == rows(odd_docs.where("text RLIKE '[A-Za-z]' OR doc_id = 10").select("doc_id", "text"))
 
 
+def test_without_any_language_texts_with_letters_stay(spark, odd_docs):
+    bare = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    left = langid.drop_unknown(spark, bare)
+    assert left.columns == bare.columns and left.count() == bare.where(F.col("text").rlike(r"\p{L}")).count() > 5
+
+
 def test_counts_cover_whole_texts():
     at, n = langid.gram_counts(LONG)
     assert n.sum() == 3 * len(LONG) - 3 and langid.gram_counts("")[0].size == 0
