@@ -16,7 +16,9 @@ at the start of y had a gadget; the pieces change a few times only.
 
 Encoding goes through a word once, from left to right, without a search: each
 prefix has one tokenization, so the state after it is one token, and the
-tokens that continue it are those of the trie whose arcs leave that state. Whole
+tokens that continue it are those of the trie whose arcs leave that state. The
+full table of states and arcs, a few billion of them, is never written out: an
+arc is compiled from the gadgets when a word first asks for it, and kept. Whole
 batches of words take each step together, in arrays. Decoding emits the labels
 of the arcs.
 

@@ -16,7 +16,8 @@ are then searched at every position for its length (winnowing with window 1).
 
 Nulls: a null text has no words; items with a null id mark words but are not
 listed. Repeated rows (same doc_id and text) give one row. Same doc_id with
-other text: a row each. Ties: of equal grams in a window the last one is kept,
+other text: a row each. Texts of any length are searched whole, a few megabytes
+or one text at a time; an empty one has no words. Ties: of equal grams in a window the last one is kept,
 on both sides. An empty benchmark leaves every document clean; an empty table
 gives an empty one. Other columns, whatever their names, are not looked at; the
 filtering stage passes them through.

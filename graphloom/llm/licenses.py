@@ -9,7 +9,8 @@ A merged span is verified by the share of the template's words that its matches,
 word by word, cover. Templates may be phrases, sentences or whole licenses.
 
 Before the join a bit table of the templates' hashes (64 KB; the templates are
-a constant) thins out what leaves the scan. Nulls: a null text has no words, a
+a constant) thins out what leaves the scan. Texts of any length are read whole;
+an empty one has no words. Nulls: a null text has no words, a
 null doc_id stays. Repeated rows (same doc_id and text) give one row. Ties:
 places and labels are sets, so none arise; of equal scores any is the greatest.
 An empty table gives an empty one. Columns other than doc_id and text, whatever

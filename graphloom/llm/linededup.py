@@ -28,7 +28,8 @@ out by a salt. A line is named by two independent 64-bit hashes.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes first in the
 order. Repeated rows (same doc_id and text) are one document and keep or lose
-the same lines. Ties cannot occur: the order of documents and lines is total.
+the same lines. Texts of any length are cut into lines whole; an empty one has
+none. Ties cannot occur: the order of documents and lines is total.
 Blank lines between deleted lines go too. An empty table gives an empty one.
 Columns of any other name stay; only the one asked for as `removed` must be free.
 """

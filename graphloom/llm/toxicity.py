@@ -18,7 +18,8 @@ The lexicon is a table, joined to the words of texts that a bit table of fixed
 size lets through, and has as many words as pass the tests below.
 
 Nulls: a null text is empty and gets the score of a text of one harmless word;
-labelled rows without an id or label are not used. Of several labels of an id
+labelled rows without an id or label are not used. Texts of any length are
+scored whole, in time that grows with their words. Of several labels of an id
 the greatest counts. Repeated rows are kept. Ties: equal segments stay apart, as
 the scan's definition has it. Without both labels in training, every score is
 the share of toxic ones. An empty table gives an empty one. Columns other than
