@@ -34,7 +34,7 @@ def test_brute_lines_are_the_runs():
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_query_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert normal(queries.QUERIES[name](spark, SF).toPandas()) == normal(con.execute(queries.ORACLE_SQL[name]).df())
 
