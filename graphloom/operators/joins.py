@@ -63,7 +63,8 @@ def skew_join(many: DataFrame, one: DataFrame, counts: DataFrame, keys: list[str
     share = max(1, total // HOT_SHARE)
     deal, salt = fresh(many.join(one.limit(0), keys), "hot_deal", "hot_salt")
     hot = F.broadcast(counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias(deal)))  # fewer than HOT_SHARE rows
-    others = F.xxhash64(*[c for c in many.columns if c not in keys])
+    rest = [c for c in many.columns if c not in keys]
+    others = F.xxhash64(*rest) if rest else F.spark_partition_id()  # rows that are nothing but their key differ by where they lie only
     unkeyed = fold(Column.__or__, [F.col(k).isNull() for k in keys])  # these match nothing, and are dealt out too
     dealt = many.join(hot, keys, "left").withColumn(salt, F.coalesce(F.pmod(others, deal), F.when(unkeyed, F.pmod(others, F.lit(HOT_SHARE))), F.lit(0)).cast("int"))
     copies = one.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(deal), F.lit(1)) - 1)))
