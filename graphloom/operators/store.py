@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .joins import merged, skew_join, small
+from .joins import fresh, merged, skew_join, small
 from .ranking import numbered
 from .storage import stored
 
@@ -259,12 +259,16 @@ class Dictionary:
     def _looked_up(self, df: DataFrame, key: str, value: str, by: str, how: str = "inner") -> DataFrame:
         """df with column value (of kind the other of id and term) for its column key (of kind `by`)."""
         other = "term" if by == "id" else "id"
-        table = self.nodes.select(F.col(by).alias(key), F.col(other).alias(value))
+        (at,) = fresh(df, "__key")  # the key may be called n, as the counts are
+        table = self.nodes.select(F.col(by).alias(at), F.col(other).alias(value))
+        df = df.withColumnRenamed(key, at)
         near = small(table, self.BROADCAST)
         if near is not table:
-            return df.join(near, key, how)
-        seen = self.seen.select(F.col(by).alias(key), "n") if self.seen is not None else stored(df.sparkSession, df.groupBy(key).agg(F.count("*").alias("n")))[0]
-        return skew_join(df, table, seen, [key], how)
+            found = df.join(near, at, how)
+        else:
+            seen = self.seen.select(F.col(by).alias(at), "n") if self.seen is not None else stored(df.sparkSession, df.groupBy(at).agg(F.count("*").alias("n")))[0]
+            found = skew_join(df, table, seen, [at], how)
+        return found.withColumnRenamed(at, key)
 
     def encode(self, triples: DataFrame) -> DataFrame:
         """(s, p, o) of terms to ids. The predicates' table is small by nature and left to the optimizer."""

@@ -18,3 +18,10 @@ def test_rows_that_are_nothing_but_an_id(spark, shuffled):
     known = {r.id: r.term for r in shuffled.nodes.collect()}
     ids = [0, 3, 3, 3, 99, None]
     assert rows(shuffled.decode_column(spark.createDataFrame([(i,) for i in ids], "v bigint"), "v")) == sorted([(known.get(i),) for i in ids], key=repr)
+
+
+@pytest.mark.parametrize("name", ["n", "term", "id"])
+def test_a_column_named_as_the_counts(spark, shuffled, name):
+    known = {r.id: r.term for r in shuffled.nodes.collect()}
+    df = shuffled.decode_column(spark.createDataFrame([(0, "a"), (3, "b")], f"{name} bigint, x string"), name)
+    assert rows(df.select("x", name)) == [("a", known[0]), ("b", known[3])]
