@@ -143,7 +143,7 @@ def _(spark, sf):
 def _encoded(spark: SparkSession, sf: str) -> tuple[str, Dictionary]:
     store, path = rdf_view(spark, sf), new_path(spark)
     dictionary = store.dictionary()
-    encoded.write_encoded(dictionary.encode(store.triples()), path)
+    encoded.write_encoded(store.encoded(dictionary), path)
     encoded.write_dictionary(dictionary, f"{path}/dictionary")
     return path, Dictionary(*[encoded.read_dictionary(spark, f"{path}/dictionary/{x}") for x in ("nodes", "predicates")])
 
@@ -348,7 +348,7 @@ def _bits(spark: SparkSession, sf: str):
     """The dictionary, and f(layer) -> its encoded cells (u, v), stored."""
     store = rdf_view(spark, sf)
     d = store.dictionary()
-    layer = lambda name: stored(spark, d.encode(store.layer(p(name)).select("s", F.lit(p(name)).alias("p"), "o")).select(F.col("s").alias("u"), F.col("o").alias("v")))[0]
+    layer = lambda name: stored(spark, store.encoded(d, [p(name)]).select(F.col("s").alias("u"), F.col("o").alias("v")))[0]
     return d, layer
 
 

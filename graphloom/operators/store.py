@@ -36,6 +36,20 @@ class TermMap:
     def term(self) -> Column:
         return F.concat(F.lit(self.before), F.col(self.column).cast("string"), F.lit(self.after))
 
+    def family(self) -> TermMap:
+        """The map for keys of its sort, of whatever column: two columns with equal families have equal terms where their keys are equal."""
+        return replace(self, column="key", kind="string" if self.kind == "string" else "bigint")
+
+    def key(self) -> Column:
+        return F.col(self.column).cast(self.family().kind).alias("key")
+
+    def apart(self, other: TermMap | str) -> bool:
+        """Whether it can be told from the maps that no term is of both."""
+        if isinstance(other, str):
+            return self.value(other) is None
+        ends = lambda a, b, within: not (within(a, b) or within(b, a))
+        return ends(self.before, other.before, str.startswith) or ends(self.after, other.after, str.endswith)
+
     def value(self, term: str) -> str | int | None:
         """The column's value for a term, None if no value gives it."""
         end = len(term) - len(self.after)
@@ -50,14 +64,15 @@ class TermMap:
 
 @dataclass(frozen=True)
 class Mapped:
-    """One predicate's pairs from one table, subject and object each a TermMap or a constant term. The pairs are distinct as they are."""
+    """One predicate's pairs from one table, subject and object each a TermMap or a constant term. The pairs are distinct as they are, unless the table repeats them."""
 
     df: DataFrame
     s: TermMap | str
     o: TermMap | str
+    repeats: bool = False
 
-    def pairs(self, s: str | None = None, o: str | None = None) -> DataFrame | None:
-        """(s, o), where s and o are the terms given; None if the table can't hold them: it needs no scan."""
+    def rows(self, s: str | None = None, o: str | None = None) -> DataFrame | None:
+        """The key columns of distinct pairs, where s and o are the terms given; None if the table can't hold them: it needs no scan."""
         df = self.df
         for wanted, made in ((s, self.s), (o, self.o)):
             if wanted is None:
@@ -70,8 +85,18 @@ class Mapped:
             if value is None:
                 return None
             df = df.where(F.col(made.column) == F.lit(value))
-        term = lambda made: F.lit(made) if isinstance(made, str) else made.term()
-        return df.select(term(self.s).alias("s"), term(self.o).alias("o"))
+        columns = list(dict.fromkeys(made.column for made in (self.s, self.o) if isinstance(made, TermMap)))
+        # distinct on the keys, before they become strings; hardly a pair is repeated, so they are dealt out first: a task that reads need not hold all its pairs
+        return df.select(*columns).repartition(columns[0]).distinct() if self.repeats else df
+
+    def pairs(self, s: str | None = None, o: str | None = None) -> DataFrame | None:
+        """(s, o), where s and o are the terms given; None as in rows()."""
+        df = self.rows(s, o)
+        return None if df is None else df.select(_term(self.s).alias("s"), _term(self.o).alias("o"))
+
+
+def _term(made: TermMap | str) -> Column:
+    return F.lit(made) if isinstance(made, str) else made.term()
 
 
 @dataclass
@@ -176,7 +201,59 @@ class GraphStore:
         return GraphStore(self.spark, self.triples().groupBy("s", "o").agg(F.min("p").alias("p")).select(*TRIPLE))
 
     def dictionary(self) -> Dictionary:
-        return Dictionary.of(self.triples())
+        if not self._mapped():
+            return Dictionary.of(self.triples())
+        known = [p for p in self.layers if any(not m.df.isEmpty() for m in self.layers[p])]
+        return Dictionary.numbered(self._terms(), self.spark.createDataFrame([(p,) for p in known], "term string"))
+
+    def _mapped(self) -> bool:
+        """Whether all triples come from mapped tables."""
+        return self.table is None and self.changes is None and bool(self.layers) and not any(isinstance(x, DataFrame) for x in self.layers.values())
+
+    def _terms(self) -> DataFrame:
+        """term, n: the terms of mapped tables, and about how often each occurs (a table's repetitions count).
+
+        Each column is counted once, by its keys: strings are made of what is left. Only maps
+        that may make the same term are counted again by term.
+        """
+        times: dict[tuple[int, TermMap | str], int] = {}
+        tables = {}
+        for m in [m for layer in self.layers.values() for m in layer]:
+            for made in (m.s, m.o):
+                tables[id(m.df)] = m.df
+                times[id(m.df), made] = times.get((id(m.df), made), 0) + 1
+        families: dict[TermMap | str, list[DataFrame]] = {}
+        for (table, made), n in times.items():
+            if isinstance(made, str):
+                families.setdefault(made, []).append(tables[table].agg((F.count("*") * n).alias("n")).where("n > 0"))
+            else:
+                families.setdefault(made.family(), []).append(tables[table].select(made.key(), F.lit(n).cast("long").alias("n")).where("key IS NOT NULL"))
+        counted = {}
+        for made, parts in families.items():
+            df = reduce(DataFrame.unionAll, parts)
+            df = df if isinstance(made, str) else df.groupBy("key").agg(F.sum("n").alias("n"))
+            counted[made] = df.select(_term(made).alias("term"), "n")
+        apart = lambda a, b: a != b if isinstance(a, str) and isinstance(b, str) else b.apart(a) if isinstance(a, str) else a.apart(b)
+        alone = [made for made, parts in families.items() if all(apart(made, x) for x in families if x is not made) and (not isinstance(made, str) or len(parts) == 1)]
+        others = [counted[made] for made in families if made not in alone]
+        out = [counted[made] for made in alone]
+        if others:
+            out.append(reduce(DataFrame.unionAll, others).groupBy("term").agg(F.sum("n").alias("n")))
+        return reduce(DataFrame.unionAll, out)
+
+    def encoded(self, d: Dictionary, predicates: list[str] | None = None) -> DataFrame:
+        """(s, p, o) of all triples, or those of some predicates, as ids: mapped tables meet the dictionary by their keys, so that no string is made or moved for a triple."""
+        wanted = list(self.layers) if predicates is None else predicates
+        if not self._mapped():
+            return d.encode(self.triples() if predicates is None else self.triples().where(F.col("p").isin(wanted)))
+        ids, parts, met = d.lookup(wanted, predicates=True), [], {}
+        for p in wanted:
+            for m in self.layers.get(p, []) if p in ids else []:
+                rows = m.rows().select(*[made.key().alias(at) for at, made in (("s", m.s), ("o", m.o)) if isinstance(made, TermMap)])
+                for at, made in (("s", m.s), ("o", m.o)):
+                    rows = d.met(rows, at, made, met)
+                parts.append(rows.select("s", F.lit(ids[p]).cast("long").alias("p"), "o"))
+        return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], "s bigint, p bigint, o bigint")
 
     def with_triples(self, more: Iterable[tuple[str, str, str]]) -> GraphStore:
         return self._with([(*t, True) for t in more])
@@ -217,8 +294,13 @@ class Dictionary:
 
     @classmethod
     def of(cls, triples: DataFrame) -> Dictionary:
-        nodes = numbered(cls._terms(triples), ["term"], "id").select("id", "term", "n")
-        return cls(nodes.select("id", "term"), numbered(triples.select(F.col("p").alias("term")).distinct(), ["term"], "id", cls.FIRST_PREDICATE).select("id", "term"), nodes)
+        return cls.numbered(cls._terms(triples), triples.select(F.col("p").alias("term")).distinct())
+
+    @classmethod
+    def numbered(cls, terms: DataFrame, predicates: DataFrame) -> Dictionary:
+        """Of distinct terms (term, n) and predicates (term)."""
+        nodes = numbered(terms, ["term"], "id").select("id", "term", "n")
+        return cls(nodes.select("id", "term"), numbered(predicates, ["term"], "id", cls.FIRST_PREDICATE).select("id", "term"), nodes)
 
     @staticmethod
     def _terms(triples: DataFrame) -> DataFrame:
@@ -270,6 +352,29 @@ class Dictionary:
             found = skew_join(df, table, seen, [at], how)
         return found.withColumnRenamed(at, key)
 
+    def met(self, df: DataFrame, at: str, made: TermMap | str, known: dict) -> DataFrame:
+        """df with ids in place of the keys in column `at`, whose terms made gives; known: tables of keys that earlier calls made, to be used again."""
+        if isinstance(made, str):
+            return df.withColumn(at, F.lit(self.lookup([made]).get(made)).cast("long")).where(F.col(at).isNotNull())
+        family, id_ = made.family(), f"{at}_id"
+        slot = family if family.kind != "string" else None
+        if slot not in known or slot is None:
+            seen = self.seen if self.seen is not None else self.nodes.withColumn("n", F.lit(1).cast("long"))
+            text = F.expr("substring(term, {}, length(term) - {})".format(len(family.before) + 1, len(family.before) + len(family.after)))
+            keys = seen.where(F.col("term").startswith(family.before) & F.col("term").endswith(family.after)).withColumn("key", text.try_cast(family.kind)).where(family.term() == F.col("term")).select("key", "id", "n")
+            if slot is None:  # strings of all sorts have one family: those of this column
+                keys = keys.join(df.select(F.col(at).alias("key")).distinct(), "key")
+            known[slot] = keys = stored(df.sparkSession, keys)[0]
+            table = keys.select("key", "id")
+            known[slot, "near"] = small(table, self.BROADCAST) is not table
+        keys = known[slot]
+        one = keys.select(F.col("key").alias(at), F.col("id").alias(id_))
+        if known[slot, "near"]:
+            rows = df.join(F.broadcast(one), at)
+        else:
+            rows = skew_join(df, one, keys.select(F.col("key").alias(at), "n"), [at])
+        return rows.drop(at).withColumnRenamed(id_, at)
+
     def encode(self, triples: DataFrame) -> DataFrame:
         """(s, p, o) of terms to ids. The predicates' table is small by nature and left to the optimizer."""
         p = self.predicates.select(F.col("id").alias("p_id"), F.col("term").alias("p"))
@@ -278,7 +383,7 @@ class Dictionary:
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         p = self.predicates.select(F.col("id").alias("p"), F.col("term").alias("p_term"))
-        rows = self._looked_up(self._looked_up(encoded.join(p, "p"), "s", "s_term", "id"), "o", "o_term", "id")
+        rows = self._looked_up(self._looked_up(encoded, "s", "s_term", "id"), "o", "o_term", "id").join(p, "p")  # last: their strings would go through both shuffles
         return rows.select(F.col("s_term").alias("s"), F.col("p_term").alias("p"), F.col("o_term").alias("o"))
 
     def lookup(self, terms: list[str], predicates: bool = False) -> dict[str, int]:

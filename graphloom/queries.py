@@ -469,7 +469,7 @@ def _(g):
 @_over_graph("dict_roundtrip", "SELECT s, p, o FROM t")
 def _(g):
     d = g.dictionary()
-    return d.decode(d.encode(g.triples()))
+    return d.decode(g.encoded(d))
 
 
 @_over_graph(
@@ -478,7 +478,7 @@ def _(g):
     SELECT a.id AS row, b.id AS col, pid AS val FROM t JOIN n a ON a.term = t.s JOIN n b ON b.term = t.o JOIN q USING (p)""",
 )
 def _(g):
-    return matrix_market(g.dictionary().encode(g.triples()))
+    return matrix_market(g.encoded(g.dictionary()))
 
 
 @_over_graph("gini", "SELECT round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini FROM (SELECT n::DOUBLE AS n, row_number() OVER (ORDER BY n) AS i FROM (SELECT count(*) AS n FROM t GROUP BY s))")

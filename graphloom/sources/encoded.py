@@ -14,9 +14,10 @@ _EDGE = r"^\s*<?(\d+)>?\s+<?(\d+)>?\s+<?(\d+)>?(?:\s*\.)?\s*$"
 
 def read_encoded(spark: SparkSession, path: str, layout: str = "spo") -> DataFrame:
     """(s, p, o) of ids, from lines `<s> <p> <o> .`; header lines with counts don't match. layout: the columns' order, "sop" for dumps."""
-    at = {name: i + 1 for i, name in enumerate(layout)}
+    at = {name: i for i, name in enumerate(layout)}
     lines = spark.read.text(path).where(F.col("value").rlike(_EDGE))
-    return lines.select(*[F.regexp_extract("value", _EDGE, at[c]).cast("long").alias(c) for c in "spo"])
+    numbers = lines.select(F.regexp_extract_all("value", F.lit(r"(\d+)")).alias("x"))  # three of them, in such a line
+    return numbers.select(*[F.col("x")[at[c]].cast("long").alias(c) for c in "spo"])
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +36,11 @@ def write_encoded(encoded: DataFrame, path: str) -> tuple[int, int]:
     """Lines `<s> <p> <o> .` in path/edges, and path/counts with the numbers of edges and nodes, which are returned."""
     line = F.concat_ws(" ", *[F.concat(F.lit("<"), F.col(c).cast("string"), F.lit(">")) for c in "spo"], F.lit("."))
     encoded.select(line.alias("value")).write.text(f"{path}/edges")
-    edges = encoded.count()
-    nodes = encoded.select(F.col("s").alias("x")).unionAll(encoded.select("o")).distinct().count()
+    # counted in what was written, so that the graph is encoded once; nodes as bits, 64 ids a row
+    ends = read_encoded(encoded.sparkSession, f"{path}/edges").select(F.explode(F.array("s", "o")).alias("x"))
+    words = ends.groupBy(F.shiftright("x", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 as int)))").alias("bits"), F.count("*").alias("n"))
+    found = words.agg(F.sum("n").alias("n"), F.sum(F.bit_count("bits")).alias("nodes")).first()
+    edges, nodes = (found.n or 0) // 2, found.nodes or 0
     encoded.sparkSession.createDataFrame([(f"{edges}\n{nodes}",)], "value string").coalesce(1).write.text(f"{path}/counts")
     return edges, nodes
 
@@ -54,9 +58,9 @@ def matrix_market(encoded: DataFrame) -> DataFrame:
 def write_matrix_market(encoded: DataFrame, path: str, n_nodes: int | None = None) -> None:
     """Coordinate format: the header in path/header, the cells in path/cells."""
     cells = matrix_market(encoded)
-    if n_nodes is None:
-        n_nodes = encoded.agg(F.max(F.greatest("s", "o")) + 1).first()[0] or 0
-    header = f"%%MatrixMarket matrix coordinate real general\n{n_nodes} {n_nodes} {encoded.count()}"
+    found = encoded.agg((F.max(F.greatest("s", "o")) + 1).alias("nodes"), F.count("*").alias("n")).first()
+    n_nodes = (found.nodes or 0) if n_nodes is None else n_nodes
+    header = f"%%MatrixMarket matrix coordinate real general\n{n_nodes} {n_nodes} {found.n}"
     encoded.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{path}/header")
     cells.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("row", "col", "val")]).alias("value")).write.text(f"{path}/cells")
 

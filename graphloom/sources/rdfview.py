@@ -36,8 +36,7 @@ def rdf_view(spark: SparkSession, sf_dir: str) -> GraphStore:
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     keys = {"region": entity("region", "r_regionkey", "int"), "nation": entity("nation", "n_nationkey", "int"), "customer": entity("customer", "c_custkey"), "supplier": entity("supplier", "s_suppkey"), "part": entity("part", "p_partkey"), "orders": entity("order", "o_orderkey")}
     of = lambda table, o: Mapped(t[table], keys[table], o)
-    # lineitem repeats its pairs: distinct on the numbers, before they become strings
-    item = lambda column, o: Mapped(t["lineitem"].select("l_orderkey", column).distinct(), entity("order", "l_orderkey"), o)
+    item = lambda o: Mapped(t["lineitem"], entity("order", "l_orderkey"), o, repeats=True)
     layers = {
         TYPE: [of(table, f"<urn:c:{kind}>") for table, kind in (("region", "Region"), ("nation", "Nation"), ("customer", "Customer"), ("supplier", "Supplier"), ("part", "Part"), ("orders", "Order"))],
         p("name"): [of("region", plain("r_name")), of("nation", plain("n_name")), of("customer", plain("c_name")), of("supplier", plain("s_name"))],
@@ -51,8 +50,8 @@ def rdf_view(spark: SparkSession, sf_dir: str) -> GraphStore:
         p("placedBy"): [of("orders", entity("customer", "o_custkey"))],
         p("status"): [of("orders", plain("o_orderstatus"))],
         p("priority"): [of("orders", plain("o_orderpriority"))],
-        p("hasPart"): [item("l_partkey", entity("part", "l_partkey"))],
-        p("hasSupplier"): [item("l_suppkey", entity("supplier", "l_suppkey"))],
+        p("hasPart"): [item(entity("part", "l_partkey"))],
+        p("hasSupplier"): [item(entity("supplier", "l_suppkey"))],
     }
     return GraphStore.from_layers(spark, layers)
 
