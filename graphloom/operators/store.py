@@ -89,13 +89,22 @@ class Mapped:
         # distinct on the keys, before they become strings; hardly a pair is repeated, so they are dealt out first: a task that reads need not hold all its pairs
         return df.select(*columns).repartition(columns[0]).distinct() if self.repeats else df
 
-    def pairs(self, s: str | None = None, o: str | None = None) -> DataFrame | None:
-        """(s, o), where s and o are the terms given; None as in rows()."""
-        df = self.rows(s, o)
-        return None if df is None else df.select(_term(self.s).alias("s"), _term(self.o).alias("o"))
+    def named(self) -> Column:
+        """Whether a row has keys for both terms: what lacks one makes a null."""
+        return reduce(Column.__and__, [F.col(made.column).isNotNull() for made in (self.s, self.o) if isinstance(made, TermMap)])
 
+    def pairs(self, s: str | None = None, o: str | None = None, only: Column | None = None) -> DataFrame | None:
+        """(s, o), where s and o are the terms given; None as in rows(). only: a condition on the table."""
+        df = self.rows(s, o) if only is None else replace(self, df=self.df.where(only)).rows(s, o)
+        return None if df is None else df.select(made_term(self.s).alias("s"), made_term(self.o).alias("o"))
 
-def _term(made: TermMap | str) -> Column:
+
+def apart(a: TermMap | str, b: TermMap | str) -> bool:
+    """Whether it can be told that the two make no term in common."""
+    return a != b if isinstance(a, str) and isinstance(b, str) else b.apart(a) if isinstance(a, str) else a.apart(b)
+
+
+def made_term(made: TermMap | str) -> Column:
     return F.lit(made) if isinstance(made, str) else made.term()
 
 
@@ -114,7 +123,7 @@ class GraphStore:
     @classmethod
     def from_triples(cls, df: DataFrame) -> GraphStore:
         """From (s, p, o) in any multiplicity: a graph is a set."""
-        return cls(df.sparkSession, df.select(*TRIPLE).dropDuplicates())
+        return cls(df.sparkSession, df.select(*TRIPLE).repartition(*TRIPLE).dropDuplicates())  # dealt out first: a task that reads need not hold all its triples
 
     @classmethod
     def from_layers(cls, spark: SparkSession, layers: dict[str, DataFrame | list[Mapped]]) -> GraphStore:
@@ -166,6 +175,13 @@ class GraphStore:
     # profiles
     def predicate_stats(self) -> DataFrame:
         """p, n_triples, n_subjects, n_objects."""
+        if self.mapped():
+            rows = []
+            for p, layer in self.layers.items():  # by keys: a table is counted without its strings
+                subjects = self._counted([(m.rows(), m.s) for m in layer]).agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_subjects"), F.lit(0).cast("long").alias("n_objects"))
+                objects = self._counted([(m.df, m.o) for m in layer]).agg(F.lit(0).cast("long"), F.lit(0).cast("long"), F.count("*"))
+                rows.append(subjects.unionAll(objects).unionAll(self._unnamed(layer).select("n", F.lit(0).cast("long"), F.lit(0).cast("long"))).agg(*[F.sum(c).alias(c) for c in subjects.columns]).where("n_triples > 0").select(F.lit(p).alias("p"), *subjects.columns))
+            return reduce(DataFrame.unionAll, rows)
         t = self.triples()
         by_subject = t.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.sum("n").alias("n_triples"), F.count("*").alias("n_subjects"))
         return by_subject.join(t.select("p", "o").distinct().groupBy("p").agg(F.count("*").alias("n_objects")), "p")  # a row for each predicate
@@ -198,30 +214,63 @@ class GraphStore:
     # edges and dictionaries
     def remove_double_edges(self) -> GraphStore:
         """One predicate, the least, for each (s, o)."""
-        return GraphStore(self.spark, self.triples().groupBy("s", "o").agg(F.min("p").alias("p")).select(*TRIPLE))
+        if not self.mapped():
+            return GraphStore(self.spark, self.triples().groupBy("s", "o").agg(F.min("p").alias("p")).select(*TRIPLE))
+        # mapped tables whose maps tell that they have no edge in common need no comparing; predicates are compared by their rank
+        ranked = sorted(self.layers, key=lambda p: p.encode())
+        parts = [(i, m) for i, p in enumerate(ranked) for m in self.layers[p]]
+        alone = [not any(i != j and not apart(m.s, x.s) and not apart(m.o, x.o) for j, x in parts) for i, m in parts]
+        out, shared = [], []
+        for (i, m), single in zip(parts, alone, strict=True):
+            if single:
+                named = m.named()
+                out.append(m.pairs(only=named).select("s", F.lit(ranked[i]).alias("p"), "o"))
+                shared.append(m.pairs(only=~named).withColumn("i", F.lit(i)))  # no term is equal to no term
+            else:
+                shared.append(m.pairs().withColumn("i", F.lit(i)))
+        least = reduce(DataFrame.unionAll, shared).repartition("s", "o").groupBy("s", "o").agg(F.min("i").alias("i"))
+        out.append(least.select("s", F.array(*map(F.lit, ranked))[F.col("i")].alias("p"), "o"))
+        return GraphStore(self.spark, reduce(DataFrame.unionAll, out))
+
+    def subject_counts(self) -> DataFrame:
+        """n: for each subject, how many triples it has."""
+        if self.mapped():
+            parts = [m for layer in self.layers.values() for m in layer]
+            return self._counted([(m.rows(), m.s) for m in parts]).select("n").unionAll(self._unnamed(parts).where("n > 0"))
+        return self.triples().groupBy("s").agg(F.count("*").alias("n")).select("n")
+
+    @staticmethod
+    def _unnamed(parts: list[Mapped]) -> DataFrame:
+        """n: how many triples have a null for their subject, in one row."""
+        found = [replace(m, df=m.df.where(F.col(m.s.column).isNull())).rows().agg(F.count("*").alias("n")) for m in parts if isinstance(m.s, TermMap)]
+        return reduce(DataFrame.unionAll, found or [parts[0].df.limit(0).agg(F.count("*").alias("n"))]).agg(F.sum("n").alias("n"))
 
     def dictionary(self) -> Dictionary:
-        if not self._mapped():
+        if not self.mapped():
             return Dictionary.of(self.triples())
         known = [p for p in self.layers if any(not m.df.isEmpty() for m in self.layers[p])]
         return Dictionary.numbered(self._terms(), self.spark.createDataFrame([(p,) for p in known], "term string"))
 
-    def _mapped(self) -> bool:
+    def mapped(self) -> bool:
         """Whether all triples come from mapped tables."""
         return self.table is None and self.changes is None and bool(self.layers) and not any(isinstance(x, DataFrame) for x in self.layers.values())
 
     def _terms(self) -> DataFrame:
-        """term, n: the terms of mapped tables, and about how often each occurs (a table's repetitions count).
+        """term, n: the terms of mapped tables, and about how often each occurs (a table's repetitions count)."""
+        return self._counted([(m.df, made) for layer in self.layers.values() for m in layer for made in (m.s, m.o)])
+
+    @staticmethod
+    def _counted(ends: list[tuple[DataFrame, TermMap | str]]) -> DataFrame:
+        """term, n: the terms that the maps make of the tables, and how often.
 
         Each column is counted once, by its keys: strings are made of what is left. Only maps
         that may make the same term are counted again by term.
         """
         times: dict[tuple[int, TermMap | str], int] = {}
         tables = {}
-        for m in [m for layer in self.layers.values() for m in layer]:
-            for made in (m.s, m.o):
-                tables[id(m.df)] = m.df
-                times[id(m.df), made] = times.get((id(m.df), made), 0) + 1
+        for df, made in ends:
+            tables[id(df)] = df
+            times[id(df), made] = times.get((id(df), made), 0) + 1
         families: dict[TermMap | str, list[DataFrame]] = {}
         for (table, made), n in times.items():
             if isinstance(made, str):
@@ -232,8 +281,7 @@ class GraphStore:
         for made, parts in families.items():
             df = reduce(DataFrame.unionAll, parts)
             df = df if isinstance(made, str) else df.groupBy("key").agg(F.sum("n").alias("n"))
-            counted[made] = df.select(_term(made).alias("term"), "n")
-        apart = lambda a, b: a != b if isinstance(a, str) and isinstance(b, str) else b.apart(a) if isinstance(a, str) else a.apart(b)
+            counted[made] = df.select(made_term(made).alias("term"), "n")
         alone = [made for made, parts in families.items() if all(apart(made, x) for x in families if x is not made) and (not isinstance(made, str) or len(parts) == 1)]
         others = [counted[made] for made in families if made not in alone]
         out = [counted[made] for made in alone]
@@ -244,7 +292,7 @@ class GraphStore:
     def encoded(self, d: Dictionary, predicates: list[str] | None = None) -> DataFrame:
         """(s, p, o) of all triples, or those of some predicates, as ids: mapped tables meet the dictionary by their keys, so that no string is made or moved for a triple."""
         wanted = list(self.layers) if predicates is None else predicates
-        if not self._mapped():
+        if not self.mapped():
             return d.encode(self.triples() if predicates is None else self.triples().where(F.col("p").isin(wanted)))
         ids, parts, met = d.lookup(wanted, predicates=True), [], {}
         for p in wanted:

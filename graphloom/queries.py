@@ -483,7 +483,7 @@ def _(g):
 
 @_over_graph("gini", "SELECT round(2 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1) / count(*), 6) AS gini FROM (SELECT n::DOUBLE AS n, row_number() OVER (ORDER BY n) AS i FROM (SELECT count(*) AS n FROM t GROUP BY s))")
 def _(g):
-    return M.gini(g.triples().groupBy("s").agg(F.count("*").alias("n")), "n").select(F.round("gini", 6).alias("gini"))
+    return M.gini(g.subject_counts(), "n").select(F.round("gini", 6).alias("gini"))
 
 
 @_over_graph("position_counts", "SELECT position, term, count(*) AS n FROM (SELECT 's' AS position, s AS term FROM t UNION ALL SELECT 'p', p FROM t UNION ALL SELECT 'o', o FROM t) GROUP BY ALL")
