@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import Registry, compile_filter
 from ..functions.terms import order_keys
-from ..operators.store import GraphStore
+from ..operators.store import GraphStore, Mapped, TermMap, apart, made_term
 from . import planner
-from .syntax import Const, Expr, Group, Pattern, Select, Update, parse
+from .syntax import Const, Expr, Group, Pattern, Select, Update, Var, parse
 
 
 @dataclass
@@ -67,20 +67,75 @@ class Engine:
     def bgp(self, patterns: list[Pattern], first: int = 0) -> Bindings:
         """All solutions of a basic graph pattern, with their multiplicity. first: the number of its first pattern in the group."""
         todo = planner.plan(patterns, self.store, self.reduce)
-        found = {i: self.scan(p, self.sources.get(first + i)) for i, p in enumerate(patterns)}
+        keyed, parts = self._keys(patterns, first)
+        found = {i: self._scan_keys(p, parts[i], keyed) if i in parts else self.scan(p, self.sources.get(first + i)) for i, p in enumerate(patterns)}
         for target, by in todo.semijoins:
             shared = [v for v in found[target].vars if v in found[by].vars]
             keys = found[by].df.select(*[self._col(v) for v in shared]).distinct()
             found[target] = Bindings(found[target].df.join(keys, [self._name(v) for v in shared], "left_semi"), found[target].vars)
-        parts = []
+        joined = []
         for members in todo.components:
-            parts.append(fold(self.join, [found[i] for i in members]))
-        out = fold(self.join, parts) if parts else None
+            joined.append(fold(self.join, self._filtered(patterns, members, found)))
+        out = fold(self.join, joined) if joined else None
+        if out is not None and keyed:
+            out = Bindings(out.df.select(*[(replace(keyed[v], column=self._name(v)).term() if v in keyed else self._col(v)).alias(self._name(v)) for v in out.vars]), out.vars)
         for i in todo.existence:  # one row at most: keeps or empties the rest
             there = found[i].df
             out = Bindings(there if out is None else out.df.join(F.broadcast(there), F.lit(True), "left_semi"), [] if out is None else out.vars)
         return out if out is not None else Bindings(self.store.spark.range(1).select(F.lit(True).alias("__there")), [])
 
+    def _filtered(self, patterns: list[Pattern], members: list[int], found: dict[int, Bindings]) -> list[Bindings]:
+        """What is joined in turn: a pattern that only restricts one variable goes to the pattern that brings it in, before that is joined."""
+        out, bound, left = [], set(), list(members)
+        while left:
+            i = left.pop(0)
+            mine = found[i]
+            for j in [j for j in left if out and len(set(patterns[j].vars())) == 1 and set(patterns[j].vars()) <= set(mine.vars) - bound]:
+                mine = self.join(mine, found[j])
+                left.remove(j)
+            bound |= set(mine.vars)
+            out.append(mine)
+        return out
+
+    def _keys(self, patterns: list[Pattern], first: int) -> tuple[dict[str, TermMap], dict[int, list[Mapped]]]:
+        """Variables that can be joined by the keys of mapped tables instead of terms, with their maps; and what is left of each pattern's tables.
+
+        Tables that can't make a term that another pattern asks for have no solutions.
+        """
+        if not self.store.mapped() or not all(isinstance(p.p, Const) for p in patterns) or any(first + i in self.sources for i in range(len(patterns))):
+            return {}, {}
+        terms = lambda p: [x.term if isinstance(x, Const) else None for x in (p.s, p.o)]
+        parts = {i: [m for m in self.store.layers.get(p.p.term, []) if m.rows(*terms(p)) is not None] for i, p in enumerate(patterns) if p.vars()}
+        made = lambda m, p, v: [x for at, x in ((p.s, m.s), (p.o, m.o)) if isinstance(at, Var) and at.name == v]
+        meets = lambda m, p, v, j: any(not apart(x, y) for other in parts[j] for y in made(other, patterns[j], v) for x in made(m, p, v))
+        while True:
+            kept = {i: [m for m in parts[i] if all(meets(m, patterns[i], v, j) for v in patterns[i].vars() for j in parts if v in patterns[j].vars())] for i in parts}
+            if not all(kept.values()):
+                return {}, {}
+            if kept == parts:
+                break
+            parts = kept
+        keyed: dict[str, TermMap] = {}
+        for v in dict.fromkeys(v for i in parts for v in patterns[i].vars()):
+            maps = {x if isinstance(x, str) else x.family() for i in parts for m in parts[i] for x in made(m, patterns[i], v)}
+            if len(maps) == 1 and isinstance(x := maps.pop(), TermMap) and x.kind != "string":
+                keyed[v] = x
+        return keyed, parts
+
+    def _scan_keys(self, p: Pattern, parts: list[Mapped], keyed: dict[str, TermMap]) -> Bindings:
+        """One pattern over some mapped tables: keyed variables as keys, others as terms."""
+        where = [x.term if isinstance(x, Const) else None for x in (p.s, p.o)]
+        names: dict[str, str] = {}
+        for at, x in (("s", p.s), ("o", p.o)):
+            if isinstance(x, Var):
+                names.setdefault(x.name, at)
+        value = lambda x, at: (at.key() if x.name in keyed else made_term(at))
+        found = []
+        for m in parts:
+            df = m.rows(*where).select(*[value(x, made).alias(at) for at, x, made in (("s", p.s, m.s), ("o", p.o, m.o)) if isinstance(x, Var)])
+            found.append(df.where(F.col("s") == F.col("o")) if len(names) == 1 and len(df.columns) == 2 else df)
+        return Bindings(fold(DataFrame.unionAll, found).select(*[F.col(at).alias(self._name(v)) for v, at in names.items()]), list(names))
+
     def join(self, a: Bindings, b: Bindings, how: str = "inner", filters: list[Expr] | None = None) -> Bindings:
         """Compatible solutions: equal on shared variables, an unbound one fitting everything. Two or more shared ones close a cycle.
 
