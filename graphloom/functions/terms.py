@@ -39,7 +39,7 @@ def is_literal(t: Column) -> Column:
 def lexical(t: Column) -> Column:
     """The text between the brackets of an IRI or the outer quotes of a literal; a blank node as it is."""
     inner = F.regexp_extract(t, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^<>"]*>)?$', 1)
-    return F.when(is_iri(t), F.substring(t, F.lit(2), F.length(t) - 2)).when(is_literal(t), inner).otherwise(t)
+    return F.when(is_iri(t) | is_plain(t), F.substring(t, F.lit(2), F.length(t) - 2)).when(is_literal(t), inner).otherwise(t)
 
 
 def lang(t: Column) -> Column:
@@ -104,7 +104,7 @@ def escaped(t: Column) -> Column:
     text = lexical(t)
     for raw, written in _ESCAPES.items():
         text = F.replace(text, F.lit(raw), F.lit(written))
-    tail = F.when(lang(t) != "", F.concat(F.lit("@"), lang(t))).otherwise(F.regexp_extract(t, r'"(\^\^<[^<>"]*>)$', 1))
+    tail = F.when(is_plain(t), "").when(lang(t) != "", F.concat(F.lit("@"), lang(t))).otherwise(F.regexp_extract(t, r'"(\^\^<[^<>"]*>)$', 1))
     return F.when(is_literal(t), F.concat(F.lit('"'), text, F.lit('"'), tail)).otherwise(t)
 
 

@@ -18,11 +18,13 @@ from ..functions.terms import RDF, TYPE, XSD, literal
 from ..plans.syntax import SparqlError, unescape
 
 _CODE = r"\\(?:u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4}|U(?:0000(?![Dd][89A-Fa-f])|000[1-9A-Fa-f]|0010)[0-9A-Fa-f]{4})"
-_IRI = rf'<(?:[^<>"{{}}|^`\\\x00-\x20]++|{_CODE})*+>'
+_IN_IRI = r'[^<>"{}|^`\\\x00-\x20]*+'
+_IRI = rf'<{_IN_IRI}(?:{_CODE}{_IN_IRI})*+>'
 _BLANK = r'_:[^\s<>".](?:[^\s<>"]*[^\s<>".])?'
-_LITERAL = rf'"(?:[^"\\\n\r]++|\\[tbnrf"\'\\]|{_CODE})*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?'
-#: One N-Triples statement. Loops are possessive: literals of any length match without a deep stack.
-LINE = rf"^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+_IN_TEXT = r'[^"\\\n\r]*+'
+_TEXT = rf'{_IN_TEXT}(?:(?:\\[tbnrf"\'\\]|{_CODE}){_IN_TEXT})*+'
+#: One N-Triples statement: subject, predicate, object that is no literal, or a literal's text and tag. Loops are possessive: literals of any length match without a deep stack.
+LINE = rf'^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*(?:({_IRI}|{_BLANK})|"({_TEXT})"(@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?)\s*\.\s*(?:#.*)?$'
 
 _TOKEN = re.compile(
     r"""
@@ -281,14 +283,13 @@ def read_ntriples(spark: SparkSession, path: str | list[str], keep_labels: bool
     one document, as Spark writes them, and labels stay as they are.
     """
     lines = spark.read.text(path).select("value", F.md5(F.col("_metadata.file_path").cast("binary")).alias("tag"))
-    part = lambda i: F.regexp_extract("value", LINE, i)
+    # matched once a line: a statement becomes its parts, each with a line break, which no line has; behind explode, the filter isn't pushed down to match again
+    split = lines.select("tag", F.explode(F.array(F.regexp_replace("value", LINE, "$1\n$2\n$3\n$4\n$5\n"))).alias("parts")).where(F.instr("parts", "\n") > 0)
+    part = lambda i: F.col("part")[i]
     scoped = lambda t: t if keep_labels else F.when(t.startswith("_:"), F.concat(F.lit("_:"), F.col("tag"), F.lit("l"), F.substring(t, 3, 2**31 - 1))).otherwise(t)
-    o = part(3)
-    quoted = F.regexp_extract(o, r'(?s)^"(.*)"', 1)
-    tail = F.regexp_extract(o, r'(?s)^".*"(@[A-Za-z0-9-]+|\^\^<[^<>"]*>)?$', 1)
-    tail = F.when(tail.startswith("@"), F.lower(tail)).when(tail == f"^^<{XSD}string>", "").otherwise(_unescaped(tail))
-    whole = F.when(o.startswith('"'), F.concat(F.lit('"'), _unescaped(quoted), F.lit('"'), tail)).otherwise(scoped(_unescaped(o)))
-    triples = lines.where(F.col("value").rlike(LINE)).select(scoped(_unescaped(part(1))).alias("s"), _unescaped(part(2)).alias("p"), whole.alias("o"))
+    tail = F.when(part(4).startswith("@"), F.lower(part(4))).when(part(4) == f"^^<{XSD}string>", "").otherwise(_unescaped(part(4)))
+    whole = F.when(part(2) != "", scoped(_unescaped(part(2)))).otherwise(F.concat(F.lit('"'), _unescaped(part(3)), F.lit('"'), tail))
+    triples = split.select("tag", F.split("parts", "\n").alias("part")).select(scoped(_unescaped(part(0))).alias("s"), _unescaped(part(1)).alias("p"), whole.alias("o"))
     errors = lines.where(~F.col("value").rlike(LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$")).select(F.col("value").alias("error"))
     return triples, errors
 

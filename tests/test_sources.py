@@ -3,14 +3,17 @@ import subprocess
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 from graphloom import cli
-from graphloom.functions.terms import RDF, XSD
+from graphloom.functions.terms import RDF, XSD, escaped, lexical
 from graphloom.operators.store import GraphStore
 from graphloom.plans.executor import Engine
 from graphloom.sources import encoded, turtle
 from graphloom.streaming.match import match_stream, predicate_rates
 
 from .conftest import ROOT, rows
+from .test_changes import plan_of
 
 TURTLE = '''@prefix x: <urn:x:> .
 @base <http://base/> .
@@ -76,6 +79,24 @@ def test_ntriples_of_any_length_and_every_escape(spark, tmp_path):
     assert rows(triples) == sorted(want, key=repr) and errors.count() == 6
 
 
+def test_ntriples_lines_are_matched_once(spark, tmp_path):
+    """Also where the matched lines make up several columns; parts of a statement stay apart, whatever stands in them."""
+    lines = ['_:x <u:p> _:y.z .', '<u:a> <u:p> "" .', '<u:a> <u:p> ""@EN .', '<u:a> <u:p> "a\u2028b $1 \\n <x> . #"^^<u:t> . # c', '<u:a> <u:p> <u:b> . # c\u2028', '<u:a> <u:p> "x" . # c\u2028d', "<u:a> <u:p> <> .", '<u:a> "x" <u:b> .', "", "# <u:a> <u:p> <u:b> ."]
+    (tmp_path / "x.nt").write_text("\n".join(lines), encoding="utf-8")
+    triples, errors = turtle.read_ntriples(spark, str(tmp_path / "x.nt"), keep_labels=True)
+    want = [("_:x", "<u:p>", "_:y.z"), ("<u:a>", "<u:p>", '""'), ("<u:a>", "<u:p>", '""@en'), ("<u:a>", "<u:p>", '"a\u2028b $1 \n <x> . #"^^<u:t>'), ("<u:a>", "<u:p>", "<u:b>"), ("<u:a>", "<u:p>", "<>")]
+    assert rows(triples) == sorted(want, key=repr) and {r.error for r in errors.collect()} == {lines[5], lines[7]}
+    for keep in (True, False):
+        assert plan_of(turtle.read_ntriples(spark, str(tmp_path / "x.nt"), keep)[0]).count(turtle.LINE) == 1
+
+
+def test_literals_as_ntriples_writes_them(spark):
+    terms = ["<u:a>", "_:b", '""', '"', '"a"b"', '"a\\\n\r\t"', '"x"@en"', '"x"@en-gb', '"1"^^<u:t>', '"a"^^<u:t>"@de']
+    got = spark.createDataFrame([(t,) for t in terms], "t string").select(lexical(F.col("t")), escaped(F.col("t")))
+    want = [("u:a", "<u:a>"), ("_:b", "_:b"), ("", '""'), ("", '""'), ('a"b', '"a\\"b"'), ("a\\\n\r\t", '"a\\\\\\n\\r\\t"'), ('x"@en', '"x\\"@en"'), ("x", '"x"@en-gb'), ("1", '"1"^^<u:t>'), ('a"^^<u:t>', '"a\\"^^<u:t>"@de')]
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_turtle_parser_is_linear_and_counts_lines():
     text = "bad line\n" * 20_000 + "<u:a> <u:p> <u:b> ."
     p = turtle.TurtleParser(text)
