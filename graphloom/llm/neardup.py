@@ -381,7 +381,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         sizes = steps.store(crossing.groupBy("main").agg(F.count("*").alias("n"), F.count(F.when(F.col("cls") != F.col("main"), 1)).alias("rest")))
         # nodes with the same members outside their largest class count once
         among = steps.store(fold(DataFrame.unionAll, rests))
-        nodes = among.groupBy("node").agg(F.expr("bit_xor(xxhash64(rid))").alias("x"), F.sum(F.expr("xxhash64(rid, 7) >> 20")).alias("y"), F.count("*").alias("n"), F.countDistinct("cls").alias("classes")).where("classes > 1")
+        nodes = among.groupBy("node").agg(F.expr("bit_xor(xxhash64(rid))").alias("x"), F.sum(F.expr("xxhash64(rid, 7) >> 20")).alias("y"), F.count("*").alias("n"), F.min("cls").alias("c"), F.max("cls").alias("d")).where("c < d")
         steps.drop(*done)
         nodes = steps.store(nodes.groupBy("x", "y", "n").agg(F.min("node").alias("group")).select("group", "n", F.col("n").alias("total")))
         within = tk.skew_join(among.withColumnRenamed("node", "group"), nodes.select("group"), nodes.select("group", "n"), ["group"])
@@ -400,9 +400,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         weighed = steps.store(near.groupBy("group").agg(F.sum("size").alias("total"), F.count("*").alias("n")))
         parted = steps.store(_dealt(near, weighed, ITEMS))
         more = _spread(parted.join(tk.merged(sets), "rid"), parted.count()).mapInArrow(tk.released(_across(percent)), "a bigint, b bigint")
-        links = steps.store(linked.unionByName(more).distinct())
+        roots = components(spark, linked.unionByName(more))
         steps.drop(sets, near, parted, linked)
-        roots = components(spark, links)
         placed = reps.select("rid", "low").join(tk.merged(roots.withColumnRenamed("node", "rid")), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         placed = steps.store(placed)
         least = steps.store(placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))

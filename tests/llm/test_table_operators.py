@@ -58,6 +58,19 @@ def test_components(spark):
     assert graph.components(spark, spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Links that hang on their roots already are told by their minima; a chain takes rounds."""
+    stored = []
+    store = tk.Steps.store
+    monkeypatch.setattr(tk.Steps, "store", lambda self, df: stored.append(1) or store(self, df))
+    stars = [(r, r + 1 + i) for r in (100, 200) for i in range(20)]
+    got = dict(rows(graph.components(spark, spark.createDataFrame([*stars, *stars, (5, 5)], "a bigint, b bigint"))))
+    assert got == {x: a for a, b in stars for x in (a, b)}
+    assert len(stored) == 2
+    got = dict(rows(graph.components(spark, spark.createDataFrame([(3, 2), (2, 1), (3, 4)], "a bigint, b bigint"))))
+    assert got == dict.fromkeys([1, 2, 3, 4], 1)
+
+
 # 6: line dedup
 def brute_lines(texts, least):
     """Texts in order, less later copies of maximal runs: from each line on, the longest run that has an earlier copy which it doesn't overlap, if it has least words."""
