@@ -23,6 +23,10 @@ from graphloom.llm import bpe, decontaminate, langid, linededup, neardup
 from graphloom.llm import textkit as tk
 
 
+#: Entries of a worker's tables of words: the stages before have filled the executors' memory.
+TABLE_WORDS = 40_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language, or in one that scores under langid.MIN_SCORE, go."""
     return langid.drop_unknown(spark, docs)
@@ -46,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, input_ids."""
-    return bpe.tokenize(docs)
+    return bpe.tokenize(docs, words=TABLE_WORDS)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", tokens)]

@@ -52,7 +52,9 @@ KEPT_LETTERS = 60
 #: Longer words are encoded alone, letter by letter.
 LONG_WORD = 1_000
 #: Bytes of text, or one text, that are encoded at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+#: Letters of words that take their steps together, unless one word has more: a step's arrays take some 100 bytes a letter.
+STEP_LETTERS = 1 << 15
 #: Pairs of tokens whose arc a worker remembers: 9 bytes each.
 _REMEMBERED = 1 << 19
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -354,13 +356,16 @@ class Tokenizer:
         arcs: dict[str, list[int]] = {w: self.automaton.encode("".join([self._letters[b] for b in w.encode()])) for w in words if len(w) > LONG_WORD}
         words = [w for w in words if len(w) <= LONG_WORD]
         raw = [w.encode() for w in words]
-        if raw:
-            bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
-            tokens, counts = self.automaton.encode_words(self._code[np.frombuffer(b"".join(raw), np.uint8)], bounds)
+        upto, lo = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), 0
+        while lo < len(raw):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP_LETTERS, side="right")))
+            bounds = np.concatenate([[0], upto[lo:hi] - (upto[lo - 1] if lo else 0)])
+            tokens, counts = self.automaton.encode_words(self._code[np.frombuffer(b"".join(raw[lo:hi]), np.uint8)], bounds)
             flat, at = tokens.tolist(), 0
-            for w, n in zip(words, counts.tolist(), strict=True):
+            for w, n in zip(words[lo:hi], counts.tolist(), strict=True):
                 arcs[w] = flat[at : at + n]
                 at += n
+            lo = hi
         ids, labels = self._id_text, self._label_text
         for w, found in arcs.items():
             self._known[w] = ("".join([ids[t] for t in found]), "".join([labels[t] for t in found]))
@@ -429,12 +434,13 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, input_ids. The file lies at the same path on every executor."""
+def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True, words: int = CACHE_WORDS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, input_ids. The file lies at the same path on every executor. words: entries of a worker's tables; fewer take less memory and more time."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
+        tok.cache_words = words
         gc.disable()  # no cycles are made here, and looking for them among so many words takes a tenth of the time
         try:  # the words of the tables stay from task to task
             for batch in batches:

@@ -309,6 +309,18 @@ def test_batches_forget_nothing_that_matters(pair, monkeypatch):
             assert ids == " ".join(map(str, want)) and decoded == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_words_take_their_steps_in_bounded_numbers(pair, monkeypatch):
+    mine, theirs = pair
+    seen, encode = [], mine.automaton.encode_words
+    monkeypatch.setattr(bpe, "STEP_LETTERS", 50, raising=False)
+    monkeypatch.setattr(mine.automaton, "encode_words", lambda codes, bounds: seen.append(len(codes)) or encode(codes, bounds))
+    mine.forget()
+    text = " ".join([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}ab" for i in range(200)] + ["long" * 30])
+    want = theirs.encode(text, add_special_tokens=False).ids
+    assert mine.texts(text)[0] == " ".join(map(str, want))
+    assert len(seen) > 10 and sorted(seen)[-2] <= 50
+
+
 def test_the_query_matches_the_library(spark, odd_docs, pair, tmp_path):
     got = bpe.op5(spark, write_tables(spark, tmp_path, documents=odd_docs))
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
