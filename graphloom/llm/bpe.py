@@ -20,7 +20,8 @@ tokens that continue it are those of the trie whose arcs leave that state. The
 full table of states and arcs, a few billion of them, is never written out: an
 arc is compiled from the gadgets when a word first asks for it, and kept. Whole
 batches of words take each step together, in arrays. Decoding emits the labels
-of the arcs.
+of the arcs. Texts are split, and their tokens put together, as Arrow columns:
+each distinct stretch without white space is looked at once a batch.
 
 Nulls: a null text is empty (no tokens); a null doc_id stays. Repeated rows are
 kept. Ties cannot occur: the automaton is deterministic. An empty table gives an
@@ -30,29 +31,29 @@ looked at. Whole texts; tables of known words have a bounded number of entries.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-#: Entries of each of a worker's tables (words, and words as they stand in the text), of which the older half goes when they are full.
+#: Entries of each of a worker's tables (words, and words as they stand in the text), of which those not used lately go when they are full.
 CACHE_WORDS = 240_000
-#: Longer stretches of text without white space are not kept.
+#: Longer words and longer stretches of text without white space are not kept.
 KEPT_LETTERS = 60
 #: Longer words are encoded alone, letter by letter.
 LONG_WORD = 1_000
 #: Bytes of text, or one text, that are encoded at once.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 21
 #: Letters of words that take their steps together, unless one word has more: a step's arrays take some 100 bytes a letter.
 STEP_LETTERS = 1 << 15
 #: Pairs of tokens whose arc a worker remembers: 9 bytes each.
@@ -286,6 +287,50 @@ class Automaton:
         return [self.labels[t] for t in tokens]
 
 
+class _Kept:
+    """Token lists of strings; those used lately are kept, as Arrow columns."""
+
+    def __init__(self) -> None:
+        self.strings, self.tokens = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        self.used = np.zeros(0, bool)
+
+    def get(self, strings: pa.Array, make: Callable[[pa.Array], pa.Array], most: int) -> pa.Array:
+        """The token lists of distinct strings; make has those of the strings that are not kept. At most that many are kept."""
+        at = pc.index_in(strings, value_set=self.strings)
+        new = strings.filter(at.is_null())
+        if not len(new):
+            self.used[at.to_numpy()] = True
+            return self.tokens.take(at)
+        made, held = make(new), len(self.strings)
+        at = at.fill_null(-1).to_numpy().copy()
+        self.used[at[at >= 0]] = True
+        at[at < 0] = np.arange(held, held + len(new))
+        every, tokens = pa.concat_arrays([self.strings, new]), pa.concat_arrays([self.tokens, made])
+        out = tokens.take(pa.array(at))
+        short = pc.less_equal(pc.utf8_length(new), KEPT_LETTERS).to_numpy(zero_copy_only=False)
+        stay, used = np.concatenate([np.ones(held, bool), short]), np.concatenate([self.used, np.zeros(len(new), bool)])
+        if np.count_nonzero(stay) > most:  # what was used since the last time stays, and of that, and of what is new, the last ones up to a half
+            stay[:held] = self.used
+            last = np.flatnonzero(stay)[-(most // 2) :] if most > 1 else np.zeros(0, np.int64)
+            stay, used = np.zeros(len(stay), bool), np.zeros(len(used), bool)
+            stay[last] = True
+        if stay.all():
+            self.strings, self.tokens, self.used = every, tokens, used
+        else:
+            self.strings, self.tokens, self.used = every.filter(pa.array(stay)), tokens.filter(pa.array(stay)), used[stay]
+        return out
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _starts(lists: pa.Array) -> np.ndarray:
+    """Where each list begins, and the last one ends, among lists.flatten()."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return at - at[0]
+
+
 def byte_letters() -> list[str]:
     """The printable letter of each byte, as byte-level vocabularies have them: printable Latin-1 as it is, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -310,107 +355,106 @@ class Tokenizer:
         self.automaton = Automaton([t for t in model["vocab"] if t not in made], merges, self.suffix)
         self.number = [model["vocab"][t] for t in self.automaton.labels]  # outer ids
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any("\n" in x for x in self.special):
+            raise ValueError(f"a special token of {path} has a line's end")
         self.token = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self._special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._space = regex.compile(f"[{_SPACE}]+")
+        self._wide_special = any(regex.search("[\t-\r ]", x) for x in self.special)
+        self._space = regex.compile(f"[{_SPACE.replace('\t-\r', '')}]+")  # ASCII white space is gone by then
         self._words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", _SPACE))
         self._letters = byte_letters()
-        self._odd = regex.compile("[\x1c-\x1f]")
         self._code = np.array([self.automaton.code[x] for x in self._letters], np.int64)  # of each byte
-        self._id_text = [f"{x} " for x in self.number]
-        self._label_text = [f"{x} " for x in self.automaton.labels]
+        self._outer = np.array(self.number, np.int32)
+        ids = range(max(self.token) + 1)
+        self._id_text = pa.array([f"{i} " for i in ids], pa.large_string())
+        self._label_text = pa.array([f"{self.token.get(i, '')} " for i in ids], pa.large_string())
         self.cache_words = CACHE_WORDS
         self.forget()
 
     def forget(self) -> None:
         """Lets go of the words kept so far; the automaton stays."""
-        self._known: dict[str, tuple[str, str]] = {}
-        # of each stretch without white space: ids and labels, as text that ends in a space
-        self._ids: dict[str, str] = {}
-        self._decoded: dict[str, str] = {}
-        self._age()
-
-    def _age(self) -> None:
-        """What was used since the last time is the older half now."""
-        self._old = self._known, self._ids, self._decoded
-        self._known = {}
-        self._ids = {t: f"{i} " for t, i in self.special.items()}
-        self._decoded = {t: f"{t} " for t in self.special}
-
-    def words(self, text: str) -> list[str]:
-        """Normalised and pre-split words of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self._words.findall(self._space.sub(" ", text).lower())
-
-    def _cut(self, piece: str) -> list[str]:
-        """Words of a stretch of text."""
-        core, tail = (piece[:-1], piece[-1]) if piece and piece[-1] in ",.;:!?" else (piece, "")
-        low = core.lower()
-        if low.isalpha() and (piece.isascii() or unicodedata.is_normalized("NFC", piece) and "Σ" not in piece):
-            return [low, tail] if tail else [low]
-        return self.words(piece)
-
-    def _encode(self, words: list[str]) -> None:
-        """Adds words that aren't known yet."""
-        arcs: dict[str, list[int]] = {w: self.automaton.encode("".join([self._letters[b] for b in w.encode()])) for w in words if len(w) > LONG_WORD}
-        words = [w for w in words if len(w) <= LONG_WORD]
-        raw = [w.encode() for w in words]
-        upto, lo = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), 0
-        while lo < len(raw):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + STEP_LETTERS, side="right")))
-            bounds = np.concatenate([[0], upto[lo:hi] - (upto[lo - 1] if lo else 0)])
-            tokens, counts = self.automaton.encode_words(self._code[np.frombuffer(b"".join(raw[lo:hi]), np.uint8)], bounds)
-            flat, at = tokens.tolist(), 0
-            for w, n in zip(words[lo:hi], counts.tolist(), strict=True):
-                arcs[w] = flat[at : at + n]
-                at += n
-            lo = hi
-        ids, labels = self._id_text, self._label_text
-        for w, found in arcs.items():
-            self._known[w] = ("".join([ids[t] for t in found]), "".join([labels[t] for t in found]))
+        self._known, self._stretches = _Kept(), _Kept()
 
     def _pieces(self, text: str) -> list[str]:
-        """No word crosses white space and no normalisation does, so stretches without it are handled, and kept, alone. Special tokens are stretches too."""
-        if self._special is not None and self._special.search(text):
-            return [y for i, x in enumerate(self._special.split(text)) for y in ([x] if i % 2 else self._pieces(x))]
-        if self._odd.search(text):  # white space for str.split, but not for the tokenizer
-            return [text]
-        return text.split()
+        """Stretches without ASCII white space, for tokenizers of which a special token has some: those are stretches too."""
+        return [y for i, x in enumerate(self._special.split(text)) for y in ([x] if i % 2 else regex.split("[\t-\r ]+", x))]
+
+    def _cut(self, stretches: list[str]) -> list[str]:
+        """Normalised and pre-split words of all stretches, with a line's end after those of each. A special token has a line's end before it, which no word has."""
+        text = "\n".join([*stretches, ""])
+        out, find = [], self._words.findall
+        for i, part in enumerate(self._special.split(text) if self._special is not None else [text]):
+            if i % 2:
+                out.append("\n" + part)
+                continue
+            if not part.isascii():
+                part = self._space.sub(" ", unicodedata.normalize("NFC", part).replace("Σ", "σ"))
+            for j, x in enumerate(part.lower().split("\n")):
+                if j:
+                    out.append("\n")
+                out += find(x)
+        return out
+
+    def _encode_words(self, words: pa.Array) -> pa.Array:
+        """Token lists of distinct words."""
+        upto = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        code = self._code[np.frombuffer(words.buffers()[2], np.uint8)[upto[0] : upto[-1]]]
+        long, upto, lo, tokens, counts = pc.utf8_length(words).to_numpy() > LONG_WORD, upto - upto[0], 0, [], []
+        while lo < len(words):
+            if long[lo]:
+                hi = lo + 1
+                found = np.array(self.automaton.encode("".join([self._letters[b] for b in words[lo].as_py().encode()])), np.int64)
+                n = np.array([len(found)])
+            else:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + STEP_LETTERS, side="right")) - 1)
+                hi = lo + int(np.argmax(long[lo:hi])) if long[lo:hi].any() else hi
+                found, n = self.automaton.encode_words(code[upto[lo] : upto[hi]], upto[lo : hi + 1] - upto[lo])
+            tokens.append(self._outer[found])
+            counts.append(n)
+            lo = hi
+        return _lists(np.concatenate(tokens), np.concatenate(counts))
+
+    def _encode_any(self, words: pa.Array) -> pa.Array:
+        """Token lists of distinct words, special tokens and line's ends (which have none)."""
+        plain = pc.invert(pc.starts_with(words, "\n"))
+        made = self._known.get(words.filter(plain), self._encode_words, self.cache_words)
+        if len(made) == len(words):
+            return made
+        odd = words.filter(pc.invert(plain)).to_pylist()
+        odd_lists = pa.array([[self.special[w[1:]]] if len(w) > 1 else [] for w in odd], pa.list_(pa.int32()))
+        plain = plain.to_numpy(zero_copy_only=False)
+        at = np.where(plain, np.cumsum(plain) - 1, len(made) + np.cumsum(~plain) - 1)
+        return pa.concat_arrays([made, odd_lists]).take(pa.array(at))
+
+    def _encode_stretches(self, stretches: pa.Array) -> pa.Array:
+        """Token lists of distinct stretches of text without ASCII white space."""
+        coded = pa.array(self._cut(stretches.to_pylist()), pa.string()).dictionary_encode()
+        ends = np.flatnonzero(pc.equal(coded.dictionary, "\n").to_numpy(zero_copy_only=False)[coded.indices.to_numpy()])
+        lists = self._encode_any(coded.dictionary).take(coded.indices)
+        upto = _starts(lists)[ends]
+        return _lists(lists.flatten().to_numpy(), np.diff(upto, prepend=0))
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Of a column of texts without nulls: where each one's stretches begin, which stretch stands at each place, and the token lists of those stretches. No word crosses white space and no normalisation does, so stretches without ASCII white space are handled, and kept, alone."""
+        cut = pa.array([self._pieces(x) for x in texts.to_pylist()], pa.list_(pa.string())) if self._wide_special else pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        return _starts(cut), coded.indices, self._stretches.get(coded.dictionary, self._encode_stretches, self.cache_words)
+
+    def joined(self, stretches: np.ndarray, which: pa.Array, lists: pa.Array, labels: bool = False) -> Iterator[memoryview]:
+        """The ids or labels of each text, joined by a space, in UTF-8."""
+        text = (self._label_text if labels else self._id_text).take(lists.flatten())
+        upto = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[_starts(lists)]
+        every = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(upto), text.buffers()[2]).take(which)
+        upto = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1)[stretches].tolist()
+        data = memoryview(every.buffers()[2] or b"")
+        for a, b in zip(upto[:-1], upto[1:], strict=True):
+            yield data[a : max(a, b - 1)]
 
     def batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by a space, decoded text) of each text."""
-        cut = [self._pieces(t) for t in texts]
-        every = set().union(*cut)
-        new = every.difference(self._ids)
-        if len(self._ids) + len(new) > self.cache_words // 2:
-            self._age()
-            new = every.difference(self._ids)
-        old_known, old_ids, old_decoded = self._old
-        for x in new.intersection(old_ids):
-            self._ids[x], self._decoded[x] = old_ids[x], old_decoded[x]
-        words = {x: self._cut(x) for x in new.difference(old_ids)}
-        needed = {w for ws in words.values() for w in ws}.difference(self._known)
-        if len(self._known) + len(needed) > self.cache_words // 2:
-            old_known, self._known = self._known, {}
-            self._old = old_known, old_ids, old_decoded
-            needed = {w for ws in words.values() for w in ws}
-        known = self._known
-        for w in needed.intersection(old_known):
-            known[w] = old_known[w]
-        self._encode(list(needed.difference(old_known)))
-        for x, ws in words.items():
-            self._ids[x] = "".join([known[w][0] for w in ws])
-            self._decoded[x] = "".join([known[w][1] for w in ws])
-        ids, decoded = self._ids.__getitem__, self._decoded.__getitem__
-        for row in cut:
-            yield "".join(map(ids, row))[:-1], "".join(map(decoded, row))[:-1]
-        for x, ws in words.items():
-            if len(x) > KEPT_LETTERS:
-                del self._ids[x], self._decoded[x]
-                for w in ws:
-                    if len(w) > KEPT_LETTERS:
-                        known.pop(w, None)
+        found = self.encoded(pa.array(texts, pa.string()))
+        for ids, decoded in zip(self.joined(*found), self.joined(*found, labels=True), strict=True):
+            yield str(ids, "utf-8"), str(decoded, "utf-8")
 
     def texts(self, text: str) -> tuple[str, str]:
         return list(self.batch([text]))[0]
@@ -441,30 +485,21 @@ def tokenize(docs: DataFrame, path: str | None = None, ids: bool = True, words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         tok.cache_words = words
-        gc.disable()  # no cycles are made here, and looking for them among so many words takes a tenth of the time
-        try:  # the words of the tables stay from task to task
-            for batch in batches:
-                sizes = np.cumsum(np.array([x.as_buffer().size if x.is_valid else 0 for x in batch.column("text")], np.int64))
-                lo = 0
-                while lo < len(batch):
-                    hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BATCH_BYTES, side="right")))
-                    yield encoded(tok, batch.slice(lo, hi - lo))
-                    lo = hi
-        finally:
-            gc.enable()
+        for batch in batches:  # the words of the tables stay from task to task
+            sizes, lo = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64)), 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + BATCH_BYTES, side="right")))
+                yield encoded(tok, batch.slice(lo, hi - lo))
+                lo = hi
 
     def encoded(tok: Tokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
-        n, shas, decoded, lists = [], [], [], []
-        for numbers, text in tok.batch([x.as_py() or "" for x in part.column("text")]):
-            n.append(numbers.count(" ") + 1 if numbers else 0)
-            shas.append(hashlib.sha256(numbers.encode()).hexdigest())
-            decoded.append(hashlib.sha256(text.encode()).hexdigest())
-            if ids:
-                lists.append(np.fromstring(numbers, dtype=np.int32, sep=" "))
-        columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+        stretches, which, lists = tok.encoded(part.column("text").cast(pa.string()).fill_null(""))
+        upto = np.concatenate([[0], np.cumsum(np.diff(_starts(lists))[which.to_numpy()])])[stretches]
+        shas, decoded = ([hashlib.sha256(x).hexdigest() for x in tok.joined(stretches, which, lists, labels)] for labels in (False, True))
+        columns = [part.column("doc_id"), pa.array(np.diff(upto), pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if ids:
-            columns.append(pa.array(lists, pa.list_(pa.int32())))
+            columns.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), lists.take(which).flatten()))
             names.append("input_ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -1,6 +1,8 @@
 import hashlib
+import json
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -321,6 +323,38 @@ def test_words_take_their_steps_in_bounded_numbers(pair, monkeypatch):
     assert len(seen) > 10 and sorted(seen)[-2] <= 50
 
 
+def test_words_take_few_calls(pair):
+    """Texts are split and put together by columns, so that Python makes no calls for words that are known, and few for new ones."""
+    mine, theirs = pair
+    mine.forget()
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}ab," for i in range(lo, lo + 4000)) for lo in (0, 1000, 0)]
+    want = [" ".join(map(str, theirs.encode(t, add_special_tokens=False).ids)) for t in texts]
+    calls = []
+    for part, held in ((texts[:2], want[:2]), (texts[2:] * 3, want[2:] * 3)):
+        seen = []
+        sys.setprofile(lambda frame, event, arg, seen=seen: seen.append(event) if event in ("call", "c_call") else None)
+        try:
+            got = list(mine.batch(part))
+        finally:
+            sys.setprofile(None)
+        assert [x for x, _ in got] == held
+        calls.append(len(seen))
+    assert calls[0] < 4 * 5000 and calls[1] < 200
+
+
+def test_special_tokens_with_spaces(pair, tmp_path):
+    """A special token is found before texts are split, and is no word of the same letters."""
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"] += [{"id": 49408 + i, "content": x, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, x in enumerate(["<a b>", "abcq"])]
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    mine, theirs = bpe.Tokenizer(str(path)), tokenizers.Tokenizer.from_file(str(path))
+    for text in ("x<a b>y <a  b> ABCQ abcq xabcqx\n<a\nb> Abcq", "<a b>", " abcq ", "<|endoftext|><a b><|ENDOFTEXT|>"):
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text) == ids and mine.texts(text)[1] == theirs.decode(ids, skip_special_tokens=False)
+
+
 def test_the_query_matches_the_library(spark, odd_docs, pair, tmp_path):
     got = bpe.op5(spark, write_tables(spark, tmp_path, documents=odd_docs))
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
