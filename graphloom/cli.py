@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.storage import file_system, names
+from .operators.storage import file_system, names, stored
 from .operators.store import Dictionary, GraphStore
 from .plans.executor import Engine
 from .plans.syntax import SparqlError
@@ -36,19 +36,17 @@ def load_rdf(spark: SparkSession, path: str, remove_double_edges: bool = False,
     return store.remove_double_edges() if remove_double_edges else store
 
 
-def load_encoded(spark: SparkSession, path: str) -> GraphStore:
-    """A store whose terms are `<id>`s, so that encoded queries run on it as they are."""
-    from pyspark.sql import functions as F
-
+def load_encoded(spark: SparkSession, path: str, keep: bool = False) -> GraphStore:
+    """A store whose terms are `<id>`s, so that encoded queries run on it as they are. keep: the ids are stored, so that patterns don't parse the lines again."""
     edges = encoded.read_encoded(spark, path)
-    return GraphStore.from_triples(edges.select(*[F.concat(F.lit("<"), F.col(c).cast("string"), F.lit(">")).alias(c) for c in "spo"]))
+    return GraphStore.from_ids(stored(spark, edges)[0] if keep else edges)
 
 
-def load_graph(spark: SparkSession, path: str, analyze: bool = False) -> GraphStore:
+def load_graph(spark: SparkSession, path: str, analyze: bool = False, keep: bool = False) -> GraphStore:
     """Encoded edges (path/edges, or a file ending in .encoded), a saved store (a directory of p=...), or RDF text; on any storage that Spark reads."""
     inside = [name for name, is_folder in names(spark, path) if is_folder]
     if "edges" in inside or path.endswith(".encoded"):
-        store = load_encoded(spark, f"{path}/edges" if "edges" in inside else path)
+        store = load_encoded(spark, f"{path}/edges" if "edges" in inside else path, keep)
     elif any(name.startswith("p=") for name in inside):
         store = GraphStore.load(spark, path)
     else:

@@ -169,11 +169,8 @@ def _(spark, sf):
     """The graph and the query as ids, the solutions decoded."""
     path, d = _encoded(spark, sf)
     text = encode_query(PREFIXES + _CYCLE, d).replace("#EOQ#", "")
-    found = Engine(cli.load_graph(spark, path)).query(text)
-    ids = found.select(*[F.regexp_extract(c, "[0-9]+", 0).cast("long").alias(c) for c in found.columns])
-    for c in found.columns:
-        ids = d.decode_column(ids, c)
-    return ids.select(*found.columns)
+    found = Engine(cli.load_graph(spark, path, keep=True)).query(text)
+    return d.decode_columns(found.select(*[F.regexp_extract(c, "[0-9]+", 0).cast("long").alias(c) for c in found.columns]), found.columns)
 
 
 @_query("query_files", f"SELECT 'one' AS name, 0 AS i, {C} AS c, {_txt('c_mktsegment')} AS g FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'one', 1, {C}, {_txt('c_mktsegment')} FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'BUILDING'")

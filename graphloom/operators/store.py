@@ -108,6 +108,10 @@ def made_term(made: TermMap | str) -> Column:
     return F.lit(made) if isinstance(made, str) else made.term()
 
 
+def _number(column: str) -> TermMap:
+    return TermMap(column, "<", ">", "bigint")
+
+
 @dataclass
 class GraphStore:
     spark: SparkSession
@@ -119,12 +123,20 @@ class GraphStore:
     sets: list[tuple[dict[str, int], int]] | None = None
     #: (s, p, o, there) of distinct triples that were put in (there) or taken out since
     changes: DataFrame | None = None
+    #: (s, p, o) of numbers in any multiplicity, if the table's terms are just these, as `<number>`s
+    ids: DataFrame | None = None
 
     @classmethod
     def from_triples(cls, df: DataFrame) -> GraphStore:
         """From (s, p, o) in any multiplicity: a graph is a set."""
         return cls(df.sparkSession, df.select(*TRIPLE).repartition(*TRIPLE).dropDuplicates())  # dealt out first: a task that reads need not hold all its triples
 
+    @classmethod
+    def from_ids(cls, ids: DataFrame) -> GraphStore:
+        """From (s, p, o) of numbers in any multiplicity, whose terms are `<number>`s: patterns are joined by the numbers."""
+        df = ids.select(*TRIPLE)
+        return cls(ids.sparkSession, cls.from_triples(df).table.select(*[_number(c).term().alias(c) for c in TRIPLE]), ids=df)
+
     @classmethod
     def from_layers(cls, spark: SparkSession, layers: dict[str, DataFrame | list[Mapped]]) -> GraphStore:
         """From {predicate: distinct (s, o)}; a layer of several mapped tables is their union, and they have no pair in common."""
@@ -255,6 +267,17 @@ class GraphStore:
         """Whether all triples come from mapped tables."""
         return self.table is None and self.changes is None and bool(self.layers) and not any(isinstance(x, DataFrame) for x in self.layers.values())
 
+    def keyed(self) -> bool:
+        """Whether parts() has every predicate's triples."""
+        return self.mapped() or (self.ids is not None and self.changes is None)
+
+    def parts(self, predicate: str) -> list[Mapped]:
+        """The mapped tables of a predicate, if the store is keyed."""
+        if self.ids is None:
+            return self.layers.get(predicate, [])
+        value = _number("p").value(predicate)
+        return [] if value is None else [Mapped(self.ids.where(F.col("p") == value), _number("s"), _number("o"), repeats=True)]
+
     def _terms(self) -> DataFrame:
         """term, n: the terms of mapped tables, and about how often each occurs (a table's repetitions count)."""
         return self._counted([(m.df, made) for layer in self.layers.values() for m in layer for made in (m.s, m.o)])
@@ -441,3 +464,16 @@ class Dictionary:
 
     def decode_column(self, df: DataFrame, column: str) -> DataFrame:
         return self._looked_up(df, column, "__term", "id", "left").drop(column).withColumnRenamed("__term", column)
+
+    def decode_columns(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """decode_column for several columns: the rows are stored, and the dictionary is read once, for the ids that they have."""
+        rows, _ = stored(df.sparkSession, df)
+        ids = rows.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("at", "id")).where("id IS NOT NULL")
+        counts, _ = stored(df.sparkSession, ids.groupBy("at", "id").agg(F.count("*").alias("n")))
+        near = small(counts, self.BROADCAST)
+        terms, _ = stored(df.sparkSession, self.nodes.join(near if near is not counts else merged(counts), "id").select("at", "id", "term", "n"))
+        many = {r.at: r["count"] for r in counts.groupBy("at").count().collect()}
+        for i in sorted(range(len(columns)), key=lambda i: -many.get(i, 0)):  # those of few terms last: their strings would go through the others' shuffles
+            seen = terms.where(F.col("at") == i).drop("at")
+            rows = Dictionary(seen.select("id", "term"), self.predicates, seen).decode_column(rows, columns[i])
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -102,10 +102,10 @@ class Engine:
 
         Tables that can't make a term that another pattern asks for have no solutions.
         """
-        if not self.store.mapped() or not all(isinstance(p.p, Const) for p in patterns) or any(first + i in self.sources for i in range(len(patterns))):
+        if not self.store.keyed() or not all(isinstance(p.p, Const) for p in patterns) or any(first + i in self.sources for i in range(len(patterns))):
             return {}, {}
         terms = lambda p: [x.term if isinstance(x, Const) else None for x in (p.s, p.o)]
-        parts = {i: [m for m in self.store.layers.get(p.p.term, []) if m.rows(*terms(p)) is not None] for i, p in enumerate(patterns) if p.vars()}
+        parts = {i: [m for m in self.store.parts(p.p.term) if m.rows(*terms(p)) is not None] for i, p in enumerate(patterns) if p.vars()}
         made = lambda m, p, v: [x for at, x in ((p.s, m.s), (p.o, m.o)) if isinstance(at, Var) and at.name == v]
         meets = lambda m, p, v, j: any(not apart(x, y) for other in parts[j] for y in made(other, patterns[j], v) for x in made(m, p, v))
         while True:

@@ -15,15 +15,21 @@ _EDGE = r"^\s*<?(\d+)>?\s+<?(\d+)>?\s+<?(\d+)>?(?:\s*\.)?\s*$"
 def read_encoded(spark: SparkSession, path: str, layout: str = "spo") -> DataFrame:
     """(s, p, o) of ids, from lines `<s> <p> <o> .`; header lines with counts don't match. layout: the columns' order, "sop" for dumps."""
     at = {name: i for i, name in enumerate(layout)}
-    lines = spark.read.text(path).where(F.col("value").rlike(_EDGE))
-    numbers = lines.select(F.regexp_extract_all("value", F.lit(r"(\d+)")).alias("x"))  # three of them, in such a line
-    return numbers.select(*[F.col("x")[at[c]].cast("long").alias(c) for c in "spo"])
+    inside = lambda i: F.substring_index(F.substring_index("value", ">", i + 1), "<", -1).try_cast("long")
+    lines = spark.read.text(path).select("value", *[inside(i).alias(f"x{i}") for i in range(3)])
+    # a line that its three numbers make again needs no regular expression
+    again = F.concat(F.lit("<"), F.col("x0").cast("string"), F.lit("> <"), F.col("x1").cast("string"), F.lit("> <"), F.col("x2").cast("string"), F.lit("> .")) == F.col("value")
+    plain = again & (F.col("x0") >= 0) & (F.col("x1") >= 0) & (F.col("x2") >= 0)
+    numbers = F.regexp_extract_all("value", F.lit(r"(\d+)"))  # three of them, in such a line
+    row = lambda x: F.array(F.struct(*[x(at[c]).alias(c) for c in "spo"]))
+    # unfolded, so that a condition on a number doesn't read the line another time
+    return lines.select(F.inline(F.when(plain, row(lambda i: F.col(f"x{i}"))).when(F.col("value").rlike(_EDGE), row(lambda i: numbers[i].cast("long")))))
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(id, term) from lines `id term`; the term runs to the end of the line."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"^\d+ "))
-    return lines.select(F.regexp_extract("value", r"^(\d+) ", 1).cast("long").alias("id"), F.regexp_extract("value", r"^\d+ (.*)$", 1).alias("term"))
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^\d+ ")).withColumn("id", F.substring_index("value", " ", 1))
+    return lines.select(F.col("id").cast("long").alias("id"), F.substring("value", F.length("id") + 2, F.length("value")).alias("term"))
 
 
 def read_queries(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
